@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, secrets
+from . import decontaminate, dedup, langid, mixing, secrets
 from .common import fold_column, table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_decontaminate, op6_language_id, op8_secret_scan)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_mix_sources, op4_decontaminate, op6_language_id, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
