@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, langid, mixing, secrets
+from . import decontaminate, dedup, hamming, langid, mixing, secrets, urlrules
 from .common import fold_column, table
 
 
@@ -25,6 +25,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontaminate.items_sha256().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of each row whose id is divisible by 50."""
+    codes = hamming.codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.top_k(codes, codes.filter(F.pmod("id", F.lit(50)) == 0), 10)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold_column("doc_id", 5) != 0)
@@ -36,8 +42,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url and bad (toxic or of low quality) of the pages whose URL ends in the number of a labelled document."""
+    pages = table(spark, sf_dir, "pages").select("url")
+    number = F.regexp_extract(urlrules.path(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+|/)?$", 1)
+    pages = pages.withColumn("doc_id", F.when(number != "", number).cast("bigint"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)).alias("bad"))
+    return pages.join(labels, "doc_id").select("url", "bad")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = urlrules.mine(labelled_pages(spark, sf_dir), "url", F.col("bad"))
+    out = urlrules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), mined)
+    return out.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_mix_sources, op4_decontaminate, op6_language_id, op8_secret_scan)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op8_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
