@@ -111,7 +111,7 @@ def packed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     per = per.select("rank", "bucket", F.coalesce(F.sum("in_bucket").over(run), F.lit(0)).alias("base"))
     own = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("local", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    return d.join(per, ["rank", "bucket"]).withColumn("offset", F.col("base") + F.col("local")).drop("bucket", "base", "local")
+    return d.join(per.hint("merge"), ["rank", "bucket"]).withColumn("offset", F.col("base") + F.col("local")).drop("bucket", "base", "local")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, max_repeat: int = MAX_REPEAT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -136,7 +136,8 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     documents, pieces, plan = mix(docs, id_col, text_col, source_col, **options)
     used = plan.groupBy("rank", "block").agg(F.collect_list("take").alias("takes"))
     got = F.aggregate(F.col("takes"), F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.lit(0).cast("long"), F.least(F.col("stop"), t) - F.col("start")))
-    got = pieces.join(used, ["rank", "block"]).groupBy("rank", "offset").agg(F.sum(got).alias("__got"))
+    # no side has a size bound, so none is broadcast
+    got = pieces.join(used.hint("merge"), ["rank", "block"]).groupBy("rank", "offset").agg(F.sum(got).alias("__got"))
     got = got.select("rank", "offset", "__got", F.lit(True).alias("__full"))
-    out = documents.withColumn("__full", F.col("size") > 0).join(got, ["rank", "offset", "__full"], "left")
+    out = documents.withColumn("__full", F.col("size") > 0).join(got.hint("merge"), ["rank", "offset", "__full"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("__got", F.lit(0)).cast("long").alias("taken"))
