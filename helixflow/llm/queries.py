@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, hamming, langid, mixing, secrets, urlrules
+from . import decontaminate, dedup, hamming, langid, lm, mixing, secrets, urlrules
 from .common import fold_column, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_column("doc_id", 10) == 0
+    return lm.score(docs, lm.learn(docs, ~held_out), held_out)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op8_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op8_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
