@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, hamming, langid, lm, mixing, secrets, urlrules
+from . import decontaminate, dedup, hamming, html, langid, lm, mixing, quality, secrets, urlrules
 from .common import fold_column, table
 
 
@@ -44,15 +44,33 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_column("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).drop("html")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """pages with doc_id, the number that the URL's path ends in (null if there is none)."""
+    number = F.regexp_extract(urlrules.path(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+|/)?$", 1)
+    return pages.withColumn("doc_id", F.when(number != "", number).cast("bigint"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and paths (their first part) are those of the document's page, or else its source and language."""
+    first = F.regexp_extract(urlrules.path(F.col("url")), r"^(/[^/]*)", 1)
+    sites = _numbered(table(spark, sf_dir, "pages").select("url")).filter("doc_id is not null")
+    sites = sites.groupBy("doc_id").agg(F.min("url").alias("url")).select(F.col("doc_id").alias("__page"), urlrules.host(F.col("url")).alias("host"), first.alias("path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = docs.join(sites, F.col("doc_id") == F.col("__page"), "left").select("doc_id", "text", F.coalesce("host", "source").alias("host"), F.when(F.col("host").isNotNull(), F.col("path")).otherwise(F.col("lang")).alias("path"))
+    return quality.judged(docs, table(spark, sf_dir, "labels"), fold_column("doc_id", 5) != 0)
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url and bad (toxic or of low quality) of the pages whose URL ends in the number of a labelled document."""
-    pages = table(spark, sf_dir, "pages").select("url")
-    number = F.regexp_extract(urlrules.path(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+|/)?$", 1)
-    pages = pages.withColumn("doc_id", F.when(number != "", number).cast("bigint"))
+    pages = _numbered(table(spark, sf_dir, "pages").select("url"))
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)).alias("bad"))
     return pages.join(labels, "doc_id").select("url", "bad")
 
@@ -64,7 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op8_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op7_html_text, op8_secret_scan, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
