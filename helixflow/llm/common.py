@@ -33,12 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and a lost executor loses nothing.
 
-    The folder is removed when the driver ends.
+    compact: the last stage runs as a few tasks for each core of the cluster, for tables of a few narrow columns that
+    would otherwise be very many tiny files. The folder is removed when the driver ends.
     """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/helixflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

@@ -7,7 +7,7 @@
    exact t). So they share one of the rarest k - t + 1; only these values get inverted lists, and a value that many
    documents share (a licence line, a passage) gets one only from documents with little else.
 3. Lists generate pairs in rounds. A short list gives its pairs; a long one is compared with a few pivots, which have
-   then met the whole list and leave it. Pairs that are already in one component are not made, and a list whose
+   then met the whole list and leave it. Where few members are outside of a list's largest component, they are the pivots. Pairs that are already in one component are not made, and a list whose
    members are all in one component is done. The number of pivots grows from round to round, so each list ends, with
    no pair left out that could join two components.
 4. A pair's similarity is estimated from the sketch of the union; what could reach the threshold is verified on the
@@ -38,6 +38,8 @@ SKETCH = 64
 #: Lists up to this length give all their pairs; longer ones meet PIVOTS, then twice, four times ... as many.
 SHORT = 8
 PIVOTS = 2
+#: If at most FEW times the pivots are outside of a list's largest component, these are the pivots.
+FEW = 8
 _A = np.uint64(0xA0761D6478BD642F)
 
 
@@ -125,14 +127,18 @@ def inverted_lists(reps: DataFrame, k: int = SKETCH, percent: int = PERCENT) ->
 
 def _pairs(lists: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to look at in this round from rows of (v, node, n, label), and the rows that are left."""
-    stats = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    rows = lists.join(stats.filter("l0 <> l1"), "v")
+    per = lists.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m"))
+    stats = per.groupBy("v").agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("top"), F.min("label").alias("l0"))
+    # lists whose members are all in one component are done
+    stats = stats.filter("top.m < c").select("v", "c", "l0", F.col("top.label").alias("most"), (F.col("c") - F.col("top.m")).alias("others"))
+    rows = lists.join(stats, "v")
     few = rows.filter(F.col("c") <= SHORT)
     many = rows.filter(F.col("c") > SHORT)
-    # pivots: members picked by a hash, found by an aggregate that keeps only that many of a list
-    h = F.xxhash64("v", "node", F.lit(pivots))
-    cut = (pivots / F.col("c")) * float(2**62)
-    lead = many.withColumn("h", F.shiftrightunsigned(h, 2)).filter((F.col("h") < cut) | (F.col("node") == F.col("l0")))
+    # pivots: all members outside of the list's largest component, if they are few; else some members, picked by a
+    # hash of the class, so that lists of the same members take the same ones
+    h = F.shiftrightunsigned(F.xxhash64("node", F.lit(pivots)), 2)
+    some = (h < (pivots / F.col("c")) * float(2**62)) | (F.col("node") == F.col("l0"))
+    lead = many.filter(F.when(F.col("others") <= FEW * pivots, F.col("label") != F.col("most")).otherwise(some))
     lead = lead.select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     own = few.select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
@@ -180,10 +186,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         marked = lists.withColumn("label", F.col("node"))
         if labels is not None:
             marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs, left = _pairs(materialize(marked, "marked"), pivots, percent)
-        links = materialize(links.union(_verified(materialize(pairs, "pairs"), classes, sets, k, percent).distinct()), "links")
-        labels = connected(links)
-        lists = materialize(left, "lists")
+        pairs, left = _pairs(materialize(marked, "marked", compact=True), pivots, percent)
+        found = materialize(_verified(materialize(pairs, "pairs", compact=True), classes, sets, k, percent).distinct(), "found", compact=True)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = connected(links)
+        lists = materialize(left, "lists", compact=True)
         pivots *= 2
     named = classes.select("n", "node", "hi", "rep")
     if labels is not None:
