@@ -13,11 +13,13 @@ ORACLES: dict[str, str] = {}
 C = F.col
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES):
+    """Registers a query under its name, with its SQL."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            oracles[f.__name__] = sql
         return f
 
     return add

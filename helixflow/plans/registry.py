@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import genetics
+from . import genetics, samples
 
-FAMILIES = (genetics,)
+FAMILIES = (genetics, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
