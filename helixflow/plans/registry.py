@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import genetics, samples
+from . import genetics, samples, tables
 
-FAMILIES = (genetics, samples)
+FAMILIES = (genetics, samples, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
