@@ -1,3 +1,71 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from . import decontaminate, dedup, hamming, mixing
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_K = dedup.SHINGLE
+OP2 = f"""with recursive w as (select doc_id, {_WORDS.format(_LOW)} as w from documents),
+s as (select distinct doc_id, s from (
+  select doc_id, unnest(list_transform(range(1, len(w) - {_K} + 2), lambda i: array_to_string(w[i:i + {_K} - 1], ' '))) as s from w where len(w) >= {_K}
+  union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and {_K} - 1)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= {dedup.PERCENT} * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.doc_id),
+k as (select doc_id, min(root) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from documents d join k on k.doc_id = d.doc_id left join n on n.doc_id = d.doc_id"""
+
+_M = decontaminate.WINDOW
+OP4 = f"""with d as (select doc_id, {_ALNUM.format(_LOW)} as w from documents),
+b as (select cast(item_id as varchar) as item, {_ALNUM.format(_LOW)} as w from benchmark),
+win as (select item, m, array_to_string(w[i:i + m - 1], ' ') as s from (select item, w, least({_M}, len(w)) as m, unnest(range(1, len(w) - least({_M}, len(w)) + 2)) as i from b where len(w) > 0)),
+ms as (select distinct m from win),
+pos as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as s from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d join ms on len(w) >= m)),
+occ as (select distinct doc_id, i, win.m, item from pos join win on pos.m = win.m and pos.s = win.s),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + m)) as place from occ) group by doc_id),
+it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from occ) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id"""
+
+OP5 = f"""with v as (select vec_id as id, list_transform(embedding[1:{hamming.BITS}], lambda x: x < 0) as s from embeddings where len(embedding) >= {hamming.BITS}),
+p as (select q.id as query_id, r.id as neighbor_id, cast(list_sum(list_transform(range(1, {hamming.BITS} + 1), lambda i: case when q.s[i] <> r.s[i] then 1 else 0 end)) as integer) as distance from v q cross join v r where q.id % 50 = 0),
+k as (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from p) select query_id, neighbor_id, distance, cast(rank as integer) as rank from k where rank <= 10"""
+
+_P, _L, _R = mixing._PRIME, mixing.BLOCK_TOKENS, mixing.ROUNDS
+
+
+def _permuted(x: str, n: str, epoch: str, inverse: bool = False) -> str:
+    key = f"(((((rank * 48271 + {epoch} * 69621 + r * 16807 + 12345) % {_P}) * 1103515245 % {_P}) * 950706376 + 7) % {_P})"
+    other = f"(((({key} * 1000003 - a) % {n}) + {n}) % {n})"
+    bit = f"(((((greatest(a, {other}) % {_P}) * 742938285 + {key}) % {_P}) * 1226874159 % {_P}) >> 11) % 2"
+    rounds = f"range({_R - 1}, -1, -1)" if inverse else f"range({_R})"
+    return f"list_reduce(list_prepend(cast({x} as bigint), {rounds}), lambda a, r: case when {bit} = 1 then {other} else a end)"
+
+
+OP3 = f"""with sz as (select doc_id, source, cast(len({_WORDS.format("coalesce(text, '')")}) as bigint) as size from documents),
+per as (select source, cast(sum(size) as bigint) as ss from sz group by source),
+rk as (select *, cast(row_number() over (order by source nulls last) - 1 as bigint) as rank from per),
+wt as (select *, cast([{', '.join(map(str, mixing.WEIGHTS))}][rank % {len(mixing.WEIGHTS)} + 1] as double) as w, cast(ss * {mixing.MAX_REPEAT} as double) as cap from rk),
+lv as (select *, (sum(ss) over () - coalesce(sum(cap) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level from wt window b as (order by cap / w, rank rows between unbounded preceding and 1 preceding)),
+tg as (select source, rank, ss, least(cap, coalesce(max(case when level * w <= cap then level end) over (), 0) * w) as target from lv),
+t1 as (select *, cast(round(target) as bigint) as need, (ss + {_L - 1}) // {_L} as blocks from tg where ss > 0),
+t2 as (select *, need // ss as epochs, need % ss as rest, ss - (blocks - 1) * {_L} as last_len from t1),
+t3 as (select *, {_permuted('blocks - 1', 'blocks', 'epochs', True)} as last_at from t2),
+t4 as (select *, case when rest <= last_at * {_L} then rest // {_L} when rest < last_at * {_L} + last_len then last_at else (rest + {_L} - last_len) // {_L} end as whole,
+  case when rest <= last_at * {_L} then rest % {_L} when rest < last_at * {_L} + last_len then rest - last_at * {_L} else (rest + {_L} - last_len) % {_L} end as part from t3),
+t5 as (select *, epochs * blocks + whole + case when part > 0 then 1 else 0 end as slots from t4),
+sl as (select *, unnest(range(slots)) as slot from t5),
+sb as (select *, slot // blocks as epoch, slot % blocks as place from sl),
+sp as (select *, {_permuted('place', 'blocks', 'epoch')} as block from sb),
+st as (select rank, block, case when epoch < epochs or place < whole then (case when block = blocks - 1 then last_len else {_L} end) else part end as take from sp),
+dk as (select sz.*, tg.rank, tg.ss, tg.target, coalesce(((doc_id % {mixing.BUCKETS}) + {mixing.BUCKETS}) % {mixing.BUCKETS}, -1) as bucket from sz join tg on sz.source is not distinct from tg.source),
+ofs as (select *, cast(coalesce(sum(size) over (partition by rank order by bucket, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as off from dk),
+pc as (select rank, off, size, unnest(range(off // {_L}, (off + size - 1) // {_L} + 1)) as block from ofs where size > 0),
+got as (select pc.rank, pc.off, sum(greatest(0, least(least(off + size, (pc.block + 1) * {_L}) - pc.block * {_L}, take) - (greatest(off, pc.block * {_L}) - pc.block * {_L}))) as taken from pc join st on pc.rank = st.rank and pc.block = st.block group by pc.rank, pc.off)
+select doc_id, o.source, size, ss as source_size, target, cast(coalesce(case when size > 0 then taken end, 0) as bigint) as taken from ofs o left join got g on o.rank = g.rank and o.off = g.off"""
+
+ORACLES: dict[str, str] = {"op2_near_dedup": OP2, "op3_mix_sources": OP3, "op4_decontaminate": OP4, "op5_exact_topk": OP5}
