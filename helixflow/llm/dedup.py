@@ -6,10 +6,10 @@
    them but for a chance under 1e-8 (t: six standard deviations under the mean; sets that fit into sketches have the
    exact t). So they share one of the rarest k - t + 1; only these values get inverted lists, and a value that many
    documents share (a licence line, a passage) gets one only from documents with little else.
-3. Lists generate pairs in rounds. A short list gives its pairs; a long one is compared with a few pivots, which have
-   then met the whole list and leave it. Where few members are outside of a list's largest component, they are the pivots. Pairs that are already in one component are not made, and a list whose
-   members are all in one component is done. The number of pivots grows from round to round, so each list ends, with
-   no pair left out that could join two components.
+3. A short list gives its pairs, as rows. The members of long lists are dealt to blocks, by the longest list that each
+   is in, so a group of like classes shares a few blocks; two blocks meet in one task if some list has members of
+   both. Blocks are bounded in members and in hashes. The task compares the blocks as matrices and returns only links
+   that join something (a spanning forest), so a group of any size makes no rows for its pairs.
 4. A pair's similarity is estimated from the sketch of the union; what could reach the threshold is verified on the
    full sets. Links go to connected components.
 
@@ -35,11 +35,10 @@ SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 85
 SKETCH = 64
-#: Lists up to this length give all their pairs; longer ones meet PIVOTS, then twice, four times ... as many.
-SHORT = 8
-PIVOTS = 2
-#: If at most FEW times the pivots are outside of a list's largest component, these are the pivots.
-FEW = 8
+#: Lists up to this length give all their pairs.
+SHORT = 3
+#: Bounds of a block: members and hashes (of their sets).
+BLOCK_ROWS, BLOCK_HASHES = 1024, 400_000
 _A = np.uint64(0xA0761D6478BD642F)
 
 
@@ -113,7 +112,7 @@ def least_shared(n: Column, kept: Column, k: int = SKETCH, percent: int = PERCEN
 
 
 def inverted_lists(reps: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """(v, node, n): the values that classes are listed under; lists of one member are left out."""
+    """(v, node, n, c): the values that classes are listed under, c: the list's length; lists of one member are left out."""
     values = reps.select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     rows = values.join(shared, "v").groupBy("node", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
@@ -121,33 +120,125 @@ def inverted_lists(reps: DataFrame, k: int = SKETCH, percent: int = PERCENT) ->
     first = F.size("vs") - least_shared(F.col("n"), F.col("kept"), k, percent) + 1
     rows = rows.filter(first > 0).select("node", "n", F.explode(F.slice("vs", F.lit(1), first)).alias("x")).select(F.col("x.v").alias("v"), "node", "n")
     rows = materialize(rows, "listed")
-    many = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
+    many = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return materialize(rows.join(many, "v"), "lists")
 
 
-def _pairs(lists: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to look at in this round from rows of (v, node, n, label), and the rows that are left."""
-    per = lists.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m"))
-    stats = per.groupBy("v").agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("top"), F.min("label").alias("l0"))
-    # lists whose members are all in one component are done
-    stats = stats.filter("top.m < c").select("v", "c", "l0", F.col("top.label").alias("most"), (F.col("c") - F.col("top.m")).alias("others"))
-    rows = lists.join(stats, "v")
-    few = rows.filter(F.col("c") <= SHORT)
-    many = rows.filter(F.col("c") > SHORT)
-    # pivots: all members outside of the list's largest component, if they are few; else some members, picked by a
-    # hash of the class, so that lists of the same members take the same ones
-    h = F.shiftrightunsigned(F.xxhash64("node", F.lit(pivots)), 2)
-    some = (h < (pivots / F.col("c")) * float(2**62)) | (F.col("node") == F.col("l0"))
-    lead = many.filter(F.when(F.col("others") <= FEW * pivots, F.col("label") != F.col("most")).otherwise(some))
-    lead = lead.select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    own = few.select("v", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-    small = few.join(own, "v").filter("node < p and label <> pl").filter(close(F.col("n"), F.col("pn")))
-    large = many.join(lead, "v").filter("node <> p and label <> pl").filter(close(F.col("n"), F.col("pn")))
-    pairs = small.select("node", "p").union(large.select("node", "p"))
-    pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    met = lead.select("v", F.col("p").alias("node"))
-    return pairs, many.select("v", "node", "n").join(met, ["v", "node"], "left_anti")
+def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share a short list and are of like size."""
+    own = short.select("v", F.col("node").alias("b"), F.col("n").alias("m"))
+    pairs = short.select("v", F.col("node").alias("a"), "n").join(own, "v").filter("a < b")
+    return pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b").distinct()
+
+
+def _blocks(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block) of the members of long lists, and the pairs of blocks (x, y), x <= y, that share a list."""
+    top = long.groupBy("node", "n").agg(F.max(F.struct("c", "v")).alias("t")).select("node", "n", F.col("t.v").alias("top"))
+    sums = top.groupBy("top").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("h"))
+    top = top.join(sums, "top")
+    parts = F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("h") / BLOCK_HASHES))
+    top = materialize(top.select("node", F.xxhash64("top", F.pmod(F.xxhash64("node"), parts)).alias("block")), "blocks", compact=True)
+    met = long.join(top, "node").select("v", "block").distinct()
+    met = materialize(met, "met", compact=True)
+    pairs = met.select("v", F.col("block").alias("x")).join(met.select("v", F.col("block").alias("y")), "v").filter("x <= y")
+    return top, pairs.select("x", "y").distinct()
+
+
+def _incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Which of the sorted values each set holds."""
+    out = np.zeros((len(sets), len(values)), np.float32)
+    for row, s in zip(out, sets):
+        at = np.searchsorted(values, s)
+        at[at == len(values)] = 0
+        row[at[values[at] == s]] = 1
+    return out
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets (right None: of left with itself)."""
+    every, times = np.unique(np.concatenate([*left, *(right or [])]), return_counts=True)
+    every = every[times > 1]  # what one set alone holds is in no intersection
+    out = np.zeros((len(left), len(right if right is not None else left)), np.float32)
+    for a in range(0, len(every), 4096):
+        x = _incidence(left, every[a : a + 4096])
+        out += x @ (x if right is None else _incidence(right, every[a : a + 4096])).T
+    return out
+
+
+def compare(left: list[np.ndarray], right: list[np.ndarray] | None, k: int, percent: int) -> list[tuple[int, int]]:
+    """Places of a spanning forest of the links between two blocks of sorted sets (right None: within left).
+
+    Sketches come first: the overlap of two bottom-k sketches bounds what the union's sketch can hold of both; pairs that
+    could reach the threshold are verified on the full sets, together where they are many, or else one by one.
+    """
+    other = left if right is None else right
+    na, nb = np.array([len(s) for s in left]), np.array([len(s) for s in other])
+    j = percent / 100
+    kept = np.minimum(np.minimum(na[:, None], nb), k)
+    maybe = np.minimum(na[:, None], nb) * 100 >= np.maximum(na[:, None], nb) * percent
+    maybe &= _overlaps([s[:k] for s in left], None if right is None else [s[:k] for s in right]) >= kept * j - 6 * np.sqrt(kept * j * (1 - j))
+    if right is None:
+        maybe &= np.triu(np.ones(maybe.shape, bool), 1)
+    ia, ib = np.nonzero(maybe)
+    if not len(ia):
+        return []
+    shift = 0 if right is None else len(left)
+    parent = list(range(len(left) + (len(other) if shift else 0)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    hashes = sum(map(len, left)) + (sum(map(len, other)) if shift else 0)
+    if len(ia) * 50 > hashes:
+        both = _overlaps(left, right)[ia, ib]
+        linked = both * 100 >= (na[ia] + nb[ib] - both) * percent
+        ia, ib = ia[linked], ib[linked]
+    links = []
+    for x, y in zip(ia.tolist(), ib.tolist()):
+        a, b = find(x), find(y + shift)
+        if a == b:
+            continue
+        both = len(np.intersect1d(left[x], other[y], assume_unique=True))
+        if 100 * both >= percent * (len(left[x]) + len(other[y]) - both):
+            parent[a] = b
+            links.append((x, y))
+    return links
+
+
+def _block_links(long: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of long lists; enough of them for the components."""
+    nodes, pairs = _blocks(long)
+    pairs = materialize(pairs, "block-pairs", compact=True)
+    first = nodes.join(pairs, nodes.block == pairs.x).select("x", "y", F.lit(0).alias("side"), "node")
+    second = nodes.join(pairs.filter("x <> y"), F.col("block") == F.col("y")).select("x", "y", F.lit(1).alias("side"), "node")
+    rows = first.union(second).join(sets, "node").select("x", "y", "side", "node", "full")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side = group.column("side").to_numpy()
+        names = group.column("node").to_numpy()
+        lists = group.column("full").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        every = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        parts = []
+        for s in (0, 1):  # a class may come from several rows
+            at = np.flatnonzero(side == s)
+            _, once = np.unique(names[at], return_index=True)
+            parts.append(at[once])
+        left = [every[i] for i in parts[0]]
+        right = [every[i] for i in parts[1]] if len(parts[1]) else None
+        links = compare(left, right, k, percent)
+        to = parts[0] if right is None else parts[1]
+        a = np.array([names[parts[0][x]] for x, _ in links], np.int64)
+        b = np.array([names[to[y]] for _, y in links], np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return rows.groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -175,24 +266,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = some.join(several, "doc_id").filter("lo <> a").select("a", F.col("lo").alias("b")).distinct()
     links = materialize(links, "links")
     lists = inverted_lists(classes.filter("rep is not null"), k, percent)
+    if not lists.isEmpty():
+        wanted = lists.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+        sets = materialize(full_sets(texts, size), "sets")
+        pairs = materialize(_short_pairs(lists.filter(F.col("c") <= SHORT), percent), "pairs", compact=True)
+        found = _verified(pairs, classes, sets, k, percent).distinct()
+        links = links.union(materialize(found, "found", compact=True))
+        links = links.union(materialize(_block_links(lists.filter(F.col("c") > SHORT), sets, k, percent), "linked", compact=True))
     labels = connected(links) if not links.isEmpty() else None
-    pivots, sets = PIVOTS, None
-    while not lists.isEmpty():
-        if sets is None:
-            wanted = lists.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
-            texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-            texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-            sets = materialize(full_sets(texts, size), "sets")
-        marked = lists.withColumn("label", F.col("node"))
-        if labels is not None:
-            marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs, left = _pairs(materialize(marked, "marked", compact=True), pivots, percent)
-        found = materialize(_verified(materialize(pairs, "pairs", compact=True), classes, sets, k, percent).distinct(), "found", compact=True)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = connected(links)
-        lists = materialize(left, "lists", compact=True)
-        pivots *= 2
     named = classes.select("n", "node", "hi", "rep")
     if labels is not None:
         named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -188,6 +188,15 @@ def test_near_duplicates(spark, corpus):
     assert len({c for _, c in want.values()}) < len(want) - 20
 
 
+@pytest.mark.parametrize("rows", [1024, 7])
+def test_near_duplicates_in_blocks(spark, corpus, monkeypatch, rows):
+    """Long lists only, in large and in small blocks."""
+    monkeypatch.setattr(dedup, "SHORT", 1)
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", rows)
+    got = dedup.near_duplicates(docs_frame(spark, corpus)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(corpus)
+
+
 def test_near_duplicates_edges(spark):
     rows = [(5, "x y z"), (5, "p q r s t u"), (9, "P Q R S T U"), (None, "x y z"), (None, "only here"), (1, None), (2, "")]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in dedup.near_duplicates(docs_frame(spark, rows)).collect()]
