@@ -1,9 +1,10 @@
 """Quality classifier: document evidence combined with hierarchical empirical Bayes over hosts and paths.
 
 Evidence: a lexicon of words whose presence in training documents goes with a target (toxic, or of low quality) is
-learned by grouped counts over all training labels; a document's features are its lexicon words and its style (upper
-case, symbols, digits, repeated lines and words, lengths). A logistic model over them, fitted on at most SAMPLE
-labelled rows, gives the evidence as log odds against the base rate.
+learned by grouped counts; a document's features are its lexicon words and its style (upper case, symbols, digits,
+repeated lines and words, lengths). A logistic model over them gives the evidence as log odds against the base rate.
+Lexicon and model are fitted on about SAMPLE labelled documents, picked by a hash of the key (all, where there are
+fewer); texts of other documents are never shuffled. Hosts and paths use all training labels.
 
 Prior: a Beta prior's mean and strength for hosts come from the moments of all hosts' label counts, and those of
 paths from the paths within their hosts. A path's posterior shrinks to its host's, a host's to the global rate, the
@@ -166,23 +167,32 @@ def strength(groups: DataFrame, target: str, mean: float) -> float:
     return float(np.clip(within / max(between, 1e-9) - 1, 1.0, 10_000.0))
 
 
-def judged(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", path_col: str = "path", threshold: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", path_col: str = "path", sites: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_toxic, p_low (posterior probabilities), evidence of both, and kept (neither reaches threshold).
 
-    labels: (doc_id, quality, toxic). training: over labels' doc_id, the labels to learn from.
+    labels: (doc_id, quality, toxic). training: over labels' doc_id, the labels to learn from. sites: (doc_id, host,
+    path), a row a document at most, for documents whose host is not host_col; joined to features, not to texts.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("quality").alias("q"))
     known = known.filter("t is not null and q is not null").select(F.col("doc_id").alias("__id"), (F.col("t") == 1).cast("long").alias("toxic"), (F.col("q") == 0).cast("long").alias("low"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
-    learn = docs.join(known, F.col("doc_id") == F.col("__id")).select("text", "toxic", "low")
     total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("low"), F.lit(0))).first()
+    rate = min(1.0, SAMPLE / max(1, total[0]))
+    picked = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) < int(rate * (1 << 30))
     words = {t: {} for t in TARGETS}
     if total[0]:
-        words = lexicon(materialize(lexicon_counts(learn), "lexicon"), total[0], dict(zip(TARGETS, total[1:])))
-    x = materialize(features(docs, words), "features")
+        learn = docs.select("doc_id", "text").filter(picked("doc_id")).join(known.filter(picked("__id")), F.col("doc_id") == F.col("__id")).select("text", *TARGETS)
+        learn = materialize(learn, "learn")
+        n = learn.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS)).first()
+        words = lexicon(materialize(lexicon_counts(learn), "lexicon"), n[0], dict(zip(TARGETS, n[1:])))
+    x = features(docs, words)
+    if sites is not None:
+        at = sites.select(F.col("doc_id").alias("__site"), F.col("host").alias("__h"), F.col("path").alias("__p"))
+        x = x.join(at, F.col("doc_id") == F.col("__site"), "left")
+        x = x.select("doc_id", "x", *(F.when(F.col("__site").isNotNull(), F.col(f"__{c[0]}")).otherwise(F.col(c)).alias(c) for c in ("host", "path")))
+    x = materialize(x, "features")
     marked = x.join(known, F.col("doc_id") == F.col("__id"))
-    rate = min(1.0, SAMPLE / max(1, total[0]))
-    some = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("x", *TARGETS).limit(2 * SAMPLE).collect()
+    some = marked.filter(picked("doc_id")).select("x", *TARGETS).limit(2 * SAMPLE).collect()
     hosts = materialize(marked.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(t) for t in TARGETS)), "hosts")
     paths = materialize(marked.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(t) for t in TARGETS)), "paths")
     h = hosts.select(F.col("host").alias("__h"), *(_rate(hosts, t).alias(f"h_{t}") for t in TARGETS))

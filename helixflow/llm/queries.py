@@ -62,10 +62,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts and paths (their first part) are those of the document's page, or else its source and language."""
     first = F.regexp_extract(urlrules.path(F.col("url")), r"^(/[^/]*)", 1)
     sites = _numbered(table(spark, sf_dir, "pages").select("url")).filter("doc_id is not null")
-    sites = sites.groupBy("doc_id").agg(F.min("url").alias("url")).select(F.col("doc_id").alias("__page"), urlrules.host(F.col("url")).alias("host"), first.alias("path"))
+    sites = sites.groupBy("doc_id").agg(F.min("url").alias("url")).select("doc_id", urlrules.host(F.col("url")).alias("host"), first.alias("path"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    docs = docs.join(sites, F.col("doc_id") == F.col("__page"), "left").select("doc_id", "text", F.coalesce("host", "source").alias("host"), F.when(F.col("host").isNotNull(), F.col("path")).otherwise(F.col("lang")).alias("path"))
-    return quality.judged(docs, table(spark, sf_dir, "labels"), fold_column("doc_id", 5) != 0)
+    return quality.judged(docs, table(spark, sf_dir, "labels"), fold_column("doc_id", 5) != 0, host_col="source", path_col="lang", sites=sites)
 
 
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
