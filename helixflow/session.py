@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,3 +24,11 @@ def ratio(a: Column, b: Column) -> Column:
 def clean(c: Column) -> Column:
     """NaN becomes NULL: missing values never enter a plan as NaN."""
     return F.when(~F.isnan(c), c)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df read back from the reliable checkpoint folder; one is made only where the session names none, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixflow-"))
+    return df.checkpoint()
