@@ -197,6 +197,38 @@ def source_tally(spark: SparkSession, d: str) -> DataFrame:
     return s.select("arch", "n", F.round("total", 2).alias("total"), F.round(pct, 4).alias("pct"))
 
 
+_ORDER = "case o_orderpriority when '2-HIGH' then 1 when '1-URGENT' then 2 when '5-LOW' then 3 else 4 end"
+
+
+@query(f"select o_orderkey as id, cast(row_number() over (partition by o_custkey order by {_ORDER}, o_totalprice desc, o_orderkey) as bigint) as place from orders")
+def custom_order(spark: SparkSession, d: str) -> DataFrame:
+    """Several keys, the first in an order of its own."""
+    w = Window.partitionBy("o_custkey").orderBy(F.expr(_ORDER), C("o_totalprice").desc(), "o_orderkey")
+    return table(spark, d, "orders").select(C("o_orderkey").alias("id"), F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query(ctes("est") + ", k as (select id, alpha, row_number() over (order by (id * 7919) % 10007, id) as r, count(*) over () as n from est) select round(avg(alpha), 6) as half_mean, count(*) as n from k where r <= n // 2")
+def half_subsample(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the samples by a seeded order, as a robustness run."""
+    e = estimates(spark, d)
+    k = e.withColumn("r", F.row_number().over(Window.orderBy((C("id") * 7919) % 10007, "id"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    return rounded(k.filter("r <= total div 2").agg(F.avg("alpha").alias("half_mean"), F.count(F.lit(1)).alias("n")))
+
+
+_DELTAS = (0.0, 0.01, 0.02, 0.04)
+
+
+@query(ctes("est") + ", m as (select avg(alpha) as mu, stddev_pop(alpha) as sd, avg(se * se) as e2 from est), d as (select unnest([" + ", ".join(f"cast({x} as double)" for x in _DELTAS) + "]) as delta), z as (select delta, (alpha + delta - mu) / sqrt(se * se + greatest(0, sd * sd - e2)) as z from est cross join m cross join d) select delta, round(avg(z), 4) as mean_z, round(avg(case when abs(z) > 1.96 then 1.0 else 0.0 end), 6) as flagged, round(avg(case when z > 2 then 1.0 else 0.0 end), 6) as above_2 from z group by delta")
+def detection_power(spark: SparkSession, d: str) -> DataFrame:
+    """Share of samples flagged when a shift is injected; without one, the false-positive rate."""
+    e = estimates(spark, d)
+    m = F.broadcast(e.agg(F.avg("alpha").alias("mu"), F.stddev_pop("alpha").alias("sd"), F.avg(C("se") * C("se")).alias("e2")))  # one row
+    z = e.crossJoin(m).withColumn("delta", F.explode(F.array(*[F.lit(x) for x in _DELTAS])))
+    spread = F.sqrt(C("se") * C("se") + F.greatest(F.lit(0.0), C("sd") * C("sd") - C("e2")))
+    z = z.select("delta", ((C("alpha") + C("delta") - C("mu")) / spread).alias("z"))
+    return rounded(z.groupBy("delta").agg(F.avg("z").alias("mean_z"), F.avg((F.abs("z") > 1.96).cast("double")).alias("flagged"), F.avg((C("z") > 2).cast("double")).alias("above_2")), mean_z=4)
+
+
 # ---------------------------------------------------------------- models without SQL
 
 
