@@ -5,12 +5,11 @@ tokenizer, word by word, so a text's ids spell the text and nothing else.
 
 Learning, from the training documents:
   * counts of all words, by partial counts and one shuffle; nothing is left out;
-  * classes of subword ids: k-means over what stands beside them in the sample;
+  * classes of subword ids: k-means over what stands beside them in all training documents;
   * counts of all subword ids after each class, from the word counts: a subword's share of its class, given the class
     before it in the word, smoothed with its share of the class alone;
-  * the attention model: the sample is one training document in SAMPLE (SAMPLE_LEAST or all, where that is more), picked by a hash of
-    the key, so it grows with the corpus; each of its parts trains from the same weights, and the means of the parts' weights
-    start the next round.
+  * the attention model: each round passes once over all training documents, at every size; parts of about PART_WORDS words
+    train from the same weights, and the means of the parts' weights start the next round.
 
 Scoring: a worker cuts texts into overlapping windows of ids, each id being scored once, and scores many windows at
 once with a causal mask. Word counts are far too many for a broadcast: only words that are at least 1 in HOT of all
@@ -38,8 +37,6 @@ from . import attention
 from .common import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-SAMPLE = 64
-SAMPLE_LEAST = 512
 HOT = 200_000
 CLASSES = 96
 #: Weight, in counts, of an id's share of its class against its share after the class before.
@@ -47,16 +44,19 @@ SMOOTH = 5.0
 #: Ids with an embedding of their own, and ids that count as a neighbour of their own when classes are made.
 OWN = 4096
 NEIGHBOURS = 255
-#: Step sizes of the rounds of training, and tokens of the sample for each part.
+#: Step sizes of the rounds of training, words for each part, and tokens that a part holds in memory at once.
 RATES = (0.01, 0.006, 0.003, 0.001)
+PART_WORDS = 1_000_000
 PART_TOKENS = 2_000_000
-#: A part of fewer windows is passed over again in each round, up to MAX_PASSES times.
-ROUND_WINDOWS, MAX_PASSES = 80_000, 4
+#: Rows that reach the driver for the parts' mean.
+SUMS = 8
 #: Words, and their ids, that a worker remembers.
 CACHE = 1 << 18
 _PIECE = 64
 _CHUNK_WORDS = 1 << 16
 _BATCH = 256
+#: Pairs of neighbours that are counted, or sent on, together.
+_PAIRS = 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -252,7 +252,7 @@ def shares(by_class: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled_ids(docs: DataFrame, ranks) -> DataFrame:
+def text_ids(docs: DataFrame, ranks) -> DataFrame:
     """(ids) of rows of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,36 +266,53 @@ def sampled_ids(docs: DataFrame, ranks) -> DataFrame:
     return docs.mapInArrow(run, "ids array<int>")
 
 
-def neighbours(sample: DataFrame, bucket: np.ndarray) -> DataFrame:
-    """(id, b, n): how often a neighbour of bucket b stands before (b) or after (b + NEIGHBOURS + 1) an id."""
+def neighbours(texts: DataFrame, bucket: np.ndarray) -> DataFrame:
+    """(id, counts): how often a neighbour of bucket b stands before (at b) or after (at b + NEIGHBOURS + 1) an id, as int64 bytes."""
     wide = 2 * (NEIGHBOURS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(len(bucket) * wide, np.int64)
         for batch in batches:
-            lists = batch.column(0)
-            ids = lists.flatten().to_numpy().astype(np.int64)
-            if not len(ids):
-                continue
-            before = ids[1:] * wide + bucket[ids[:-1]]
-            after = ids[:-1] * wide + bucket[ids[1:]] + NEIGHBOURS + 1
-            keys, n = np.unique(np.concatenate([before, after]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys // wide), pa.array(keys % wide), pa.array(n)], names=["id", "b", "n"])
-
-    return sample.mapInArrow(run, "id bigint, b bigint, n bigint").groupBy("id", "b").agg(F.sum("n").alias("n"))
-
-
-def classes(pairs: list, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
-    """A class for each id by k-means over the square roots of its neighbours' shares; ids not seen get the last."""
-    wide = 2 * (NEIGHBOURS + 1)
+            every = batch.column(0).flatten().to_numpy().astype(np.int64)
+            # runs that share an id, so that each pair of neighbours is in one
+            for at in range(0, len(every) - 1, _PAIRS):
+                ids = every[at : at + _PAIRS + 1]
+                before = ids[1:] * wide + bucket[ids[:-1]]
+                after = ids[:-1] * wide + bucket[ids[1:]] + NEIGHBOURS + 1
+                keys, n = np.unique(np.concatenate([before, after]), return_counts=True)
+                table[keys] += n
+        keys = np.flatnonzero(table)
+        for at in range(0, len(keys), _PAIRS):
+            k = keys[at : at + _PAIRS]
+            yield pa.RecordBatch.from_arrays([pa.array(k // wide), pa.array(k % wide), pa.array(table[k])], names=["id", "b", "n"])
+
+    def dense(group: pa.Table) -> pa.Table:
+        counts = np.zeros(wide, np.int64)
+        counts[group.column("b").to_numpy()] = group.column("n").to_numpy()
+        return pa.table({"id": group.column("id").slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    # a task holds one table of counts, so few tasks make few partial counts
+    few = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    sums = few.mapInArrow(run, "id bigint, b bigint, n bigint").groupBy("id", "b").agg(F.sum("n").alias("n"))
+    return sums.groupBy("id").applyInArrow(dense, "id bigint, counts binary")
+
+
+def classes(rows: DataFrame, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
+    """A class for each id by k-means over the square roots of its neighbours' shares; ids without neighbours get the last."""
     label = np.full(len(counts), k - 1, np.int64)
-    if not len(pairs):
+    ids, m = np.empty(len(counts), np.int64), np.empty((len(counts), 2 * (NEIGHBOURS + 1)), np.float32)
+    n = 0
+    for i, c in rows.toLocalIterator():
+        ids[n], m[n] = i, np.frombuffer(c, np.int64)
+        n += 1
+    if not n:
         return label
-    ids, row = np.unique(np.array([p[0] for p in pairs]), return_inverse=True)
-    m = np.zeros((len(ids), wide), np.float32)
-    m[row, np.array([p[1] for p in pairs])] = [p[2] for p in pairs]
+    order = np.argsort(ids[:n])
+    ids, m = ids[order], m[order]
     total = m.sum(1)
-    m = np.sqrt(m / total[:, None])
-    _, vectors = np.linalg.eigh((m * total[:, None]).T @ m)
+    m /= total[:, None]
+    np.sqrt(m, out=m)
+    _, vectors = np.linalg.eigh(sum((m[a : a + 4096] * total[a : a + 4096, None]).T @ m[a : a + 4096] for a in range(0, n, 4096)))
     z = m @ vectors[:, -32:]
     weight = np.sqrt(counts[ids].astype(np.float64) + 1)
     rng = np.random.default_rng(0)
@@ -312,33 +329,55 @@ def classes(pairs: list, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
     return label
 
 
-def _trained(sample: DataFrame, model: Model, end: int, parts: int) -> Model:
-    """The model after the rounds of training over the sample's parts."""
-    spark = sample.sparkSession
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, lengths) of whole texts, about PART_TOKENS ids at once."""
+    ids, lengths, n = [], [], 0
+    for batch in batches:
+        for row in range(0, batch.num_rows, _BATCH):
+            lists = batch.column(0).slice(row, _BATCH)
+            ids.append(lists.flatten().to_numpy().astype(np.int64))
+            lengths.append(np.diff(lists.offsets.to_numpy()))
+            n += len(ids[-1])
+            if n >= PART_TOKENS:
+                yield np.concatenate(ids), np.concatenate(lengths)
+                ids, lengths, n = [], [], 0
+    if n:
+        yield np.concatenate(ids), np.concatenate(lengths)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sum of the parts' weights times their places, as float64."""
+    total, mass = 0.0, 0.0
+    for batch in batches:
+        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total, mass = total + np.frombuffer(w, np.float32).astype(np.float64) * n, mass + n
+    if mass:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([mass])], names=["w", "n"])
+
+
+def _trained(texts: DataFrame, model: Model, end: int) -> Model:
+    """The model after the rounds of training, each over all texts."""
+    spark = texts.sparkSession
     weights = model.weights
     names = sorted(weights)
-    sample = sample.repartition(parts) if parts > 1 else sample.coalesce(1)
     for number, rate in enumerate(RATES):
         held = spark.sparkContext.broadcast(model._replace(weights=weights, share=None))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
             m = held.value
-            ids, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for batch in batches:
-                ids.append(batch.column(0).flatten().to_numpy().astype(np.int64))
-                lengths.append(np.diff(batch.column(0).offsets.to_numpy()))
-            x, y, weight, _ = attention.padded(np.concatenate(ids), np.concatenate(lengths), end)
-            if len(x):
-                new, passes = m.weights, min(MAX_PASSES, max(1, -(-ROUND_WINDOWS // len(x))))
-                for k in range(passes):
-                    new, _ = attention.train(new, m.row[x], m.label[y], weight.astype(np.float32), rate, seed=MAX_PASSES * number + k)
+            new, mass, piece = m.weights, 0.0, 0
+            for ids, lengths in _pieces(batches):
+                x, y, weight, _ = attention.padded(ids, lengths, end)
+                new, _ = attention.train(new, m.row[x], m.label[y], weight.astype(np.float32), rate, seed=number + len(RATES) * piece)
+                mass, piece = mass + float(weight.sum()), piece + 1
+            if piece:
                 flat = np.concatenate([new[k].ravel() for k in names])
-                yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([float(weight.sum())])], names=["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([mass])], names=["w", "n"])
 
-        total, mass = None, 0.0
-        for w, n in sample.mapInArrow(run, "w binary, n double").toLocalIterator():
-            flat = np.frombuffer(w, np.float32).astype(np.float64) * n
-            total, mass = flat if total is None else total + flat, mass + n
+        # the parts train at the same time, and few rows reach the driver however many parts there are
+        sums = texts.mapInArrow(run, "w binary, n double").repartition(SUMS).mapInArrow(_summed, "w binary, n double").collect()
+        mass = sum(n for _, n in sums)
+        total = sum(np.frombuffer(w, np.float64) for w, _ in sums) if mass else None
         if total is None:
             break
         mean, at = (total / mass).astype(np.float32), 0
@@ -367,17 +406,16 @@ def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     counts = materialize(word_counts(rows.select(text_col)), "words")
     ends = rows.select(id_col).count()
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rate = min(1.0, max(1 / SAMPLE, SAMPLE_LEAST / max(ends, 1)))
-    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)) < int(rate * (1 << 30))
-    sample = materialize(sampled_ids(rows.filter(chosen).select(text_col), ranks), "sample")
+    # dealt out once, so that each part has texts of all kinds
+    parts = max(1, -(-int(tokens) // PART_WORDS))
+    texts = materialize(text_ids(rows.select(text_col), ranks).repartition(parts), "ids").coalesce(parts)
     by_id = np.zeros(end + 1, np.int64)
-    for i, n in sample.select(F.explode("ids").alias("id")).groupBy("id").count().toLocalIterator():
+    for i, n in texts.select(F.explode("ids").alias("id")).groupBy("id").count().toLocalIterator():
         by_id[i] = n
-    size = int(by_id.sum())
     order = np.argsort(-by_id, kind="stable")
     bucket = np.full(end + 1, NEIGHBOURS, np.int64)
     bucket[order[:NEIGHBOURS]] = np.arange(NEIGHBOURS)
-    label = classes(neighbours(sample, bucket).collect(), by_id)
+    label = classes(neighbours(texts, bucket), by_id)
     row = label + OWN
     row[order[:OWN]] = np.arange(min(OWN, len(order)))
     by_class = np.zeros((CLASSES + 1, end + 1))
@@ -386,7 +424,7 @@ def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         by_class[k, i] = n
     share = shares(by_class, label)
     model = Model(attention.initial(OWN + CLASSES, CLASSES), row.astype(np.int32), label.astype(np.int32), share)
-    model = _trained(sample, model, end, max(1, -(-size // PART_TOKENS)))
+    model = _trained(texts, model, end)
     return Learned(model, counts, int(tokens) + ends, int(distinct) + bool(ends), ends, ranks)
 
 

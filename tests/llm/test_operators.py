@@ -156,6 +156,29 @@ def test_lm_score(spark, corpus):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_lm_learns_from_every_training_document(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(6))) for i in range(1500)]
+    docs = docs_frame(spark, rows)
+    model = lm.learn(docs, F.lit(True)).model
+    tokenizer = lm.Tokenizer(lm.load_ranks())
+    met = {i for _, t in rows for w in words(t) for i in tokenizer.ids(w)}
+    assert len(met) > 600
+    # the last class is for ids that stand in no training document
+    assert not [i for i in met if model.label[i] == lm.CLASSES - 1]
+
+
+def test_neighbours_count_all_pairs(spark):
+    ids = [3, 1, 2, 9, 1, 1, 9, 4, 9]
+    bucket = np.array([lm.NEIGHBOURS, 0, 1, 2, 3, *[lm.NEIGHBOURS] * 4, 4])
+    got = {r["id"]: np.frombuffer(r["counts"], np.int64) for r in lm.neighbours(spark.createDataFrame([(ids,)], "ids array<int>"), bucket).collect()}
+    want = {i: np.zeros(2 * (lm.NEIGHBOURS + 1), np.int64) for i in ids}
+    for a, b in zip(ids, ids[1:]):
+        want[b][bucket[a]] += 1
+        want[a][bucket[b] + lm.NEIGHBOURS + 1] += 1
+    assert got.keys() == want.keys() and all((got[i] == want[i]).all() for i in want)
+
+
 # ---------------------------------------------------------------- 2 near-dedup
 
 
