@@ -16,6 +16,25 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 _ROWS = 512
+#: Candidates that are compared exactly at once; a query has up to a block of them where references tie.
+_PAIRS = 1 << 18
+
+
+def _first(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, maybe: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in x, squared distance) of the m nearest candidates of each row, ties by id; maybe: rows by candidates."""
+    out = []
+    ends = np.cumsum(maybe.sum(1))
+    start = 0
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, side="right")))
+        at, near = np.nonzero(maybe[start:stop])
+        exact = np.concatenate([((rows[start + at[a : a + _PAIRS // 16]] - x[near[a : a + _PAIRS // 16]]) ** 2).sum(1) for a in range(0, len(at), _PAIRS // 16)])
+        order = np.lexsort((ids[near], exact, at))
+        at, near, exact = at[order], near[order], exact[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < m
+        out.append((start + at[keep], near[keep], exact[keep]))
+        start = stop
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _ranked(queries: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
@@ -24,17 +43,17 @@ def _ranked(queries: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = held.value
         m = min(k, len(ids))
+        longest = np.sqrt((x**2).sum(1).max())
         for batch in batches:
             q = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, x.shape[1])
             for a in range(0, batch.num_rows, _ROWS):
                 rows = q[a : a + _ROWS]
                 rough = (rows**2).sum(1)[:, None] - 2 * rows @ x.T + (x**2).sum(1)
-                # a few more than k by the product, then exact distances and ties by id
-                near = np.argpartition(rough, min(m + 8, len(ids)) - 1, axis=1)[:, : m + 8]
-                exact = ((rows[:, None, :] - x[near]) ** 2).sum(2)
-                order = np.lexsort((ids[near], exact), axis=1)[:, :m]
-                who = np.repeat(batch.column(0).to_numpy()[a : a + _ROWS], m)
-                cols = [who, ids[np.take_along_axis(near, order, 1)].ravel(), np.take_along_axis(exact, order, 1).ravel()]
+                least = np.partition(rough, m - 1, axis=1)[:, m - 1]
+                # whatever the rounding of the product may hide among the k nearest, with all ties
+                slack = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (np.sqrt((rows**2).sum(1)) + longest) ** 2
+                at, near, exact = _first(rows, ids, x, ~(rough > (least + slack)[:, None]), m)
+                cols = [batch.column(0).to_numpy()[a : a + _ROWS][at], ids[near], exact]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "neighbor", "d2"])
 
     return queries.mapInArrow(run, "id bigint, neighbor bigint, d2 double")

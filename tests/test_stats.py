@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixflow.operators import aggregates, jackknife, models
+from helixflow.operators import aggregates, jackknife, knn, models
 from helixflow.operators.segments import viterbi
 
 
@@ -132,3 +132,18 @@ def test_mixture_recovers_weights():
         blocks.append((200, a[:, 0] * w + rng.normal(0, 0.5, 3), a))
     m = models.mixture(blocks)
     assert m["weights"][1] == pytest.approx(w, abs=0.01) and m["dof"] == 2 and 0 <= m["p"] <= 1
+
+
+def test_nearest_of_many_equal_references(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 5))
+    same = rng.choice(3000, 500, replace=False)
+    x[same] = x[same[0]]
+    order = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "id bigint, x array<double>")
+    probe = sorted(same.tolist())[-1]
+    for block in (1 << 16, 1000):
+        got = knn.nearest(df.filter(f"id in ({probe}, {int(same[0])})"), df, 10, block).orderBy("id", "rank").collect()
+        assert {r["id"] for r in got} == {probe, int(same[0])}
+        for i in (probe, int(same[0])):
+            assert [r["neighbor"] for r in got if r["id"] == i] == sorted(same.tolist())[:10]
