@@ -21,10 +21,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that of the smallest doc_id (of rows that share it, one)."""
-    kept = dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    return one.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one document of each group: that of the smallest doc_id (null last; of rows that share it, the first).
+
+    Rows are told apart by a key of their own, so a null or repeated doc_id links nothing and drops nothing.
+    """
+    docs = materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    groups = dedup.near_duplicates(docs, "__key").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
+    kept = docs.select("__key", "doc_id").join(groups, "__key").groupBy("__group").agg(first.alias("first")).select(F.col("first.__key").alias("__key"))
+    return docs.join(kept, "__key", "left_semi").drop("__key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

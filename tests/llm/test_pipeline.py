@@ -26,3 +26,15 @@ def test_pipeline(spark, tmp_path):
     assert kept["secret_masking"][104].endswith("*" * len("password=hunter2222"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == every - {100, 101, 102, 103}
+
+
+def test_near_duplicates_by_row_not_by_id(spark, tmp_path):
+    rng = random.Random(1)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, d), (None, e), (None, e), (9, f), (None, f), (3, f), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(None, a), (None, b), (7, c), (7, d), (None, e), (3, f), (None, None), (None, "")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
