@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def normal_isf(p: float) -> float:
     return NormalDist().inv_cdf(1 - p)
@@ -165,6 +169,43 @@ def nmf(x: np.ndarray, k: int, steps: int = 500, seed: int = 0) -> tuple[np.ndar
     return w / np.maximum(w.sum(1, keepdims=True), 1e-12), h
 
 
+def nmf_sites(freq: DataFrame, cohort: str, k: int, rounds: int = 40, steps: int = 25, seed: int = 0) -> list[tuple]:
+    """(cohort, shares) of non-negative factors of rows of (site, cohort, p), over all sites.
+
+    A missing frequency counts as the site's mean; sites without variance are left out. The driver holds the cohorts'
+    factor only: in each round, workers fit the sites' factor to it in batches of sites and return sums over sites.
+    """
+    names = sorted(r[0] for r in freq.select(cohort).distinct().collect())
+    sites = checkpointed(freq.groupBy("site").pivot(cohort, names).agg(F.first("p")).drop("site"))
+    w = np.random.default_rng(seed).random((len(names), k)) + 0.1
+    last = np.inf
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            xh, hh, xx = np.zeros(w.shape), np.zeros((k, k)), 0.0
+            for batch in batches:
+                x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.float64)
+                x = np.where(np.isnan(x), np.nanmean(x, 0), x)
+                x = x[:, x.std(0) > 1e-12]
+                wx, ww = w.T @ x, w.T @ w
+                h = np.full((k, x.shape[1]), x.mean() / k if x.size else 0.0) + 1e-3
+                for _ in range(4 * steps):
+                    h *= wx / (ww @ h + 1e-12)
+                xh, hh, xx = xh + x @ h.T, hh + h @ h.T, xx + (x * x).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([xh.ravel(), hh.ravel(), [xx]]).tolist()])], names=["s"])
+
+        summed = sites.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        s = np.array([r["v"] for r in summed])
+        xh, hh, xx = s[: w.size].reshape(w.shape), s[w.size : -1].reshape(k, k), s[-1]
+        for _ in range(steps):
+            w = w * xh / (w @ hh + 1e-12)
+        loss = xx - 2 * (w * xh).sum() + (w.T @ w * hh).sum()
+        if last - loss <= 1e-5 * xx:
+            break
+        last = loss
+    return list(zip(names, (w / np.maximum(w.sum(1, keepdims=True), 1e-12)).tolist()))
+
+
 def mds(distance: np.ndarray, k: int = 2) -> np.ndarray:
     """Classical scaling of a distance matrix (missing: the largest)."""
     d = np.where(np.isfinite(distance), distance, np.nanmax(distance))

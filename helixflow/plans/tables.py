@@ -263,12 +263,9 @@ def viterbi_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nmf_components(spark: SparkSession, d: str) -> DataFrame:
-    """Admixture-like components over cohort frequencies: rows are nations, columns the sites of four chromosomes."""
-    g = genotypes(spark, d).join(table(spark, d, "part").filter("p_size <= 4").select(C("p_partkey").alias("site")), "site")
-    f = g.groupBy("nat", "site").agg((F.avg("g") / 2).alias("p")).filter("p is not null").toPandas().pivot(index="nat", columns="site", values="p")
-    f = f.fillna(f.mean())
-    w, _ = models.nmf(f.loc[:, f.std() > 0].to_numpy(), 4)
-    rows = [(int(n), k + 1, float(w[i, k])) for i, n in enumerate(f.index) for k in range(w.shape[1])]
+    """Admixture-like components over cohort frequencies: rows are nations, columns the sites of all chromosomes."""
+    f = genotypes(spark, d).groupBy("site", "nat").agg((F.avg("g") / 2).alias("p")).filter("p is not null")
+    rows = [(int(n), k + 1, float(x)) for n, row in models.nmf_sites(f, "nat", 4) for k, x in enumerate(row)]
     return spark.createDataFrame(rows, "nat int, component int, share double")
 
 

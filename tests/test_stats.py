@@ -147,3 +147,26 @@ def test_nearest_of_many_equal_references(spark):
         assert {r["id"] for r in got} == {probe, int(same[0])}
         for i in (probe, int(same[0])):
             assert [r["neighbor"] for r in got if r["id"] == i] == sorted(same.tolist())[:10]
+
+
+def test_nmf_components_reads_all_chromosomes(spark, tmp_path):
+    from helixflow.plans.registry import queries
+
+    src = "/root/testdata/sf0.001"
+    for t in ("supplier", "nation", "lineitem"):
+        spark.read.parquet(f"{src}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    # no site on the first four chromosomes
+    spark.read.parquet(f"{src}/part.parquet").withColumn("p_size", F.col("p_size") + 4).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries()["nmf_components"](spark, str(tmp_path)).collect()
+    assert len(got) == 4 * len({r["nat"] for r in got}) > 0
+
+
+def test_nmf_sites_fits_as_well_as_on_the_driver(spark):
+    rng = np.random.default_rng(6)
+    x = rng.dirichlet([0.3] * 3, 8) @ rng.random((3, 200))
+    rows = [(j, i, float(x[i, j])) for i in range(8) for j in range(200)]
+    w = np.array([r[1] for r in models.nmf_sites(spark.createDataFrame(rows, "site int, nat int, p double"), "nat", 3)])
+    assert w.sum(1) == pytest.approx(np.ones(8)) and (w >= 0).all()
+    # rows are shares, so x is w times non-negative components up to a scale of each row
+    left = x - w @ np.linalg.lstsq(w, x, rcond=None)[0]
+    assert np.linalg.norm(left) < 0.1 * np.linalg.norm(x - x.mean(0))
