@@ -215,6 +215,31 @@ def kinship_prune(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kinship.prune(labels, cover).select("ind", "label", "coverage", "kept"))
 
 
+def _all_haploid(spark: SparkSession, d: str) -> DataFrame:
+    """As _haploid, of all sites."""
+    coin = (C("site") * 31 + C("ind") * 17) % 2
+    return calls(spark, d).select("site", "ind", kinship.haploid(C("g"), coin).alias("a"))
+
+
+@query()
+def kinship_p0_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(kinship.mismatch(_all_haploid(spark, d), 3))
+
+
+@query()
+def kinship_degree_all(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised mismatch and degree of all pairs, NULL where unrelated."""
+    return rounded(kinship.degrees(kinship.mismatch(_all_haploid(spark, d), 3)).select("i", "j", "norm", "degree"))
+
+
+@query()
+def kinship_prune_all(spark: SparkSession, d: str) -> DataFrame:
+    pairs = kinship.degrees(kinship.mismatch(_all_haploid(spark, d), 3)).filter(C("norm") < kinship.SECOND)
+    labels = kinship.clusters(table(spark, d, "supplier").select(C("s_suppkey").alias("ind")), pairs)
+    cover = genotypes(spark, d).groupBy("ind").agg(F.avg(C("g").isNotNull().cast("double")).alias("coverage"))
+    return rounded(kinship.prune(labels, cover).select("ind", "label", "coverage", "kept"))
+
+
 @query()
 def haploidise_hash(spark: SparkSession, d: str) -> DataFrame:
     """Pseudo-haploid calls with a seeded hash as the coin."""

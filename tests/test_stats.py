@@ -170,3 +170,13 @@ def test_nmf_sites_fits_as_well_as_on_the_driver(spark):
     # rows are shares, so x is w times non-negative components up to a scale of each row
     left = x - w @ np.linalg.lstsq(w, x, rcond=None)[0]
     assert np.linalg.norm(left) < 0.1 * np.linalg.norm(x - x.mean(0))
+
+
+def test_kinship_p0_all_counts_every_site(spark):
+    from helixflow.plans.genetics import calls
+    from helixflow.plans.registry import queries
+
+    d = "/root/testdata/sf0.001"
+    each = calls(spark, d).filter("g is not null").groupBy("site").count().collect()
+    got = queries()["kinship_p0_all"](spark, d).agg(F.sum("n")).first()[0]
+    assert got == sum(r["count"] * (r["count"] - 1) // 2 for r in each)
