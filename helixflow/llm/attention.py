@@ -1,21 +1,31 @@
 """A small causal self-attention model in numpy: training with Adam, and batched scoring of padded windows.
 
-The model reads subword ids and predicts the class of the next one: inputs are embedded (the most frequent ids have an
-embedding of their own, the others share their class's), one attention head looks back within the window, and the sum
-of both goes to a softmax over classes. A subword's probability is its class's times its share of the class's
-smoothed count over all training texts.
+A place of the model is a token: a word, read as the mean of the embeddings of its subword ids, or an end. One head
+looks back within the window, and the sum of the last token's embedding and of what the head has seen goes to a
+softmax over the class of the next token. The most frequent ids have an embedding of their own, the others share their
+class's.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
-#: Width of the model, window length, and how far windows overlap.
+#: Width of the model, window length, and how far windows overlap when texts are scored.
 WIDTH = 16
-WINDOW = 32
+WINDOW = 24
 OVERLAP = 8
 
 
+class Tokens(NamedTuple):
+    """Tokens as runs of embedding rows: token i reads rows[starts[i] : starts[i] + sizes[i]]; no token is empty."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+
 def initial(inputs: int, classes: int, seed: int = 0) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     sizes = {"embed": (inputs, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, classes), "bias": (classes,)}
@@ -23,20 +33,16 @@ def initial(inputs: int, classes: int, seed: int = 0) -> dict[str, np.ndarray]:
     return {k: (rng.standard_normal(s) * scale.get(k, WIDTH**-0.5)).astype(np.float32) for k, s in sizes.items()}
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+def _gathered(t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows of the tokens at, the first of each token among them, and how many each has."""
+    sizes = t.sizes[at]
+    firsts = np.cumsum(sizes) - sizes
+    return t.rows[np.arange(int(sizes.sum())) + np.repeat(t.starts[at] - firsts, sizes)], firsts, sizes
 
 
-def _forward(p: dict[str, np.ndarray], x_ids: np.ndarray) -> tuple:
-    x = p["embed"][x_ids] + p["place"]
-    q, k, v = x @ (p["q"] * np.float32(WIDTH**-0.5)), x @ p["k"], x @ p["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a += _MASK
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    seen = a @ v
-    h = x + seen @ p["o"]
-    return x, q, k, v, a, seen, h, h.reshape(-1, WIDTH) @ p["out"] + p["bias"]
+def means(embed: np.ndarray, t: Tokens, at: np.ndarray) -> np.ndarray:
+    rows, firsts, sizes = _gathered(t, at)
+    return np.add.reduceat(embed[rows], firsts) / sizes[:, None].astype(embed.dtype)
 
 
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -44,12 +50,12 @@ _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _BOUND = np.float32(60)
 
 
-def class_log_p(p: dict[str, np.ndarray], x_ids: np.ndarray, y: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probabilities of the classes y (windows by places) after the inputs up to each place.
+def class_log_p(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the classes y (windows by places) after the inputs x up to each place.
 
-    keep: places to score; others get 0, and only attention is worked out for them.
+    x: (windows, places, WIDTH), without the places' own vectors. keep: places to score; the others get 0.
     """
-    x = p["embed"][x_ids] + p["place"]
+    x = x + p["place"]
     flat = x.reshape(-1, WIDTH)
     q = (flat @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(x.shape)
     k, v = (flat @ p["k"]).reshape(x.shape), (flat @ p["v"]).reshape(x.shape)
@@ -59,90 +65,105 @@ def class_log_p(p: dict[str, np.ndarray], x_ids: np.ndarray, y: np.ndarray, keep
     a *= _SEEN
     seen = a @ v
     seen /= a.sum(2)[:, :, None]
-    h, targets = flat + seen.reshape(-1, WIDTH) @ p["o"], y.ravel()
-    if keep is not None:
-        h, targets = h[keep.ravel()], targets[keep.ravel()]
+    keep = keep.ravel()
+    h, targets = (flat + seen.reshape(-1, WIDTH) @ p["o"])[keep], y.ravel()[keep]
     logits = h @ p["out"] + p["bias"]
     np.clip(logits, -_BOUND, _BOUND, out=logits)
     got = logits[np.arange(len(logits)), targets]
     np.exp(logits, out=logits)
     got -= np.log(logits.sum(1))
-    if keep is None:
-        return got.reshape(y.shape)
-    out = np.zeros(y.shape, np.float32)
+    out = np.zeros(y.size, np.float32)
     out[keep] = got
-    return out
+    return out.reshape(y.shape)
 
 
-def gradients(p: dict[str, np.ndarray], x_ids: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the places of weight 1, and its gradients."""
-    x, q, k, v, a, seen, h, logits = _forward(p, x_ids)
+def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the places of weight 1 of windows of tokens (at, windows by places), and its gradients."""
+    rows, firsts, sizes = _gathered(t, at.ravel())
+    share = (1 / sizes).astype(np.float32)
+    x = (np.add.reduceat(p["embed"][rows], firsts) * share[:, None]).reshape(*at.shape, WIDTH) + p["place"]
+    scale = np.float32(WIDTH**-0.5)
+    q, k, v = x @ (p["q"] * scale), x @ p["k"], x @ p["v"]
+    a = q @ k.transpose(0, 2, 1)
+    np.clip(a, -_BOUND, _BOUND, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN
+    a /= a.sum(2, keepdims=True)
+    seen = a @ v
+    h = (x + seen @ p["o"]).reshape(-1, WIDTH)
+    e = h @ p["out"] + p["bias"]
+    e -= e.max(1, keepdims=True)
     n = max(1.0, float(weight.sum()))
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1, keepdims=True)
-    rows = np.arange(len(e))
-    loss = float(((np.log(total[:, 0]) - logits[rows, y.ravel()]) * weight.ravel()).sum()) / n
-    d = e / total
-    d[rows, y.ravel()] -= 1
+    places = np.arange(len(e))
+    target = e[places, y.ravel()]
+    np.exp(e, out=e)
+    total = e.sum(1)
+    loss = float(((np.log(total) - target) * weight.ravel()).sum()) / n
+    d = e
+    d /= total[:, None]
+    d[places, y.ravel()] -= 1
     d *= weight.reshape(-1, 1) / np.float32(n)
-    g = {"out": h.reshape(-1, WIDTH).T @ d, "bias": d.sum(0)}
-    dh = (d @ p["out"].T).reshape(h.shape)
+    g = {"out": h.T @ d, "bias": d.sum(0)}
+    dh = (d @ p["out"].T).reshape(x.shape)
     g["o"] = seen.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
     dseen = dh @ p["o"].T
     dv = a.transpose(0, 2, 1) @ dseen
     da = dseen @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh + (dq * np.float32(WIDTH**-0.5)) @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q
+    dx = dh + dq @ p["q"].T + (dk @ p["k"].T) + dv @ p["v"].T
     flat = x.reshape(-1, WIDTH).T
-    g |= {"q": flat @ dq.reshape(-1, WIDTH) * np.float32(WIDTH**-0.5), "k": flat @ dk.reshape(-1, WIDTH), "v": flat @ dv.reshape(-1, WIDTH), "place": dx.sum(0)}
+    g |= {"q": flat @ dq.reshape(-1, WIDTH), "k": flat @ dk.reshape(-1, WIDTH), "v": flat @ dv.reshape(-1, WIDTH), "place": dx.sum(0)}
+    back = np.repeat(dx.reshape(-1, WIDTH) * share[:, None], sizes, axis=0)
+    order = np.argsort(rows, kind="stable")
+    sorted_rows = rows[order]
+    cuts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], x_ids.ravel(), dx.reshape(-1, WIDTH))
+    g["embed"][sorted_rows[cuts]] = np.add.reduceat(back[order], cuts)
     return loss, g
 
 
-def train(p: dict[str, np.ndarray], x_ids: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, seed: int = 0, batch: int = 32) -> tuple[dict[str, np.ndarray], float]:
+def train(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, seed: int = 0, batch: int = 64) -> tuple[dict[str, np.ndarray], float]:
     """Weights after one pass of Adam over the windows in a random order, and the mean loss."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(x_ids))
+    order = np.random.default_rng(seed).permutation(len(at))
     losses = []
-    for t, at in enumerate(range(0, len(order), batch), 1):
-        rows = order[at : at + batch]
-        loss, g = gradients(p, x_ids[rows], y[rows], weight[rows])
+    for step, first in enumerate(range(0, len(order), batch), 1):
+        some = order[first : first + batch]
+        loss, g = gradients(p, t, at[some], y[some], weight[some])
         losses.append(loss)
-        step = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        size = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
         for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] ** 2 - s[k])
-            p[k] -= (step * m[k] / (np.sqrt(s[k]) + 1e-8)).astype(np.float32)
+            m[k] += np.float32(0.1) * (g[k] - m[k])
+            s[k] += np.float32(0.01) * (g[k] * g[k] - s[k])
+            p[k] -= size * m[k] / (np.sqrt(s[k]) + np.float32(1e-8))
     return p, float(np.mean(losses)) if losses else 0.0
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping windows over sequences of these lengths laid end to end.
 
     (start of each window, its sequence, first place that it scores): the first window of a sequence scores all its
     places, the others what comes after the overlap, so each place is scored once.
     """
-    stride = WINDOW - OVERLAP
+    stride = WINDOW - overlap
     counts = np.where(lengths > 0, np.maximum(0, -(-(lengths - WINDOW) // stride)) + 1, 0)
     owner = np.repeat(np.arange(len(lengths)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     firsts = np.cumsum(lengths) - lengths
-    return firsts[owner] + number * stride, owner, np.where(number > 0, OVERLAP, 0)
+    return firsts[owner] + number * stride, owner, np.where(number > 0, overlap, 0)
 
 
-def padded(ids: np.ndarray, lengths: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, weight, owner) of the windows: rows of ids; begin stands before a sequence's first."""
-    start, owner, skip = windows(lengths)
+def padded(tokens: np.ndarray, lengths: np.ndarray, begin: int, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, weight, owner) of the windows: rows of tokens; begin stands before a sequence's first."""
+    start, owner, skip = windows(lengths, overlap)
     ends = np.cumsum(lengths)
     at = start[:, None] + np.arange(WINDOW)
     inside = at < ends[owner][:, None]
-    at = np.minimum(at, max(0, len(ids) - 1))
-    before = np.concatenate([[begin], ids[:-1]]) if len(ids) else ids
+    at = np.minimum(at, max(0, len(tokens) - 1))
+    before = np.concatenate([[begin], tokens[:-1]]) if len(tokens) else tokens
     before = before.copy()
     before[(ends - lengths)[lengths > 0]] = begin
     weight = inside & (np.arange(WINDOW) >= skip[:, None])
-    return before[at], ids[at], weight, owner
+    return before[at], tokens[at], weight, owner

@@ -1,72 +1,70 @@
 """LM scoring: a causal self-attention model over subword ids, and the unigram base score.
 
-Texts are the words (A-Z lower-cased) with one space before each, and one end. Words are cut by a public byte-level
-tokenizer, word by word, so a text's ids spell the text and nothing else.
-
-Learning, from the training documents:
-  * counts of all words, by partial counts and one shuffle; nothing is left out;
-  * classes of subword ids: k-means over what stands beside them in all training documents;
-  * counts of all subword ids after each class, from the word counts: a subword's share of its class, given the class
-    before it in the word, smoothed with its share of the class alone;
-  * the attention model: each round passes once over all training documents, at every size; parts of about PART_WORDS words
-    train from the same weights, and the means of the parts' weights start the next round.
-
-Scoring: a worker cuts texts into overlapping windows of ids, each id being scored once, and scores many windows at
-once with a causal mask. Word counts are far too many for a broadcast: only words that are at least 1 in HOT of all
-tokens (so at most HOT) are looked up in the worker; the others of a text are joined to the counts by hash, and no
-such word holds more than 1 in HOT of the rows.
+Texts are words (A-Z lower-cased), each with one space before it, and one end; words and the end are the tokens. Words
+are cut by a public byte-level tokenizer, word by word, so a text's ids spell the text and nothing else.
+
+The model: the probability of a token is that of its class, which attention gives from the subword ids of the tokens
+before it, times its share of the class. A word's class is that of its longest subword. A word of the training texts
+has (1 - e) * count / count of the class; any other has e times the probability of its spelling by subwords, each
+given the class of the one before it (the word's class for the first). e is the share of training tokens that occur
+once. The shares of a class sum to 1 at most, so scores are log probabilities.
+
+Learning reads every training document, in the same way at every size:
+  * counts of all words, by partial counts and one shuffle;
+  * classes of subword ids: k-means over which frequent words stand beside the words that they name;
+  * spelling counts, from all words that are not frequent;
+  * attention: each document takes part in one of the rounds, so all are read once; the tasks of a round start from
+    the same weights, and the mean of what they learn starts the next round.
+What grows with the corpus is shuffled; tables of fixed size (ids by classes or by neighbours) are summed in tasks.
+
+Scoring: a worker cuts texts into overlapping windows, each token being scored once, and scores many windows at once
+with a causal mask. Word counts are far too many for a broadcast: only words that are at least 1 in HOT of all tokens
+(so at most HOT) are looked up in the worker; the others of a text are joined to the counts by hash, and no counted
+word holds more than 1 in HOT of the rows. Words are named by 64-bit hashes throughout; two words of one hash would be
+counted as one.
 
 Defined results: null text is empty and has one token, the end. A null doc_id counts as the empty text for the fold.
-Without training documents, N is 0 and the model is uniform over ids. Repeated rows are separate rows.
+Without training documents N is 0 and words are scored by spelling alone. Repeated rows are separate rows with equal
+scores. Ties (equal counts, equal subwords) are ordered by id. Texts of any length are read whole. Other columns are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import materialize
+from .common import Words, materialize, text_chunks
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 HOT = 200_000
-CLASSES = 96
-#: Weight, in counts, of an id's share of its class against its share after the class before.
-SMOOTH = 5.0
-#: Ids with an embedding of their own, and ids that count as a neighbour of their own when classes are made.
-OWN = 4096
-NEIGHBOURS = 255
-#: Step sizes of the rounds of training, words for each part, and tokens that a part holds in memory at once.
-RATES = (0.01, 0.006, 0.003, 0.001)
-PART_WORDS = 1_000_000
-PART_TOKENS = 2_000_000
-#: Rows that reach the driver for the parts' mean.
-SUMS = 8
-#: Words, and their ids, that a worker remembers.
-CACHE = 1 << 18
+#: Classes; the first is the end's.
+CLASSES = 64
+#: Ids with an embedding of their own, and frequent words that count as a neighbour when classes are made.
+OWN = 2048
+NEIGHBOURS = 63
+#: Weight, in counts, of an id's share of all spellings against its share after a class.
+SMOOTH = 50.0
+#: Step sizes of the rounds of training.
+RATES = (0.02, 0.01, 0.005, 0.0025)
+#: Tokens that a training task holds in memory at once.
+PIECE_TOKENS = 1_000_000
+#: Rows that reach the driver where tasks' tables are summed.
+SUMS = 4
+#: Words that a worker remembers.
+CACHE = 1 << 19
 _PIECE = 64
-_CHUNK_WORDS = 1 << 16
-_BATCH = 256
-#: Pairs of neighbours that are counted, or sent on, together.
-_PAIRS = 1 << 20
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; bytes.split() separates by exactly the contract's white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def word_hash(word: bytes) -> int:
-    """Spark's xxhash64 of the word."""
-    return xxhash.xxh64_intdigest(word, 42) - (1 << 64 if xxhash.xxh64_intdigest(word, 42) >> 63 else 0)
+_BATCH = 512
+#: Words counted together.
+_COUNTED = 1 << 22
+_LOG10 = np.log(10)
 
 
 def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -100,287 +98,335 @@ class Tokenizer:
         return [i for a in range(0, len(word), _PIECE) for i in self.core.encode_single_piece(word[a : a + _PIECE])]
 
 
+class Pieces(NamedTuple):
+    """By id: whether it begins a word, and a number whose largest in a word names the word's longest id (of equal ones, the smallest)."""
+
+    begins: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Pieces:
+        begins, order = np.zeros(max(ranks.values()) + 2, bool), np.zeros(max(ranks.values()) + 2, np.int64)
+        for piece, i in ranks.items():
+            begins[i] = piece[:1] == b" "
+            order[i] = (len(piece) << 32) - i
+        return cls(begins, order)
+
+    def words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first id, number of ids, longest id) of each word that the ids spell."""
+        starts = np.flatnonzero(self.begins[ids])
+        if not len(starts):
+            return starts, starts, starts
+        top = np.maximum.reduceat(self.order[ids], starts)
+        return starts, np.diff(starts, append=len(ids)), -top & 0xFFFFFFFF
+
+
 class Vocabulary:
-    """The words that a worker remembers, with their ids and what is known of them."""
+    """The ids of the words that a worker remembers, by hash."""
 
-    def __init__(self, tokenizer: Tokenizer, hot: dict[bytes, float]):
-        self.tokenizer, self.hot = tokenizer, hot
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[int, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
-        self.starts, self.sizes, self.hashes, self.base = (np.empty(1 << 12, t) for t in (np.int64, np.int64, np.int64, np.float64))
+        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
         self.used = 0
 
-    def places(self, ws: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(ws) > CACHE + _CHUNK_WORDS or self.used > CACHE * 16:
+    def places(self, words: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places of distinct words with these hashes, the first of each being at first."""
+        if len(self.known) > CACHE:
             self.clear()
-        new = set(ws).difference(self.known)
-        n = len(self.known)
-        for name in ("starts", "sizes", "hashes", "base"):
-            while len(getattr(self, name)) < n + len(new):
+        out, known, n = np.empty(len(hashes), np.int64), self.known, len(self.known)
+        for name in ("starts", "sizes"):
+            while len(getattr(self, name)) < n + len(hashes):
                 setattr(self, name, np.concatenate([getattr(self, name)] * 2))
-        for i, w in enumerate(new, n):
-            ids = self.tokenizer.ids(w)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat] * 2)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[i], self.sizes[i] = self.used, len(ids)
-            self.used += len(ids)
-            value = self.hot.get(w)
-            self.base[i], self.hashes[i] = (np.nan, word_hash(w)) if value is None else (value, 0)
-            self.known[w] = i
-        return np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-
-    def ids(self, places: np.ndarray) -> np.ndarray:
+        for k, h in enumerate(hashes.tolist()):
+            place = known.get(h)
+            if place is None:
+                ids = self.tokenizer.ids(words.text(first[k]))
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat] * 2)
+                self.flat[self.used : self.used + len(ids)] = ids
+                place = known[h] = n
+                self.starts[n], self.sizes[n] = self.used, len(ids)
+                self.used += len(ids)
+                n += 1
+            out[k] = place
+        return out
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, and where each word's end (with a 0 before the first)."""
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.starts[places] - (ends - sizes), sizes)]
+        flat = self.flat[np.arange(total) + np.repeat(self.starts[places] - (ends - sizes), sizes)]
+        return flat, np.concatenate([[0], ends])
 
 
 class Model(NamedTuple):
     weights: dict[str, np.ndarray]
+    pieces: Pieces
     #: For each id: its row of the embeddings and its class.
     row: np.ndarray
     label: np.ndarray
-    #: Natural log of each id's share of its class, by the class before it in the word (the last row: at its start).
-    share: np.ndarray
-
-
-def text_groups(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first text, words of each) of runs of texts with about _CHUNK_WORDS words."""
-    held: list[list[bytes]] = []
-    first, n = 0, 0
-    for i, text in enumerate(texts):
-        held.append(words(text))
-        n += len(held[-1])
-        if n >= _CHUNK_WORDS:
-            yield first, held
-            held, first, n = [], i + 1, 0
-    if held:
-        yield first, held
+    #: log10 of the count of each class, and of the share of spellings (class before, or -1 - the word's class; id; the last is a word's end).
+    mass: np.ndarray
+    spelling: np.ndarray
+    #: log10 of the weights of words that were counted and of spellings.
+    seen: float
+    unseen: float
 
 
-class Texts(NamedTuple):
-    """Texts as ids, end to end: ids (each text with its end), whether each begins a word, lengths; words' places and counts."""
-
-    ids: np.ndarray
-    begins: np.ndarray
-    lengths: np.ndarray
-    places: np.ndarray
-    counts: np.ndarray
-
-
-def sequences(vocabulary: Vocabulary, group: list[list[bytes]]) -> Texts:
-    counts = np.array([len(w) for w in group], np.int64)
-    places = vocabulary.places([w for ws in group for w in ws])
-    ids = vocabulary.ids(places)
-    ends = np.concatenate([[0], np.cumsum(vocabulary.sizes[places])])
-    begins = np.zeros(len(ids) + 1, bool)
-    begins[ends[:-1]] = True
-    cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
-    out = np.insert(ids, cuts[1:], vocabulary.tokenizer.end)
-    return Texts(out, np.insert(begins[: len(ids)], cuts[1:], True), np.diff(cuts) + 1, places, counts)
-
-
-def score_ids(model: Model, t: Texts, end: int) -> np.ndarray:
-    """Natural log probability of each text."""
-    before = np.where(t.begins, CLASSES, model.label[np.concatenate([[end], t.ids[:-1]])])
-    firsts = np.cumsum(t.lengths) - t.lengths
-    out = np.add.reduceat(model.share[before, t.ids], firsts, dtype=np.float64)
-    x, y, weight, owner = attention.padded(np.arange(len(t.ids)), t.lengths, -1)
-    x = np.append(model.row[t.ids], model.row[end])[x]  # -1, before a text, is the end's row
-    y = model.label[t.ids][y]
-    for a in range(0, len(x), _BATCH):
-        s = slice(a, a + _BATCH)
-        p = attention.class_log_p(model.weights, x[s], y[s], weight[s])
-        np.add.at(out, owner[s], p.sum(1, dtype=np.float64))
-    return out
-
-
-# ---------------------------------------------------------------- learning
+# ---------------------------------------------------------------- words and ids
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, h) over rows of (text); h is the word's hash."""
+    """(h, n) over rows of (text): how often each word, named by its hash, occurs."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held, n = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(words(text))
-                if len(found) > CACHE:
-                    yield flush(found)
-                    found = Counter()
-        yield flush(found)
+            for _, data, offsets in text_chunks(batch.column(0)):
+                held.append(Words(data, offsets).hashes())
+                n += len(held[-1])
+                if n > _COUNTED:
+                    yield counted(held)
+                    held, n = [], 0
+        if n:
+            yield counted(held)
+
+    return docs.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+_ENCODED = "doc_id bigint, held_out boolean, round int, n_words bigint, known bigint, base double, hot double, ids array<int>, cold array<bigint>, cold_at array<int>"
+
 
-    def flush(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+def encoded(docs: DataFrame, held_out: Column, often: tuple[np.ndarray, np.ndarray], ranks, id_col: str, text_col: str) -> DataFrame:
+    """A row for each row of docs: its ids, sums over its frequent words, and its other words (hash and number).
 
-    return docs.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("word"))
+    known: frequent words; base, hot: sums of their log10(count + 0.1) and log10(count). often: sorted hashes, counts.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(Tokenizer.of(ranks))
+        keys, counts = frequent.value
+        for batch in batches:
+            for first, data, offsets in text_chunks(batch.column(3)):
+                words = Words(data, offsets)
+                h, at, every = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                flat, ends = vocabulary.ids(vocabulary.places(words, h, at)[every])
+                place = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                hot = keys[place] == h if len(keys) else np.zeros(len(h), bool)
+                n = np.where(hot, counts[place], 1) if len(keys) else np.ones(len(h))
+                cuts, hot_words = words.row_words, hot[every]
+                size = np.diff(cuts)
+                owner = np.repeat(np.arange(len(size)), size)
+                sums = lambda values: np.bincount(owner, weights=np.where(hot, values, 0.0)[every], minlength=len(size))  # noqa: E731, B023
+                known = np.bincount(owner[hot_words], minlength=len(size))
+                cold = np.flatnonzero(~hot_words)
+                cold_ends = pa.array(np.concatenate([[0], np.cumsum(size - known)]).astype(np.int32))
+                cols = [batch.column(i).slice(first, len(size)) for i in range(3)]
+                cols += [pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(sums(np.log10(n + 0.1))), pa.array(sums(np.log10(n)))]
+                cols.append(pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(flat)))
+                cols.append(pa.ListArray.from_arrays(cold_ends, pa.array(h[every[cold]].view(np.int64))))
+                cols.append(pa.ListArray.from_arrays(cold_ends, pa.array((cold - cuts[owner[cold]]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ENCODED.split(", ")])
+
+    turn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(len(RATES))).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), turn.alias("round"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, _ENCODED)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], at_once: int = PIECE_TOKENS) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each column of lists, (values, lengths) of runs of whole rows with about at_once values in the first column."""
+    held: list = []
+    n = 0
+    for batch in batches:
+        ends = batch.column(0).offsets.to_numpy()
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + at_once - n, side="right")) - 1)
+            b = min(b, batch.num_rows)
+            part = [c.slice(a, b - a) for c in batch.columns]
+            held.append([(c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())) for c in part])
+            n += int(ends[b] - ends[a])
+            a = b
+            if n >= at_once:
+                yield [tuple(map(np.concatenate, zip(*c))) for c in zip(*held)]
+                held, n = [], 0
+    if held:
+        yield [tuple(map(np.concatenate, zip(*c))) for c in zip(*held)]
 
 
-def id_counts(counts: DataFrame, ranks, label: np.ndarray) -> DataFrame:
-    """(before, id, n) over rows of (word, n): how often an id follows a class in a word (CLASSES: begins it)."""
+def _total(parts: DataFrame) -> np.ndarray | None:
+    """The sum of the parts' tables (a column of float64 bytes); few rows reach the driver, however many parts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer.of(ranks)
-        found: Counter = Counter()
-        classes = label.tolist()
+        total = None
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before = CLASSES
-                for i in t.ids(w):
-                    found[before * t.size + i] += n
-                    before = classes[i]
-        keys = np.fromiter(found, np.int64, len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(keys // t.size), pa.array(keys % t.size), pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["before", "id", "n"])
+            for x in batch.column(0).to_pylist():
+                x = np.frombuffer(x, np.float64)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["w"])
 
-    return counts.select("word", "n").mapInArrow(run, "before bigint, id bigint, n bigint").groupBy("before", "id").agg(F.sum("n").alias("n"))
+    found = [np.frombuffer(r[0], np.float64) for r in parts.repartition(SUMS).mapInArrow(run, "w binary").toLocalIterator()]
+    return sum(found[1:], found[0]) if found else None
 
 
-def shares(by_class: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Log shares from counts (classes + 1, ids)."""
-    mass = by_class.sum(0) + 0.01
-    alone = mass / np.bincount(label, weights=mass, minlength=CLASSES)[label]
-    out = np.empty(by_class.shape, np.float32)
-    for k in range(len(out)):
-        total = np.bincount(label, weights=by_class[k], minlength=CLASSES)[label]
-        out[k] = np.log((by_class[k] + SMOOTH * alone) / (total + SMOOTH))
-    return out
+def _few(rows: DataFrame) -> DataFrame:
+    """rows in a few tasks for each core: each task makes one table of fixed size."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def text_ids(docs: DataFrame, ranks) -> DataFrame:
-    """(ids) of rows of (text)."""
+def _row(table: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(table, np.float64).tobytes()], pa.binary())], names=["w"])
+
+
+def key_counts(ids: DataFrame, pieces: Pieces) -> np.ndarray:
+    """How often each id is the longest of a word, over rows of (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(Tokenizer.of(ranks), {})
-        for batch in batches:
-            for _, group in text_groups(batch.column(0).to_pylist()):
-                t = sequences(v, group)
-                ends = np.concatenate([[0], np.cumsum(t.lengths)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(t.ids.astype(np.int32)))], names=["ids"])
+        total = np.zeros(len(pieces.begins), np.int64)
+        for ((flat, _),) in _lists(batches):
+            total += np.bincount(pieces.words(flat)[2], minlength=len(total))
+        yield _row(total)
 
-    return docs.mapInArrow(run, "ids array<int>")
+    got = _total(_few(ids).mapInArrow(run, "w binary"))
+    return np.zeros(len(pieces.begins)) if got is None else got
 
 
-def neighbours(texts: DataFrame, bucket: np.ndarray) -> DataFrame:
-    """(id, counts): how often a neighbour of bucket b stands before (at b) or after (at b + NEIGHBOURS + 1) an id, as int64 bytes."""
+def neighbours(ids: DataFrame, pieces: Pieces, bucket: np.ndarray) -> np.ndarray:
+    """(ids, 2 * (NEIGHBOURS + 1)): how often a word of bucket b stands before (at b) or after a word of this longest id."""
     wide = 2 * (NEIGHBOURS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(len(bucket) * wide, np.int64)
-        for batch in batches:
-            every = batch.column(0).flatten().to_numpy().astype(np.int64)
-            # runs that share an id, so that each pair of neighbours is in one
-            for at in range(0, len(every) - 1, _PAIRS):
-                ids = every[at : at + _PAIRS + 1]
-                before = ids[1:] * wide + bucket[ids[:-1]]
-                after = ids[:-1] * wide + bucket[ids[1:]] + NEIGHBOURS + 1
-                keys, n = np.unique(np.concatenate([before, after]), return_counts=True)
-                table[keys] += n
-        keys = np.flatnonzero(table)
-        for at in range(0, len(keys), _PAIRS):
-            k = keys[at : at + _PAIRS]
-            yield pa.RecordBatch.from_arrays([pa.array(k // wide), pa.array(k % wide), pa.array(table[k])], names=["id", "b", "n"])
-
-    def dense(group: pa.Table) -> pa.Table:
-        counts = np.zeros(wide, np.int64)
-        counts[group.column("b").to_numpy()] = group.column("n").to_numpy()
-        return pa.table({"id": group.column("id").slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    # a task holds one table of counts, so few tasks make few partial counts
-    few = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
-    sums = few.mapInArrow(run, "id bigint, b bigint, n bigint").groupBy("id", "b").agg(F.sum("n").alias("n"))
-    return sums.groupBy("id").applyInArrow(dense, "id bigint, counts binary")
-
-
-def classes(rows: DataFrame, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
-    """A class for each id by k-means over the square roots of its neighbours' shares; ids without neighbours get the last."""
+        total = np.zeros(len(bucket) * wide, np.int32)
+        for ((flat, lengths),) in _lists(batches):
+            starts, _, keys = pieces.words(flat)
+            if len(keys) < 2:
+                continue
+            text = np.repeat(np.arange(len(lengths)), lengths)[starts]
+            same = text[1:] == text[:-1]
+            before, after = keys[:-1][same], keys[1:][same]
+            found, n = np.unique(np.concatenate([after * wide + bucket[before], before * wide + bucket[after] + NEIGHBOURS + 1]), return_counts=True)
+            total[found] += n.astype(np.int32)
+        yield _row(total)
+
+    got = _total(_few(ids).mapInArrow(run, "w binary"))
+    return np.zeros((len(bucket), wide)) if got is None else got.reshape(-1, wide)
+
+
+def classes(m: np.ndarray, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
+    """A class (1 .. k - 1) for each id by k-means over the square roots of its neighbours' shares; ids that name no word get the last."""
     label = np.full(len(counts), k - 1, np.int64)
-    ids, m = np.empty(len(counts), np.int64), np.empty((len(counts), 2 * (NEIGHBOURS + 1)), np.float32)
-    n = 0
-    for i, c in rows.toLocalIterator():
-        ids[n], m[n] = i, np.frombuffer(c, np.int64)
-        n += 1
-    if not n:
+    ids = np.flatnonzero(m.sum(1))
+    if not len(ids):
         return label
-    order = np.argsort(ids[:n])
-    ids, m = ids[order], m[order]
-    total = m.sum(1)
-    m /= total[:, None]
-    np.sqrt(m, out=m)
-    _, vectors = np.linalg.eigh(sum((m[a : a + 4096] * total[a : a + 4096, None]).T @ m[a : a + 4096] for a in range(0, n, 4096)))
+    m = np.sqrt(m[ids] / m[ids].sum(1)[:, None]).astype(np.float32)
+    total = counts[ids].astype(np.float64) + 1
+    _, vectors = np.linalg.eigh((m * total[:, None].astype(np.float32)).T @ m)
     z = m @ vectors[:, -32:]
-    weight = np.sqrt(counts[ids].astype(np.float64) + 1)
+    weight = np.sqrt(total)
     rng = np.random.default_rng(0)
-    k = min(k - 1, len(ids))
+    k = min(k - 2, len(ids))
     centres = z[np.sort(rng.choice(len(ids), k, replace=False, p=weight / weight.sum()))]
     for _ in range(25):
-        near = (z**2).sum(1)[:, None] - 2 * z @ centres.T + (centres**2).sum(1)
-        who = near.argmin(1)
-        sums, mass = np.zeros((k, z.shape[1])), np.zeros(k)
+        who = ((centres**2).sum(1) - 2 * z @ centres.T).argmin(1)
+        sums, mass = np.zeros((k, z.shape[1])), np.bincount(who, weights=weight, minlength=k)
         np.add.at(sums, who, z * weight[:, None])
-        np.add.at(mass, who, weight)
         centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centres).astype(np.float32)
-    label[ids] = who
+    label[ids] = who + 1
     return label
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, lengths) of whole texts, about PART_TOKENS ids at once."""
-    ids, lengths, n = [], [], 0
-    for batch in batches:
-        for row in range(0, batch.num_rows, _BATCH):
-            lists = batch.column(0).slice(row, _BATCH)
-            ids.append(lists.flatten().to_numpy().astype(np.int64))
-            lengths.append(np.diff(lists.offsets.to_numpy()))
-            n += len(ids[-1])
-            if n >= PART_TOKENS:
-                yield np.concatenate(ids), np.concatenate(lengths)
-                ids, lengths, n = [], [], 0
-    if n:
-        yield np.concatenate(ids), np.concatenate(lengths)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row with the sum of the parts' weights times their places, as float64."""
-    total, mass = 0.0, 0.0
-    for batch in batches:
-        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total, mass = total + np.frombuffer(w, np.float32).astype(np.float64) * n, mass + n
-    if mass:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([mass])], names=["w", "n"])
+def spellings(rows: DataFrame, pieces: Pieces, label: np.ndarray) -> np.ndarray:
+    """Counts (2 * CLASSES, ids + 1) over rows of (ids, cold_at): ids after a class, and from CLASSES on, first ids of words of a class.
 
+    The last column counts the ends of words.
+    """
+    wide = len(label) + 1
 
-def _trained(texts: DataFrame, model: Model, end: int) -> Model:
-    """The model after the rounds of training, each over all texts."""
-    spark = texts.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * CLASSES * wide, np.int32)
+        for (flat, lengths), (at, some) in _lists(batches):
+            starts, sizes, keys = pieces.words(flat)
+            text = np.repeat(np.arange(len(lengths)), lengths)[starts]
+            firsts = np.searchsorted(text, np.arange(len(lengths)))
+            cold = np.repeat(firsts, some) + at
+            starts, sizes, keys = starts[cold], sizes[cold], keys[cold]
+            _, before, ids = _spelled(flat, starts, sizes, label[keys], label, wide - 1)
+            found, n = np.unique(before * wide + ids, return_counts=True)
+            total[found] += n.astype(np.int32)
+        yield _row(total)
+
+    got = _total(_few(rows).mapInArrow(run, "w binary"))
+    return np.zeros((2 * CLASSES, wide)) if got is None else got.reshape(2 * CLASSES, wide)
+
+
+def _spelled(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, label: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each word, row of the spelling table, column) of the ids and the ends of words with the classes own."""
+    longer = sizes + 1
+    firsts = np.cumsum(longer) - longer
+    at = np.arange(int(longer.sum())) + np.repeat(starts - firsts, longer)
+    ids = flat[np.minimum(at, max(0, len(flat) - 1))].astype(np.int64)
+    ids[firsts + sizes] = end
+    before = np.concatenate([[0], label[np.minimum(ids[:-1], end - 1)]]) if len(ids) else ids
+    before[firsts] = CLASSES + own
+    return firsts, before, ids
+
+
+def spelling_shares(counts: np.ndarray) -> np.ndarray:
+    """log10 shares of the ids in each row, smoothed with their shares over all rows."""
+    alone = counts.sum(0) + 0.5
+    alone /= alone.sum()
+    return np.log10((counts + SMOOTH * alone) / (counts.sum(1)[:, None] + SMOOTH)).astype(np.float32)
+
+
+def _tokens(model: Model, flat: np.ndarray, lengths: np.ndarray) -> tuple[attention.Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of texts (words, then an end each, then one end more), their classes, texts' lengths in tokens; words' starts, sizes and places."""
+    end = len(model.label) - 1
+    starts, sizes, keys = model.pieces.words(flat)
+    text = np.repeat(np.arange(len(lengths)), lengths)[starts]
+    count = np.bincount(text, minlength=len(lengths))
+    place = np.arange(len(starts)) + text
+    n = len(starts) + len(lengths) + 1
+    first, size, label = np.full(n, len(flat)), np.ones(n, np.int64), np.zeros(n, np.int64)
+    first[place], size[place], label[place] = starts, sizes, model.label[keys]
+    rows = np.append(model.row[flat], model.row[end])
+    return attention.Tokens(rows, first, size), label, count + 1, starts, sizes, place
+
+
+def _trained(rows: DataFrame, model: Model) -> Model:
+    """The model after the rounds of training, each over its part of the rows of (ids, round)."""
+    spark = rows.sparkSession
     weights = model.weights
     names = sorted(weights)
     for number, rate in enumerate(RATES):
-        held = spark.sparkContext.broadcast(model._replace(weights=weights, share=None))
+        held = spark.sparkContext.broadcast(model._replace(weights=weights, spelling=None))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
             m = held.value
             new, mass, piece = m.weights, 0.0, 0
-            for ids, lengths in _pieces(batches):
-                x, y, weight, _ = attention.padded(ids, lengths, end)
-                new, _ = attention.train(new, m.row[x], m.label[y], weight.astype(np.float32), rate, seed=number + len(RATES) * piece)
+            for ((flat, lengths),) in _lists(batches):
+                t, label, sizes, *_ = _tokens(m, flat, lengths)
+                at, y, weight, _ = attention.padded(np.arange(len(label) - 1), sizes, len(label) - 1, overlap=0)
+                new, _ = attention.train(new, t, at, label[y], weight.astype(np.float32), rate, seed=number + len(RATES) * piece)
                 mass, piece = mass + float(weight.sum()), piece + 1
             if piece:
-                flat = np.concatenate([new[k].ravel() for k in names])
-                yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([mass])], names=["w", "n"])
-
-        # the parts train at the same time, and few rows reach the driver however many parts there are
-        sums = texts.mapInArrow(run, "w binary, n double").repartition(SUMS).mapInArrow(_summed, "w binary, n double").collect()
-        mass = sum(n for _, n in sums)
-        total = sum(np.frombuffer(w, np.float64) for w, _ in sums) if mass else None
-        if total is None:
-            break
-        mean, at = (total / mass).astype(np.float32), 0
+                yield _row(np.append(np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * mass, mass))
+
+        total = _total(rows.filter(F.col("round") == number).select("ids").mapInArrow(run, "w binary"))
+        if total is None or not total[-1]:
+            continue
+        mean, at = (total[:-1] / total[-1]).astype(np.float32), 0
         new = {}
         for k in names:
             new[k] = mean[at : at + weights[k].size].reshape(weights[k].shape)
@@ -392,79 +438,103 @@ def _trained(texts: DataFrame, model: Model, end: int) -> Model:
 class Learned(NamedTuple):
     model: Model
     counts: DataFrame
+    #: All rows of docs, training or not, as encoded() gives them.
+    rows: DataFrame
     train_tokens: int
     distinct: int
     ends: int
-    ranks: object
 
 
 def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> Learned:
+    """Learns from the rows of docs where training holds, and encodes all rows."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(tokenizer))
-    end = max(ranks.value.values()) + 1
-    rows = docs.filter(training)
-    counts = materialize(word_counts(rows.select(text_col)), "words")
-    ends = rows.select(id_col).count()
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # dealt out once, so that each part has texts of all kinds
-    parts = max(1, -(-int(tokens) // PART_WORDS))
-    texts = materialize(text_ids(rows.select(text_col), ranks).repartition(parts), "ids").coalesce(parts)
-    by_id = np.zeros(end + 1, np.int64)
-    for i, n in texts.select(F.explode("ids").alias("id")).groupBy("id").count().toLocalIterator():
-        by_id[i] = n
-    order = np.argsort(-by_id, kind="stable")
+    by_rank = load_ranks(tokenizer)
+    ranks, pieces = spark.sparkContext.broadcast(by_rank), Pieces.of(by_rank)
+    end = len(pieces.begins) - 1
+    learning = F.coalesce(training, F.lit(False))
+    counts = materialize(word_counts(docs.filter(learning).select(text_col)), "words")
+    ends = docs.filter(learning).select(id_col).count()
+    n, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
+    often = counts.filter(F.col("n") * HOT >= int(n)).toArrow()  # at most HOT rows
+    h, c = often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(h)
+    rows = materialize(encoded(docs, ~learning, (h[order], c[order]), ranks, id_col, text_col), "encoded")
+    texts = rows.filter(~F.col("held_out"))
+    by_key = key_counts(texts.select("ids"), pieces)
+    ranked = np.argsort(-by_key, kind="stable")
     bucket = np.full(end + 1, NEIGHBOURS, np.int64)
-    bucket[order[:NEIGHBOURS]] = np.arange(NEIGHBOURS)
-    label = classes(neighbours(texts, bucket), by_id)
+    bucket[ranked[:NEIGHBOURS]] = np.arange(NEIGHBOURS)
+    label = classes(neighbours(texts.select("ids"), pieces, bucket), by_key)
+    label[end] = 0
     row = label + OWN
-    row[order[:OWN]] = np.arange(min(OWN, len(order)))
-    by_class = np.zeros((CLASSES + 1, end + 1))
-    by_class[CLASSES, end] = ends
-    for k, i, n in id_counts(counts, ranks, label).toLocalIterator():
-        by_class[k, i] = n
-    share = shares(by_class, label)
-    model = Model(attention.initial(OWN + CLASSES, CLASSES), row.astype(np.int32), label.astype(np.int32), share)
-    model = _trained(texts, model, end)
-    return Learned(model, counts, int(tokens) + ends, int(distinct) + bool(ends), ends, ranks)
+    row[ranked[:OWN]] = np.arange(min(OWN, len(ranked)))
+    share = spelling_shares(spellings(texts.select("ids", "cold_at"), pieces, label))
+    mass = np.bincount(label, weights=by_key, minlength=CLASSES)
+    rare = min(0.5, max(once, 1) / max(int(n), 2))
+    model = Model(attention.initial(OWN + CLASSES, CLASSES), pieces, row.astype(np.int32), label, np.log10(np.maximum(mass, 1)), share, float(np.log10(1 - rare)), float(np.log10(rare)))
+    model = _trained(texts.select("ids", "round"), model)
+    return Learned(model, counts, rows, int(n) + ends, int(distinct) + bool(ends), ends)
 
 
 # ---------------------------------------------------------------- scoring
 
-_SCORED = "row bigint, doc_id bigint, held_out boolean, n_words bigint, known bigint, base double, score double, cold array<bigint>"
 
+def score_texts(model: Model, flat: np.ndarray, lengths: np.ndarray, cold: np.ndarray, cold_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts given by their ids: log10 probabilities but for the counts of words, and for each cold word what to add if it was counted.
 
-def score(docs: DataFrame, learned: Learned, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
-    spark = docs.sparkSession
+    Frequent words lack log10 of their count. Cold words (numbers within their texts) are taken as not counted; one
+    that was adds its value here and log10 of its count.
+    """
+    t, label, sizes, starts, word_sizes, place = _tokens(model, flat, lengths)
+    out = np.zeros(len(lengths))
+    at, y, weight, owner = attention.padded(np.arange(len(label) - 1), sizes, len(label) - 1)
+    for a in range(0, len(at), _BATCH):
+        s = slice(a, a + _BATCH)
+        x = attention.means(model.weights["embed"], t, at[s].ravel()).reshape(*at[s].shape, -1)
+        p = attention.class_log_p(model.weights, x, label[y[s]], weight[s])
+        out += np.bincount(owner[s], weights=p.sum(1, dtype=np.float64) / _LOG10, minlength=len(out))
+    text = place - np.arange(len(place))
+    counted = model.seen - model.mass[label[place]]
+    firsts = np.searchsorted(text, np.arange(len(lengths)))
+    which = np.repeat(firsts, cold_sizes) + cold
+    begin, before, ids = _spelled(flat, starts[which], word_sizes[which], label[place[which]], model.label, len(model.label))
+    spelled = model.unseen + np.add.reduceat(model.spelling[before, ids], begin, dtype=np.float64) if len(which) else np.empty(0)
+    more = counted[which] - spelled
+    out += np.bincount(text, weights=counted, minlength=len(out)) - np.bincount(text[which], weights=more, minlength=len(out))
+    return out, more
+
+
+_SCORED = "row bigint, doc_id bigint, held_out boolean, n_words bigint, known bigint, base double, score double, cold array<bigint>, more array<float>"
+
+
+def score(learned: Learned) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row that was encoded."""
     n, v, ends = learned.train_tokens, learned.distinct, learned.ends
-    often = {bytes(r[0]): float(np.log10(r[1] + 0.1)) for r in learned.counts.filter(F.col("n") * HOT >= n).select("word", "n").toLocalIterator()}
-    hot, model, ranks = spark.sparkContext.broadcast(often), spark.sparkContext.broadcast(learned.model), learned.ranks
+    model = learned.rows.sparkSession.sparkContext.broadcast(learned.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer.of(ranks)
-        vocabulary = Vocabulary(t, hot.value)
         for batch in batches:
-            for first, group in text_groups(batch.column(3).to_pylist()):
-                texts = sequences(vocabulary, group)
-                places, counts = texts.places, texts.counts
-                p = score_ids(model.value, texts, t.end) / np.log(10)
-                base = vocabulary.base[places]
-                cold = np.isnan(base)
-                owner = np.repeat(np.arange(len(group)), counts)
-                some = np.bincount(owner[cold], minlength=len(group))
-                starts = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
-                cols = [batch.column(i).slice(first, len(group)) for i in range(3)]
-                cols += [pa.array(counts), pa.array(counts - some), pa.array(np.bincount(owner, weights=np.where(cold, 0, base), minlength=len(group))), pa.array(p)]
-                cols.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(vocabulary.hashes[places[cold]])))
+            col = {name: batch.column(name) for name in batch.schema.names}
+            a, sizes = 0, col["ids"].offsets.to_numpy()
+            while a < batch.num_rows:
+                b = min(batch.num_rows, max(a + 1, int(np.searchsorted(sizes, sizes[a] + PIECE_TOKENS, side="right")) - 1))
+                part = {k: c.slice(a, b - a) for k, c in col.items()}
+                lists = {k: (part[k].flatten().to_numpy(), np.diff(part[k].offsets.to_numpy())) for k in ("ids", "cold_at")}
+                p, more = score_texts(model.value, *lists["ids"], *lists["cold_at"])
+                p += part["hot"].to_numpy()
+                ends_of = pa.array(np.concatenate([[0], np.cumsum(lists["cold_at"][1])]).astype(np.int32))
+                cols = [part[k] for k in ("row", "doc_id", "held_out", "n_words", "known", "base")]
+                cols += [pa.array(p), pa.ListArray.from_arrays(ends_of, part["cold"].flatten()), pa.ListArray.from_arrays(ends_of, pa.array(more.astype(np.float32)))]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
+                a = b
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = learned.rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "n_words", "known", "base", "hot", "ids", "cold", "cold_at")
     rows = materialize(rows.mapInArrow(run, _SCORED), "scored")
-    known = learned.counts.select("h", F.log10(F.col("n") + 0.1).alias("s"))
-    found = rows.select("row", F.explode("cold").alias("h")).join(known.hint("merge"), "h").groupBy("row").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("k"))
-    out = rows.drop("cold").withColumn("n_cold", F.col("n_words") - F.col("known")).join(found.hint("merge"), "row", "left")
-    k = F.coalesce("k", F.lit(0))
-    base = F.col("base") + F.coalesce("s", F.lit(0.0)) - (F.col("n_cold") - k) + float(np.log10(ends + 0.1))
-    tokens = F.col("n_words") + 1
-    base = base - tokens * float(np.log10(n + 0.1 * (v + 1)))
-    return out.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("known") + k + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    counted = learned.counts.select("h", "n")
+    words = rows.select("row", F.explode(F.arrays_zip("cold", "more")).alias("w")).select("row", F.col("w.cold").alias("h"), F.col("w.more").alias("more"))
+    found = words.join(counted.hint("merge"), "h").groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.1)).alias("s"), F.sum(F.col("more") + F.log10("n")).alias("m"), F.count(F.lit(1)).alias("k"))
+    out = rows.drop("cold", "more").withColumn("n_cold", F.col("n_words") - F.col("known")).join(found.hint("merge"), "row", "left")
+    k, tokens = F.coalesce("k", F.lit(0)), F.col("n_words") + 1
+    base = F.col("base") + F.coalesce("s", F.lit(0.0)) - (F.col("n_cold") - k) + float(np.log10(ends + 0.1)) - tokens * float(np.log10(n + 0.1 * (v + 1)))
+    known = F.col("known") + k + int(ends > 0)
+    return out.select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("m", F.lit(0.0))).alias("score"))
