@@ -6,13 +6,13 @@ are cut by a public byte-level tokenizer, word by word, so a text's ids spell th
 The model: the probability of a token is that of its class, which attention gives from the subword ids of the tokens
 before it, times its share of the class. A word's class is that of its longest subword. A word of the training texts
 has (1 - e) * count / count of the class; any other has e times the probability of its spelling by subwords, each
-given the class of the one before it (the word's class for the first). e is the share of training tokens that occur
+given the one before it (the word's class for the first). e is the share of training tokens that occur
 once. The shares of a class sum to 1 at most, so scores are log probabilities.
 
 Learning reads every training document, in the same way at every size:
   * counts of all words, by partial counts and one shuffle;
   * classes of subword ids: k-means over which frequent words stand beside the words that they name;
-  * spelling counts, from all words that are not frequent;
+  * spelling counts, from all words that are not frequent: frequent ids after frequent ids, and after classes of ids;
   * attention: each document takes part in one of the rounds, so all are read once; the tasks of a round start from
     the same weights, and the mean of what they learn starts the next round.
 What grows with the corpus is shuffled; tables of fixed size (ids by classes or by neighbours) are summed in tasks.
@@ -50,8 +50,10 @@ CLASSES = 64
 #: Ids with an embedding of their own, and frequent words that count as a neighbour when classes are made.
 OWN = 2048
 NEIGHBOURS = 63
-#: Weight, in counts, of an id's share of all spellings against its share after a class.
-SMOOTH = 50.0
+#: Ids with a column of their own in the spelling table, and two more: a word's end, and all others.
+COLUMNS = 4096
+#: Weight, in counts, of the shares after an id's class against those after the id, and of all shares against those after a class.
+SMOOTH = 20.0
 #: Step sizes of the rounds of training.
 RATES = (0.02, 0.01, 0.005, 0.0025)
 #: Tokens that a training task holds in memory at once.
@@ -171,9 +173,9 @@ class Model(NamedTuple):
     #: For each id: its row of the embeddings and its class.
     row: np.ndarray
     label: np.ndarray
-    #: log10 of the count of each class, and of the share of spellings (class before, or -1 - the word's class; id; the last is a word's end).
+    #: log10 of the count of each class.
     mass: np.ndarray
-    spelling: np.ndarray
+    spelling: Spelling | None
     #: log10 of the weights of words that were counted and of spellings.
     seen: float
     unseen: float
@@ -266,19 +268,25 @@ def _lists(batches: Iterator[pa.RecordBatch], at_once: int = PIECE_TOKENS) -> It
 
 
 def _total(parts: DataFrame) -> np.ndarray | None:
-    """The sum of the parts' tables (a column of float64 bytes); few rows reach the driver, however many parts there are."""
+    """The sum of the parts' tables (a column of float32 bytes); few rows reach the driver, however many parts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                x = np.frombuffer(x, np.float64)
-                total = x if total is None else total + x
+            for x in batch.column(0):
+                x = np.frombuffer(x.as_buffer(), np.float32)
+                if total is None:
+                    total = x.astype(np.float64)
+                else:
+                    total += x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["w"])
+            yield _row(total)
 
-    found = [np.frombuffer(r[0], np.float64) for r in parts.repartition(SUMS).mapInArrow(run, "w binary").toLocalIterator()]
-    return sum(found[1:], found[0]) if found else None
+    total = None
+    for r in parts.repartition(SUMS).mapInArrow(run, "w binary").toLocalIterator():
+        x = np.frombuffer(r[0], np.float32)
+        total = x.astype(np.float64) if total is None else total + x
+    return total
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -287,20 +295,22 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def _row(table: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(table, np.float64).tobytes()], pa.binary())], names=["w"])
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(table, np.float32).tobytes()], pa.binary())], names=["w"])
 
 
-def key_counts(ids: DataFrame, pieces: Pieces) -> np.ndarray:
-    """How often each id is the longest of a word, over rows of (ids)."""
+def id_counts(ids: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """How often each id is the longest of a word, and how often it occurs, over rows of (ids)."""
+    n = len(pieces.begins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(pieces.begins), np.int64)
+        total = np.zeros(2 * n, np.int64)
         for ((flat, _),) in _lists(batches):
-            total += np.bincount(pieces.words(flat)[2], minlength=len(total))
+            total[:n] += np.bincount(pieces.words(flat)[2], minlength=n)
+            total[n:] += np.bincount(flat, minlength=n)
         yield _row(total)
 
     got = _total(_few(ids).mapInArrow(run, "w binary"))
-    return np.zeros(len(pieces.begins)) if got is None else got
+    return (np.zeros(n), np.zeros(n)) if got is None else (got[:n], got[n:])
 
 
 def neighbours(ids: DataFrame, pieces: Pieces, bucket: np.ndarray) -> np.ndarray:
@@ -347,47 +357,73 @@ def classes(m: np.ndarray, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
     return label
 
 
-def spellings(rows: DataFrame, pieces: Pieces, label: np.ndarray) -> np.ndarray:
-    """Counts (2 * CLASSES, ids + 1) over rows of (ids, cold_at): ids after a class, and from CLASSES on, first ids of words of a class.
+class Spelling(NamedTuple):
+    """Shares of ids after the id before. Rows: ids with an embedding of their own, classes of the others, classes of words (for their first id)."""
+
+    row: np.ndarray
+    #: For each id, and last for a word's end: the column, and log10 of the share of the column.
+    column: np.ndarray
+    within: np.ndarray
+    #: log10 shares of the columns in each row.
+    share: np.ndarray | None
+
+    @classmethod
+    def empty(cls, row: np.ndarray, by_id: np.ndarray) -> Spelling:
+        """The most frequent ids have columns of their own; the others share the last."""
+        weight = np.append(by_id + 0.5, 1.0)
+        column = np.full(len(weight), COLUMNS - 1)
+        own = np.argsort(-by_id, kind="stable")[: COLUMNS - 2]
+        column[own], column[-1] = np.arange(len(own)), COLUMNS - 2
+        rest = np.bincount(column, weights=weight, minlength=COLUMNS)
+        return cls(row, column, np.log10(weight / rest[column]), None)
+
+    def runs(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place of each word, row, id) of the ids and the ends of words with the classes own."""
+        end = len(self.row)
+        longer = sizes + 1
+        firsts = np.cumsum(longer) - longer
+        at = np.arange(int(longer.sum())) + np.repeat(starts - firsts, longer)
+        ids = flat[np.minimum(at, max(0, len(flat) - 1))].astype(np.int64)
+        ids[firsts + sizes] = end
+        before = np.concatenate([[0], self.row[np.minimum(ids[:-1], end - 1)]]) if len(ids) else ids
+        before[firsts] = OWN + CLASSES + own
+        return firsts, before, ids
+
+    def log_p(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log10 of the shares of words of the classes own."""
+        if not len(starts):
+            return np.empty(0)
+        firsts, before, ids = self.runs(flat, starts, sizes, own)
+        return np.add.reduceat(self.share[before, self.column[ids]] + self.within[ids], firsts, dtype=np.float64)
 
-    The last column counts the ends of words.
-    """
-    wide = len(label) + 1
+
+def spelled(rows: DataFrame, pieces: Pieces, label: np.ndarray, spelling: Spelling) -> Spelling:
+    """spelling with shares from the cold words of rows of (ids, cold_at)."""
+    tall = OWN + 2 * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CLASSES * wide, np.int32)
+        total = np.zeros(tall * COLUMNS, np.int32)
         for (flat, lengths), (at, some) in _lists(batches):
             starts, sizes, keys = pieces.words(flat)
             text = np.repeat(np.arange(len(lengths)), lengths)[starts]
-            firsts = np.searchsorted(text, np.arange(len(lengths)))
-            cold = np.repeat(firsts, some) + at
-            starts, sizes, keys = starts[cold], sizes[cold], keys[cold]
-            _, before, ids = _spelled(flat, starts, sizes, label[keys], label, wide - 1)
-            found, n = np.unique(before * wide + ids, return_counts=True)
+            cold = np.repeat(np.searchsorted(text, np.arange(len(lengths))), some) + at
+            _, before, ids = spelling.runs(flat, starts[cold], sizes[cold], label[keys[cold]])
+            found, n = np.unique(before * COLUMNS + spelling.column[ids], return_counts=True)
             total[found] += n.astype(np.int32)
         yield _row(total)
 
     got = _total(_few(rows).mapInArrow(run, "w binary"))
-    return np.zeros((2 * CLASSES, wide)) if got is None else got.reshape(2 * CLASSES, wide)
-
-
-def _spelled(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, label: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each word, row of the spelling table, column) of the ids and the ends of words with the classes own."""
-    longer = sizes + 1
-    firsts = np.cumsum(longer) - longer
-    at = np.arange(int(longer.sum())) + np.repeat(starts - firsts, longer)
-    ids = flat[np.minimum(at, max(0, len(flat) - 1))].astype(np.int64)
-    ids[firsts + sizes] = end
-    before = np.concatenate([[0], label[np.minimum(ids[:-1], end - 1)]]) if len(ids) else ids
-    before[firsts] = CLASSES + own
-    return firsts, before, ids
-
-
-def spelling_shares(counts: np.ndarray) -> np.ndarray:
-    """log10 shares of the ids in each row, smoothed with their shares over all rows."""
+    counts = np.zeros((tall, COLUMNS)) if got is None else got.reshape(tall, COLUMNS)
     alone = counts.sum(0) + 0.5
     alone /= alone.sum()
-    return np.log10((counts + SMOOTH * alone) / (counts.sum(1)[:, None] + SMOOTH)).astype(np.float32)
+    # the class of each row; an id's own shares are smoothed with those of its class, and these with the shares of all
+    kind = np.arange(tall) - OWN
+    kind[:OWN] = CLASSES - 1
+    kind[spelling.row[spelling.row < OWN]] = label[np.flatnonzero(spelling.row < OWN)]
+    by_class = np.zeros((2 * CLASSES, COLUMNS))
+    np.add.at(by_class, kind, counts)
+    by_class = (by_class + SMOOTH * alone) / (by_class.sum(1)[:, None] + SMOOTH)
+    return spelling._replace(share=np.log10((counts + SMOOTH * by_class[kind]) / (counts.sum(1)[:, None] + SMOOTH)).astype(np.float32))
 
 
 def _tokens(model: Model, flat: np.ndarray, lengths: np.ndarray) -> tuple[attention.Tokens, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -460,7 +496,7 @@ def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     order = np.argsort(h)
     rows = materialize(encoded(docs, ~learning, (h[order], c[order]), ranks, id_col, text_col), "encoded")
     texts = rows.filter(~F.col("held_out"))
-    by_key = key_counts(texts.select("ids"), pieces)
+    by_key, by_id = id_counts(texts.select("ids"), pieces)
     ranked = np.argsort(-by_key, kind="stable")
     bucket = np.full(end + 1, NEIGHBOURS, np.int64)
     bucket[ranked[:NEIGHBOURS]] = np.arange(NEIGHBOURS)
@@ -468,10 +504,10 @@ def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     label[end] = 0
     row = label + OWN
     row[ranked[:OWN]] = np.arange(min(OWN, len(ranked)))
-    share = spelling_shares(spellings(texts.select("ids", "cold_at"), pieces, label))
+    spelling = spelled(texts.select("ids", "cold_at"), pieces, label, Spelling.empty(row, by_id))
     mass = np.bincount(label, weights=by_key, minlength=CLASSES)
     rare = min(0.5, max(once, 1) / max(int(n), 2))
-    model = Model(attention.initial(OWN + CLASSES, CLASSES), pieces, row.astype(np.int32), label, np.log10(np.maximum(mass, 1)), share, float(np.log10(1 - rare)), float(np.log10(rare)))
+    model = Model(attention.initial(OWN + CLASSES, CLASSES), pieces, row.astype(np.int32), label, np.log10(np.maximum(mass, 1)), spelling, float(np.log10(1 - rare)), float(np.log10(rare)))
     model = _trained(texts.select("ids", "round"), model)
     return Learned(model, counts, rows, int(n) + ends, int(distinct) + bool(ends), ends)
 
@@ -497,9 +533,7 @@ def score_texts(model: Model, flat: np.ndarray, lengths: np.ndarray, cold: np.nd
     counted = model.seen - model.mass[label[place]]
     firsts = np.searchsorted(text, np.arange(len(lengths)))
     which = np.repeat(firsts, cold_sizes) + cold
-    begin, before, ids = _spelled(flat, starts[which], word_sizes[which], label[place[which]], model.label, len(model.label))
-    spelled = model.unseen + np.add.reduceat(model.spelling[before, ids], begin, dtype=np.float64) if len(which) else np.empty(0)
-    more = counted[which] - spelled
+    more = counted[which] - model.unseen - model.spelling.log_p(flat, starts[which], word_sizes[which], label[place[which]])
     out += np.bincount(text, weights=counted, minlength=len(out)) - np.bincount(text[which], weights=more, minlength=len(out))
     return out, more
 
