@@ -15,7 +15,7 @@ import numpy as np
 #: Width of the model, window length, and how far windows overlap when texts are scored.
 WIDTH = 16
 WINDOW = 24
-OVERLAP = 8
+OVERLAP = 4
 
 
 class Tokens(NamedTuple):
@@ -45,6 +45,11 @@ def means(embed: np.ndarray, t: Tokens, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(embed[rows], firsts) / sizes[:, None].astype(embed.dtype)
 
 
+def _qkv(p: dict[str, np.ndarray], flat: np.ndarray, shape: tuple[int, ...]) -> list[np.ndarray]:
+    every = flat @ np.hstack([p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]])
+    return [np.ascontiguousarray(every[:, i : i + WIDTH]).reshape(shape) for i in range(0, 3 * WIDTH, WIDTH)]
+
+
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 #: Scores are kept within these bounds, so that exponents need no shift.
 _BOUND = np.float32(60)
@@ -57,8 +62,7 @@ def class_log_p(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np
     """
     x = x + p["place"]
     flat = x.reshape(-1, WIDTH)
-    q = (flat @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(x.shape)
-    k, v = (flat @ p["k"]).reshape(x.shape), (flat @ p["v"]).reshape(x.shape)
+    q, k, v = _qkv(p, flat, x.shape)
     a = q @ k.transpose(0, 2, 1)
     np.clip(a, -_BOUND, _BOUND, out=a)
     np.exp(a, out=a)
@@ -81,40 +85,43 @@ def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray
     """Mean loss over the places of weight 1 of windows of tokens (at, windows by places), and its gradients."""
     rows, firsts, sizes = _gathered(t, at.ravel())
     share = (1 / sizes).astype(np.float32)
-    x = (np.add.reduceat(p["embed"][rows], firsts) * share[:, None]).reshape(*at.shape, WIDTH) + p["place"]
+    shape = (*at.shape, WIDTH)
+    flat = np.add.reduceat(p["embed"][rows], firsts)
+    flat *= share[:, None]
+    flat.reshape(shape)[:] += p["place"]
     scale = np.float32(WIDTH**-0.5)
-    q, k, v = x @ (p["q"] * scale), x @ p["k"], x @ p["v"]
+    q, k, v = _qkv(p, flat, shape)
     a = q @ k.transpose(0, 2, 1)
     np.clip(a, -_BOUND, _BOUND, out=a)
     np.exp(a, out=a)
     a *= _SEEN
-    a /= a.sum(2, keepdims=True)
-    seen = a @ v
-    h = (x + seen @ p["o"]).reshape(-1, WIDTH)
-    e = h @ p["out"] + p["bias"]
-    e -= e.max(1, keepdims=True)
+    a /= a.sum(2)[:, :, None]
+    seen = (a @ v).reshape(flat.shape)
+    h = flat + seen @ p["o"]
+    d = h @ p["out"]
+    d += p["bias"]
+    np.clip(d, -_BOUND, _BOUND, out=d)
     n = max(1.0, float(weight.sum()))
-    places = np.arange(len(e))
-    target = e[places, y.ravel()]
-    np.exp(e, out=e)
-    total = e.sum(1)
-    loss = float(((np.log(total) - target) * weight.ravel()).sum()) / n
-    d = e
-    d /= total[:, None]
-    d[places, y.ravel()] -= 1
-    d *= weight.reshape(-1, 1) / np.float32(n)
+    places, mass = np.arange(len(d)), weight.ravel()
+    target = d[places, y.ravel()]
+    np.exp(d, out=d)
+    total = d.sum(1)
+    loss = float(((np.log(total) - target) * mass).sum()) / n
+    part = (mass / n).astype(d.dtype)
+    d *= (part / total)[:, None]
+    d[places, y.ravel()] -= part
     g = {"out": h.T @ d, "bias": d.sum(0)}
-    dh = (d @ p["out"].T).reshape(x.shape)
-    g["o"] = seen.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
-    dseen = dh @ p["o"].T
-    dv = a.transpose(0, 2, 1) @ dseen
+    dh = d @ p["out"].T
+    g["o"] = seen.T @ dh
+    dseen = (dh @ p["o"].T).reshape(shape)
     da = dseen @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ p["q"].T + (dk @ p["k"].T) + dv @ p["v"].T
-    flat = x.reshape(-1, WIDTH).T
-    g |= {"q": flat @ dq.reshape(-1, WIDTH), "k": flat @ dk.reshape(-1, WIDTH), "v": flat @ dv.reshape(-1, WIDTH), "place": dx.sum(0)}
-    back = np.repeat(dx.reshape(-1, WIDTH) * share[:, None], sizes, axis=0)
+    da -= (da * a).sum(2)[:, :, None]
+    da *= a
+    dq, dk, dv = (z.reshape(flat.shape) for z in (da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dseen))
+    dq *= scale
+    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    g |= {"q": flat.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv, "place": dx.reshape(shape).sum(0)}
+    back = np.repeat(dx * share[:, None], sizes, axis=0)
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     cuts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
@@ -123,7 +130,7 @@ def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray
     return loss, g
 
 
-def train(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, seed: int = 0, batch: int = 64) -> tuple[dict[str, np.ndarray], float]:
+def train(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, seed: int = 0, batch: int = 128) -> tuple[dict[str, np.ndarray], float]:
     """Weights after one pass of Adam over the windows in a random order, and the mean loss."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))

@@ -57,11 +57,11 @@ SMOOTH = 20.0
 #: Step sizes of the rounds of training.
 RATES = (0.02, 0.01, 0.005, 0.0025)
 #: Tokens that a training task holds in memory at once.
-PIECE_TOKENS = 1_000_000
+PIECE_TOKENS = 400_000
 #: Rows that reach the driver where tasks' tables are summed.
 SUMS = 4
 #: Words that a worker remembers.
-CACHE = 1 << 19
+CACHE = 1 << 18
 _PIECE = 64
 _BATCH = 512
 #: Words counted together.
