@@ -58,8 +58,9 @@ SMOOTH = 20.0
 RATES = (0.02, 0.01, 0.005, 0.0025)
 #: Tokens that a training task holds in memory at once.
 PIECE_TOKENS = 400_000
-#: Rows that reach the driver where tasks' tables are summed.
-SUMS = 4
+#: Tasks that sum the tables of others, and cells of a table that are a row.
+SUMS = 8
+BLOCK = 1 << 16
 #: Words that a worker remembers.
 CACHE = 1 << 18
 _PIECE = 64
@@ -267,26 +268,24 @@ def _lists(batches: Iterator[pa.RecordBatch], at_once: int = PIECE_TOKENS) -> It
         yield [tuple(map(np.concatenate, zip(*c))) for c in zip(*held)]
 
 
-def _total(parts: DataFrame) -> np.ndarray | None:
-    """The sum of the parts' tables (a column of float32 bytes); few rows reach the driver, however many parts there are."""
+def _total(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of tables of this size, given as rows of _blocks()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0):
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(x.as_buffer(), np.float32)
-                if total is None:
-                    total = x.astype(np.float64)
-                else:
-                    total += x
-        if total is not None:
-            yield _row(total)
+                total[b] = total[b] + x if b in total else x.astype(np.float64)
+        for b, x in total.items():
+            yield _block(b, x)
 
-    total = None
-    for r in parts.repartition(SUMS).mapInArrow(run, "w binary").toLocalIterator():
-        x = np.frombuffer(r[0], np.float32)
-        total = x.astype(np.float64) if total is None else total + x
-    return total
+    out = np.zeros(size)
+    # a block of the tables is summed in one task, which gets a row of it from each task before
+    for b, x in parts.repartition(SUMS, "b").mapInArrow(run, "b int, w binary").toLocalIterator():
+        part = np.frombuffer(x, np.float32)
+        out[b * BLOCK : b * BLOCK + len(part)] += part
+    return out
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -294,8 +293,16 @@ def _few(rows: DataFrame) -> DataFrame:
     return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def _row(table: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(table, np.float32).tobytes()], pa.binary())], names=["w"])
+def _block(b: int, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["b", "w"])
+
+
+def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A flat table as rows of BLOCK cells, but for those of zeros."""
+    for b in range(0, -(-len(table) // BLOCK)):
+        x = table[b * BLOCK : (b + 1) * BLOCK]
+        if x.any():
+            yield _block(b, x)
 
 
 def id_counts(ids: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -307,10 +314,10 @@ def id_counts(ids: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         for ((flat, _),) in _lists(batches):
             total[:n] += np.bincount(pieces.words(flat)[2], minlength=n)
             total[n:] += np.bincount(flat, minlength=n)
-        yield _row(total)
+        yield from _blocks(total)
 
-    got = _total(_few(ids).mapInArrow(run, "w binary"))
-    return (np.zeros(n), np.zeros(n)) if got is None else (got[:n], got[n:])
+    got = _total(_few(ids).mapInArrow(run, "b int, w binary"), 2 * n)
+    return got[:n], got[n:]
 
 
 def neighbours(ids: DataFrame, pieces: Pieces, bucket: np.ndarray) -> np.ndarray:
@@ -328,10 +335,9 @@ def neighbours(ids: DataFrame, pieces: Pieces, bucket: np.ndarray) -> np.ndarray
             before, after = keys[:-1][same], keys[1:][same]
             found, n = np.unique(np.concatenate([after * wide + bucket[before], before * wide + bucket[after] + NEIGHBOURS + 1]), return_counts=True)
             total[found] += n.astype(np.int32)
-        yield _row(total)
+        yield from _blocks(total)
 
-    got = _total(_few(ids).mapInArrow(run, "w binary"))
-    return np.zeros((len(bucket), wide)) if got is None else got.reshape(-1, wide)
+    return _total(_few(ids).mapInArrow(run, "b int, w binary"), len(bucket) * wide).reshape(-1, wide)
 
 
 def classes(m: np.ndarray, counts: np.ndarray, k: int = CLASSES) -> np.ndarray:
@@ -410,10 +416,9 @@ def spelled(rows: DataFrame, pieces: Pieces, label: np.ndarray, spelling: Spelli
             _, before, ids = spelling.runs(flat, starts[cold], sizes[cold], label[keys[cold]])
             found, n = np.unique(before * COLUMNS + spelling.column[ids], return_counts=True)
             total[found] += n.astype(np.int32)
-        yield _row(total)
+        yield from _blocks(total)
 
-    got = _total(_few(rows).mapInArrow(run, "w binary"))
-    counts = np.zeros((tall, COLUMNS)) if got is None else got.reshape(tall, COLUMNS)
+    counts = _total(_few(rows).mapInArrow(run, "b int, w binary"), tall * COLUMNS).reshape(tall, COLUMNS)
     alone = counts.sum(0) + 0.5
     alone /= alone.sum()
     # the class of each row; an id's own shares are smoothed with those of its class, and these with the shares of all
@@ -457,10 +462,11 @@ def _trained(rows: DataFrame, model: Model) -> Model:
                 new, _ = attention.train(new, t, at, label[y], weight.astype(np.float32), rate, seed=number + len(RATES) * piece)
                 mass, piece = mass + float(weight.sum()), piece + 1
             if piece:
-                yield _row(np.append(np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * mass, mass))
+                yield from _blocks(np.append(np.concatenate([new[k].ravel() for k in names]).astype(np.float64) * mass, mass))
 
-        total = _total(rows.filter(F.col("round") == number).select("ids").mapInArrow(run, "w binary"))
-        if total is None or not total[-1]:
+        every = sum(x.size for x in weights.values())
+        total = _total(rows.filter(F.col("round") == number).select("ids").mapInArrow(run, "b int, w binary"), every + 1)
+        if not total[-1]:
             continue
         mean, at = (total[:-1] / total[-1]).astype(np.float32), 0
         new = {}
