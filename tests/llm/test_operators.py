@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixflow.llm import attention, common, decontaminate, dedup, hamming, html, langid, lm, mixing, quality, secrets, urlrules
+from helixflow.llm import attention, common, decontaminate, dedup, hamming, langid, lm, mixing, quality, secrets, urlrules
 from helixflow.llm.components import connected
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, extra string"
@@ -362,49 +362,6 @@ def test_kneser_ney_is_a_distribution():
     assert total + 2 ** langid._log_p(model, np.append(codes, np.uint64(ord("z"))), np.array([3]), 4)[0, 0] == pytest.approx(1, abs=1e-5)
 
 
-# ---------------------------------------------------------------- 7 HTML
-
-
-@pytest.mark.parametrize(
-    ("page", "text"),
-    [
-        (None, ""),
-        ("", ""),
-        ("<p>a<p>b", "a\n\nb"),
-        ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n  3. x\n  4. y\n- c"),
-        ("<table><tr><th>h<th>long head<tr><td>1<td>2</table>", "h | long head\n1 | 2"),
-        ("a &lt; b < c &amp; d<br>e", "a < b < c & d\ne"),
-        ("<head><title>t</title></head><body>x<script>var t='</p>';</script><style>p{}</style><!-- c --><b>y</b>z", "xyz"),
-        ("<div>a</div><div hidden>b</div><div style='display: NONE'>c</div>d", "a\nd"),
-        ("<pre>  x\n y</pre>z", "  x\n y\n\nz"),
-        ("<blockquote>q<p>r</blockquote>s", "> q\n\n> r\n\ns"),
-        ("<dl><dt>t<dd>d</dl>", "t\n  d"),
-        ("a<img alt='pic'>b", "a pic b"),
-        ("</p></div><li>x</li>", "x"),
-    ],
-)
-def test_html(page, text):
-    assert html.extract(page) == text
-
-
-def test_html_keeps_all_text_and_survives_noise(spark):
-    rng = random.Random(0)
-    tags = ["p", "div", "table", "tr", "td", "ul", "li", "b", "span", "pre", "br", "h1", "blockquote"]
-    for _ in range(200):
-        parts, ws = [], []
-        for i in range(30):
-            t = rng.choice(tags)
-            parts.append(rng.choice([f"<{t}>", f"</{t}>", f"<{t} class='x'>"]))
-            ws.append(f"w{i}")
-            parts.append(f" w{i} ")
-        out = html.extract("".join(parts))
-        assert sorted(re.findall(r"w\d+", out)) == sorted(ws)
-    deep = "<div>" * 5000 + "x" + "</div>" * 5000 + "<table><tr><td>" * 300 + "y"
-    assert re.findall("[xy]", html.extract(deep)) == ["x", "y"]
-    df = spark.createDataFrame([(1, None, "t"), (1, "<p>a", "t")], "page_id bigint, html string, title string")
-    assert sorted(r["content"] for r in html.extract_text(df).collect()) == ["", "a"]
-
-
 # ---------------------------------------------------------------- 8 secrets
 
 
