@@ -2,26 +2,30 @@
 
 A text is layer 0. Each layer is scanned for the three kinds of secrets and for encoded parts: percent-encoded
 bytes, Unicode and HTML escapes (both decoded in place, so that what stands around them stays), and base64 runs,
-whose content, unpacked where it is compressed (gzip, zlib, zstd), is a layer of its own. New layers go on the
-worklist until none is left. A layer whose content was seen before at the same place is skipped, so a cycle (a
-compressed file that unpacks to itself) ends. Each layer keeps, for each of its characters, the range of the original
-text that it comes from; spans found in it are reported as that range.
+whose content, unpacked where it is compressed (gzip, zlib, zstd, bzip2, xz; all members of a stream), is a layer of
+its own. A run is decoded at each of its first four characters, so text glued to its front does not hide it. Bytes that
+are no UTF-8 are passed over one by one; the text around them stays. New layers go on the worklist until none is left.
+A layer whose content was seen before at the same place is skipped, so a cycle (a compressed file that unpacks to
+itself) ends. Each layer keeps, for each of its characters, the range of the original text that it comes from; spans
+found in it are reported as that range (of a base64 run: the whole run).
 
-Bounds: a layer unpacked from compressed bytes is read up to max_unpacked characters (a guard against bombs; a text's
-own characters are all scanned), and a text's layers together up to as much; nothing else is cut.
+Bombs: what is unpacked from one run of the original text, over all layers, is read up to EXPANSION times the run's
+length and 1 MB more. Text compresses far less than that. A run beyond it is counted in n_cut; other runs, and layers
+that are only encoded, are never cut.
 
 Defined results: null text is empty and has no spans; empty tables give empty results; rows are independent, so
-repeated rows give repeated results.
+repeated rows give repeated results; texts of any length are scanned whole; columns of these names are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,10 +43,11 @@ _HINTS = ("passw", "secret", "token", "key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uU]([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The shortest stretch of bytes that can hold a secret or an encoded one.
+_STRETCH = re.compile(rb"[\x20-\x7e]{12,}")
 _ESCAPE_HINT = re.compile(r"\\[uUx][0-9A-Fa-f{]|&#")
-MAX_UNPACKED = 1 << 24
-#: Share of printable characters from which decoded bytes count as text.
-PRINTABLE = 0.9
+EXPANSION = 256
+_MEGABYTE = 1 << 20
 
 
 class Span(NamedTuple):
@@ -64,47 +69,52 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Layer(NamedTuple):
-    """Decoded text; character i comes from original[from_[i]:to[i]] (None: the layer is the original)."""
+    """Decoded text; character i comes from original[from_[i]:to[i]], or all of it from one range (of the original: from_ is None)."""
 
     text: str
-    from_: np.ndarray | None
-    to: np.ndarray | None
+    from_: np.ndarray | int | None
+    to: np.ndarray | int | None
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.from_ is None:
             return start, end
-        return int(self.from_[start:end].min()), int(self.to[start:end].max())
-
-
-def _in_place(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer:
-    """layer with each part (start, end, decoded) replaced."""
-    text, out, froms, tos, at = layer.text, [], [], [], 0
-    n = len(text)
-    own_from = np.arange(n) if layer.from_ is None else layer.from_
-    own_to = np.arange(1, n + 1) if layer.to is None else layer.to
-    for start, end, new in parts:
-        out += [text[at:start], new]
-        a, b = layer.place(start, end)
-        froms += [own_from[at:start], np.full(len(new), a)]
-        tos += [own_to[at:start], np.full(len(new), b)]
-        at = end
-    return Layer("".join([*out, text[at:]]), np.concatenate([*froms, own_from[at:]]), np.concatenate([*tos, own_to[at:]]))
+        if isinstance(self.from_, int):
+            return self.from_, self.to
+        return int(self.from_[start]), int(self.to[end - 1])
+
+
+def _in_place(layer: Layer, starts: np.ndarray, ends: np.ndarray, new: np.ndarray) -> Layer:
+    """layer with each part (starts .. ends) replaced by one character of the codes new."""
+    codes = np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    codes[starts] = new
+    edges = np.zeros(len(codes) + 1, np.int64)
+    edges[starts + 1] += 1
+    edges[ends] -= 1
+    keep = np.cumsum(edges[:-1]) == 0
+    text = codes[keep].tobytes().decode("utf-32-le", "surrogatepass")
+    if isinstance(layer.from_, int):
+        return Layer(text, layer.from_, layer.to)
+    from_ = np.arange(len(codes)) if layer.from_ is None else layer.from_
+    to = np.arange(1, len(codes) + 1) if layer.to is None else layer.to.copy()
+    to[starts] = to[ends - 1]
+    return Layer(text, from_[keep], to[keep])
 
 
 def _percent(layer: Layer) -> Layer | None:
-    """Each run of encoded bytes is decoded where it is UTF-8."""
-    parts = []
+    """Runs of encoded bytes are decoded where they are UTF-8; other bytes stay as they are."""
+    starts, ends, new = [], [], []
     for m in _PERCENT.finditer(layer.text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            new = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if len(new) == len(raw):  # one byte for each character: spans stay exact
-            parts += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(new)]
-        else:
-            parts.append((m.start(), m.end(), new))
-    return _in_place(layer, parts) if parts else None
+        found = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+        codes = np.frombuffer(found.encode("utf-32-le", "surrogatepass"), np.uint32)
+        good = (codes < 0xD800) | (codes > 0xDFFF)
+        size = 3 * np.where(good, 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), 1).astype(np.int64)
+        stop = m.start() + np.cumsum(size)
+        starts.append((stop - size)[good])
+        ends.append(stop[good])
+        new.append(codes[good])
+    if not sum(map(len, new)):
+        return None
+    return _in_place(layer, np.concatenate(starts), np.concatenate(ends), np.concatenate(new))
 
 
 def _escapes(layer: Layer) -> Layer | None:
@@ -112,62 +122,99 @@ def _escapes(layer: Layer) -> Layer | None:
     for m in _ESCAPE.finditer(layer.text):
         code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
-            parts.append((m.start(), m.end(), chr(code)))
-    return _in_place(layer, parts) if parts else None
-
-
-def _unpack(raw: bytes, limit: int) -> bytes | None:
-    """Content of compressed bytes, up to limit; None: not compressed, or broken."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, limit)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, limit)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import io
-
-            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read(limit)
-    except (zlib.error, zstandard.ZstdError):
-        pass
-    return None
+            parts.append((m.start(), m.end(), code))
+    return _in_place(layer, *(np.array(x) for x in zip(*parts))) if parts else None
 
 
-def _decoded(raw: bytes, limit: int) -> str | None:
-    """Text in raw bytes, unpacked as often as it is compressed; None if there is none."""
-    seen = set()
-    while (inner := _unpack(raw, limit)) is not None:
-        key = hashlib.sha256(inner).digest()
-        if key in seen:
-            return None
-        seen.add(key)
-        raw = inner
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if text and good >= PRINTABLE * len(text) else None
+#: First bytes of compressed streams, and what makes a decompressor of one member.
+PACKED: tuple[tuple[bytes, Callable], ...] = (
+    (b"\x1f\x8b", lambda: zlib.decompressobj(31)),
+    (b"\x28\xb5\x2f\xfd", lambda: zstandard.ZstdDecompressor().decompressobj()),
+    (b"BZh", bz2.BZ2Decompressor),
+    (b"\xfd7zXZ\x00", lzma.LZMADecompressor),
+)
+
+
+def _unpacker(raw: bytes) -> Callable | None:
+    for magic, make in PACKED:
+        if raw.startswith(magic):
+            return make
+    if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj
+    return None
 
 
-def _runs(layer: Layer, limit: int) -> Iterator[Layer]:
+def _unpack(raw: bytes, limit: int) -> tuple[bytes, bool] | None:
+    """(content of compressed bytes up to limit, whether there was more); None: not compressed, or broken from the start.
+
+    All members are read; of a broken stream, what came before the fault.
+    """
+    make = _unpacker(raw)
+    if make is None:
+        return None
+    out, n = [], 0
+    while raw and make is not None:
+        d = make()
+        for at in range(0, len(raw), 1 << 12):
+            try:
+                # what a few KB unpack to fits into memory for each of these formats
+                part = d.decompress(raw[at : at + (1 << 12)])
+            except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError):
+                return (b"".join(out), False) if n else None
+            out.append(part[: max(0, limit - n)])
+            n += len(part)
+            if n > limit:
+                return b"".join(out), True
+            if d.eof:
+                raw = d.unused_data + raw[at + (1 << 12) :]
+                break
+        else:
+            break
+        make = _unpacker(raw)
+    return b"".join(out), False
+
+
+class _Room:
+    """How much may still be unpacked from each range of the original."""
+
+    def __init__(self) -> None:
+        self.left: dict[tuple[int, int], int] = {}
+        self.cut: set[tuple[int, int]] = set()
+
+    def unpacked(self, raw: bytes, place: tuple[int, int]) -> bytes:
+        """raw, unpacked as often as it is compressed."""
+        seen = set()
+        while True:
+            left = self.left.setdefault(place, EXPANSION * (place[1] - place[0]) + _MEGABYTE)
+            found = _unpack(raw, left)
+            if found is None:
+                return raw
+            raw, more = found
+            self.left[place] = left - len(raw)
+            if more:
+                self.cut.add(place)
+            key = hashlib.sha256(raw).digest()
+            if more or key in seen:
+                return raw
+            seen.add(key)
+
+
+def _runs(layer: Layer, room: _Room) -> Iterator[Layer]:
     for m in _BASE64.finditer(layer.text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        text = _decoded(raw, limit)
-        if text is not None:
-            a, b = layer.place(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-
-
-def scan(text: str, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span], list[Span], int]:
-    """(base spans, all spans, number of layers) of a text."""
+        place = layer.place(m.start(), m.end())
+        for skip in range(4):
+            part = body[skip:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = room.unpacked(base64.b64decode(part + "=" * (-len(part) % 4)), place)
+            if _STRETCH.search(raw):
+                yield Layer(raw.decode("utf-8", "replace"), *place)
+
+
+def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
+    """(base spans, all spans, number of layers, ranges whose content was not read to its end) of a text."""
     base = base_spans(text)
-    work, seen, every, layers, room = [Layer(text, None, None)], set(), set(base), 0, max_unpacked
+    work, seen, every, layers, room = [Layer(text, None, None)], set(), set(base), 0, _Room()
     while work:
         layer = work.pop()
         layers += 1
@@ -180,45 +227,44 @@ def scan(text: str, max_unpacked: int = MAX_UNPACKED) -> tuple[list[Span], list[
             new.append(x)
         if _ESCAPE_HINT.search(layer.text) and (x := _escapes(layer)):
             new.append(x)
-        for x in [*new, *_runs(layer, max_unpacked)]:
-            key = (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), int(x.from_[0]) if len(x.text) else 0)
-            if x.text and key not in seen and (x in new or room >= len(x.text)):
-                room -= 0 if x in new else len(x.text)
+        for x in (*new, *_runs(layer, room)):
+            key = (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), x.place(0, 1)) if x.text else None
+            if key and key not in seen:
                 seen.add(key)
                 work.append(x)
-    return base, sorted(every), layers
+    return base, sorted(every), layers, len(room.cut)
 
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[s.kind]}:{s.start}:{s.end}" for s in spans)
 
 
-RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint"
+RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint, n_cut bigint"
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", max_unpacked: int = MAX_UNPACKED) -> DataFrame:
-    """docs with n_assign, n_access, n_hex (base spans of each kind), base_sha256, spans and n_layers.
+def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_assign, n_access, n_hex (base spans of each kind), base_sha256, spans, n_layers and n_cut.
 
     Columns of docs with these names are replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text in strings(batch.column(text_col)):
-                base, every, layers = scan(text, max_unpacked)
+                base, every, layers, cut = scan(text)
                 kinds = [s.kind for s in base]
-                row = (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), layers)
+                row = (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), layers, cut)
                 for c, v in zip(cols, row):
                     c.append(v)
-            types = (pa.int64(),) * 3 + (pa.string(), pa.string(), pa.int64())
+            types = (pa.int64(),) * 3 + (pa.string(), pa.string(), pa.int64(), pa.int64())
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield with_arrays(batch, {n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
     return docs.mapInArrow(run, with_schema(docs, RESULT))
 
 
-def masked(docs: DataFrame, text_col: str = "text", mask: str = "*", max_unpacked: int = MAX_UNPACKED) -> DataFrame:
+def masked(docs: DataFrame, text_col: str = "text", mask: str = "*") -> DataFrame:
     """docs with each character of a secret span in text_col replaced by mask; nothing else changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +272,7 @@ def masked(docs: DataFrame, text_col: str = "text", mask: str = "*", max_unpacke
             out = []
             for text in batch.column(text_col).to_pylist():
                 if text:
-                    _, every, _ = scan(text, max_unpacked)
+                    every = scan(text)[1]
                     parts, at = [], 0
                     for s in every:
                         if s.end > at:
