@@ -46,6 +46,12 @@ def _permuted(x: str, n: str, epoch: str, inverse: bool = False) -> str:
     return f"list_reduce(list_prepend(cast({x} as bigint), {rounds}), lambda a, r: case when {bit} = 1 then {other} else a end)"
 
 
+def _mix32(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, {x}) * {0x45D9F3B}) & 4294967295)"
+    return f"xor(({x}) >> 16, {x})"
+
+
 OP3 = f"""with sz as (select doc_id, source, cast(len({_WORDS.format("coalesce(text, '')")}) as bigint) as size from documents),
 per as (select source, cast(sum(size) as bigint) as ss from sz group by source),
 rk as (select *, cast(row_number() over (order by source nulls last) - 1 as bigint) as rank from per),
@@ -58,14 +64,24 @@ t3 as (select *, {_permuted('blocks - 1', 'blocks', 'epochs', True)} as last_at
 t4 as (select *, case when rest <= last_at * {_L} then rest // {_L} when rest < last_at * {_L} + last_len then last_at else (rest + {_L} - last_len) // {_L} end as whole,
   case when rest <= last_at * {_L} then rest % {_L} when rest < last_at * {_L} + last_len then rest - last_at * {_L} else (rest + {_L} - last_len) % {_L} end as part from t3),
 t5 as (select *, epochs * blocks + whole + case when part > 0 then 1 else 0 end as slots from t4),
-sl as (select *, unnest(range(slots)) as slot from t5),
+sh as (select greatest(1, (sum(need) + {mixing.SHARD_TOKENS - 1}) // {mixing.SHARD_TOKENS}) as shards from t5),
+kr as (select rank, {_mix32(f"rank + {mixing.SEED}")} as kr from t5),
+kh as (select rank, {_mix32("kr")} as kh from kr),
+dr as (select t5.rank, i, cast(kh as bigint) as kh, shards from (select rank, unnest(range(slots)) as i from t5) t5 join kh using (rank) cross join sh),
+d1 as (select rank, i, shards, xor(i, kh) as x from dr),
+d2 as (select rank, i, shards, (xor(x >> 16, x) * 73244475) & 4294967295 as x from d1),
+d3 as (select rank, i, shards, (xor(x >> 16, x) * 73244475) & 4294967295 as x from d2),
+ds as (select rank, xor(x >> 16, x) % shards as shard from d3),
+dn as (select rank, shard, row_number() over (partition by rank order by shard) - 1 as slot from ds),
+sl as (select t5.*, slot, shard from t5 join dn using (rank)),
 sb as (select *, slot // blocks as epoch, slot % blocks as place from sl),
 sp as (select *, {_permuted('place', 'blocks', 'epoch')} as block from sb),
-st as (select rank, block, case when epoch < epochs or place < whole then (case when block = blocks - 1 then last_len else {_L} end) else part end as take from sp),
-dk as (select sz.*, tg.rank, tg.ss, tg.target, coalesce(((doc_id % {mixing.BUCKETS}) + {mixing.BUCKETS}) % {mixing.BUCKETS}, -1) as bucket from sz join tg on sz.source is not distinct from tg.source),
+st as (select rank, block, shard, case when epoch < epochs or place < whole then (case when block = blocks - 1 then last_len else {_L} end) else part end as take from sp),
+dk as (select sz.*, tg.rank, tg.ss, tg.target, case when doc_id is null then size + {mixing.BUCKETS} else (((doc_id + size) % {mixing.BUCKETS}) + {mixing.BUCKETS}) % {mixing.BUCKETS} end as bucket from sz join tg on sz.source is not distinct from tg.source),
 ofs as (select *, cast(coalesce(sum(size) over (partition by rank order by bucket, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as off from dk),
 pc as (select rank, off, size, unnest(range(off // {_L}, (off + size - 1) // {_L} + 1)) as block from ofs where size > 0),
-got as (select pc.rank, pc.off, sum(greatest(0, least(least(off + size, (pc.block + 1) * {_L}) - pc.block * {_L}, take) - (greatest(off, pc.block * {_L}) - pc.block * {_L}))) as taken from pc join st on pc.rank = st.rank and pc.block = st.block group by pc.rank, pc.off)
-select doc_id, o.source, size, ss as source_size, target, cast(coalesce(case when size > 0 then taken end, 0) as bigint) as taken from ofs o left join got g on o.rank = g.rank and o.off = g.off"""
+us as (select pc.rank, pc.off, shard, greatest(0, least(least(off + size, (pc.block + 1) * {_L}) - pc.block * {_L}, take) - (greatest(off, pc.block * {_L}) - pc.block * {_L})) as n from pc join st on pc.rank = st.rank and pc.block = st.block),
+got as (select rank, off, sum(n) as taken, min(case when n > 0 then shard end) as first_shard from us group by rank, off)
+select doc_id, o.source, size, ss as source_size, target, cast(coalesce(case when size > 0 then taken end, 0) as bigint) as taken, cast(case when size > 0 then first_shard end as bigint) as first_shard from ofs o left join got g on o.rank = g.rank and o.off = g.off"""
 
 ORACLES: dict[str, str] = {"op2_near_dedup": OP2, "op3_mix_sources": OP3, "op4_decontaminate": OP4, "op5_exact_topk": OP5}

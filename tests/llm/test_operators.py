@@ -266,6 +266,44 @@ def test_mixing(spark, corpus):
     assert mixing.taken(docs.limit(0)).count() == 0
 
 
+def test_shards_draw_multinomial_counts(spark):
+    """Counts over shards vary as draws do, are independent from source to source, and decide the slots."""
+    shards, slots = 64, 20_000
+    sources = spark.createDataFrame([(r, slots + r, shards) for r in range(40)], "rank bigint, slots bigint, shards bigint")
+    drawn = mixing.shard_counts(sources).collect()
+    table = np.zeros((40, shards))
+    for r in drawn:
+        table[r["rank"], r["shard"]] = r["drawn"]
+        assert r["first"] == sum(x["drawn"] for x in drawn if x["rank"] == r["rank"] and x["shard"] < r["shard"])
+    expected = table.sum(1)[:, None] / shards
+    assert table.sum(1).tolist() == [slots + r for r in range(40)]
+    chi2 = ((table - expected) ** 2 / expected).sum(1) / (shards - 1)
+    assert 0.9 < chi2.mean() < 1.1 and 0.5 < chi2.min() and chi2.max() < 1.7  # 1 on average, with a deviation of 0.18
+    assert abs(np.corrcoef((table - expected) / np.sqrt(expected))[np.triu_indices(40, 1)]).mean() < 0.15
+
+
+def test_shards_hold_what_they_drew(spark, corpus):
+    docs = docs_frame(spark, corpus + [(None, "a b c")] * 3)
+    documents, pieces, plan = mixing.mix(docs, block_tokens=16, shard_tokens=2000)
+    plan = plan.collect()
+    shards = {r["shard"] for r in plan}
+    assert len(shards) > 2
+    counts = Counter((r["rank"], r["shard"]) for r in plan)
+    for rank in {r["rank"] for r in plan}:
+        n = sum(c for (k, _), c in counts.items() if k == rank)
+        want = Counter(r[0] for r in spark.range(n).select(mixing.shard_of(mixing.slot_key(mixing.source_key(F.lit(rank).cast("long")), F.col("id")), F.col("id"), F.lit(max(shards) + 1))).collect())
+        assert {s: c for (k, s), c in counts.items() if k == rank} == want
+    first = {}
+    for p in pieces.collect():
+        for u in plan:
+            if (u["rank"], u["block"]) == (p["rank"], p["block"]) and u["take"] > p["start"]:
+                key = (p["rank"], p["offset"])
+                first[key] = min(first.get(key, u["shard"]), u["shard"])
+    at = {(r["rank"], r["offset"]): (r["doc_id"], r["size"]) for r in documents.collect() if r["size"]}
+    got = Counter((r["doc_id"], r["size"], r["first_shard"]) for r in mixing.taken(docs, block_tokens=16, shard_tokens=2000).collect() if r["size"])
+    assert got == Counter((*at[k], first.get(k)) for k in at)
+
+
 def test_caps_are_shared_out(spark):
     rows = [(i, "w " * 10, "en", "a", "x") for i in range(2)] + [(10 + i, "w " * 100, "en", s, "x") for i in range(4) for s in ("b", "c")]
     got = {r["source"]: r["target"] for r in mixing.taken(spark.createDataFrame(rows, SCHEMA)).collect()}
