@@ -6,16 +6,22 @@
    them but for a chance under 1e-8 (t: six standard deviations under the mean; sets that fit into sketches have the
    exact t). So they share one of the rarest k - t + 1; only these values get inverted lists, and a value that many
    documents share (a licence line, a passage) gets one only from documents with little else.
-3. A short list gives its pairs, as rows. The members of long lists are dealt to blocks, by the longest list that each
-   is in, so a group of like classes shares a few blocks; two blocks meet in one task if some list has members of
-   both. Blocks are bounded in members and in hashes. The task compares the blocks as matrices and returns only links
-   that join something (a spanning forest), so a group of any size makes no rows for its pairs.
-4. A pair's similarity is estimated from the sketch of the union; what could reach the threshold is verified on the
+3. A short list gives its pairs, as rows. Members of long lists are listed again by the rarest values of their full
+   sets, by the same rule, which has no chance in it there: texts that share a template but are not alike enough share
+   no such value. What is short now gives pairs.
+4. The members of lists that are still long are dealt to blocks, by the longest list that each is in; blocks are
+   bounded in members and in hashes. First each block is compared with itself and with one other block, so that all
+   blocks that share lists make a chain; the links found make groups. Then two blocks of one list meet again only for members of different groups: those outside
+   of the group that most of both belong to visit the other block. So a group of like classes takes rows in proportion
+   to its size, however large. A task compares blocks as matrices and returns only links that join something.
+5. A pair's similarity is estimated from the sketch of the union; what could reach the threshold is verified on the
    full sets. Links go to connected components.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a document of fewer words than a
 shingle is one shingle. Rows of one doc_id are one document: they share a component. Rows with a null doc_id join
-their class but cannot be named: a class of only such rows has a null component, and kept is false for them.
+their class but cannot be named: a class of only such rows has a null component, and kept is false for them. Repeated
+rows give repeated results. The smallest doc_id of a component names it, so there are no ties. Texts of any length are
+read whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, materialize, mix64, text_chunks
@@ -40,6 +46,9 @@ SHORT = 3
 #: Bounds of a block: members and hashes (of their sets).
 BLOCK_ROWS, BLOCK_HASHES = 1024, 400_000
 _A = np.uint64(0xA0761D6478BD642F)
+_PAD = np.iinfo(np.int64).max
+#: Pairs estimated together.
+_PAIRS = 4096
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -111,19 +120,29 @@ def least_shared(n: Column, kept: Column, k: int = SKETCH, percent: int = PERCEN
     return F.when(n <= math.floor(j * k), F.ceil(n * percent / 100)).otherwise(sampled).cast("int")
 
 
-def inverted_lists(reps: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """(v, node, n, c): the values that classes are listed under, c: the list's length; lists of one member are left out."""
-    values = reps.select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+def inverted_lists(values: DataFrame, least: Column) -> DataFrame:
+    """(v, node, n, c): the values that classes are listed under, c: the list's length; lists of one member are left out.
+
+    values: (node, n, kept, v), each value once, of which a class has kept; least: how many of these it shares at least
+    with a class that it links to.
+    """
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     rows = values.join(shared, "v").groupBy("node", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
     # values of one class only are the rarest, and stand in no list of two
-    first = F.size("vs") - least_shared(F.col("n"), F.col("kept"), k, percent) + 1
+    first = F.size("vs") - least + 1
     rows = rows.filter(first > 0).select("node", "n", F.explode(F.slice("vs", F.lit(1), first)).alias("x")).select(F.col("x.v").alias("v"), "node", "n")
     rows = materialize(rows, "listed")
     many = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return materialize(rows.join(many, "v"), "lists")
 
 
+def _exact_lists(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The lists of the members of long by their full sets."""
+    members = long.select("node", "n").distinct()
+    values = sets.join(members, "node").select("node", "n", F.col("n").alias("kept"), F.explode("full").alias("v"))
+    return inverted_lists(values, F.ceil(F.col("n") * percent / 100).cast("int"))
+
+
 def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of classes that share a short list and are of like size."""
     own = short.select("v", F.col("node").alias("b"), F.col("n").alias("m"))
@@ -131,17 +150,47 @@ def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b").distinct()
 
 
-def _blocks(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, block) of the members of long lists, and the pairs of blocks (x, y), x <= y, that share a list."""
+def _dealt(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block) of the members of long lists, and the pairs of blocks (x, y), x < y, that share a list."""
     top = long.groupBy("node", "n").agg(F.max(F.struct("c", "v")).alias("t")).select("node", "n", F.col("t.v").alias("top"))
     sums = top.groupBy("top").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("h"))
-    top = top.join(sums, "top")
     parts = F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("h") / BLOCK_HASHES))
-    top = materialize(top.select("node", F.xxhash64("top", F.pmod(F.xxhash64("node"), parts)).alias("block")), "blocks", compact=True)
+    top = materialize(top.join(sums, "top").select("node", F.xxhash64("top", F.pmod(F.xxhash64("node"), parts)).alias("block")), "blocks", compact=True)
     met = long.join(top, "node").select("v", "block").distinct()
     met = materialize(met, "met", compact=True)
-    pairs = met.select("v", F.col("block").alias("x")).join(met.select("v", F.col("block").alias("y")), "v").filter("x <= y")
-    return top, pairs.select("x", "y").distinct()
+    pairs = met.select("v", F.col("block").alias("x")).join(met.select("v", F.col("block").alias("y")), "v").filter("x < y")
+    return top, materialize(pairs.select("x", "y").distinct(), "block-pairs", compact=True)
+
+
+def _first_meetings(dealt: DataFrame, chain: DataFrame | None) -> DataFrame:
+    """(host, chunk, side, node): each block (side 0), and one other (side 1) as its guest: the next in the chain (node, label) of blocks."""
+    own = dealt.select(F.col("block").alias("host"), F.lit(-1).alias("chunk"), F.lit(0).alias("side"), "node")
+    if chain is None:
+        return own
+    following = F.lead("node").over(Window.partitionBy("label").orderBy("node"))
+    hosts = chain.select(F.col("node").alias("host"), following.alias("block")).filter("block is not null")
+    return own.union(dealt.join(hosts, "block").select("host", F.lit(-1).alias("chunk"), F.lit(1).alias("side"), "node"))
+
+
+def _more_meetings(dealt: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, chunk, side, node): what must still be compared between the blocks of pairs, given the groups found so far."""
+    named = dealt.join(labels, "node", "left").select("node", "block", F.coalesce("label", "node").alias("label"))
+    named = materialize(named, "named", compact=True)
+    counts = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("block").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("k")).select("block", F.col("m.label").alias("main"), (F.col("m.c") == F.col("k")).alias("even"))
+    side = lambda name: main.select(F.col("block").alias(name), F.col("main").alias(f"main_{name}"), F.col("even").alias(f"even_{name}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("same", F.col("main_x") == F.col("main_y"))
+    # blocks of one main group: members outside of it visit the other block; else all of one block visit the other
+    visits = F.array(F.struct(F.col("x").alias("host"), F.col("y").alias("from"), "same", F.col("even_y").alias("even")), F.struct(F.col("y").alias("host"), F.col("x").alias("from"), "same", F.col("even_x").alias("even")))
+    visits = both.select(F.explode(visits).alias("s"), F.col("x")).filter("(s.same and not s.even) or (not s.same and s.host = x)").select("s.*")
+    visits = materialize(visits.select("host", "from", "same"), "visits", compact=True)
+    guests = visits.join(named.join(main, "block").select(F.col("block").alias("from"), "node", (F.col("label") == F.col("main")).alias("usual")), "from")
+    guests = guests.filter("not (same and usual)").select("host", "node").distinct()
+    sizes = guests.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("chunks"))
+    guests = guests.join(sizes, "host").select("host", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "node")
+    chunks = sizes.select("host", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"))
+    own = chunks.join(dealt.select(F.col("block").alias("host"), "node"), "host").select("host", "chunk", F.lit(0).alias("side"), "node")
+    return own.union(guests)
 
 
 def _incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
@@ -165,23 +214,34 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndar
     return out
 
 
+def estimates(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the union's sketch that both have, its size) for rows of two padded sketches; the pad is the largest int64."""
+    every = np.sort(np.concatenate([left, right], axis=1), axis=1)
+    real = every < _PAD
+    again = np.zeros(every.shape, bool)
+    again[:, 1:] = (every[:, 1:] == every[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)
+    return (again & (rank <= k)).sum(1), np.minimum(rank[:, -1], k)
+
+
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, k: int, percent: int) -> list[tuple[int, int]]:
     """Places of a spanning forest of the links between two blocks of sorted sets (right None: within left).
 
-    Sketches come first: the overlap of two bottom-k sketches bounds what the union's sketch can hold of both; pairs that
-    could reach the threshold are verified on the full sets, together where they are many, or else one by one.
+    Pairs of like size whose sketches overlap enough are estimated by the sketch of their union; what could reach the
+    threshold is verified on the full sets. Pairs that are joined already are passed over.
     """
     other = left if right is None else right
     na, nb = np.array([len(s) for s in left]), np.array([len(s) for s in other])
     j = percent / 100
-    kept = np.minimum(np.minimum(na[:, None], nb), k)
+    bound = lambda kept: kept * j - 6 * np.sqrt(kept * j * (1 - j))
     maybe = np.minimum(na[:, None], nb) * 100 >= np.maximum(na[:, None], nb) * percent
-    maybe &= _overlaps([s[:k] for s in left], None if right is None else [s[:k] for s in right]) >= kept * j - 6 * np.sqrt(kept * j * (1 - j))
+    maybe &= _overlaps([s[:k] for s in left], None if right is None else [s[:k] for s in right]) >= bound(np.minimum(np.minimum(na[:, None], nb), k))
     if right is None:
         maybe &= np.triu(np.ones(maybe.shape, bool), 1)
     ia, ib = np.nonzero(maybe)
     if not len(ia):
         return []
+    pads = [np.array([np.concatenate([s[:k], np.full(k - min(k, len(s)), _PAD)]) for s in side]) for side in (left, other)]
     shift = 0 if right is None else len(left)
     parent = list(range(len(left) + (len(other) if shift else 0)))
 
@@ -191,30 +251,32 @@ def compare(left: list[np.ndarray], right: list[np.ndarray] | None, k: int, perc
             x = parent[x]
         return x
 
-    hashes = sum(map(len, left)) + (sum(map(len, other)) if shift else 0)
-    if len(ia) * 50 > hashes:
-        both = _overlaps(left, right)[ia, ib]
-        linked = both * 100 >= (na[ia] + nb[ib] - both) * percent
-        ia, ib = ia[linked], ib[linked]
-    links = []
-    for x, y in zip(ia.tolist(), ib.tolist()):
-        a, b = find(x), find(y + shift)
-        if a == b:
-            continue
-        both = len(np.intersect1d(left[x], other[y], assume_unique=True))
-        if 100 * both >= percent * (len(left[x]) + len(other[y]) - both):
-            parent[a] = b
-            links.append((x, y))
+    links, vain, both = [], 0, None
+    for at in range(0, len(ia), _PAIRS):
+        xs, ys = ia[at : at + _PAIRS], ib[at : at + _PAIRS]
+        root = np.array([find(x) for x in range(len(parent))])
+        apart = root[xs] != root[ys + shift]
+        xs, ys = xs[apart], ys[apart]
+        shared, kept = estimates(pads[0][xs], pads[1][ys], k)
+        likely = shared >= bound(kept)
+        for x, y in zip(xs[likely].tolist(), ys[likely].tolist()):
+            a, b = find(x), find(y + shift)
+            if a == b:
+                continue
+            if both is None and vain > _PAIRS:  # many are alike but not linked: all overlaps at once are cheaper
+                both = _overlaps(left, right)
+            n = len(np.intersect1d(left[x], other[y], assume_unique=True)) if both is None else both[x, y]
+            if 100 * n >= percent * (len(left[x]) + len(other[y]) - n):
+                parent[a] = b
+                links.append((x, y))
+            else:
+                vain += 1
     return links
 
 
-def _block_links(long: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of long lists; enough of them for the components."""
-    nodes, pairs = _blocks(long)
-    pairs = materialize(pairs, "block-pairs", compact=True)
-    first = nodes.join(pairs, nodes.block == pairs.x).select("x", "y", F.lit(0).alias("side"), "node")
-    second = nodes.join(pairs.filter("x <> y"), F.col("block") == F.col("y")).select("x", "y", F.lit(1).alias("side"), "node")
-    rows = first.union(second).join(sets, "node").select("x", "y", "side", "node", "full")
+def _links(meetings: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each block that is a host, and between them and its guests; enough of them for the components."""
+    rows = meetings.join(sets, "node").select("host", "chunk", "side", "node", "full")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -230,15 +292,17 @@ def _block_links(long: DataFrame, sets: DataFrame, k: int, percent: int) -> Data
             at = np.flatnonzero(side == s)
             _, once = np.unique(names[at], return_index=True)
             parts.append(at[once])
-        left = [every[i] for i in parts[0]]
-        right = [every[i] for i in parts[1]] if len(parts[1]) else None
-        links = compare(left, right, k, percent)
-        to = parts[0] if right is None else parts[1]
-        a = np.array([names[parts[0][x]] for x, _ in links], np.int64)
-        b = np.array([names[to[y]] for _, y in links], np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        left, right = ([every[i] for i in p] for p in parts)
+        a, b = [], []
+        # blocks are compared with themselves in the first meetings only (chunk -1)
+        alone = [(None, parts[0])] if group.column("chunk")[0].as_py() < 0 else []
+        for guests, to in [*alone, *([(right, parts[1])] if right else [])]:
+            for x, y in compare(left, guests, k, percent):
+                a.append(names[parts[0][x]])
+                b.append(names[to[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("x", "y").applyInArrow(run, "a bigint, b bigint")
+    return rows.groupBy("host", "chunk").applyInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -265,16 +329,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min("lo").alias("a"), F.max("lo").alias("z")).filter("a <> z")
     links = some.join(several, "doc_id").filter("lo <> a").select("a", F.col("lo").alias("b")).distinct()
     links = materialize(links, "links")
-    lists = inverted_lists(classes.filter("rep is not null"), k, percent)
+    values = classes.filter("rep is not null").select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+    lists = inverted_lists(values, least_shared(F.col("n"), F.col("kept"), k, percent))
     if not lists.isEmpty():
         wanted = lists.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
         texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
         sets = materialize(full_sets(texts, size), "sets")
-        pairs = materialize(_short_pairs(lists.filter(F.col("c") <= SHORT), percent), "pairs", compact=True)
-        found = _verified(pairs, classes, sets, k, percent).distinct()
-        links = links.union(materialize(found, "found", compact=True))
-        links = links.union(materialize(_block_links(lists.filter(F.col("c") > SHORT), sets, k, percent), "linked", compact=True))
+        long = lists.filter(F.col("c") > SHORT)
+        again = _exact_lists(long, sets, percent)
+        short = lists.filter(F.col("c") <= SHORT).union(again.filter(F.col("c") <= SHORT))
+        pairs = materialize(_short_pairs(short, percent), "pairs", compact=True)
+        links = materialize(links.union(_verified(pairs, classes, sets, k, percent).distinct()), "found", compact=True)
+        long = again.filter(F.col("c") > SHORT)
+        if not long.isEmpty():
+            dealt, meet = _dealt(long)
+            alone = meet.isEmpty()
+            first = _first_meetings(dealt, None if alone else connected(meet.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+            links = materialize(links.union(_links(first, sets, k, percent)), "linked", compact=True)
+            if not alone:
+                groups = connected(links) if not links.isEmpty() else dealt.select("node", F.col("node").alias("label")).distinct()
+                links = links.union(_links(_more_meetings(dealt, meet, groups), sets, k, percent))
+                links = materialize(links, "linked", compact=True)
     labels = connected(links) if not links.isEmpty() else None
     named = classes.select("n", "node", "hi", "rep")
     if labels is not None:

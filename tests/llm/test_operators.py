@@ -223,6 +223,46 @@ def test_near_duplicates_in_blocks(spark, corpus, monkeypatch, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(corpus)
 
 
+def test_union_sketch_estimates():
+    rng = np.random.default_rng(3)
+    for k in (4, 64):
+        sets = [np.unique(rng.integers(0, 200, n)) for n in (0, 1, 3, 60, 120, 150)]
+        pad = lambda x: np.concatenate([x[:k], np.full(k - min(k, len(x)), dedup._PAD)])
+        for a in sets:
+            for b in sets:
+                union = np.union1d(a, b)[:k]
+                want = len(set(union) & set(a) & set(b))
+                assert [int(x[0]) for x in dedup.estimates(pad(a)[None], pad(b)[None], k)] == [want, len(union)]
+
+
+@pytest.mark.parametrize("kind", ["linked", "template", "two groups"])
+def test_many_alike_documents_shuffle_rows_in_proportion(spark, monkeypatch, kind):
+    """Groups of texts that share most of their words: members of blocks that meet, by the size of the group."""
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 64)
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    bases = [[word() for _ in range(200)] for _ in range(2)]
+    rows_met = []
+    for n in (700, 2800):
+        docs = []
+        for i in range(n):
+            w = list(bases[i % 2 if kind == "two groups" else 0])
+            if kind == "template":  # 80 of 100 words shared: alike, but no links
+                w[150:] = [word() for _ in range(50)]
+            else:
+                w[rng.randrange(200)] = word()
+            docs.append((i, " ".join(w)))
+        met = []
+        plain = dedup._links
+        monkeypatch.setattr(dedup, "_links", lambda meetings, *a, met=met, plain=plain: (met.append(meetings.count()), plain(meetings, *a))[1])
+        got = dedup.near_duplicates(docs_frame(spark, docs)).collect()
+        monkeypatch.setattr(dedup, "_links", plain)
+        rows_met.append(sum(met))
+        groups = len({r["component_id"] for r in got})
+        assert groups == {"linked": 1, "template": n, "two groups": 2}[kind]
+    assert rows_met[1] <= 5 * rows_met[0] and rows_met[1] <= 4 * 2800
+
+
 def test_near_duplicates_edges(spark):
     rows = [(5, "x y z"), (5, "p q r s t u"), (9, "P Q R S T U"), (None, "x y z"), (None, "only here"), (1, None), (2, "")]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in dedup.near_duplicates(docs_frame(spark, rows)).collect()]
