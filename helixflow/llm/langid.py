@@ -10,12 +10,13 @@ Rejection: a text's margin is by how many bits a character its best language mod
 over all languages. A text whose margin is under the threshold is rejected. The threshold is 0, or lower if more than
 1 in 1,000 held-back training texts would be rejected then.
 
-Bounds: the models are fitted on about max_docs training texts for each language, picked by a hash of the key (all
-of them where there are fewer), each read whole, and keep at most max_grams 4-grams for each language, the most
-frequent ones. What is broadcast is bounded by these.
+Bound: the models are fitted on about max_docs training texts for each language, picked by a hash of the key (all
+of them where there are fewer), each read whole; one in CALIBRATE of these is held back for the threshold. All their
+n-grams are kept; what is broadcast grows with the languages, not with the corpus.
 
 Defined results: null texts and texts without a letter are `und`, score 0, rejected; with nothing to learn from, all
-texts are `und` and rejected. Rows are judged alone, so repeated rows get the same result.
+texts are `und` and rejected. Rows are judged alone, so repeated rows get the same result. Texts of any length are read
+whole. An empty table gives an empty result; columns of these names are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from .common import strings, with_arrays, with_schema
 
 ORDER = 4
 MAX_DOCS = 1500
-MAX_GRAMS = 400_000
 NONE = "und"
 #: Texts of the sample that are held back for the threshold: one in CALIBRATE.
 CALIBRATE = 5
@@ -265,26 +265,15 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> Model:
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
     """Models from the rows where learn holds and lang is not null."""
-    from pyspark.sql import Window
-
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("h"))
-    sizes = rows.groupBy("lang").count().limit(10_001).collect()
-    if len(sizes) > 10_000:
-        raise ValueError("more than 10,000 languages")
-    if not sizes:
-        return Model([], [], [], 0.0, (np.empty(0, np.uint64), np.empty(0, np.float32)), 0.0)
-    limits = {r["lang"]: min(1 << 30, max_docs * (1 << 30) // r["count"]) for r in sizes}
-    under = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    sample = rows.filter(F.col("h") < F.element_at(under, F.col("lang")))
+    sizes = rows.groupBy("lang").count().withColumn("under", F.least(F.lit(1 << 30), F.floor(max_docs * (1 << 30) / F.col("count"))))
+    sample = rows.join(sizes.select("lang", "under"), "lang").filter("h < under").drop("under")
     held = F.pmod(F.shiftright("h", 3), F.lit(CALIBRATE)) == 0
-    if sum(r["count"] for r in sizes) < 50:
-        held = F.lit(False)
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     counts: dict[str, Counter] = {}
-    for r in _counts(sample.filter(~held)).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).toPandas().itertuples():
+    for r in _counts(sample.filter(~held)).toPandas().itertuples():
         counts.setdefault(r.lang, Counter())[r.gram] = r.n
     if not counts:
         return Model([], [], [], 0.0, (np.empty(0, np.uint64), np.empty(0, np.float32)), 0.0)
