@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but the last
 return the columns of documents. run() writes each stage's result to the shared folder and reads it again.
+
+Defined results, in every stage: rows are told apart as rows, so a null or repeated doc_id loses nothing. Null and empty
+texts, and texts without a letter, are rejected by the first stage; given to a later one, they pass through it unchanged.
+Repeated rows are near duplicates of each other and otherwise judged alike. Texts of any length are read whole. An empty
+table gives an empty result. Columns beyond those of documents pass through all stages but the last, also if they have the
+name of a column that an operator adds; names that begin with two underscores are the pipeline's own.
 """
 
 from __future__ import annotations
@@ -13,11 +19,22 @@ from helixflow.llm import decontaminate, dedup, langid, mixing, secrets
 from helixflow.llm.common import fold_column, materialize, table
 
 
+def _renamed(docs: DataFrame, added: str) -> DataFrame:
+    """docs with the columns that an operator would replace (added: its DDL) under names of the pipeline's own."""
+    new = {x.split()[0] for x in added.split(", ")}
+    return docs.select(*(F.col(f"`{c}`").alias(f"__{c}") if c in new else F.col(f"`{c}`") for c in docs.columns))
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from what an operator made of _renamed(docs)."""
+    there = set(found.columns)
+    return found.select(*(F.col(f"`__{c}`").alias(c) if f"__{c}" in there else F.col(f"`{c}`") for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language ID rejects; the models learn from this stage's own input."""
     model = langid.train(docs, fold_column("doc_id", 5) != 0)
-    found = langid.predict(docs.select("doc_id", "lang", "source", "n_chars", "text"), model)
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    return _restored(langid.predict(_renamed(docs, langid.RESULT), model).filter(~F.col("rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    found = decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~decontaminate.contaminated()).select(*docs.columns)
+    found = decontaminate.find_windows(_renamed(docs, "n_words bigint, hits array, items array"), table(spark, sf_dir, "benchmark"))
+    return _restored(found.filter(~decontaminate.contaminated()), docs)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

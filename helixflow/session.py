@@ -27,8 +27,11 @@ def clean(c: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df read back from the reliable checkpoint folder; one is made only where the session names none, as in tests."""
+    """df read back from the reliable checkpoint folder; a local session that names none, as in tests, gets its own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixflow-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixflow-"))
     return df.checkpoint()
