@@ -38,3 +38,29 @@ def test_near_duplicates_by_row_not_by_id(spark, tmp_path):
     assert got.columns == docs.columns
     want = [(None, a), (None, b), (7, c), (7, d), (None, e), (3, f), (None, None), (None, "")]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, repeated rows, null texts, very long texts, and columns of the operators' names."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice(["th", "er", "on"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(30), "en", f"s{i % 3}", 0, "kept", "here", 7) for i in range(40)]
+    rows += [(None, text(30), "en", None, 0, "a", None, 1), (None, text(30), None, "s1", 0, "b", None, 2), (7, text(30), "en", "s1", 0, "c", "x", 3)]
+    rows += [(60, text(60_000), "en", "s1", 0, "long", "x", 3), (61, None, "en", "s1", 0, "null", "x", 3), (62, "", "en", "s1", 0, "empty", "x", 3), (63, "123 !", "en", "s1", 0, "no letter", "x", 3)]
+    rows += [rows[3], rows[3]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, rejected string, hits string, n_words bigint"
+    spark.createDataFrame([(1, text(20)), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for given in (docs, docs.limit(0)):
+        out = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.materialize(stage(spark, out, str(tmp_path)), name)
+            assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        taken = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path))
+        want = [r for r in rows[:-2] if r[5] not in ("null", "empty", "no letter")] if given is docs else []
+        assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+        assert taken.count() == len(want)
+    # given to a later stage, rows without words pass unchanged
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        got = stage(spark, docs, str(tmp_path)).filter("rejected in ('null', 'empty', 'no letter')").collect()
+        assert len(got) == 3, name
