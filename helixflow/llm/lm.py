@@ -33,18 +33,19 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
 from .common import Words, materialize, text_chunks
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-HOT = 200_000
+HOT = 1_000_000
 #: Classes; the first is the end's.
 CLASSES = 64
 #: Ids with an embedding of their own, and frequent words that count as a neighbour when classes are made.
@@ -61,6 +62,8 @@ PIECE_TOKENS = 400_000
 #: Tasks that sum the tables of others, and cells of a table that are a row.
 SUMS = 8
 BLOCK = 1 << 16
+#: Rows of texts that are sent to a worker at once.
+ROWS_AT_ONCE = 1000
 #: Words that a worker remembers.
 CACHE = 1 << 18
 _PIECE = 64
@@ -75,6 +78,18 @@ def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Long rows are sent to workers few at a time; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Tokenizer:
     """Ids of words; the id after the last is the end's."""
 
@@ -231,7 +246,7 @@ def encoded(docs: DataFrame, held_out: Column, often: tuple[np.ndarray, np.ndarr
                 cuts, hot_words = words.row_words, hot[every]
                 size = np.diff(cuts)
                 owner = np.repeat(np.arange(len(size)), size)
-                sums = lambda values: np.bincount(owner, weights=np.where(hot, values, 0.0)[every], minlength=len(size))  # noqa: E731, B023
+                sums = lambda values: np.bincount(owner, weights=np.where(hot, values, 0.0)[every], minlength=len(size)).astype(np.float64)  # noqa: E731, B023
                 known = np.bincount(owner[hot_words], minlength=len(size))
                 cold = np.flatnonzero(~hot_words)
                 cold_ends = pa.array(np.concatenate([[0], np.cumsum(size - known)]).astype(np.int32))
@@ -489,6 +504,11 @@ class Learned(NamedTuple):
 
 def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> Learned:
     """Learns from the rows of docs where training holds, and encodes all rows."""
+    with _small_batches(docs.sparkSession):
+        return _learned(docs, training, id_col, text_col, tokenizer)
+
+
+def _learned(docs: DataFrame, training: Column, id_col: str, text_col: str, tokenizer: str) -> Learned:
     spark = docs.sparkSession
     by_rank = load_ranks(tokenizer)
     ranks, pieces = spark.sparkContext.broadcast(by_rank), Pieces.of(by_rank)
@@ -569,7 +589,8 @@ def score(learned: Learned) -> DataFrame:
                 a = b
 
     rows = learned.rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "n_words", "known", "base", "hot", "ids", "cold", "cold_at")
-    rows = materialize(rows.mapInArrow(run, _SCORED), "scored")
+    with _small_batches(rows.sparkSession):
+        rows = materialize(rows.mapInArrow(run, _SCORED), "scored")
     counted = learned.counts.select("h", "n")
     words = rows.select("row", F.explode(F.arrays_zip("cold", "more")).alias("w")).select("row", F.col("w.cold").alias("h"), F.col("w.more").alias("more"))
     found = words.join(counted.hint("merge"), "h").groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.1)).alias("s"), F.sum(F.col("more") + F.log10("n")).alias("m"), F.count(F.lit(1)).alias("k"))

@@ -71,11 +71,6 @@ def test_words_and_hashes(corpus):
     assert len(set(seen.values())) == len(seen) and total == sum(len(words(t)) for t in texts)
 
 
-def test_word_hash_is_sparks(spark):
-    got = spark.createDataFrame([("abc",), ("wörd",)], "w string").select(F.xxhash64(F.col("w").cast("binary"))).collect()
-    assert [r[0] for r in got] == [lm.word_hash("abc".encode()), lm.word_hash("wörd".encode())]
-
-
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)] + [(500, i) for i in range(200, 240)]
@@ -97,52 +92,67 @@ def test_components(spark):
 
 
 def test_windows_score_each_token_once():
-    for lengths in ([1], [32], [33], [5, 100, 0, 64, 31], [57]):
+    for lengths in ([1], [24], [25], [5, 100, 0, 64, 23], [57]):
         lengths = np.array(lengths)
         ids = np.arange(lengths.sum())
-        x, y, weight, owner = attention.padded(ids, lengths, -1)
-        assert sorted(y[weight]) == ids.tolist()
-        assert all(np.where(y[weight] > 0, y[weight] - 1, -1) - x[weight] == np.where(np.isin(y[weight], np.cumsum(lengths) - lengths) & (y[weight] > 0), y[weight], 0))
+        for overlap in (0, attention.OVERLAP):
+            x, y, weight, owner = attention.padded(ids, lengths, -1, overlap)
+            assert sorted(y[weight]) == ids.tolist()
+            first = np.isin(y[weight], np.cumsum(lengths) - lengths)
+            assert (x[weight] == np.where(first, -1, y[weight] - 1)).all()
+
+
+def tiny_tokens(rng, n, rows):
+    sizes = rng.integers(1, 4, n)
+    return attention.Tokens(rng.integers(0, rows, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes)
 
 
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in attention.initial(9, 5).items()}
-    x, y, w = rng.integers(0, 9, (3, attention.WINDOW)), rng.integers(0, 5, (3, attention.WINDOW)), np.ones((3, attention.WINDOW))
-    _, g = attention.gradients(p, x, y, w)
+    t = tiny_tokens(rng, 20, 9)
+    at, y, w = rng.integers(0, 20, (3, attention.WINDOW)), rng.integers(0, 5, (3, attention.WINDOW)), np.ones((3, attention.WINDOW))
+    _, g = attention.gradients(p, t, at, y, w)
     for k in p:
-        at = tuple(rng.integers(0, s) for s in p[k].shape)
+        place = tuple(rng.integers(0, s) for s in p[k].shape)
         losses = []
-        for step in (1e-5, -1e-5):
+        for step in (1e-4, -1e-4):
             q = {n: v.copy() for n, v in p.items()}
-            q[k][at] += step
-            losses.append(attention.gradients(q, x, y, w)[0])
-        assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=2e-2, abs=1e-6)
-
-
-def test_attention_is_causal_and_normalised():
-    p = attention.initial(9, 5)
-    x = np.random.default_rng(0).integers(0, 9, (2, attention.WINDOW))
-    every = np.stack([attention.class_log_p(p, x, np.full(x.shape, c)) for c in range(5)])
-    assert np.exp(every).sum(0) == pytest.approx(1, abs=1e-4)
-    later = x.copy()
-    later[:, 20:] = 0
-    assert attention.class_log_p(p, later, np.zeros_like(x))[:, :20] == pytest.approx(attention.class_log_p(p, x, np.zeros_like(x))[:, :20], abs=1e-5)
-
-
-def test_shares_sum_to_one_in_each_class():
-    rng = np.random.default_rng(0)
-    label = rng.integers(0, lm.CLASSES, 500)
-    share = np.exp(lm.shares(rng.integers(0, 3, (lm.CLASSES + 1, 500)).astype(float), label))
-    for k in (0, 5, lm.CLASSES):
-        assert np.bincount(label, weights=share[k], minlength=lm.CLASSES)[np.unique(label)] == pytest.approx(1, abs=1e-4)
+            q[k][place] += step
+            losses.append(attention.gradients(q, t, at, y, w)[0])
+        assert g[k][place] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=2e-2, abs=2e-5)
+
+
+def plain_class_log_p(p, t, past):
+    """Log probabilities of all classes after the tokens past (a window's inputs so far), place by place."""
+    width = attention.WIDTH
+    x = [np.mean([p["embed"][r] for r in t.rows[t.starts[i] : t.starts[i] + t.sizes[i]]], axis=0) + p["place"][k] for k, i in enumerate(past)]
+    q = x[-1] @ p["q"] / math.sqrt(width)
+    w = np.array([math.exp(q @ (z @ p["k"])) for z in x])
+    h = x[-1] + (sum(a * (z @ p["v"]) for a, z in zip(w / w.sum(), x))) @ p["o"]
+    logits = h @ p["out"] + p["bias"]
+    return logits - np.log(np.exp(logits).sum())
+
+
+def test_attention_against_plain_loops():
+    rng = np.random.default_rng(1)
+    p, t = attention.initial(9, 5, seed=3), tiny_tokens(rng, 20, 9)
+    at, y = rng.integers(0, 20, (2, attention.WINDOW)), rng.integers(0, 5, (2, attention.WINDOW))
+    keep = rng.random(at.shape) < 0.7
+    got = attention.class_log_p(p, attention.means(p["embed"], t, at.ravel()).reshape(*at.shape, -1), y, keep)
+    for i in range(2):
+        for k in range(attention.WINDOW):
+            want = plain_class_log_p(p, t, at[i, : k + 1])[y[i, k]] if keep[i, k] else 0
+            assert got[i, k] == pytest.approx(want, abs=1e-4)
 
 
 def test_lm_score(spark, corpus):
-    rows = corpus + [(None, "no id"), (7, "again")]
+    """Base columns by their definition, and scores by plain loops over each text's words and the counts of all."""
+    rows = corpus[:-8] + corpus[-7:] + [(None, "no id"), (7, "again")]
+    rows = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t in rows]
     docs = docs_frame(spark, rows)
-    held_out = common.fold_column("doc_id", 10) == 0
-    got = lm.score(docs, lm.learn(docs, ~held_out), held_out).collect()
+    learned = lm.learn(docs, common.fold_column("doc_id", 10) != 0)
+    got = lm.score(learned).collect()
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     counts, ends = Counter(), 0
     for i, t in rows:
@@ -150,36 +160,53 @@ def test_lm_score(spark, corpus):
             counts.update(words(t))
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    model, tokenizer = learned.model, lm.Tokenizer(lm.load_ranks())
+    rare = sum(c == 1 for c in counts.values()) / sum(counts.values())
+    assert 10**model.unseen == pytest.approx(rare) and 10**model.seen == pytest.approx(1 - rare)
+    label_of = lambda w: model.label[max(tokenizer.ids(w), key=lambda k: model.pieces.order[k])]
+    mass = Counter()
+    for w, c in counts.items():
+        mass[label_of(w)] += c
     want = []
     for i, t in rows:
         ws = words(t)
-        p = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
-        want.append((str(i), fold(i), len(ws) + 1, sum(w in counts for w in ws) + 1, n, round(p, 6)))
-    assert sorted((str(r[0]), *r[1:5], round(r[5], 6)) for r in got) == sorted(want)
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-
-
-def test_lm_learns_from_every_training_document(spark):
-    rng = random.Random(5)
-    rows = [(i, " ".join("".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(6))) for i in range(1500)]
-    docs = docs_frame(spark, rows)
-    model = lm.learn(docs, F.lit(True)).model
-    tokenizer = lm.Tokenizer(lm.load_ranks())
-    met = {i for _, t in rows for w in words(t) for i in tokenizer.ids(w)}
-    assert len(met) > 600
-    # the last class is for ids that stand in no training document
-    assert not [i for i in met if model.label[i] == lm.CLASSES - 1]
-
-
-def test_neighbours_count_all_pairs(spark):
-    ids = [3, 1, 2, 9, 1, 1, 9, 4, 9]
-    bucket = np.array([lm.NEIGHBOURS, 0, 1, 2, 3, *[lm.NEIGHBOURS] * 4, 4])
-    got = {r["id"]: np.frombuffer(r["counts"], np.int64) for r in lm.neighbours(spark.createDataFrame([(ids,)], "ids array<int>"), bucket).collect()}
-    want = {i: np.zeros(2 * (lm.NEIGHBOURS + 1), np.int64) for i in ids}
-    for a, b in zip(ids, ids[1:]):
-        want[b][bucket[a]] += 1
-        want[a][bucket[b] + lm.NEIGHBOURS + 1] += 1
-    assert got.keys() == want.keys() and all((got[i] == want[i]).all() for i in want)
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
+        ids = [tokenizer.ids(w) for w in ws] + [[tokenizer.end]]
+        flat = [model.row[k] for x in ids for k in x]
+        sizes = np.array([len(x) for x in ids])
+        tokens = attention.Tokens(np.array([*flat, model.row[tokenizer.end]]), np.append(np.cumsum(sizes) - sizes, len(flat)), np.append(sizes, 1))
+        score, stride = 0.0, attention.WINDOW - attention.OVERLAP
+        for k, w in enumerate([*ws, None]):
+            number = 0 if k < attention.WINDOW else (k - attention.OVERLAP) // stride
+            past = [len(ids) if z == 0 else z - 1 for z in range(number * stride, k + 1)]
+            own = 0 if w is None else label_of(w)
+            score += plain_class_log_p(model.weights, tokens, past)[own] / math.log(10)
+            if w is None:
+                continue
+            if counts[w]:
+                score += model.seen + math.log10(counts[w] / mass[own])
+                continue
+            score += model.unseen
+            row = lm.OWN + lm.CLASSES + own
+            for z in [*ids[k], len(model.label)]:
+                score += model.spelling.share[row, model.spelling.column[z]] + model.spelling.within[z]
+                row = model.spelling.row[z] if z < len(model.label) else None
+        want.append((str(i), fold(i), len(ws) + 1, sum(w in counts for w in ws) + 1, n, base, score))
+    key = lambda r: (str(r[0]), *r[1:5], round(r[5], 3))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (str(a[0]), *a[1:5]) == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], rel=1e-4, abs=1e-2)
+    # shares of a class's columns are a distribution
+    share = 10.0 ** model.spelling.share
+    assert share.sum(1) == pytest.approx(1, abs=1e-3)
+    assert np.bincount(model.spelling.column, weights=10.0**model.spelling.within, minlength=lm.COLUMNS)[np.unique(model.spelling.column)] == pytest.approx(1, abs=1e-6)
+
+
+def test_lm_on_odd_tables(spark):
+    odd = docs_frame(spark, [(0, None), (0, None), (1, ""), (2, "\t \n")])
+    for training in (F.lit(True), F.lit(False), F.lit(None).cast("boolean")):
+        got = lm.score(lm.learn(odd, training)).collect()
+        assert len(got) == 4 and all(r["n_tokens"] == 1 and math.isfinite(r["score"]) for r in got)
+    assert lm.score(lm.learn(odd.limit(0), F.lit(True))).count() == 0
 
 
 # ---------------------------------------------------------------- 2 near-dedup
