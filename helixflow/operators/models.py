@@ -20,9 +20,11 @@ def normal_isf(p: float) -> float:
 
 
 def chi2_sf(x: float, k: int) -> float:
-    """Upper tail of chi-square by the Wilson-Hilferty approximation."""
+    """Upper tail of chi-square by the Wilson-Hilferty approximation; 1 for x of 0 or less."""
     if k <= 0:
         return float("nan")
+    if x <= 0:
+        return 1.0
     z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
     return 0.5 * math.erfc(z / math.sqrt(2))
 

@@ -180,3 +180,8 @@ def test_kinship_p0_all_counts_every_site(spark):
     each = calls(spark, d).filter("g is not null").groupBy("site").count().collect()
     got = queries()["kinship_p0_all"](spark, d).agg(F.sum("n")).first()[0]
     assert got == sum(r["count"] * (r["count"] - 1) // 2 for r in each)
+
+
+def test_chi2_tail_at_its_bounds():
+    assert models.chi2_sf(-1e-9, 3) == models.chi2_sf(0.0, 3) == 1.0
+    assert models.chi2_sf(1e-6, 3) > 0.99 and models.chi2_sf(1e4, 3) < 1e-6
