@@ -44,8 +44,10 @@ SHARPNESS = 12.0
 _RUNS = re.compile(r"[^\W\d_]+")
 _R = np.uint64(0x9E3779B97F4A7C15)
 #: Characters scored at once, and runs of letters that a worker remembers.
-_CHUNK = 1 << 18
-CACHE = 1 << 18
+_CHUNK = 1 << 16
+CACHE = 1 << 16
+#: Rows whose texts are Python strings at once.
+_ROWS = 512
 _PAD = " " * (ORDER - 1)
 
 
@@ -270,7 +272,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("h"))
     sizes = rows.groupBy("lang").count().withColumn("under", F.least(F.lit(1 << 30), F.floor(max_docs * (1 << 30) / F.col("count"))))
-    sample = rows.join(sizes.select("lang", "under"), "lang").filter("h < under").drop("under")
+    # Two values a language, of which the broadcast model holds all n-grams: no text is shuffled.
+    sample = rows.join(F.broadcast(sizes.select("lang", "under")), "lang").filter("h < under").drop("under")
     held = F.pmod(F.shiftright("h", 3), F.lit(CALIBRATE)) == 0
     counts: dict[str, Counter] = {}
     for r in _counts(sample.filter(~held)).toPandas().itertuples():
@@ -297,7 +300,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margins: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in batches:
-            langs, scores, entropy, margin, out = judge.texts(strings(batch.column(text_col)))
+            column = batch.column(text_col)
+            parts = [judge.texts(strings(column.slice(i, _ROWS))) for i in range(0, max(1, len(column)), _ROWS)]
+            langs = [x for part in parts for x in part[0]]
+            scores, entropy, margin, out = (np.concatenate(x) for x in list(zip(*parts))[1:])
             new = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores), "cross_entropy": pa.array(entropy, from_pandas=True), "rejected": pa.array(out)}
             yield with_arrays(batch, new | ({"margin": pa.array(margin)} if margins else {}))
 
