@@ -181,13 +181,13 @@ def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HAP = "case when g = 0 then 0 when g = 2 then 1 when g = 1 then (site * 31 + ind * 17) % 2 end"
-_P0 = ctes("calls") + f", hap as (select site, ind, {_HAP} as a from calls where site % 4 = 0), p0 as (select x.ind as i, y.ind as j, case when count(*) >= 3 then count(case when x.a <> y.a then 1 end) * 1.0 / count(*) end as p0, count(*) as n from hap x join hap y on x.site = y.site and x.ind < y.ind where x.a is not null and y.a is not null group by x.ind, y.ind)"
+_P0 = ctes("calls") + f", hap as (select site, ind, {_HAP} as a from calls), p0 as (select x.ind as i, y.ind as j, case when count(*) >= 3 then count(case when x.a <> y.a then 1 end) * 1.0 / count(*) end as p0, count(*) as n from hap x join hap y on x.site = y.site and x.ind < y.ind where x.a is not null and y.a is not null group by x.ind, y.ind)"
 _DEG = ", med as (select median(p0) as med from p0), norm as (select i, j, p0, n, p0 / nullif(med, 0) as norm from p0 cross join med), deg as (select *, case when norm < 0.625 then 'identical/duplicate' when norm < 0.8125 then 'first-degree' when norm <= 0.90625 then 'second-degree' end as degree from norm)"
 
 
 def _haploid(spark: SparkSession, d: str) -> DataFrame:
     coin = (C("site") * 31 + C("ind") * 17) % 2
-    return calls(spark, d).filter(loci.thinned(C("site"), 4)).select("site", "ind", kinship.haploid(C("g"), coin).alias("a"))
+    return calls(spark, d).select("site", "ind", kinship.haploid(C("g"), coin).alias("a"))
 
 
 @query(_P0 + " select i, j, round(p0, 6) as p0, n from p0")
@@ -200,7 +200,7 @@ def kinship_degree(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kinship.degrees(kinship.mismatch(_haploid(spark, d), 3)).filter("degree is not null").select("i", "j", "norm", "degree"))
 
 
-@query(
+_PRUNE = (
     _P0.replace("with ", "with recursive ", 1)
     + _DEG
     + """, e as (select i, j from deg where norm < 0.8125 union select j, i from deg where norm < 0.8125),
@@ -208,6 +208,9 @@ def kinship_degree(spark: SparkSession, d: str) -> DataFrame:
     lab as (select ind, min(root) as label from reach group by ind), cov as (select ind, avg(case when g is not null then 1.0 else 0.0 end) as coverage from geno group by ind)
     select lab.ind, label, round(coverage, 6) as coverage, row_number() over (partition by label order by coverage desc, lab.ind) = 1 as kept from lab join cov on lab.ind = cov.ind"""
 )
+
+
+@query(_PRUNE)
 def kinship_prune(spark: SparkSession, d: str) -> DataFrame:
     pairs = kinship.degrees(kinship.mismatch(_haploid(spark, d), 3)).filter(C("norm") < kinship.SECOND)
     labels = kinship.clusters(table(spark, d, "supplier").select(C("s_suppkey").alias("ind")), pairs)
@@ -215,26 +218,20 @@ def kinship_prune(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kinship.prune(labels, cover).select("ind", "label", "coverage", "kept"))
 
 
-def _all_haploid(spark: SparkSession, d: str) -> DataFrame:
-    """As _haploid, of all sites."""
-    coin = (C("site") * 31 + C("ind") * 17) % 2
-    return calls(spark, d).select("site", "ind", kinship.haploid(C("g"), coin).alias("a"))
-
-
-@query()
+@query(_P0 + " select i, j, round(p0, 6) as p0, n from p0")
 def kinship_p0_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(kinship.mismatch(_all_haploid(spark, d), 3))
+    return rounded(kinship.mismatch(_haploid(spark, d), 3))
 
 
-@query()
+@query(_P0 + _DEG + " select i, j, round(norm, 6) as norm, degree from deg")
 def kinship_degree_all(spark: SparkSession, d: str) -> DataFrame:
     """Normalised mismatch and degree of all pairs, NULL where unrelated."""
-    return rounded(kinship.degrees(kinship.mismatch(_all_haploid(spark, d), 3)).select("i", "j", "norm", "degree"))
+    return rounded(kinship.degrees(kinship.mismatch(_haploid(spark, d), 3)).select("i", "j", "norm", "degree"))
 
 
-@query()
+@query(_PRUNE)
 def kinship_prune_all(spark: SparkSession, d: str) -> DataFrame:
-    pairs = kinship.degrees(kinship.mismatch(_all_haploid(spark, d), 3)).filter(C("norm") < kinship.SECOND)
+    pairs = kinship.degrees(kinship.mismatch(_haploid(spark, d), 3)).filter(C("norm") < kinship.SECOND)
     labels = kinship.clusters(table(spark, d, "supplier").select(C("s_suppkey").alias("ind")), pairs)
     cover = genotypes(spark, d).groupBy("ind").agg(F.avg(C("g").isNotNull().cast("double")).alias("coverage"))
     return rounded(kinship.prune(labels, cover).select("ind", "label", "coverage", "kept"))
