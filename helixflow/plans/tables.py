@@ -176,10 +176,10 @@ def kfold_assign(spark: SparkSession, d: str) -> DataFrame:
     return models.folds(estimates(spark, d).select("id"), ["id"], 5)
 
 
-@query("select s_suppkey as ind from supplier where s_nationkey < 8 union select l_suppkey from lineitem where l_partkey < 40")
+@query("select s_suppkey as ind from supplier union select l_suppkey from lineitem")
 def union_distinct(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "supplier").filter("s_nationkey < 8").select(C("s_suppkey").alias("ind"))
-    return a.union(table(spark, d, "lineitem").filter("l_partkey < 40").select("l_suppkey")).distinct()
+    a = table(spark, d, "supplier").select(C("s_suppkey").alias("ind"))
+    return a.union(table(spark, d, "lineitem").select("l_suppkey")).distinct()
 
 
 @query(ctes("est") + " select bp // 365 as year, count(*) as n, cast(sum(count(*)) over (order by bp // 365) as bigint) as cumulative from est group by 1")
