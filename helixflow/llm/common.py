@@ -127,9 +127,10 @@ class Words:
     _pow = np.empty(0, _U64)
     _inv = np.empty(0, _U64)
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _IN_WORD):
+        """in_word: for each byte, whether words hold it."""
         self.data = _LOWER[data]
-        inside = _IN_WORD[data]
+        inside = in_word[data]
         n = len(data)
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]

@@ -1,11 +1,13 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import decontaminate, dedup, hamming, mixing
+from . import decontaminate, dedup, hamming, lexical, mixing
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 _K = dedup.SHINGLE
 OP2 = f"""with recursive w as (select doc_id, {_WORDS.format(_LOW)} as w from documents),
 s as (select distinct doc_id, s from (
@@ -84,4 +86,42 @@ us as (select pc.rank, pc.off, shard, greatest(0, least(least(off + size, (pc.bl
 got as (select rank, off, sum(n) as taken, min(case when n > 0 then shard end) as first_shard from us group by rank, off)
 select doc_id, o.source, size, ss as source_size, target, cast(coalesce(case when size > 0 then taken end, 0) as bigint) as taken, cast(case when size > 0 then first_shard end as bigint) as first_shard from ofs o left join got g on o.rank = g.rank and o.off = g.off"""
 
-ORACLES: dict[str, str] = {"op2_near_dedup": OP2, "op3_mix_sources": OP3, "op4_decontaminate": OP4, "op5_exact_topk": OP5}
+_BIT = "xor(x >> 1, 3988292384 * (x & 1))"
+#: crc32 of an ASCII text, bit by bit.
+_CRC = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({{}}, ''), lambda z: ascii(z)::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: {_BIT})), 4294967295)"
+_BARE = r"rtrim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_AT = "from dp join ln using (conv_id) where pos < n"
+
+OP11 = f"""with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind from conversations),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text, unnest(case when kind = 3 then [0, 1] else [0] end) as copy from c where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen, {_BARE.format('text')} as bare from d),
+f as (select *, case when bare = '' then 'blank' when seen > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as fault, left(role, 1) as ini from o),
+g as (select *, ini as r, coalesce(lag(ini) over w || ini not in ('su', 'ua', 'au'), false) as bad from f window w as (partition by conv_id order by i)),
+ag as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (bad) as illegal from g group by conv_id),
+ln as (select ids.conv_id as c0, coalesce(ids.conv_id, -1) as conv_id, (select count(*) from g where g.conv_id is not distinct from ids.conv_id) as n from (select distinct conv_id from conversations) ids),
+gg as (select coalesce(conv_id, -1) as conv_id, i - 1 as pos, role, text, r, coalesce(fault in ('blank', 'duplicate'), false) as must, case when fault = 'truncated' then 3 else 0 end as charge from g),
+dp as (select conv_id, 0::bigint as pos, 0 as st, {{'cost': 0::bigint, 'audit': '', 'made': []::varchar[]}} as w from ln
+  union all
+  select conv_id, pos + 1, st, min(w) from (
+    select q.conv_id, q.pos, e.st, e.w from (
+      select conv_id, pos, st, w {_AT}
+      union all select conv_id, pos, case when st = 2 then 3 else 2 end, {{'cost': w.cost + 3, 'audit': w.audit || 'I', 'made': list_append(w.made, case when st = 2 then 'assistant:' else 'user:' end)}} {_AT}
+    ) q join gg on gg.conv_id = q.conv_id and gg.pos = q.pos, unnest([
+      {{'st': st, 'w': {{'cost': w.cost + 4, 'audit': w.audit || 'D', 'made': w.made}}}},
+      case when not must then {{'st': case when st = 2 then 3 else 2 end, 'w': {{'cost': w.cost + 3 + charge, 'audit': w.audit || 'R', 'made': list_append(w.made, case when st = 2 then 'assistant:' else 'user:' end || text)}}}} end,
+      case when not must and (r = 's' and st = 0 or r = 'u' and st <> 2 or r = 'a' and st = 2) then {{'st': case r when 's' then 1 when 'u' then 2 else 3 end, 'w': {{'cost': w.cost + charge, 'audit': w.audit || 'K', 'made': list_append(w.made, role || ':' || text)}}}} end
+    ]) as t(e) where e is not null) group by conv_id, pos, st),
+fin as (select ln.c0 as conv_id, min({{'cost': w.cost + case st when 1 then 6 when 2 then 3 else 0 end, 'audit': w.audit || case st when 1 then 'II' when 2 then 'I' else '' end, 'made': w.made || case st when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end}}) as w from dp join ln using (conv_id) where pos = n group by ln.c0)
+select fin.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, w.cost as cost, w.audit as audit, sha256(array_to_string(w.made, chr(10))) as repaired_sha256
+from fin left join ag on ag.conv_id is not distinct from fin.conv_id"""
+
+OP13 = f"""with d as (select doc_id, unnest({_TERMS.format(_LOW)}) as t from documents),
+b as (select item_id, t, count(*) as times from (select item_id, unnest({_TERMS.format(_LOW)}) as t from benchmark) group by 1, 2),
+n as (select doc_id, count(*) as n from d group by doc_id), s as (select count(*) as nn, cast(sum(n) as bigint) as ll from n),
+p as (select doc_id, t, count(*) as tf from d where t in (select t from b) group by 1, 2),
+df as (select t, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, s group by t, nn),
+sc as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) as bigint) as score from p join b using (t) join df using (t) join n using (doc_id), s group by 1, 2),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from sc where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from k where rank <= {lexical.K}"""
+
+ORACLES: dict[str, str] = {"op2_near_dedup": OP2, "op3_mix_sources": OP3, "op4_decontaminate": OP4, "op5_exact_topk": OP5, "op11_repair": OP11, "op13_lexical_search": OP13}

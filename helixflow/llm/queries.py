@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, hamming, html, langid, lm, mixing, quality, secrets, urlrules
+from . import decontaminate, dedup, hamming, html, langid, lexical, lm, mixing, pstable, quality, repair, secrets, urlrules
 from .common import fold_column, table
 
 
@@ -79,8 +79,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations are damaged first."""
+    hurt = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.edits(hurt, live=F.col("live")))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pstable.top_k(rows, rows.filter(F.pmod("vec_id", F.lit(20)) == 0))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op7_html_text, op8_secret_scan, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_mix_sources, op4_decontaminate, op5_exact_topk, op6_language_id, op7_html_text, op8_secret_scan, op9_quality, op10_url_filter, op11_repair, op12_neighbours, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
