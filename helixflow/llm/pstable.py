@@ -16,7 +16,10 @@ row is indexed and every query answered. Queries that meet fewer than k rows are
 
 Of rows of one vector, those of the k + 1 smallest ids are indexed; no other can be among anyone's k nearest. A bucket is
 dealt to tasks in chunks of at most ROWS rows and about QUERIES queries, so neither hot buckets nor near copies by the
-million meet in one task; pairs of ids are never rows but for each chunk's k best.
+million meet in one task.
+
+Buckets are visited in rounds (_ROUNDS, by place in the order of success). A query's kth best score so far is its bar in
+the next round: only rows that reach it leave a chunk. So what a query gathers grows with k, not with its visits.
 
 Defined results: vectors that are null, empty, zero, of another length than most (the shorter of equally usual ones) or
 hold null or non-finite components take no part, nor do rows with a null id. A query does not find rows of its own id.
@@ -51,13 +54,17 @@ ROWS = 4096
 QUERIES = 1024
 SEED = 20
 
+#: A query's first bucket of each table, the next ones, the rest.
+_ROUNDS = (1, 12)
+
 _U64 = np.uint64
 _VECTOR = "id bigint, vec binary, dim int, norm double"
 _FOUND = "query_id bigint, query bigint, vec_id bigint, row bigint, score double"
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec, dim, norm) of the rows that take part, lengths aside; vec holds doubles."""
+    """(id, vec, dim, norm) of the rows that take part, lengths aside; vec holds their components as bytes."""
+    kind = _kind(df, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,20 +78,28 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     good = np.isfinite(x).all(1) & (x != 0).any(1)
                     with np.errstate(over="ignore"):
                         norm = np.sqrt((x[good] ** 2).sum(1))
-                    out += zip(ids.take(pa.array(at[good])).to_pylist(), (v.tobytes() for v in x[good]), [int(dim)] * int(good.sum()), norm.tolist())
+                    out += zip(ids.take(pa.array(at[good])).to_pylist(), (v.tobytes() for v in x[good].astype(kind)), [int(dim)] * int(good.sum()), norm.tolist())
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), pa.float64()))], names=["id", "vec", "dim", "norm"])
 
     return df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(vector_col)).mapInArrow(run, _VECTOR)
 
 
+def _kind(df: DataFrame, vector_col: str) -> str:
+    """The numpy type that holds the components exactly."""
+    return "f4" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "f8"
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The vectors of a binary column as rows."""
+    """The vectors of a binary column as rows of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.float64, count=(offsets[-1] - offsets[0]) // 8, offset=int(offsets[0])).reshape(len(column), dim)
+    if not len(column):
+        return np.empty((0, dim))
+    kind = np.dtype(f"f{(offsets[1] - offsets[0]) // dim}")
+    return np.frombuffer(data, kind, count=len(column) * dim, offset=int(offsets[0])).reshape(len(column), dim).astype(np.float64)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -145,17 +160,20 @@ class Hashes:
         return np.take_along_axis(spots, by, 1).view(np.int64), np.cumsum(share, axis=1) - share
 
 
-def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best rows; scores are sums in the order of the components."""
+def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows of a score of `least` or more; scores are sums in the order of the components."""
     rough = q @ x.T
     rough[own[:, None] == ids[None, :]] = -np.inf
     bar = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+    bar = np.maximum(bar, least)
     # within the error of a sum, so that ties are seen exactly
     slip = 1e-12 * np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1).max(initial=0)) + 1e-300
     who, row = np.nonzero((rough >= np.where(np.isfinite(bar), bar - slip, -np.inf)[:, None]) & (rough > -np.inf))
     score = np.zeros(len(who))
     for j in range(x.shape[1]):
         score += q[who, j] * x[row, j]
+    good = score >= (least[who] if isinstance(least, np.ndarray) else least)
+    who, row, score = who[good], row[good], score[good]
     by = np.lexsort((ids[row], -score, who))
     who, row, score = who[by], row[by], score[by]
     starts = np.searchsorted(who, np.arange(len(q)))
@@ -187,7 +205,7 @@ def _sample(df: DataFrame, n: int) -> tuple[np.ndarray, list[bytes]]:
 
 def fit(rows: DataFrame, queries: DataFrame, dim: int, longest: float, n: int, k: int, recall: float) -> Hashes:
     """Hashes whose visits meet `recall` of the true neighbours of the calibration's queries."""
-    stack = lambda vs: np.frombuffer(b"".join(vs), np.float64).reshape(len(vs), dim)
+    stack = lambda vs: _matrix(pa.array(vs, pa.binary()), dim)
     own, vecs = _sample(queries, CALIBRATION)
     if not len(own):
         return Hashes(dim, longest, longest, 0)
@@ -222,7 +240,7 @@ def fit(rows: DataFrame, queries: DataFrame, dim: int, longest: float, n: int, k
 
 
 def _visited(queries: DataFrame, held, dim: int) -> DataFrame:
-    """(id, query, spot): the buckets that each query visits."""
+    """(id, query, spot, round): the buckets that each query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = held.value
@@ -233,9 +251,9 @@ def _visited(queries: DataFrame, held, dim: int) -> DataFrame:
                 for t in range(hashes.tables if hashes.functions else 1):
                     spots, before = hashes.probes(t, q)
                     who, place = np.nonzero(before < max(hashes.total, 1e-300))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who)), pa.array(spots[who, place])], names=["id", "query", "spot"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who)), pa.array(spots[who, place]), pa.array(np.searchsorted(_ROUNDS, place, side="right").astype(np.int32))], names=["id", "query", "spot", "round"])
 
-    return queries.select("id", "query", "vec").mapInArrow(run, "id bigint, query bigint, spot bigint")
+    return queries.select("id", "query", "vec").mapInArrow(run, "id bigint, query bigint, spot bigint, round int")
 
 
 def _indexed(rows: DataFrame, held, dim: int, k: int) -> DataFrame:
@@ -256,7 +274,10 @@ def _indexed(rows: DataFrame, held, dim: int, k: int) -> DataFrame:
 
 
 def _searched(index: DataFrame, queries: DataFrame, visits: DataFrame, dim: int, k: int) -> DataFrame:
-    """The k best rows of each query among those of the buckets it visits; index: (row, id, vec, spot)."""
+    """Rows of the buckets that each query visits, its k best of each chunk among those that reach its bar.
+
+    index: (row, id, vec, spot); queries: (id, query, vec, bar); visits: (id, query, spot).
+    """
     asked = visits.groupBy("spot").agg(F.count(F.lit(1)).alias("asked"))
     sizes = index.groupBy("spot").agg(F.count(F.lit(1)).alias("size")).join(asked, "spot")
     sizes = materialize(sizes.select("spot", F.ceil(F.col("size") / ROWS).cast("int").alias("rows"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("queries")), "spots", compact=True)
@@ -264,24 +285,27 @@ def _searched(index: DataFrame, queries: DataFrame, visits: DataFrame, dim: int,
     dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
     left = index.join(sizes, "spot").withColumn("r", dealt("rows", "id", "vec")).withColumn("q", each("queries")).select("spot", "r", "q", "row", "id", "vec")
     right = visits.join(sizes, "spot").select("id", "query", "spot", dealt("queries", "id", "query").alias("q"), "rows")
-    right = right.join(queries.select("id", "query", "vec"), ["id", "query"]).withColumn("r", each("rows")).select("spot", "r", "q", "id", "query", "vec")
+    right = right.join(queries, ["id", "query"]).withColumn("r", each("rows")).select("spot", "r", "q", "id", "query", "vec", "bar")
 
     def run(found: pa.Table, asked: pa.Table) -> pa.Table:
         names = ("query_id", "query", "vec_id", "row", "score")
         if not found.num_rows or not asked.num_rows:
             return pa.table([pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names], names=names)
         x, q = _matrix(found["vec"], dim), _matrix(asked["vec"], dim)
-        ids, own = found["id"].to_numpy(), asked["id"].to_numpy()
+        ids, own, bar = found["id"].to_numpy(), asked["id"].to_numpy(), asked["bar"].to_numpy()
         parts = []
         for a in range(0, len(q), 256):
-            who, row, score = _best(x, ids, q[a : a + 256], own[a : a + 256], k)
+            who, row, score = _best(x, ids, q[a : a + 256], own[a : a + 256], k, bar[a : a + 256])
             parts.append((who + a, row, score))
         who, row, score = (np.concatenate(p) for p in zip(*parts))
         return pa.table([pa.array(own[who]), pa.array(asked["query"].to_numpy()[who]), pa.array(ids[row]), pa.array(found["row"].to_numpy()[row]), pa.array(score)], names=names)
 
     key = ("spot", "r", "q")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, _FOUND)
-    # a row met in several tables has one place
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, _FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """found's k best rows of each query with their rank; a row met in several tables or rounds has one place."""
     near = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.dense_rank().over(near)).filter(F.col("rank") <= k).dropDuplicates(["query_id", "query", "rank"])
 
@@ -302,12 +326,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
     held = spark.sparkContext.broadcast(hashes)
     index = materialize(_indexed(x, held, dim, k).withColumn("row", F.monotonically_increasing_id()), "index")
     visits = materialize(_visited(q, held, dim), "visits")
-    out = _searched(index.select("row", "id", "vec", F.explode("spots").alias("spot")), q, visits, dim, k)
+    placed = index.select("row", "id", "vec", F.explode("spots").alias("spot"))
+    low = F.lit(float("-inf"))
+    out = None
+    for r in range(len(_ROUNDS) + 1 if hashes.functions else 1):
+        asking = q.withColumn("bar", low)
+        if out is not None:
+            bars = out.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "query", F.col("score").alias("bar"))
+            asking = q.join(bars, ["id", "query"], "left").withColumn("bar", F.coalesce("bar", low))
+        found = _searched(placed, asking, visits.filter(F.col("round") == r), dim, k)
+        out = materialize(_ranked(found if out is None else out.drop("rank").unionByName(found), k), "nearest")
     if hashes.functions:
-        out = materialize(out, "nearest")
         short = q.join(out.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "query"), ["id", "query"], "left_anti")
         if not short.isEmpty():
-            all_rows = index.select("row", "id", "vec", F.lit(0).cast("bigint").alias("spot"))
-            again = _searched(all_rows, short, short.select("id", "query", F.lit(0).cast("bigint").alias("spot")), dim, k)
-            out = out.join(short.select(F.col("id").alias("query_id"), "query"), ["query_id", "query"], "left_anti").unionByName(again)
+            everywhere = F.lit(0).cast("bigint").alias("spot")
+            again = _searched(index.select("row", "id", "vec", everywhere), short.withColumn("bar", low), short.select("id", "query", everywhere), dim, k)
+            out = out.join(short.select(F.col("id").alias("query_id"), "query"), ["query_id", "query"], "left_anti").unionByName(_ranked(again, k))
     return out.select("query_id", "rank", "vec_id", "score")
