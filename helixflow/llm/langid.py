@@ -270,7 +270,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
     """Models from the rows where learn holds and lang is not null."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("h"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)).alias("h"))
     sizes = rows.groupBy("lang").count().withColumn("under", F.least(F.lit(1 << 30), F.floor(max_docs * (1 << 30) / F.col("count"))))
     # Two values a language, of which the broadcast model holds all n-grams: no text is shuffled.
     sample = rows.join(F.broadcast(sizes.select("lang", "under")), "lang").filter("h < under").drop("under")

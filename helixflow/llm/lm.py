@@ -105,9 +105,10 @@ class Tokenizer:
     @classmethod
     def of(cls, held) -> Tokenizer:
         """The worker's tokenizer for a broadcast of ranks."""
-        if "t" not in cls._made:
-            cls._made["t"] = cls(held.value)
-        return cls._made["t"]
+        ranks = held.value
+        if cls._made.get("ranks") is not ranks:
+            cls._made.update(ranks=ranks, tokenizer=cls(ranks))
+        return cls._made["tokenizer"]
 
     def ids(self, word: bytes) -> list[int]:
         word = b" " + word

@@ -1,17 +1,18 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is layer 0. Each layer is scanned for the three kinds of secrets and for encoded parts: percent-encoded
-bytes, Unicode and HTML escapes (both decoded in place, so that what stands around them stays), and base64 runs,
-whose content, unpacked where it is compressed (gzip, zlib, zstd, bzip2, xz; all members of a stream), is a layer of
+bytes, Unicode, octal and HTML escapes (all decoded in place, so that what stands around them stays), and base64 runs,
+those of a line as well as those wrapped over several lines (indented or not), whose content, unpacked where it is compressed (gzip, zlib, zstd, bzip2, xz; all members of a stream), is a layer of
 its own. A run is decoded at each of its first four characters, so text glued to its front does not hide it. Bytes that
 are no UTF-8 are passed over one by one; the text around them stays. New layers go on the worklist until none is left.
 A layer whose content was seen before at the same place is skipped, so a cycle (a compressed file that unpacks to
 itself) ends. Each layer keeps, for each of its characters, the range of the original text that it comes from; spans
 found in it are reported as that range (of a base64 run: the whole run).
 
-Bombs: what is unpacked from one run of the original text, over all layers, is read up to EXPANSION times the run's
-length and 1 MB more. Text compresses far less than that. A run beyond it is counted in n_cut; other runs, and layers
-that are only encoded, are never cut.
+Bombs: what is unpacked from one run of the original text, over all layers, is read up to `expansion` times the run's
+length and 1 MB more; None reads everything. The default is above what deflate can reach in one layer (1,032), so only
+runs packed several times over, or by the other formats far beyond any text, are cut. Such a run is counted in n_cut;
+other runs, and layers that are only encoded, are never cut.
 
 Defined results: null text is empty and has no spans; empty tables give empty results; rows are independent, so
 repeated rows give repeated results; texts of any length are scanned whole; columns of these names are replaced.
@@ -26,6 +27,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from html.entities import html5
 from typing import NamedTuple
 
 import numpy as np
@@ -41,13 +43,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uU]([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uU]([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})|&([A-Za-z][A-Za-z0-9]{1,30};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_BREAK = re.compile(r"\r?\n[ \t]*")
 #: The shortest stretch of bytes that can hold a secret or an encoded one.
 _STRETCH = re.compile(rb"[\x20-\x7e]{12,}")
-_ESCAPE_HINT = re.compile(r"\\[uUx][0-9A-Fa-f{]|&#")
-EXPANSION = 256
+_ESCAPE_HINT = re.compile(r"\\[uUx0-3][0-9A-Fa-f{]|&[#A-Za-z]")
+EXPANSION = 1040
 _MEGABYTE = 1 << 20
+_NO_LIMIT = 1 << 62
 
 
 class Span(NamedTuple):
@@ -120,7 +125,11 @@ def _percent(layer: Layer) -> Layer | None:
 def _escapes(layer: Layer) -> Layer | None:
     parts = []
     for m in _ESCAPE.finditer(layer.text):
-        code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
+        if m[7]:
+            name = html5.get(m[7], "")
+            code = ord(name) if len(name) == 1 else 0x110000
+        else:
+            code = int(m[5]) if m[5] else int(m[6], 8) if m[6] else int(m[1] or m[2] or m[3] or m[4], 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
             parts.append((m.start(), m.end(), code))
     return _in_place(layer, *(np.array(x) for x in zip(*parts))) if parts else None
@@ -177,7 +186,8 @@ def _unpack(raw: bytes, limit: int) -> tuple[bytes, bool] | None:
 class _Room:
     """How much may still be unpacked from each range of the original."""
 
-    def __init__(self) -> None:
+    def __init__(self, expansion: int | None) -> None:
+        self.expansion = expansion
         self.left: dict[tuple[int, int], int] = {}
         self.cut: set[tuple[int, int]] = set()
 
@@ -185,7 +195,8 @@ class _Room:
         """raw, unpacked as often as it is compressed."""
         seen = set()
         while True:
-            left = self.left.setdefault(place, EXPANSION * (place[1] - place[0]) + _MEGABYTE)
+            most = _NO_LIMIT if self.expansion is None else self.expansion * (place[1] - place[0]) + _MEGABYTE
+            left = self.left.setdefault(place, most)
             found = _unpack(raw, left)
             if found is None:
                 return raw
@@ -200,9 +211,12 @@ class _Room:
 
 
 def _runs(layer: Layer, room: _Room) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        place = layer.place(m.start(), m.end())
+    runs = [(m[0], m.span()) for m in _BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        runs += [(_BREAK.sub("", m[0]), m.span()) for m in _WRAPPED.finditer(layer.text)]
+    for run, span in runs:
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
+        place = layer.place(*span)
         for skip in range(4):
             part = body[skip:]
             part = part[: len(part) - (len(part) % 4 == 1)]
@@ -211,10 +225,10 @@ def _runs(layer: Layer, room: _Room) -> Iterator[Layer]:
                 yield Layer(raw.decode("utf-8", "replace"), *place)
 
 
-def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
+def scan(text: str, expansion: int | None = EXPANSION) -> tuple[list[Span], list[Span], int, int]:
     """(base spans, all spans, number of layers, ranges whose content was not read to its end) of a text."""
     base = base_spans(text)
-    work, seen, every, layers, room = [Layer(text, None, None)], set(), set(base), 0, _Room()
+    work, seen, every, layers, room = [Layer(text, None, None)], set(), set(base), 0, _Room(expansion)
     while work:
         layer = work.pop()
         layers += 1
@@ -242,7 +256,7 @@ def joined(spans: list[Span]) -> str:
 RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint, n_cut bigint"
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", expansion: int | None = EXPANSION) -> DataFrame:
     """docs with n_assign, n_access, n_hex (base spans of each kind), base_sha256, spans, n_layers and n_cut.
 
     Columns of docs with these names are replaced.
@@ -252,7 +266,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in strings(batch.column(text_col)):
-                base, every, layers, cut = scan(text)
+                base, every, layers, cut = scan(text, expansion)
                 kinds = [s.kind for s in base]
                 row = (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), layers, cut)
                 for c, v in zip(cols, row):
@@ -264,7 +278,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, with_schema(docs, RESULT))
 
 
-def masked(docs: DataFrame, text_col: str = "text", mask: str = "*") -> DataFrame:
+def masked(docs: DataFrame, text_col: str = "text", mask: str = "*", expansion: int | None = EXPANSION) -> DataFrame:
     """docs with each character of a secret span in text_col replaced by mask; nothing else changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +286,7 @@ def masked(docs: DataFrame, text_col: str = "text", mask: str = "*") -> DataFram
             out = []
             for text in batch.column(text_col).to_pylist():
                 if text:
-                    every = scan(text)[1]
+                    every = scan(text, expansion)[1]
                     parts, at = [], 0
                     for s in every:
                         if s.end > at:

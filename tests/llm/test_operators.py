@@ -506,6 +506,46 @@ def test_layers():
     assert secrets.scan(part)[1] == [secrets.Span(2, 0, 18)]
 
 
+@pytest.mark.parametrize("line, indent", [(76, ""), (64, "    "), (20, "\t"), (76, "\r")])
+def test_wrapped_layers(line, indent):
+    rng = random.Random(3)
+    filler = " ".join("".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(300))
+    for data in (f"{filler} password=hunter22xyz {filler}".encode(), gzip.compress(f"{filler} password=hunter22xyz".encode())):
+        once = base64.b64encode(data).decode()
+        lines = [once[a : a + line] for a in range(0, len(once), line)]
+        wrapped = "\r\n".join(lines) if indent == "\r" else f"\n{indent}".join(lines)
+        text = f"mail:\n{wrapped}\n-- \nend"
+        assert [(s.start, s.kind, s.end) for s in secrets.scan(text)[1]] == [(6, 0, 6 + len(wrapped))]
+    prose = "internationalization\nof words\nand more words of a rather long line\n" * 50
+    assert secrets.scan(prose)[1] == []
+
+
+def test_names_and_octal_escapes():
+    for text in ("password=&quot;hunter22xyz&quot;", "password&equals;hunter22xyz", "password\\075hunter22xyz"):
+        assert [s.kind for s in secrets.scan(f"x {text} y")[1]] == [0]
+        assert secrets.scan(f"x {text} y")[0] == []
+    assert secrets.scan("AT&T; &nosuch; password&equals;")[1] == []
+
+
+def test_repetitive_text_is_no_bomb():
+    data = gzip.compress(b"some ordinary words again and again " * 70_000 + b" password=hunter22xyz")
+    text = base64.b64encode(data).decode()
+    assert [s.kind for s in secrets.scan(text)[1]] == [0] and secrets.scan(text)[3] == 0
+    far = base64.b64encode(zstandard.compress(b"0" * (1 << 24) + b" password=hunter22xyz")).decode()
+    assert secrets.scan(far)[3] == 1
+    assert [s.kind for s in secrets.scan(far, None)[1]] == [0] and secrets.scan(far, None)[3] == 0
+
+
+def test_each_vocabulary_has_its_own_tokenizer():
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    ranks = {bytes([b]): b for b in range(256)}
+    one, two = Held(ranks), Held(ranks | {b"ab": 256})
+    assert [lm.Tokenizer.of(h).size for h in (one, two, one)] == [257, 258, 257]
+
+
 def hidden_in(rng, secret, depth):
     """secret under some layers, and whether nothing but the layers stands in it."""
     data = secret.encode()
