@@ -9,10 +9,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .ordinals import numbered
 
 
 def normal_isf(p: float) -> float:
@@ -81,11 +82,12 @@ def ols(df: DataFrame, y: Column, x: dict[str, Column]) -> list[tuple]:
 
 def folds(df: DataFrame, order: list[str], k: int = 5, to: str = "fold") -> DataFrame:
     """Contiguous folds over an order; the first n % k have one row more."""
-    i = F.row_number().over(Window.orderBy(*order)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    big = (n % k) * (F.floor(n / k) + 1)
-    fold = F.when(i < big, F.floor(i / (F.floor(n / k) + 1))).otherwise(n % k + F.floor((i - big) / F.greatest(F.floor(n / k), F.lit(1))))
-    return df.withColumn(to, fold.cast("bigint"))
+    df = numbered(df, order, "__i")
+    i, n = F.col("__i"), df.count()
+    size = n // k
+    big = (n % k) * (size + 1)
+    fold = F.when(i < big, F.floor(i / (size + 1))).otherwise(n % k + F.floor((i - big) / max(size, 1)))
+    return df.withColumn(to, fold.cast("bigint")).drop("__i")
 
 
 def ridge_cv(df: DataFrame, y: Column, x: list[Column], fold: str, alpha: float = 1.0) -> list[tuple[int, float]]:
@@ -132,33 +134,71 @@ def mixture(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> dict:
     return {"weights": w.tolist(), "se": se.tolist(), "chi2": chi2, "dof": dof, "p": chi2_sf(chi2, dof), "n": int(n)}
 
 
-def site_gram(calls: DataFrame, site: str = "site", ind: str = "ind") -> tuple[list, np.ndarray, np.ndarray]:
-    """(individuals, Gram matrix of scaled genotypes, sites shared) with Patterson scaling; missing counts as the mean.
+def site_rows(calls: DataFrame, site: str = "site", ind: str = "ind") -> tuple[list, DataFrame]:
+    """(individuals in order, rows (p, no, g)): a row for each site with 0 < p < 1, its calls by the individual's number.
 
-    Only sites with 0 < p < 1. The Gram matrix is summed over sites by a self-join on the site with map-side sums, so
-    the driver gets individuals^2 numbers, never genotypes.
+    A row is bounded by the number of individuals.
     """
-    p = calls.groupBy(site).agg((F.avg("g") / 2).alias("p")).filter("p > 0 and p < 1")
-    z = calls.filter("g is not null").join(p, site).select(site, ind, ((F.col("g") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z"))
-    a, b = z.select(site, F.col(ind).alias("i"), F.col("z").alias("zi")), z.select(site, F.col(ind).alias("j"), F.col("z").alias("zj"))
-    sums = a.join(b, site).filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s")).collect()
-    ids = sorted({r["i"] for r in sums} | {r["j"] for r in sums})
-    at = {v: k for k, v in enumerate(ids)}
-    g = np.zeros((len(ids), len(ids)))
-    for r in sums:
-        g[at[r["i"]], at[r["j"]]] = g[at[r["j"]], at[r["i"]]] = r["s"]
-    return ids, g, np.array([])
-
-
-def pca(gram_matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores U * S of the k first components (sign: largest loading positive), their share of the top k and of all."""
-    values, vectors = np.linalg.eigh(gram_matrix)
-    order = np.argsort(-values)[:k]
-    values = np.maximum(values, 0)
-    u = vectors[:, order]
+    called = calls.filter("g is not null").select(F.col(site).alias("site"), F.col(ind).alias("ind"), "g")
+    inds = numbered(called.select("ind").distinct(), ["ind"], "no")
+    rows = called.join(inds, "ind").groupBy("site").agg((F.avg("g") / 2).alias("p"), F.collect_list(F.struct(F.col("no").cast("int").alias("no"), F.col("g").cast("double").alias("g"))).alias("x"))
+    rows = rows.filter("p > 0 and p < 1").select("p", F.col("x.no").alias("no"), F.col("x.g").alias("g"))
+    return [r["ind"] for r in inds.orderBy("no").select("ind").collect()], checkpointed(rows)
+
+
+def _through_sites(rows: DataFrame, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """(M M' q, squared norm of M) of the scaled genotypes M (individuals x sites): each task sums its sites' share."""
+    n, width = q.shape
+    held = rows.sparkSession.sparkContext.broadcast(q)
+    names = [f"v{c}" for c in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        out, norm = np.zeros((n, width)), 0.0
+        step = max(1, (1 << 22) // max(n, 1))  # a dense block of sites has some 32 MB
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                p, no, g = batch.slice(a, step).columns
+                p = p.to_numpy()
+                at = np.repeat(np.arange(len(p)), no.value_lengths().to_numpy())
+                z = (g.flatten().to_numpy() - 2 * p[at]) / np.sqrt(2 * p * (1 - p))[at]
+                m = np.zeros((len(p), n))
+                m[at, no.flatten().to_numpy()] = z
+                out += m.T @ (m @ q)
+                norm += float(z @ z)
+        cols = [np.arange(-1, n), *np.vstack([np.full(width, norm), out]).T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["no", *names])
+
+    sums = rows.mapInArrow(run, "no bigint, " + ", ".join(f"{c} double" for c in names)).groupBy("no").agg(*(F.sum(c).alias(c) for c in names))
+    out, norm = np.zeros((n, width)), 0.0
+    for r in sums.toLocalIterator():  # individuals x components
+        if r[0] < 0:
+            norm = r[1]
+        else:
+            out[r[0]] = r[1:]
+    return out, norm
+
+
+def pca(rows: DataFrame, n: int, k: int, oversamples: int = 10, power: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores U * S of the k first components (sign: largest loading positive), their share of the top k and of all.
+
+    A randomised SVD of site_rows() with `oversamples` further directions and `power` power steps, made orthogonal in
+    each. The driver holds individuals x (k + oversamples) numbers; the sites are read once a step.
+    """
+    if not n:
+        return np.empty((0, 0)), np.empty(0), np.empty(0)
+    width = min(k + oversamples, n)
+    q = np.random.default_rng(seed).standard_normal((n, width))
+    for _ in range(power + 1):
+        q = np.linalg.qr(_through_sites(rows, q)[0])[0]
+    w, norm = _through_sites(rows, q)
+    small = q.T @ w
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)[: min(k, width)]
+    top = np.maximum(values[order], 0)
+    u = q @ vectors[:, order]
     u *= np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
-    top = values[order]
-    return u * np.sqrt(top), top / max(top.sum(), 1e-300), top / max(values.sum(), 1e-300)
+    return u * np.sqrt(top), top / max(top.sum(), 1e-300), top / max(norm, 1e-300)
 
 
 def nmf(x: np.ndarray, k: int, steps: int = 500, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

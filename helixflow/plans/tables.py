@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import knn, loci, models, segments
+from ..operators.ordinals import numbered
 from .genetics import query as _query
 from .views import analysis, calls, ctes, estimates, genotypes, meta, rounded, table, wide
 
@@ -211,8 +212,8 @@ def custom_order(spark: SparkSession, d: str) -> DataFrame:
 def half_subsample(spark: SparkSession, d: str) -> DataFrame:
     """Half of the samples by a seeded order, as a robustness run."""
     e = estimates(spark, d)
-    k = e.withColumn("r", F.row_number().over(Window.orderBy((C("id") * 7919) % 10007, "id"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    return rounded(k.filter("r <= total div 2").agg(F.avg("alpha").alias("half_mean"), F.count(F.lit(1)).alias("n")))
+    k = numbered(e, [(C("id") * 7919) % 10007, "id"], "r")
+    return rounded(k.filter(C("r") < k.count() // 2).agg(F.avg("alpha").alias("half_mean"), F.count(F.lit(1)).alias("n")))
 
 
 _DELTAS = (0.0, 0.01, 0.02, 0.04)
@@ -234,8 +235,8 @@ def detection_power(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pca_scores(spark: SparkSession, d: str) -> DataFrame:
-    ids, g, _ = models.site_gram(calls(spark, d))
-    scores, of_top, of_all = models.pca(g, 5)
+    ids, site_rows = models.site_rows(calls(spark, d))
+    scores, of_top, of_all = models.pca(site_rows, len(ids), 5)
     rows = [(i, k + 1, float(scores[n, k]), float(of_top[k]), float(of_all[k])) for n, i in enumerate(ids) for k in range(scores.shape[1])]
     return spark.createDataFrame(rows, "ind bigint, pc int, score double, share_of_top double, share_of_all double")
 

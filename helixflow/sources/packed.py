@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.ordinals import numbered
+
 HEADER = 48
 AUTOSOMES = [str(i) for i in range(1, 23)]
 
@@ -110,7 +112,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _ordinal(df: DataFrame, to: str) -> DataFrame:
     """Consecutive numbers in file order."""
-    return df.withColumn(to, (F.row_number().over(Window.orderBy("at")) - 1).cast("bigint")).drop("at")
+    return numbered(df, ["at"], to).drop("at")
 
 
 def individuals(spark: SparkSession, path: str) -> DataFrame:

@@ -90,8 +90,8 @@ def test_pca_up_to_sign(spark):
     rng = np.random.default_rng(1)
     g = rng.integers(0, 3, (200, 6))
     df = spark.createDataFrame([(s, i, int(g[s, i])) for s in range(200) for i in range(6)], "site int, ind int, g int")
-    ids, gram, _ = models.site_gram(df)
-    scores, top, _ = models.pca(gram, 2)
+    ids, rows = models.site_rows(df)
+    scores, top, share = models.pca(rows, len(ids), 2)
     p = g.mean(1) / 2
     ok = (p > 0) & (p < 1)
     z = ((g - 2 * p[:, None]) / np.sqrt(2 * p * (1 - p))[:, None])[ok].T
@@ -99,6 +99,64 @@ def test_pca_up_to_sign(spark):
     assert ids == list(range(6))
     assert np.abs(scores) == pytest.approx(np.abs(u[:, :2] * s[:2]), rel=1e-6)
     assert top.sum() == pytest.approx(1)
+    assert share == pytest.approx(s[:2] ** 2 / (s**2).sum())
+
+
+def test_pca_of_many_individuals_with_missing_calls(spark):
+    """Three populations of 40; a missing call counts as the site's mean."""
+    rng = np.random.default_rng(4)
+    p = np.clip(rng.uniform(0.1, 0.9, (600, 1)) + rng.normal(0, 0.15, (600, 3)), 0.02, 0.98)
+    g = rng.binomial(2, np.repeat(p, 40, 1)).astype(float)
+    g[rng.random(g.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([(s, 1000 - i, None if np.isnan(g[s, i]) else int(g[s, i])) for s in range(600) for i in range(120)], "site int, ind int, g int")
+    ids, rows = models.site_rows(df)
+    assert ids == sorted(1000 - i for i in range(120))
+    scores, _, share = models.pca(rows, len(ids), 2)
+    f = np.nanmean(g, 1) / 2
+    z = np.nan_to_num((g - 2 * f[:, None]) / np.sqrt(2 * f * (1 - f))[:, None]).T[::-1]
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    want = np.abs(u[:, :2] * s[:2])
+    assert np.abs(np.abs(scores) - want).max() < 1e-3 * want.max()
+    assert share == pytest.approx(s[:2] ** 2 / (s**2).sum(), rel=1e-5)
+    # further power steps come as near as asked for
+    scores, _, _ = models.pca(rows, len(ids), 2, power=14)
+    assert np.abs(scores) == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_kinship_tiles_against_plain_pairs(spark):
+    from helixflow.operators import kinship
+
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 2, (300, 23)).astype(float)
+    a[rng.random(a.shape) < 0.4] = np.nan
+    a[:, 5] = np.nan
+    a[:, 6], a[:, 7] = np.nan, np.nan
+    a[:2, 6], a[2:4, 7] = 1, 0  # no site in common
+    df = spark.createDataFrame([(7 * s - 900, i * 3, None if np.isnan(a[s, i]) else int(a[s, i])) for s in range(300) for i in range(23)], "site bigint, ind bigint, a int")
+    want = {}
+    for i in range(23):
+        for j in range(i + 1, 23):
+            both = ~np.isnan(a[:, i]) & ~np.isnan(a[:, j])
+            if both.sum():
+                want[3 * i, 3 * j] = (float((a[both, i] != a[both, j]).mean()) if both.sum() >= 5 else None, int(both.sum()))
+    for sizes in ({}, {"tile": 4, "words": 2}, {"tile": 23, "words": 1}):
+        got = kinship.mismatch(df, 5, **sizes)
+        assert {(r["i"], r["j"]): (r["p0"], r["n"]) for r in got.collect()} == want
+    assert kinship.mismatch(df.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 500])
+def test_numbers_without_one_task(spark, rows):
+    from helixflow.operators.ordinals import numbered
+
+    df = spark.range(rows).select(((F.col("id") * 7919) % 1009).alias("k"), "id")
+    got = [tuple(r) for r in numbered(df, [F.col("k").desc(), "id"]).orderBy("i").select("i", "k", "id").collect()]
+    want = sorted(((i * 7919) % 1009, i) for i in range(rows))
+    assert got == [(n, k, i) for n, (k, i) in enumerate(sorted(want, key=lambda x: (-x[0], x[1])))]
+    plan = numbered(df, ["k", "id"])._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    folds = [r[0] for r in models.folds(df, ["id"], 5).orderBy("id").select("fold").collect()]
+    assert folds == [f for f, part in enumerate(np.array_split(np.arange(rows), 5)) for _ in part]
 
 
 def brute_viterbi(carry, cm):
