@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,11 @@ def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     return filled.crossJoin(F.broadcast(moments)).select(*[c for c in df.columns if c not in columns], *scaled)
 
 
+def bonferroni_z(n: int, level: float = 0.05) -> float:
+    """The two-sided threshold of |z| for n tests."""
+    return NormalDist().inv_cdf(1 - level / (2 * max(n, 1)))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, to: str = "q") -> DataFrame:
     """df with BH-adjusted p values: the running minimum from the largest p of p * n / rank."""
     per = df.groupBy(p).agg(F.count(F.lit(1)).alias("__c"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 BLOCK = 1 << 16
 _ROWS = 512
 #: Candidates that are compared exactly at once; a query has up to a block of them where references tie.
@@ -99,3 +101,57 @@ def expectation(neighbors: DataFrame, samples: DataFrame, k: int) -> DataFrame:
     bio = F.greatest(F.lit(0.0), var - F.col("sws") / F.col("sw"))
     z = (F.col("value") - mean) / F.sqrt(F.col("se") * F.col("se") + bio + F.greatest(F.lit(0.0), var) / k)
     return out.select("id", mean.alias("expected"), (F.col("value") - mean).alias("residual"), z.alias("z"), F.sqrt(bio).alias("sigma_bio"), (F.col("sw") * F.col("sw") / F.col("sw2")).alias("n_eff"))
+
+
+def _pool_scores(near: DataFrame, samples: DataFrame, k: int, pools: int) -> DataFrame:
+    """(id, pool, z, met) from (id, neighbor, rank, pools): each pool's k + 1 first neighbours; met: how many it had."""
+    other = samples.select(F.col("id").alias("neighbor"), F.col("value").alias("nv"), F.col("se").alias("ns"))
+    row = F.struct("rank", (F.col("neighbor") == F.col("id")).alias("own"), "nv", "ns", "pools")
+    lists = near.join(other, "neighbor").groupBy("id").agg(F.sort_array(F.collect_list(row)).alias("x")).join(samples, "id")
+    lists = lists.select("id", "value", "se", *(F.col(f"x.{c}").alias(c) for c in ("own", "nv", "ns", "pools")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, zs, met = [], [], []
+            for r in range(batch.num_rows):
+                i, value, se, own, nv, ns, member = (c[r] for c in batch.columns)
+                nv, ns, member = nv.values.to_numpy(), ns.values.to_numpy(), member.values
+                in_pool = np.zeros((len(nv), pools), bool)
+                in_pool[np.repeat(np.arange(len(nv)), member.value_lengths().to_numpy()), member.flatten().to_numpy()] = True
+                in_pool &= np.cumsum(in_pool, 0) <= k + 1
+                w = np.where(own.values.to_numpy(zero_copy_only=False), 0.0, 1 / np.maximum(ns, 1e-4) ** 2)[:, None] * in_pool
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sw = w.sum(0)
+                    mean = (w * nv[:, None]).sum(0) / sw
+                    var = (w * (nv[:, None] - mean) ** 2).sum(0) / sw
+                    bio = np.maximum(0, var - (w * ns[:, None] ** 2).sum(0) / sw)
+                    z = (value.as_py() - mean) / np.sqrt(se.as_py() ** 2 + bio + var / k)
+                ids.append(np.full(pools, i.as_py()))
+                zs.append(z)
+                met.append(in_pool.sum(0))
+            if ids:
+                cols = [np.concatenate(ids), np.tile(np.arange(pools, dtype=np.int32), len(ids)), np.concatenate(zs), np.concatenate(met).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, from_pandas=True) for c in cols], names=["id", "pool", "z", "met"])
+
+    return lists.mapInArrow(run, "id bigint, pool int, z double, met int")
+
+
+def pool_scores(queries: DataFrame, reference: DataFrame, samples: DataFrame, members: DataFrame, k: int, pools: int, ahead: int = 4) -> DataFrame:
+    """(id, pool, z): what expectation() gives for each pool of references, all pools from one search.
+
+    members: (id, pools), the numbers of the pools (0 .. pools - 1) that a reference belongs to. The search keeps
+    ahead * (k + 1) neighbours of each query, enough for pools of a fair share of the references; queries for which a
+    pool has fewer than k + 1 of them, while there are more references, are searched again with four times as many. z is
+    NULL where a pool has no neighbour of positive weight.
+    """
+    n, out = reference.count(), None
+    keep = ahead * (k + 1)
+    while True:
+        near = nearest(queries, reference, keep).join(members.select(F.col("id").alias("neighbor"), "pools"), "neighbor")
+        found = checkpointed(_pool_scores(near, samples, k, pools))
+        short = found.filter(F.col("met") <= k).select("id").distinct() if keep < n else None
+        done = found if short is None else found.join(short, "id", "left_anti")
+        out = done if out is None else out.union(done)
+        if short is None or short.isEmpty():
+            return out.select("id", "pool", "z")
+        queries, keep = checkpointed(queries.join(short, "id", "left_semi")), 4 * keep

@@ -107,3 +107,31 @@ def calibrated(m: DataFrame, pops: DataFrame, pop: str, known: Column) -> DataFr
     se = F.sqrt((F.count_if(fold) - 1) * F.var_pop(F.when(fold, C("p"))))
     pick = lambda c: F.max(F.when(whole, C(c)))
     return pred.agg(pick("p").alias("alpha"), se.alias("se"), pick("slope").alias("slope"), pick("intercept").alias("intercept"), F.count_if(fold).alias("blocks"))
+
+
+#: Width of the finest bins of interval_join, how much wider each level is than the one before, and levels.
+BIN, WIDER, LEVELS = 1 << 14, 8, 12
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, *, closed: bool = True, bin_width: int = BIN) -> DataFrame:
+    """Each point (keys, at) with each interval of its keys that holds it; closed: end belongs to the interval.
+
+    An interval takes the finest level of bins of which it touches at most WIDER + 1, and is joined to the points of these
+    bins by equality, so neither long nor many overlapping intervals need a comparison with all points. Points are
+    repeated once for each level in use. An interval and a point meet in one bin at most, so no row comes twice. NULLs
+    and intervals whose end is before their start hold nothing. The other columns of both sides are kept.
+    """
+    width = [bin_width * WIDER**k for k in range(LEVELS)]
+    first, last = F.col(start), F.col(end)
+    touched = [F.floor(last / w) - F.floor(first / w) for w in width]
+    level = F.coalesce(*(F.when(t <= WIDER, k) for k, t in enumerate(touched)), F.lit(LEVELS - 1))
+    placed = intervals.filter(last >= first).withColumn("__level", level)
+    used = sorted(r[0] for r in placed.select("__level").distinct().collect())  # at most LEVELS
+    wide = F.element_at(F.lit(width).cast("array<bigint>"), F.col("__level") + 1)
+    placed = placed.withColumn("__bin", F.explode(F.sequence(F.floor(first / wide), F.floor(last / wide))))
+    spots = [F.struct(F.lit(k).alias("__level"), F.floor(F.col(at) / width[k]).alias("__bin")) for k in used]
+    if not spots:
+        spots = [F.struct(F.lit(0).alias("__level"), F.lit(0).cast("bigint").alias("__bin"))]
+    dealt = points.filter(F.col(at).isNotNull()).withColumn("__spot", F.explode(F.array(*spots))).select(*points.columns, "__spot.*")
+    inside = (F.col(at) >= first) & ((F.col(at) <= last) if closed else (F.col(at) < last))
+    return dealt.join(placed, [*keys, "__level", "__bin"]).filter(inside).drop("__level", "__bin")

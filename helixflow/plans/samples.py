@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import loci, qc
 from .genetics import query as _query
-from .views import analysis, ctes, estimates, genotypes, meta, rounded, table
+from .views import analysis, ctes, estimates, genotypes, meta, rounded, table, two_sided_p_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -253,10 +253,11 @@ def baseline_median(spark: SparkSession, d: str) -> DataFrame:
     return rounded(analysis(spark, d).filter("region <> 3").agg(F.median("alpha").alias("baseline"), F.count(F.lit(1)).alias("n")))
 
 
-@query(ctes("analysis") + " select count(case when abs((alpha - 0.05) / se) > 3.0 then 1 end) as above_3, round(max(abs((alpha - 0.05) / se)), 4) as max_abs_z, count(*) as tests from analysis")
+@query(ctes("analysis") + f", z as (select abs((alpha - 0.05) / se) as z, count(*) over () as n from analysis) select count(case when {two_sided_p_sql('z')} < 0.05 / n then 1 end) as significant, round(max(z), 4) as max_abs_z, count(*) as tests from z")
 def bonferroni(spark: SparkSession, d: str) -> DataFrame:
-    z = F.abs((C("alpha") - 0.05) / C("se"))
-    return rounded(analysis(spark, d).agg(F.count_if(z > 3.0).alias("above_3"), F.max(z).alias("max_abs_z"), F.count(F.lit(1)).alias("tests")), 4)
+    """Samples beyond the two-sided threshold of as many tests as there are samples; the SQL compares p values instead."""
+    z = analysis(spark, d).select(F.abs((C("alpha") - 0.05) / C("se")).alias("z"))
+    return rounded(z.agg(F.count_if(C("z") > agg.bonferroni_z(z.count())).alias("significant"), F.max("z").alias("max_abs_z"), F.count(F.lit(1)).alias("tests")), 4)
 
 
 @query(ctes("analysis") + ", p as (select id, exp(-abs((alpha - 0.05) / se)) as p from analysis), r as (select id, p, p * count(*) over () / rank_max as x from (select *, count(*) over (order by p) as rank_max from p)) select id, round(p, 6) as p, round(least(1.0, min(x) over (order by p desc)), 6) as q from r")

@@ -10,7 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import knn, loci, models, segments
 from ..operators.ordinals import numbered
 from .genetics import query as _query
-from .views import analysis, calls, ctes, estimates, genotypes, meta, rounded, table, wide
+from .views import analysis, calls, ctes, estimates, genotypes, meta, rounded, table, two_sided_p_sql, wide
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,20 @@ def interval_genes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("g.gene", "site", (C("p_retailprice") == C("g.lo")).alias("at_start"), C("p_retailprice").between(C("g.lo"), C("g.hi")).alias("in_window"))
 
 
+_SPANS = "case when o_orderkey % 50 = 0 then 40 else 1 end"
+
+
+@query(f"""with p as (select l_suppkey % 22 as chrom, l_orderkey * 4 + l_linenumber as pos, l_quantity as q from lineitem),
+i as (select o_orderkey as id, o_custkey % 22 as chrom, o_orderkey * 4 as lo, o_orderkey * 4 + cast(floor(o_totalprice / 100) as bigint) * {_SPANS} as hi from orders)
+select id, count(*) as n_closed, count(case when pos < hi then 1 end) as n_open, round(sum(q), 2) as q from i join p on i.chrom = p.chrom and pos >= lo and pos <= hi group by id""")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Points in the intervals of a table: inclusive windows, and of these the ones that half-open intervals hold."""
+    points = table(spark, d, "lineitem").selectExpr("l_suppkey % 22 as chrom", "l_orderkey * 4 + l_linenumber as pos", "l_quantity as q")
+    spans = table(spark, d, "orders").selectExpr("o_orderkey as id", "o_custkey % 22 as chrom", "o_orderkey * 4 as lo", f"o_orderkey * 4 + cast(floor(o_totalprice / 100) as bigint) * {_SPANS} as hi")
+    met = loci.interval_join(points, spans, ["chrom"], "pos", "lo", "hi", bin_width=1 << 10)
+    return rounded(met.groupBy("id").agg(F.count(F.lit(1)).alias("n_closed"), F.count_if(C("pos") < C("hi")).alias("n_open"), F.sum("q").alias("q")), 2)
+
+
 _FEATURES = 9
 _VEC = "emb as (select vec_id as id, label, " + ", ".join(f"cast(embedding[{i + 1}] as double) as x{i}" for i in range(_FEATURES)) + " from embeddings)"
 _D2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(_FEATURES))
@@ -107,6 +121,43 @@ def perturb_k(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.crossJoin(kept).select("rho", "max_a", "max_b", "kept", "above_3"), 4)
 
 
+_P31 = 2147483647
+# Pools of references: all, three halves, those of small error, and the distinct members of 100 bootstrap draws.
+_HALVES, _FLOOR, _DRAWS, _SMALL_SE = 3, 4, 100, 0.006
+_POOLS = _FLOOR + 1 + _DRAWS
+#: Two rounds of a multiplicative generator give each reference a number for each pool.
+_DRAW = f"((((id * 48271 + pool * 69621 + 11) % {_P31}) * 16807 + pool * 40692) % {_P31}) * 48271 % {_P31}"
+# A reference is drawn at least once with a chance of 1 - 1/e.
+_MEMBER = f"case when pool = 0 then true when pool <= {_HALVES} then {_DRAW} < {_P31 // 2} when pool = {_FLOOR} then se <= {_SMALL_SE} else {_DRAW} < {int(_P31 * 0.6321205588285577)} end"
+_POOL_SQL = f"""with {_KNN}, {_SAMPLE}, pl as (select unnest(range({_POOLS})) as pool),
+mb as (select id as neighbor, pool, value as nv, se as ns from smp cross join pl where {_MEMBER}),
+pr as (select nn.id, pool, neighbor, nv, ns, row_number() over (partition by nn.id, pool order by rank) as r from nn join mb using (neighbor)),
+wn as (select *, case when id = neighbor then 0.0 else 1 / pow(greatest(ns, 0.0001), 2) end as w from pr where r <= 21),
+su as (select id, pool, sum(w) as sw, sum(w * nv) / sum(w) as mean, sum(w * ns * ns) / sum(w) as mse from wn group by id, pool),
+vr as (select wn.id, wn.pool, sum(w * (nv - mean) * (nv - mean)) / max(sw) as var from wn join su on wn.id = su.id and wn.pool = su.pool group by wn.id, wn.pool),
+z as (select s.id, su.pool, (value - mean) / sqrt(s.se * s.se + greatest(0, var - mse) + var / 20) as z from smp s join su on s.id = su.id join vr on vr.id = su.id and vr.pool = su.pool),
+b as (select z.*, base.z as z0 from z join (select id, z from z where pool = 0) base using (id)),
+rk as (select *, rank() over (partition by pool order by z) + (count(*) over (partition by pool, z) - 1) / 2 as ra, rank() over (partition by pool order by z0) + (count(*) over (partition by pool, z0) - 1) / 2 as rb,
+  row_number() over (partition by pool order by abs(z) desc, id) as ta, row_number() over (partition by pool order by abs(z0) desc, id) as tb, count(*) over (partition by pool) as n from b)
+select cast(pool as integer) as pool, round(max(abs(z)), 4) as max_abs_z, count(case when {two_sided_p_sql("abs(z)")} < 0.05 / n then 1 end) as significant, round(corr(ra, rb), 4) as rho, count(case when ta <= 20 and tb <= 20 then 1 end) as kept from rk group by pool"""
+
+
+@query(_POOL_SQL)
+def reference_pools(spark: SparkSession, d: str) -> DataFrame:
+    """How far residuals depend on who is a reference: pool by pool the largest |z|, those beyond Bonferroni's threshold, the rank correlation with all references, and how many of the 20 largest stay."""
+    v, samples = _vectors(spark, d), _samples(spark, d)
+    members = samples.select("id", "se", F.explode(F.sequence(F.lit(0), F.lit(_POOLS - 1))).alias("pool")).filter(_MEMBER).groupBy("id").agg(F.collect_list("pool").alias("pools"))
+    found = knn.pool_scores(v.select("id", "x"), v.filter("label % 3 <> 0").select("id", "x"), samples, members, 20, _POOLS).filter("z is not null")
+    found = found.join(found.filter("pool = 0").select("id", C("z").alias("z0")), "id")
+    ranked = agg.average_rank(agg.average_rank(found, "z", "ra", ["pool"]), "z0", "rb", ["pool"])
+    place = lambda c: F.row_number().over(Window.partitionBy("pool").orderBy(F.abs(c).desc(), "id"))
+    ranked = ranked.withColumn("ta", place("z")).withColumn("tb", place("z0"))
+    stats = ranked.groupBy("pool").agg(
+        F.max(F.abs("z")).alias("max_abs_z"), F.count_if(F.abs("z") > agg.bonferroni_z(samples.count())).alias("significant"), F.corr("ra", "rb").alias("rho"), F.count_if((C("ta") <= 20) & (C("tb") <= 20)).alias("kept"),
+    )
+    return rounded(stats, 4)
+
+
 @query("with a as (select l_partkey as site, l_suppkey as ind, max(l_quantity) as g from lineitem where l_linenumber <= 3 group by 1, 2), b as (select l_partkey as site, l_suppkey as ind, max(l_quantity) as g from lineitem where l_linenumber > 3 group by 1, 2) select coalesce(a.site, b.site) as site, coalesce(a.ind, b.ind) as ind, coalesce(a.g, b.g) as g, case when a.g is not null then 1 else 2 end as library from a full outer join b on a.site = b.site and a.ind = b.ind")
 def library_coalesce(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").selectExpr("l_partkey as site", "l_suppkey as ind", "l_linenumber <= 3 as first", "l_quantity as q")

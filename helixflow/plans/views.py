@@ -117,6 +117,11 @@ def jackknife_sql(source: str, keys: list[str], stats: dict[str, tuple[str, str]
     )
 
 
+def two_sided_p_sql(z: str) -> str:
+    """Two-sided tail of the normal distribution as a continued fraction, exact enough from |z| of 1.5 on."""
+    return f"(2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) / list_reduce(list_prepend(cast({z} as double), range(80, 0, -1)), lambda a, i: ({z}) + i / a))"
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """df with its doubles rounded (special: digits of single columns)."""
     return df.select(*(F.round(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

@@ -243,3 +243,56 @@ def test_kinship_p0_all_counts_every_site(spark):
 def test_chi2_tail_at_its_bounds():
     assert models.chi2_sf(-1e-9, 3) == models.chi2_sf(0.0, 3) == 1.0
     assert models.chi2_sf(1e-6, 3) > 0.99 and models.chi2_sf(1e4, 3) < 1e-6
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_interval_join_against_all_pairs(spark, closed):
+    """Overlapping, nested, one-point, bin-crossing and chromosome-wide intervals; NULLs and turned ones hold nothing."""
+    from helixflow.operators import loci
+
+    rng = np.random.default_rng(6)
+    spans = [(i, int(rng.integers(3)), int(a), int(a + w)) for i, (a, w) in enumerate(zip(rng.integers(-500, 5000, 120), rng.choice([0, 1, 7, 8, 63, 64, 65, 700, 9000], 120)))]
+    spans += [(500, 1, -(10**9), 10**9), (501, 1, 10, 3), (502, None, 0, 100), (503, 1, None, 5), (504, 1, 8, None)]
+    points = [(i, int(rng.integers(3)), int(p)) for i, p in enumerate(rng.integers(-600, 6000, 300))] + [(900, None, 5), (901, 1, None), (902, 1, 8), (903, 1, 8)]
+    p = spark.createDataFrame(points, "point bigint, chrom int, pos bigint")
+    s = spark.createDataFrame(spans, "span bigint, chrom int, lo bigint, hi bigint")
+    want = sorted(
+        (a, i) for a, c, x in points for i, k, lo, hi in spans
+        if None not in (c, x, k, lo, hi) and c == k and lo <= x and (x <= hi if closed else x < hi)
+    )
+    for width in (8, 1 << 14):
+        joined = loci.interval_join(p, s, ["chrom"], "pos", "lo", "hi", closed=closed, bin_width=width)
+        assert sorted((r["point"], r["span"]) for r in joined.collect()) == want
+        plan = joined._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert loci.interval_join(p, s.limit(0), ["chrom"], "pos", "lo", "hi").count() == 0
+
+
+def test_pools_of_references_against_one_search_each(spark):
+    """Small pools need further searches; each pool's z is that of its own references alone."""
+    rng = np.random.default_rng(12)
+    n, k = 150, 5
+    x, value, se = rng.normal(size=(n, 3)), rng.normal(0.02, 0.01, n), rng.uniform(0.001, 0.01, n)
+    member = rng.random((n, 4)) < np.array([1, 0.5, 0.08, 0.0])
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id bigint, x array<double>")
+    samples = spark.createDataFrame([(i, float(value[i]), float(se[i])) for i in range(n)], "id bigint, value double, se double")
+    members = spark.createDataFrame([(i, np.flatnonzero(member[i]).tolist()) for i in range(n)], "id bigint, pools array<int>")
+    got = {(r["id"], r["pool"]): r["z"] for r in knn.pool_scores(vectors, vectors, samples, members, k, 4, ahead=2).collect()}
+    assert len(got) == 4 * n
+    for pool in range(4):
+        own = [i for i in range(n) if member[i, pool]]
+        for i in range(n):
+            near = sorted(own, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[: k + 1]
+            w = np.array([0.0 if j == i else 1 / max(se[j], 1e-4) ** 2 for j in near])
+            if not w.sum():
+                assert got[i, pool] is None
+                continue
+            mean = (w * value[near]).sum() / w.sum()
+            var = (w * (value[near] - mean) ** 2).sum() / w.sum()
+            bio = max(0, var - (w * se[near] ** 2).sum() / w.sum())
+            assert got[i, pool] == pytest.approx((value[i] - mean) / np.sqrt(se[i] ** 2 + bio + var / k))
+
+
+def test_bonferroni_threshold():
+    assert aggregates.bonferroni_z(1) == pytest.approx(1.959964, abs=1e-6)
+    assert aggregates.bonferroni_z(9252) == pytest.approx(4.55, abs=5e-3)
