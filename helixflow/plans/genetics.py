@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import frequency, jackknife, kinship, loci
+from ..operators import frequency, gates, jackknife, kinship, loci
 from .views import calls, ctes, estimates, genotypes, jackknife_sql, rounded, sites, table, wide
 
 QUERIES: dict = {}
@@ -93,6 +93,41 @@ def group_archaic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(jackknife.jackknife(px.join(wide(spark, d), "site"), _three("px"), ["nat"]), z_a=4, z_nea=4, z_den=4)
 
 
+_GATES = [
+    gates.Gate("carriers", "z_nea", (0, 5, 10), low=3.0, strict=True),
+    gates.Gate("share in range", "theta_a", tuple(range(9)), low=0.012, high=0.035, needed=8),
+    gates.Gate("near zero", "theta_nea", (2, 3, 4, 7, 8), low=-0.02, high=0.02, needed=4),
+    gates.Gate("control", "z_nea", (2, 7), high=4.0, strict=True, absolute=True),
+    gates.Gate("rank order", "theta_nea", (1, 2, 0), ordered=True),
+    gates.Gate("turned order", "theta_nea", (0, 2, 1), ordered=True),
+    gates.Gate("far above", "theta_den", (2, 3), ordered=True, margin=2.0),
+    gates.Gate("unknown member", "theta_den", (2, 99)),
+]
+_GATED = ("theta_a", "theta_nea", "z_nea", "theta_den")
+
+
+def _literal(x) -> str:
+    return "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_GATE_ROWS = ", ".join("(" + ", ".join(_literal(v) for v in (g.name, g.statistic, m, k, g.low, g.high, g.strict, g.absolute, g.needed or len(g.members), g.ordered, g.margin)) + ")" for g in _GATES for k, m in enumerate(g.members))
+
+
+@query(
+    f"""with ga as ({ORACLES["group_archaic"]}), es as ({" union all ".join(f"select nat as member, '{s}' as statistic, cast({s} as double) as value from ga" for s in _GATED)}),
+    gt(gate, statistic, member, place, low, high, strict, absolute, needed, ordered, margin) as (values {_GATE_ROWS}),
+    r as (select gt.*, value, lag(value) over (partition by gate order by place) as prior, case when absolute then abs(value) else value end as x from gt left join es on gt.statistic = es.statistic and gt.member = es.member),
+    f as (select *, case when value is null then false when ordered then place = 0 or coalesce(value > prior + margin * greatest(abs(prior), 0.000001), false)
+      else coalesce(case when strict then x > low else x >= low end, true) and coalesce(case when strict then x < high else x <= high end, true) end as fits from r)
+    select gate, count(case when fits then 1 end) as met, cast(max(needed) as integer) as needed, min(value) as least, max(value) as most, count(case when fits then 1 end) >= max(needed) as passed from f group by gate"""
+)
+def validation_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Declared gates over the cohorts' estimates: ranges, controls and rank orders, some of which fail."""
+    estimates = group_archaic(spark, d)
+    long = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), C(s).alias("value")) for s in _GATED])).alias("e")
+    return gates.judged(estimates.select(C("nat").cast("bigint").alias("member"), long).select("member", "e.*"), gates.gate_table(spark, _GATES, "bigint"))
+
+
 _TUPLES = (("x", "mbuti", "altai", "chimp"), ("x", "vindija", "altai", "chimp"), ("x", "mbuti", "vindija", "chimp"), ("mbuti", "vindija", "altai", "x"))
 
 

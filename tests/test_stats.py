@@ -296,3 +296,25 @@ def test_pools_of_references_against_one_search_each(spark):
 def test_bonferroni_threshold():
     assert aggregates.bonferroni_z(1) == pytest.approx(1.959964, abs=1e-6)
     assert aggregates.bonferroni_z(9252) == pytest.approx(4.55, abs=5e-3)
+
+
+def test_gates(spark):
+    from helixflow.operators.gates import Gate, gate_table, judged
+
+    values = {"a": 1.0, "b": 2.0, "c": 2.0, "d": float("nan"), "e": None, "f": -5.0, "zero": 0.0}
+    estimates = spark.createDataFrame([(m, "s", v) for m, v in values.items()] + [("a", "t", 9.0)], "member string, statistic string, value double")
+    cases = [
+        (Gate("all in", "s", ("a", "b"), low=1.0, high=2.0), 2, True),
+        (Gate("strict", "s", ("a", "b"), low=1.0, high=2.0, strict=True), 0, False),
+        (Gate("enough", "s", ("a", "b", "f"), low=0.0, needed=2), 2, True),
+        (Gate("size", "s", ("f",), low=4.0, absolute=True), 1, True),
+        (Gate("missing", "s", ("a", "d", "e", "none")), 1, False),
+        (Gate("rising", "s", ("f", "a", "b"), ordered=True), 3, True),
+        (Gate("tie", "s", ("a", "b", "c"), ordered=True), 2, False),
+        (Gate("after a gap", "s", ("a", "d", "b"), ordered=True), 1, False),
+        (Gate("margin", "s", ("a", "b"), ordered=True, margin=2.0), 1, False),
+        (Gate("margin of zero", "s", ("zero", "a"), ordered=True, margin=2.0), 2, True),
+        (Gate("other", "t", ("a", "b"), needed=1), 1, True),
+    ]
+    got = {r["gate"]: (r["met"], r["passed"]) for r in judged(estimates, gate_table(spark, [c[0] for c in cases])).collect()}
+    assert got == {g.name: (met, passed) for g, met, passed in cases}
