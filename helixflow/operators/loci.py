@@ -109,6 +109,17 @@ def calibrated(m: DataFrame, pops: DataFrame, pop: str, known: Column) -> DataFr
     return pred.agg(pick("p").alias("alpha"), se.alias("se"), pick("slope").alias("slope"), pick("intercept").alias("intercept"), F.count_if(fold).alias("blocks"))
 
 
+def thinning_ladder(df: DataFrame, site: str, levels: list[float], seed: int = 0, to: str = "level") -> DataFrame:
+    """df once for each level whose share of sites a row's site is in; one draw a site, so smaller levels are nested in larger.
+
+    A site's draw is a hash of its number, so runs agree; a level of 1 or more holds all rows.
+    """
+    prime = 2147483647
+    draw = ((F.col(site) % prime * 48271 + seed * 69621 + 11) % prime * 16807 % prime) * 40692 % prime
+    rungs = F.array(*[F.when(draw < int(min(x, 1.0) * prime), F.lit(float(x))) for x in levels])
+    return df.withColumn(to, F.explode(F.array_compact(rungs)))
+
+
 #: Width of the finest bins of interval_join, how much wider each level is than the one before, and levels.
 BIN, WIDER, LEVELS = 1 << 14, 8, 12
 

@@ -134,6 +134,41 @@ def mixture(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> dict:
     return {"weights": w.tolist(), "se": se.tolist(), "chi2": chi2, "dof": dof, "p": chi2_sf(chi2, dof), "n": int(n)}
 
 
+def product_sums(freq: DataFrame, pops: list[str], block: str = "blk") -> DataFrame:
+    """A row a block: n, its sites where all pops have a frequency, and s_i_j (i <= j), the sums of their products.
+
+    Any f4(a, b; c, d) over these sites is a sum of four of them, so one pass over the sites serves all models.
+    """
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(pops) for j, b in enumerate(pops) if i <= j]
+    return freq.dropna(subset=pops).groupBy(block).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def mixtures(sums: DataFrame, pops: list[str], wanted: list[tuple[str, list[str], list[str]]], block: str = "blk") -> list[dict]:
+    """mixture() of each (target, sources, outgroups), from product_sums() of pops: the driver gets a matrix a block.
+
+    A model of more sources than outgroups, or too few sites to leave a block out, has no solution: its weights are NaN.
+    """
+    at = {p: k for k, p in enumerate(pops)}
+    held = []
+    for r in sums.orderBy(block).collect():
+        m = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] for j in range(len(pops))] for i in range(len(pops))])
+        held.append((r["n"], m))
+    out = []
+    for target, sources, outgroups in wanted:
+        first, zero = at[sources[0]], at[outgroups[0]]
+
+        def f4(m: np.ndarray, a: str, c: str, first: int = first, zero: int = zero) -> float:
+            return m[at[a], zero] - m[at[a], at[c]] - m[first, zero] + m[first, at[c]]
+
+        blocks = [(n, np.array([f4(m, target, c) for c in outgroups[1:]]), np.array([[f4(m, s, c) for s in sources[1:]] for c in outgroups[1:]])) for n, m in held]
+        total = sum(b[0] for b in blocks)
+        enough = len(outgroups) >= len(sources) and sum(total - b[0] >= 100 for b in blocks) > 1
+        none = [float("nan")] * len(sources)
+        model = mixture(blocks) if enough else {"weights": none, "se": none, "chi2": float("nan"), "dof": len(outgroups) - len(sources), "p": float("nan"), "n": total}
+        out.append({"target": target, "sources": list(sources), "outgroups": list(outgroups)} | model)
+    return out
+
+
 def site_rows(calls: DataFrame, site: str = "site", ind: str = "ind") -> tuple[list, DataFrame]:
     """(individuals in order, rows (p, no, g)): a row for each site with 0 < p < 1, its calls by the individual's number.
 

@@ -56,6 +56,17 @@ def dstat_jackknife(spark: SparkSession, d: str) -> DataFrame:
     return rounded(jackknife.jackknife(wide(spark, d), [s], []), z_d=4)
 
 
+_LEVELS = (0.02, 0.05, 0.1, 0.25, 0.5, 1.0)
+_RUNGS = f"list_filter([{', '.join(map(str, _LEVELS))}], lambda x: ((((site * 48271 + 11) % 2147483647) * 16807 % 2147483647) * 40692) % 2147483647 < cast(floor(x * 2147483647) as bigint))"
+
+
+@query(ctes("wide") + f", lad as (select *, unnest({_RUNGS}) as level from wide), " + jackknife_sql("lad", ["level"], _D) + " select cast(level as double) as level, " + _JK.format("d") + " from jk")
+def noise_floor(spark: SparkSession, d: str) -> DataFrame:
+    """The D statistic and its error on nested shares of the sites, all from one pass."""
+    s = jackknife.dstat("d", C("altai"), C("chimp"), C("x"), C("mbuti"))
+    return rounded(jackknife.jackknife(loci.thinning_ladder(wide(spark, d), "site", list(_LEVELS)), [s], ["level"]), z_d=4)
+
+
 _A = {"a": ("(altai - chimp) * (x - mbuti)", "(altai - chimp) * (vindija - mbuti)")}
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import knn, loci, models, segments
+from ..operators import frequency, knn, loci, models, segments
 from ..operators.ordinals import numbered
 from .genetics import query as _query
-from .views import analysis, calls, ctes, estimates, genotypes, meta, rounded, table, two_sided_p_sql, wide
+from .views import analysis, calls, ctes, estimates, genotypes, meta, rounded, sites, table, two_sided_p_sql, wide
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -331,10 +331,40 @@ def qpadm_solve(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, weight double, se double, chi2 double, dof int, p double, n bigint")
 
 
+_COHORTS = [f"n{k}" for k in range(10)]
+_MODELS = [("n0", ["n1", "n2"], ["n5", "n6", "n7", "n8"]), ("n0", ["n1", "n2", "n3"], ["n5", "n6", "n7", "n8", "n9"]), ("n0", ["n1", "n2", "n3", "n4"], ["n5", "n6", "n7", "n8", "n9"]), ("n4", ["n3", "n2"], ["n9", "n8", "n7"])]
+
+
+def _products(spark: SparkSession, d: str) -> DataFrame:
+    cohorts = genotypes(spark, d).withColumn("cohort", C("nat") % len(_COHORTS))
+    wide_freq = frequency.wide(frequency.allele_frequency(cohorts, "site", "cohort"), "site", "cohort", dict(enumerate(_COHORTS)))
+    return models.product_sums(sites(spark, d).select("site", "blk").join(wide_freq, "site"), _COHORTS)
+
+
+_PRODUCTS = ", ".join(f"round(sum({a} * {b}), 6) as s_{i}_{j}" for i, a in enumerate(_COHORTS) for j, b in enumerate(_COHORTS) if i <= j)
+
+
+@query(
+    ctes("geno", "sites")
+    + ", fn as (select site, nat % 10 as cohort, avg(g) / 2 as p from geno group by site, nat % 10), wn as (select site, "
+    + ", ".join(f"max(case when cohort = {k} then p end) as {v}" for k, v in enumerate(_COHORTS))
+    + f" from fn group by site) select blk, count(*) as n, {_PRODUCTS} from wn join sites using (site) where {' and '.join(f'{c} is not null' for c in _COHORTS)} group by blk"
+)
+def qpadm_products(spark: SparkSession, d: str) -> DataFrame:
+    """Block sums from which every model over these cohorts is solved."""
+    return rounded(_products(spark, d))
+
+
 @query()
-def mds_coordinates(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import frequency
+def qpadm_models(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of several models of two to four sources from one pass over the sites."""
+    found = models.mixtures(_products(spark, d), _COHORTS, _MODELS)
+    rows = [(k, m["target"], s, m["weights"][i], m["se"][i], m["chi2"], m["dof"], m["p"], int(m["n"])) for k, m in enumerate(found) for i, s in enumerate(m["sources"])]
+    return spark.createDataFrame(rows, "model int, target string, source string, weight double, se double, chi2 double, dof int, p double, n bigint")
 
+
+@query()
+def mds_coordinates(spark: SparkSession, d: str) -> DataFrame:
     pairs = loci.distances(frequency.allele_frequency(genotypes(spark, d), "site", "nat"), "nat", 100).collect()
     ids = sorted({r["i"] for r in pairs} | {r["j"] for r in pairs})
     at = {v: k for k, v in enumerate(ids)}

@@ -318,3 +318,43 @@ def test_gates(spark):
     ]
     got = {r["gate"]: (r["met"], r["passed"]) for r in judged(estimates, gate_table(spark, [c[0] for c in cases])).collect()}
     assert got == {g.name: (met, passed) for g, met, passed in cases}
+
+
+@pytest.mark.parametrize("weights", [(0.7, 0.3), (0.5, 0.3, 0.2), (0.4, 0.3, 0.2, 0.1)])
+def test_mixtures_of_many_sources_against_plain_f4(spark, weights):
+    """One pass of sums gives what f4 means over the same sites give, and the planted weights come back."""
+    rng = np.random.default_rng(len(weights))
+    n, s = 6000, len(weights)
+    pops = ["t", *(f"s{k}" for k in range(s)), *(f"o{k}" for k in range(6))]
+    base = rng.uniform(0.2, 0.8, n)
+    out = {f"o{k}": np.clip(base + rng.normal(0, 0.15, n), 0, 1) for k in range(6)}
+    src = {f"s{k}": np.clip(base + sum(c * (out[f"o{j}"] - base) for j, c in enumerate(rng.normal(0, 0.5, 6))) + rng.normal(0, 0.02, n), 0, 1) for k in range(s)}
+    freq = out | src | {"t": sum(w * src[f"s{k}"] for k, w in enumerate(weights)) + rng.normal(0, 0.005, n)}
+    gap = rng.random(n) < 0.02
+    blk = np.arange(n) * 20 // n
+    df = spark.createDataFrame([(int(blk[i]), *(None if p == "o1" and gap[i] else float(freq[p][i]) for p in pops)) for i in range(n)], "blk bigint, " + ", ".join(f"{p} double" for p in pops))
+    sources, outgroups = [f"s{k}" for k in range(s)], [f"o{k}" for k in range(6)]
+    got, bad = models.mixtures(models.product_sums(df, pops), pops, [("t", sources, outgroups), ("t", sources, outgroups[:1])])
+    f4 = lambda a, b, c, d, on: ((freq[a] - freq[b]) * (freq[c] - freq[d]))[on].mean()
+
+    def solved(on):
+        y = [f4("t", "s0", "o0", c, on) for c in outgroups[1:]]
+        a = [[f4(x, "s0", "o0", c, on) for x in sources[1:]] for c in outgroups[1:]]
+        w = np.linalg.lstsq(np.array(a), np.array(y), rcond=None)[0]
+        return np.concatenate([[1 - w.sum()], w])
+
+    assert got["n"] == (~gap).sum() and got["dof"] == 6 - s
+    assert got["weights"] == pytest.approx(solved(~gap), rel=1e-6)
+    loo = np.array([solved(~gap & (blk != b)) for b in range(20)])
+    assert got["se"] == pytest.approx(np.sqrt(19 / 20 * ((loo - loo.mean(0)) ** 2).sum(0)), rel=1e-5)
+    assert got["weights"] == pytest.approx(weights, abs=0.05)
+    assert np.isnan(bad["weights"]).all()
+
+
+def test_thinning_ladder_is_nested(spark):
+    from helixflow.operators import loci
+
+    rows = loci.thinning_ladder(spark.range(20000).withColumnRenamed("id", "site"), "site", [0.05, 0.25, 1.0]).collect()
+    held = {x: {r["site"] for r in rows if r["level"] == x} for x in (0.05, 0.25, 1.0)}
+    assert held[0.05] < held[0.25] < held[1.0] and len(held[1.0]) == 20000 and len(rows) == sum(map(len, held.values()))
+    assert len(held[0.05]) == pytest.approx(1000, abs=150) and len(held[0.25]) == pytest.approx(5000, abs=300)
