@@ -69,13 +69,13 @@ def gram(df: DataFrame, columns: list[Column], keys: list[str] | None = None) ->
 
 
 def ols(df: DataFrame, y: Column, x: dict[str, Column]) -> list[tuple]:
-    """(term, coef, se, t, p) of y ~ 1 + x from one pass of sums."""
+    """(term, coef, se, t, p) of y ~ 1 + x from one pass of sums; se, t and p are NaN without spare rows."""
     names = ["intercept", *x]
     (_, n, g), *_ = gram(df, [F.lit(1.0), *(c.cast("double") for c in x.values()), y.cast("double")])
     a, b = g[:-1, :-1], g[:-1, -1]
     coef = np.linalg.lstsq(a, b, rcond=None)[0]
     dof = n - len(names)
-    s2 = max(0.0, g[-1, -1] - b @ coef) / dof
+    s2 = max(0.0, g[-1, -1] - b @ coef) / dof if dof > 0 else float("nan")
     se = np.sqrt(np.diag(np.linalg.pinv(a)) * s2)
     return [(k, float(c), float(s), float(c / s) if s else None, t_two_sided(float(c / s), dof) if s else None) for k, c, s in zip(names, coef, se)]
 

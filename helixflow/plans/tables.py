@@ -87,13 +87,17 @@ def knn_neighbors(spark: SparkSession, d: str) -> DataFrame:
 _SAMPLE = "smp as (select vec_id as id, 0.02 + embedding[10] * 0.01 as value, 0.001 + abs(embedding[11]) * 0.01 as se from (select vec_id, list_transform(embedding, lambda v: cast(v as double)) as embedding from embeddings))"
 
 
-def _expect_sql(k: int, keep: str = "true") -> str:
-    return f"""{_SAMPLE}, pre as (select nn.id, nn.neighbor from nn where rank <= {k + 1} and {keep}), wn as (select p.id, case when p.id = neighbor then 0.0 else 1 / pow(greatest(s.se, 0.0001), 2) end as w, s.value as nv, s.se as ns from pre p join smp s on s.id = p.neighbor),
+def _residual_sql(k: int) -> str:
+    return f"""pre as (select nn.id, nn.neighbor from nn where rank <= {k + 1}), wn as (select p.id, case when p.id = neighbor then 0.0 else 1 / pow(greatest(s.se, 0.0001), 2) end as w, s.value as nv, s.se as ns from pre p join smp s on s.id = p.neighbor),
     su as (select id, sum(w) as sw, sum(w * w) as sw2, sum(w * nv) / sum(w) as mean, sum(w * ns * ns) / sum(w) as mse from wn group by id),
     vr as (select wn.id, sum(w * (nv - mean) * (nv - mean)) / max(sw) as var from wn join su on wn.id = su.id group by wn.id),
     ex as (select s.id, mean as expected, value - mean as residual, (value - mean) / sqrt(s.se * s.se + greatest(0, var - mse) + var / {k}) as z, sqrt(greatest(0, var - mse)) as sigma_bio, sw * sw / sw2 as n_eff from smp s join su on s.id = su.id join vr on vr.id = s.id)"""
 
 
+def _expect_sql(k: int) -> str:
+    return f"{_SAMPLE}, {_residual_sql(k)}"
+
+
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     return table(spark, d, "embeddings").select(C("vec_id").alias("id"), (0.02 + e(9) * 0.01).alias("value"), (0.001 + F.abs(e(10)) * 0.01).alias("se"))
@@ -121,6 +125,31 @@ def perturb_k(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.crossJoin(kept).select("rho", "max_a", "max_b", "kept", "above_3"), 4)
 
 
+# Weights of the scaled features, and the calls that make a sample a reference.
+_WEIGHTS = {"coverage": 1.0, "lon": 0.5, "lat": 0.5, "date_bp": 0.7}
+_CALLS = 400000
+_SCALED_SQL = f"""{ctes("analysis")}, med as (select {", ".join(f"median({c}) as {c}" for c in _WEIGHTS)} from analysis),
+fl as (select id, nsnp, {", ".join(f"cast(coalesce(a.{c}, med.{c}) as double) as {c}" for c in _WEIGHTS)} from analysis a cross join med),
+mo as (select {", ".join(f"avg({c}) as a_{c}, stddev_pop({c}) as s_{c}" for c in _WEIGHTS)} from fl),
+ft as (select id, nsnp, {", ".join(f"({c} - a_{c}) / case when s_{c} = 0 then 1 else s_{c} end * {w} as {c}" for c, w in _WEIGHTS.items())} from fl cross join mo),
+wt as (select *, 1 / pow(greatest(se, 0.0001), 2) as w from analysis), al as (select sum(w * alpha) / sum(w) as g from wt),
+os as (select data_type, case when count(*) >= 30 then sum(w * alpha) / sum(w) - max(g) else 0 end as off from wt cross join al group by data_type),
+smp as (select id, alpha - off as value, se from analysis join os using (data_type)),
+ds as (select a.id, b.id as neighbor, {" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _WEIGHTS)} as d2 from ft a cross join ft b where b.nsnp >= {_CALLS}),
+nn as (select *, row_number() over (partition by id order by d2, neighbor) as rank from ds), {_residual_sql(40)}
+select id, round(expected, 6) as expected, round(residual, 6) as residual, round(z, 4) as z from ex"""
+
+
+@query(_SCALED_SQL)
+def scaled_residual_z(spark: SparkSession, d: str) -> DataFrame:
+    """Residuals of estimates, centred by data type, from their 40 nearest well-called samples by scaled and weighted features."""
+    a = analysis(spark, d)
+    x = knn.features(a, _WEIGHTS)
+    samples = knn.centred(a.select("id", C("alpha").alias("value"), "se", "data_type"), "value", "se", "data_type").select("id", "value", "se")
+    near = knn.nearest(x, x.join(a.filter(C("nsnp") >= _CALLS).select("id"), "id", "left_semi"), 41)
+    return rounded(knn.expectation(near.select("id", "neighbor"), samples, 40).select("id", "expected", "residual", "z"), z=4)
+
+
 _P31 = 2147483647
 # Pools of references: all, three halves, those of small error, and the distinct members of 100 bootstrap draws.
 _HALVES, _FLOOR, _DRAWS, _SMALL_SE = 3, 4, 100, 0.006

@@ -1,8 +1,12 @@
 """Packed genotype files as a Spark data source, the tables beside them, and writers.
 
 A file has a header record and then records of 2-bit calls, the first in the high bits, 3 for missing: one record for
-each site (GENO) or for each individual (TGENO). The reader plans partitions over ranges of records; a task seeks to
-its records and unpacks only the wanted ones. Sizes are checked strictly against the header.
+each site (GENO) or for each individual (TGENO). The reader plans partitions over ranges of records; a task seeks
+to its records, reads the bytes that hold wanted calls and unpacks only these. Sizes are checked strictly against the
+header.
+
+Wanted sites and individuals are options, as runs of numbers. Filters are not pushed into the reader: in Spark 4.1.2 what
+one query pushes into a Python source stays with its DataFrame, and the next query of it loses rows.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -43,14 +47,23 @@ def layout(path: str, n_ind: int, n_snp: int) -> tuple[bool, int, int]:
     return transposed, offset, length
 
 
-def unpack(raw: np.ndarray, n: int) -> np.ndarray:
-    """Codes 0-3 of the first n calls of each record (rows of bytes)."""
-    codes = np.stack([(raw >> s) & 3 for s in (6, 4, 2, 0)], axis=-1)
-    return codes.reshape(*raw.shape[:-1], -1)[..., :n]
+def runs(numbers) -> str:
+    """Numbers as comma-joined runs, like 4-9,12; consecutive ones make one run."""
+    x = np.asarray(list(numbers), np.int64)
+    cuts = np.flatnonzero(np.diff(x) != 1) + 1
+    return ",".join(f"{p[0]}-{p[-1]}" if len(p) > 1 else str(p[0]) for p in np.split(x, cuts) if len(p))
+
+
+def _spans(text: str | None, n: int) -> np.ndarray:
+    """The runs as rows (first, last)."""
+    if text is None:
+        return np.array([[0, n - 1]], np.int64)
+    ends = [r.split("-") for r in text.split(",") if r]
+    return np.array([(int(e[0]), int(e[-1])) for e in ends], np.int64).reshape(-1, 2)
 
 
-def _numbers(text: str | None, n: int) -> np.ndarray:
-    return np.arange(n) if not text else np.array([int(x) for x in text.split(",")], np.int64)
+def _expanded(spans: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(np.arange(a, b + 1) for a, b in spans)])
 
 
 class _Range(InputPartition):
@@ -58,31 +71,50 @@ class _Range(InputPartition):
         self.records = records
 
 
+#: Unwanted bytes between two wanted ones that are read rather than skipped.
+_GAP = 1 << 12
+#: Calls of a batch, and of a partition where the option `records` does not say otherwise.
+_BATCH, _CALLS = 1 << 18, 1 << 24
+
+
 class PackedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.n_ind, self.n_snp = int(options["n_ind"]), int(options["n_snp"])
         self.transposed, self.offset, self.length = layout(self.path, self.n_ind, self.n_snp)
-        self.inds, self.snps = _numbers(options.get("inds"), self.n_ind), _numbers(options.get("snps"), self.n_snp)
-        self.per = int(options.get("records", 256 if self.transposed else 20000))
+        self.spans = {"ind_idx": _spans(options.get("inds"), self.n_ind), "geno_row": _spans(options.get("snps"), self.n_snp)}
+        self.record, self.call = ("ind_idx", "geno_row") if self.transposed else ("geno_row", "ind_idx")
+        self.per = int(options.get("records", 0))
 
     def partitions(self) -> list[InputPartition]:
-        records = self.inds if self.transposed else self.snps
-        return [_Range(records[a : a + self.per]) for a in range(0, len(records), self.per)]
+        records, calls = _expanded(self.spans[self.record]), _expanded(self.spans[self.call])
+        per = self.per or max(1, _CALLS // max(1, len(calls)))
+        return [_Range(records[a : a + per]) for a in range(0, len(records) if len(calls) else 0, per)] or [_Range(records[:0])]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        n, keep = (self.n_snp, self.snps) if self.transposed else (self.n_ind, self.inds)
+        keep = _expanded(self.spans[self.call])
+        byte, shift = keep >> 2, (6 - 2 * (keep & 3)).astype(np.uint8)
+        wanted = np.unique(byte)
+        pieces = np.split(wanted, np.flatnonzero(np.diff(wanted) > _GAP) + 1)
+        pieces = [(int(w[0]), int(w[-1]) + 1) for w in pieces if len(w)]
+        some = max(1, _BATCH // max(1, len(keep)))
         with open(self.path, "rb") as f:
-            for record in partition.records.tolist():
-                f.seek(self.offset + record * self.length)
-                g = unpack(np.frombuffer(f.read(self.length), np.uint8), n)[keep].astype(np.int8)
-                other = np.full(len(keep), record, np.int64)
-                snp, ind = (keep, other) if self.transposed else (other, keep)
-                yield pa.RecordBatch.from_arrays([pa.array(snp), pa.array(ind), pa.array(g, mask=g == 3)], names=["geno_row", "ind_idx", "g"])
+            for a in range(0, len(partition.records), some):
+                records = partition.records[a : a + some]
+                g = np.empty((len(records), len(keep)), np.int8)
+                raw = np.zeros(self.length, np.uint8)
+                for row, record in zip(g, records.tolist()):
+                    for start, stop in pieces:
+                        f.seek(self.offset + record * self.length + start)
+                        raw[start:stop] = np.frombuffer(f.read(stop - start), np.uint8)
+                    row[:] = (raw[byte] >> shift) & 3
+                numbers = {self.record: np.repeat(records, len(keep)), self.call: np.tile(keep, len(records))}
+                g = g.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(numbers["geno_row"]), pa.array(numbers["ind_idx"]), pa.array(g, mask=g == 3)], names=["geno_row", "ind_idx", "g"])
 
 
 class PackedGenotypes(DataSource):
-    """Options: path, n_ind, n_snp; inds and snps (comma-joined numbers, any order), records a partition."""
+    """Options: path, n_ind, n_snp; inds and snps (comma-joined numbers and runs, any order), records a partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,12 +128,15 @@ class PackedGenotypes(DataSource):
 
 
 def genotypes(spark: SparkSession, path: str, n_ind: int, n_snp: int, inds=None, snps=None, records: int | None = None) -> DataFrame:
-    """(geno_row, ind_idx, g) with NULL for missing; only the named individuals and sites are unpacked."""
+    """(geno_row, ind_idx, g) with NULL for missing; only the named individuals and sites are unpacked.
+
+    inds and snps are numbers or a text of runs(), each number once.
+    """
     spark.dataSource.register(PackedGenotypes)
     r = spark.read.format("packedgeno").option("n_ind", n_ind).option("n_snp", n_snp)
     for key, value in (("inds", inds), ("snps", snps)):
         if value is not None:
-            r = r.option(key, ",".join(str(int(x)) for x in value))
+            r = r.option(key, value if isinstance(value, str) else runs(value))
     return (r.option("records", records) if records else r).load(path)
 
 
@@ -153,8 +188,15 @@ class Panel:
     def calls(self, members: DataFrame) -> DataFrame:
         """(geno_row, cohort, ind_idx, g) of the cohorts' individuals at the panel's sites."""
         wanted = sorted(r[0] for r in members.select("ind_idx").distinct().collect())  # a list of individuals
-        g = genotypes(self.spark, self.prefix + ".geno", self.n_ind, self.n_snp, inds=wanted)
-        return g.join(members, "ind_idx").join(self.snp.select("geno_row"), "geno_row")
+        g = genotypes(self.spark, self.prefix + ".geno", self.n_ind, self.n_snp, inds=wanted, snps=self.site_runs())
+        return g.join(members, "ind_idx")
+
+    def site_runs(self) -> str:
+        """The panel's sites as runs; a file in the order of chromosomes has at most one for each."""
+        place = F.row_number().over(Window.partitionBy("chrom").orderBy("geno_row"))
+        each = self.snp.select("geno_row", "chrom", (F.col("geno_row") - place).alias("run")).groupBy("chrom", "run")
+        found = each.agg(F.min("geno_row").alias("a"), F.max("geno_row").alias("b")).orderBy("a").collect()
+        return ",".join(f"{r['a']}-{r['b']}" for r in found)
 
     def frequencies(self, spec: dict[str, dict]) -> DataFrame:
         """(geno_row, cohort, p, n)."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helixflow import synthetic
 from helixflow.operators import jackknife
-from helixflow.sources import packed, text
+from helixflow.sources import packed, profiles, text
 
 
 def dosages(n_ind, n_snp, seed=0):
@@ -30,6 +30,111 @@ def test_round_trip_and_selection(spark, tmp_path, transposed):
     assert (matrix(some, inds, snps) == g[np.ix_(inds, snps)]).all()
 
 
+@pytest.mark.parametrize("transposed", [True, False])
+def test_filters_of_one_table_do_not_mix(spark, tmp_path, transposed):
+    g = dosages(40, 90, 3)
+    path = str(tmp_path / "x.geno")
+    packed.write_packed(path, g, transposed)
+    every = packed.genotypes(spark, path, 40, 90)
+    some = every.filter("geno_row >= 17 and geno_row < 60 and ind_idx in (3, 39, 8) and g is not null")
+    assert sorted((r["ind_idx"], r["geno_row"], r["g"]) for r in some.collect()) == [(i, j, g[i, j]) for i in (3, 8, 39) for j in range(17, 60) if g[i, j] >= 0]
+    assert every.filter("geno_row = 5 and ind_idx > 36").count() == 3
+    assert every.filter("geno_row > 200").count() == every.filter("ind_idx < 0").count() == 0
+    assert every.filter("geno_row = 1 or ind_idx = 2").count() == 40 + 90 - 1
+    both = every.filter("ind_idx = 3").alias("a").join(every.filter("ind_idx = 8").alias("b"), "geno_row")
+    assert both.count() == 90
+
+
+@pytest.mark.parametrize("transposed", [True, False])
+def test_bytes_read_fall_with_the_selection(tmp_path, monkeypatch, transposed):
+    g = dosages(24, 60000, 5) if transposed else dosages(60000, 24, 5)
+    n_ind, n_snp = g.shape
+    path, count = str(tmp_path / "x.geno"), []
+    packed.write_packed(path, g, transposed)
+
+    class Counting:
+        def __init__(self, *a):
+            self.f = open(*a)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            count.append(n)
+            return self.f.read(n)
+
+    def read(records, calls):
+        inds, snps = (records, calls) if transposed else (calls, records)
+        reader = packed.PackedReader({"path": path, "n_ind": n_ind, "n_snp": n_snp, "inds": inds, "snps": snps})
+        monkeypatch.setattr(packed, "open", Counting, raising=False)
+        count.clear()
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+        monkeypatch.undo()
+        return rows, sum(count)
+
+    rows, whole = read("2,7", None)
+    assert len(rows) == 2 * 60000 and whole == 2 * 15000
+    rows, part = read("2,7", "400-799")
+    assert len(rows) == 800 and part == 2 * 100
+    rows, two = read("7,2", "1,59999")
+    want = {(i, j): v for i in (2, 7) for j in (1, 59999) for v in [g[i, j] if transposed else g[j, i]]}
+    got = {((i, s) if transposed else (s, i)): -1 if v is None else v for s, i, v in rows}
+    assert got == want and two == 4
+    assert read("", "1")[0] == read("1", "")[0] == []
+    assert packed.runs([3, 4, 5, 9, 1, 2]) == "3-5,9,1-2" and packed.runs([]) == ""
+
+
+def test_profile_store(spark, tmp_path):
+    prefix = synthetic.write_panel(str(tmp_path), 600, 0.05, missing=0.1)
+    panel = packed.Panel(spark, prefix)
+    store = profiles.ProfileStore(spark, str(tmp_path / "store"))
+    spec = {"a": {"pops": ["Altai", "Mbuti"]}, "7": {"pops": ["Test"]}, "c": {"pops": ["Chimp"]}}
+    asked = []
+
+    def work(members):
+        asked.append(sorted(r[0] for r in members.select("cohort").distinct().collect()))
+        from helixflow.operators.frequency import allele_frequency
+
+        return allele_frequency(panel.calls(members), "geno_row", "cohort")
+
+    def rows(df):
+        return sorted((r["cohort"], r["geno_row"], r["p"], r["n"]) for r in df.collect() if r["p"] is not None)
+
+    assert store.load().count() == store.info().count() == 0
+    assert store.update(panel.members(spec), work, "v1") == ["7", "a", "c"]
+    assert rows(store.load()) == rows(panel.frequencies(spec))
+    assert store.update(panel.members(spec), work, "v1") == [] and len(asked) == 1
+    spec["a"]["pops"].append("Vindija")
+    assert store.update(panel.members({"a": spec["a"]}), work, "v1") == ["a"] and asked[-1] == ["a"]
+    assert rows(store.load()) == rows(panel.frequencies(spec))
+    assert rows(store.load(["7"])) == rows(panel.frequencies({"7": spec["7"]}))
+    assert {r["cohort"]: r["sites"] for r in store.info().collect()} == {k: len(rows(store.load([k]))) for k in spec}
+    # a new panel makes all of them stale; profiles without their info are not served
+    stale = profiles.digests(panel.members(spec), "v2")
+    store._write(panel.frequencies(spec).join(stale, "cohort").select("geno_row", "p", F.col("n").cast("bigint").alias("n"), "digest", "cohort"), "profiles")
+    assert store.load().count() == 0
+    assert store.update(panel.members(spec), work, "v2") == ["7", "a", "c"]
+    assert rows(store.load()) == rows(panel.frequencies(spec))
+    # a cohort without calls keeps no old rows
+    assert store.update(panel.members({"c": spec["c"]}), lambda m: work(m).limit(0), "v3") == ["c"]
+    assert rows(store.load(["c"])) == [] and rows(store.load(["a"])) != []
+
+
+def test_archaic_segments(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("chrom start end length state mean_prob\n1 100 2000 1900 Archaic 0.9\n1 2000 9000 7000 Human 0.99\n2 5 x 1 archaic_B nan?\n")
+    got = text.archaic_segments(spark, str(tmp_path / "d.txt")).orderBy("chrom").collect()
+    assert [tuple(r[c] for c in ("chrom", "start", "end", "state", "prob")) for r in got] == [("1", 100, 2000, "Archaic", 0.9), ("2", 5, None, "archaic_B", None)]
+    (tmp_path / "e.txt").write_text("chr begin stop state\n3 1 2 Archaic\n")
+    got = text.archaic_segments(spark, str(tmp_path / "e.txt")).collect()
+    assert [(r["chrom"], r["start"], r["end"], r["prob"]) for r in got] == [("3", 1, 2, None)]
+
+
 def test_bad_files(tmp_path):
     path = str(tmp_path / "x.geno")
     packed.write_packed(path, dosages(6, 13), True)

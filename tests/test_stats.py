@@ -200,13 +200,54 @@ def test_nearest_of_many_equal_references(spark):
     order = rng.permutation(3000)
     df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "id bigint, x array<double>")
     probe = sorted(same.tolist())[-1]
-    for block in (1 << 16, 1000):
-        got = knn.nearest(df.filter(f"id in ({probe}, {int(same[0])})"), df, 10, block).orderBy("id", "rank").collect()
+    for block, cell in ((1 << 16, 1 << 12), (1000, 300), (100, 3000)):
+        got = knn.nearest(df.filter(f"id in ({probe}, {int(same[0])})"), df, 10, block, cell).orderBy("id", "rank").collect()
         assert {r["id"] for r in got} == {probe, int(same[0])}
         for i in (probe, int(same[0])):
             assert [r["neighbor"] for r in got if r["id"] == i] == sorted(same.tolist())[:10]
 
 
+@pytest.mark.parametrize("block,cell,visits", [(1 << 16, 1 << 12, 1 << 16), (64, 40, 30), (1 << 16, 20, 100), (50, 10000, 1 << 16)])
+def test_nearest_against_brute_force(spark, block, cell, visits):
+    """Clusters far from the origin, a third of the rows equal, lattice points that tie; few and many pivots, cut cells."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(150, 3)) + rng.choice([0, 40, 1e4], (150, 1)), np.full((150, 3), 7.0), rng.integers(0, 4, (150, 3)).astype(float)])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "id bigint, x array<double>")
+    ref = df.filter("id % 3 <> 0")
+    ids = [i for i in range(len(x)) if i % 3]
+    for k in (1, 7, 400):
+        got = {}
+        for r in knn.nearest(df, ref, k, block, cell, visits).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = (r["neighbor"], r["d2"])
+        assert set(got) == set(range(len(x)))
+        for i, near in got.items():
+            d2 = ((x[i] - x[ids]) ** 2).sum(1)
+            want = sorted(zip(d2.tolist(), ids))[:k]
+            assert [near[r + 1] for r in range(len(near))] == [(j, d) for d, j in want]
+
+
+def test_nearest_leaves_far_pieces_out(spark):
+    """Queries in one of eight far clusters visit no piece of the others; no vector passes through the driver but pivots."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(800, 4)) + np.repeat(np.arange(8) * 1000.0, 100)[:, None]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(800)], "id bigint, x array<double>")
+    indexed, pieces = knn._indexed(df, x[::50], 1 << 16)
+    plan = knn._planned(df, pieces, 5).withColumn("bar", F.lit(100.0)).select("id", "x", "bar", "pieces")
+    rest = knn._planned(plan, pieces, 5).collect()
+    assert indexed.count() == 800 and len(pieces.cell) == 16
+    assert max(len(r["pieces"]) for r in rest) == 1
+    assert all(pieces.cell[p] // 2 == r["id"] // 100 for r in rest for p in r["pieces"])
+    assert knn.nearest(df, df.limit(0), 3).count() == 0 and knn.nearest(df.limit(0), df, 3).count() == 0
+
+
+def test_centred_leaves_small_groups(spark):
+    rows = [(i, "a" if i < 40 else "b" if i < 50 else None, float(i % 7), 0.1) for i in range(60)]
+    got = {r["id"]: r["v"] for r in knn.centred(spark.createDataFrame(rows, "id int, t string, v double, se double"), "v", "se", "t").collect()}
+    off = np.mean([i % 7 for i in range(40)]) - np.mean([i % 7 for i in range(60)])
+    assert all(got[i] == pytest.approx(i % 7 - (off if i < 40 else 0)) for i in range(60))
+
+
 def test_nmf_components_reads_all_chromosomes(spark, tmp_path):
     from helixflow.plans.registry import queries
 
