@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from statistics import NormalDist
 
@@ -181,8 +181,20 @@ def site_rows(calls: DataFrame, site: str = "site", ind: str = "ind") -> tuple[l
     return [r["ind"] for r in inds.orderBy("no").select("ind").collect()], checkpointed(rows)
 
 
-def _through_sites(rows: DataFrame, q: np.ndarray) -> tuple[np.ndarray, float]:
-    """(M M' q, squared norm of M) of the scaled genotypes M (individuals x sites): each task sums its sites' share."""
+def _dense(p: pa.Array, no: pa.ListArray, g: pa.ListArray, n: int, scaled: bool) -> np.ndarray:
+    """Sites by individuals; a missing call is the site's mean."""
+    p = p.to_numpy()
+    at = np.repeat(np.arange(len(p)), no.value_lengths().to_numpy())
+    m = np.zeros((len(p), n))
+    m[at, no.flatten().to_numpy()] = g.flatten().to_numpy() - 2 * p[at]
+    return m / np.sqrt(2 * p * (1 - p))[:, None] if scaled else m + 2 * p[:, None]
+
+
+def _through_sites(rows: DataFrame, q: np.ndarray, scaled: bool = True) -> tuple[np.ndarray, float]:
+    """(M M' q, squared norm of M) of the genotypes M (individuals x sites): each task sums its sites' share.
+
+    M is centred and scaled by site, or else as called; a missing call is the site's mean.
+    """
     n, width = q.shape
     held = rows.sparkSession.sparkContext.broadcast(q)
     names = [f"v{c}" for c in range(width)]
@@ -194,13 +206,9 @@ def _through_sites(rows: DataFrame, q: np.ndarray) -> tuple[np.ndarray, float]:
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 p, no, g = batch.slice(a, step).columns
-                p = p.to_numpy()
-                at = np.repeat(np.arange(len(p)), no.value_lengths().to_numpy())
-                z = (g.flatten().to_numpy() - 2 * p[at]) / np.sqrt(2 * p * (1 - p))[at]
-                m = np.zeros((len(p), n))
-                m[at, no.flatten().to_numpy()] = z
+                m = _dense(p, no, g, n, scaled)
                 out += m.T @ (m @ q)
-                norm += float(z @ z)
+                norm += float((m * m).sum())
         cols = [np.arange(-1, n), *np.vstack([np.full(width, norm), out]).T]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["no", *names])
 
@@ -246,24 +254,18 @@ def nmf(x: np.ndarray, k: int, steps: int = 500, seed: int = 0) -> tuple[np.ndar
     return w / np.maximum(w.sum(1, keepdims=True), 1e-12), h
 
 
-def nmf_sites(freq: DataFrame, cohort: str, k: int, rounds: int = 40, steps: int = 25, seed: int = 0) -> list[tuple]:
-    """(cohort, shares) of non-negative factors of rows of (site, cohort, p), over all sites.
+def _fitted(sites: DataFrame, w: np.ndarray, dense: Callable[[pa.RecordBatch], np.ndarray], rounds: int, steps: int) -> np.ndarray:
+    """The rows' factor of the matrix X that dense() gives of each batch of sites (rows by sites), from the start w.
 
-    A missing frequency counts as the site's mean; sites without variance are left out. The driver holds the cohorts'
-    factor only: in each round, workers fit the sites' factor to it in batches of sites and return sums over sites.
+    In each round, workers fit the sites' factor to w in batches of sites and return sums over sites.
     """
-    names = sorted(r[0] for r in freq.select(cohort).distinct().collect())
-    sites = checkpointed(freq.groupBy("site").pivot(cohort, names).agg(F.first("p")).drop("site"))
-    w = np.random.default_rng(seed).random((len(names), k)) + 0.1
-    last = np.inf
+    k, last = w.shape[1], np.inf
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             xh, hh, xx = np.zeros(w.shape), np.zeros((k, k)), 0.0
             for batch in batches:
-                x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.float64)
-                x = np.where(np.isnan(x), np.nanmean(x, 0), x)
-                x = x[:, x.std(0) > 1e-12]
+                x = dense(batch)
                 wx, ww = w.T @ x, w.T @ w
                 h = np.full((k, x.shape[1]), x.mean() / k if x.size else 0.0) + 1e-3
                 for _ in range(4 * steps):
@@ -280,9 +282,79 @@ def nmf_sites(freq: DataFrame, cohort: str, k: int, rounds: int = 40, steps: int
         if last - loss <= 1e-5 * xx:
             break
         last = loss
+    return w
+
+
+def nmf_sites(freq: DataFrame, cohort: str, k: int, rounds: int = 40, steps: int = 25, seed: int = 0) -> list[tuple]:
+    """(cohort, shares) of non-negative factors of rows of (site, cohort, p), over all sites.
+
+    A missing frequency counts as the site's mean; sites without variance are left out. The driver holds the cohorts'
+    factor only.
+    """
+    names = sorted(r[0] for r in freq.select(cohort).distinct().collect())
+    sites = checkpointed(freq.groupBy("site").pivot(cohort, names).agg(F.first("p")).drop("site"))
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.float64)
+        x = np.where(np.isnan(x), np.nanmean(x, 0), x)
+        return x[:, x.std(0) > 1e-12]
+
+    w = _fitted(sites, np.random.default_rng(seed).random((len(names), k)) + 0.1, dense, rounds, steps)
     return list(zip(names, (w / np.maximum(w.sum(1, keepdims=True), 1e-12)).tolist()))
 
 
+def _svd_start(rows: DataFrame, n: int, k: int, oversamples: int = 10, power: int = 4, seed: int = 0) -> np.ndarray:
+    """A non-negative start (individuals x k) from the k first singular vectors of the calls.
+
+    Of each pair of singular vectors the half (positive or negative parts) of larger norm is taken; zeros become the mean.
+    """
+    q = np.random.default_rng(seed).standard_normal((n, min(k + oversamples, n)))
+    for _ in range(power + 1):
+        q = np.linalg.qr(_through_sites(rows, q, scaled=False)[0])[0]
+    small = q.T @ _through_sites(rows, q, scaled=False)[0]
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)[:k]
+    u, size = q @ vectors[:, order], np.sqrt(np.maximum(values[order], 1e-300))
+    step = max(1, (1 << 22) // max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down, total = np.zeros(len(size)), np.zeros(len(size)), np.zeros(2)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                m = _dense(*batch.slice(a, step).columns, n, False)
+                v = m @ u / size
+                up, down = up + (np.maximum(v, 0) ** 2).sum(0), down + (np.minimum(v, 0) ** 2).sum(0)
+                total += (m.sum(), m.size)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([up, down, total]).tolist()])], names=["s"])
+
+    summed = rows.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    s = np.array([r["v"] for r in summed])
+    sides = []
+    for c in range(len(size)):
+        halves = [(np.maximum(u[:, c], 0), s[c]), (np.maximum(-u[:, c], 0), s[len(size) + c])]
+        part, other = max(halves, key=lambda h: np.linalg.norm(h[0]) * math.sqrt(h[1]))
+        norm = np.linalg.norm(part)
+        sides.append(np.sqrt(size[c] * norm * math.sqrt(other)) * part / max(norm, 1e-300))
+    w = np.stack(sides, 1)
+    return np.where(w > 1e-6, w, s[-2] / s[-1])
+
+
+def nmf_individuals(calls: DataFrame, k: int, site: str = "site", ind: str = "ind", rounds: int = 40, steps: int = 25) -> list[tuple]:
+    """(individual, shares): non-negative factors of calls (site, ind, g), individuals as rows, shares sum to 1.
+
+    A missing call counts as the site's mean; sites without variance are left out. The start comes from singular vectors,
+    so a second run agrees but for rounding. The driver holds individuals x (k + 10) numbers. There are no more
+    components than individuals; without a site that varies there are no rows.
+    """
+    varied = calls.groupBy(site).agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a < b").select(site)
+    inds, rows = site_rows(calls.join(varied, site, "left_semi"), site, ind)
+    n = len(inds)
+    if not n:
+        return []
+    w = _fitted(rows, _svd_start(rows, n, min(k, n)), lambda batch: _dense(*batch.columns, n, False).T, rounds, steps)
+    return list(zip(inds, (w / np.maximum(w.sum(1, keepdims=True), 1e-12)).tolist()))
+
+
 def mds(distance: np.ndarray, k: int = 2) -> np.ndarray:
     """Classical scaling of a distance matrix (missing: the largest)."""
     d = np.where(np.isfinite(distance), distance, np.nanmax(distance))

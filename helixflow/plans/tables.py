@@ -350,6 +350,13 @@ def nmf_components(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "nat int, component int, share double")
 
 
+@query()
+def nmf_individuals(spark: SparkSession, d: str) -> DataFrame:
+    """Ancestry shares of individuals from their calls at all sites that vary."""
+    rows = [(int(i), k + 1, float(x)) for i, row in models.nmf_individuals(calls(spark, d), 4) for k, x in enumerate(row)]
+    return spark.createDataFrame(rows, "ind bigint, component int, share double")
+
+
 @query()
 def qpadm_solve(spark: SparkSession, d: str) -> DataFrame:
     w = wide(spark, d).dropna(subset=["altai", "chimp", "mbuti", "vindija", "x"])

@@ -271,6 +271,31 @@ def test_nmf_sites_fits_as_well_as_on_the_driver(spark):
     assert np.linalg.norm(left) < 0.1 * np.linalg.norm(x - x.mean(0))
 
 
+def test_nmf_individuals_recovers_planted_shares(spark):
+    """As good a fit as on the driver, planted shares up to the order of components, the same twice; missing calls, fixed sites."""
+    rng = np.random.default_rng(3)
+    n, sites, k = 45, 900, 3
+    q = np.concatenate([np.eye(k)[np.arange(24) % k], rng.dirichlet(np.ones(k), n - 24)])
+    g = rng.binomial(2, q @ rng.beta(0.2, 0.2, (k, sites))).astype(float)
+    g[rng.random(g.shape) < 0.05] = np.nan
+    g[:, 0], g[:, 1], g[:, 2] = 1, 0, np.nan
+    rows = [(j, i, None if np.isnan(g[i, j]) else int(g[i, j])) for i in range(n) for j in range(sites)]
+    df = spark.createDataFrame(rows, "site int, ind int, g int")
+    got, again = models.nmf_individuals(df, k), models.nmf_individuals(df, k)
+    assert [i for i, _ in got] == list(range(n))
+    w = np.array([r for _, r in got])
+    assert w.sum(1) == pytest.approx(np.ones(n)) and (w >= 0).all()
+    assert w == pytest.approx(np.array([r for _, r in again]), abs=1e-6)
+    c = np.corrcoef(w.T, q.T)[:k, k:]
+    assert sorted(c.argmax(1)) == [0, 1, 2] and c.max(1).min() > 0.95
+    x = np.where(np.isnan(g[:, 3:]), np.nanmean(g[:, 3:], 0), g[:, 3:])
+    x = x[:, x.std(0) > 0]
+    plain, _ = models.nmf(x, k)
+    loss = lambda f: np.linalg.norm(x - f @ np.linalg.lstsq(f, x, rcond=None)[0])
+    assert loss(w) < 1.05 * loss(plain)
+    assert models.nmf_individuals(df.filter("site < 3"), k) == [] and models.nmf_individuals(df.limit(0), k) == []
+
+
 def test_kinship_p0_all_counts_every_site(spark):
     from helixflow.plans.genetics import calls
     from helixflow.plans.registry import queries
