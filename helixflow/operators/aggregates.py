@@ -36,6 +36,17 @@ def excess_variance(x: Column, se: Column, w: Column) -> Column:
     return F.greatest(F.lit(0.0), weighted_variance(x, w) - weighted_mean(se * se, w))
 
 
+def within_z(df: DataFrame, value: str, se: str, by: str, to: str) -> DataFrame:
+    """df with the z of value within its group: error and excess variance of the group against its weighted mean.
+
+    Weights are 1 / max(se, 1e-4)^2. NULL for rows of no group.
+    """
+    x, e = F.col(value), F.col(se)
+    w = 1 / F.pow(F.greatest(e, F.lit(1e-4)), 2)
+    groups = df.filter(F.col(by).isNotNull()).groupBy(by).agg(weighted_mean(x, w).alias("__mu"), excess_variance(x, e, w).alias("__bio"))
+    return df.join(groups, by, "left").withColumn(to, (x - F.col("__mu")) / F.sqrt(e * e + F.col("__bio"))).drop("__mu", "__bio")
+
+
 def effective_n(w: Column) -> Column:
     return ratio(F.sum(w) * F.sum(w), F.sum(w * w))
 

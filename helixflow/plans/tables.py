@@ -128,7 +128,7 @@ def perturb_k(spark: SparkSession, d: str) -> DataFrame:
 # Weights of the scaled features, and the calls that make a sample a reference.
 _WEIGHTS = {"coverage": 1.0, "lon": 0.5, "lat": 0.5, "date_bp": 0.7}
 _CALLS = 400000
-_SCALED_SQL = f"""{ctes("analysis")}, med as (select {", ".join(f"median({c}) as {c}" for c in _WEIGHTS)} from analysis),
+_SCALED = f"""{ctes("analysis")}, med as (select {", ".join(f"median({c}) as {c}" for c in _WEIGHTS)} from analysis),
 fl as (select id, nsnp, {", ".join(f"cast(coalesce(a.{c}, med.{c}) as double) as {c}" for c in _WEIGHTS)} from analysis a cross join med),
 mo as (select {", ".join(f"avg({c}) as a_{c}, stddev_pop({c}) as s_{c}" for c in _WEIGHTS)} from fl),
 ft as (select id, nsnp, {", ".join(f"({c} - a_{c}) / case when s_{c} = 0 then 1 else s_{c} end * {w} as {c}" for c, w in _WEIGHTS.items())} from fl cross join mo),
@@ -136,18 +136,39 @@ wt as (select *, 1 / pow(greatest(se, 0.0001), 2) as w from analysis), al as (se
 os as (select data_type, case when count(*) >= 30 then sum(w * alpha) / sum(w) - max(g) else 0 end as off from wt cross join al group by data_type),
 smp as (select id, alpha - off as value, se from analysis join os using (data_type)),
 ds as (select a.id, b.id as neighbor, {" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _WEIGHTS)} as d2 from ft a cross join ft b where b.nsnp >= {_CALLS}),
-nn as (select *, row_number() over (partition by id order by d2, neighbor) as rank from ds), {_residual_sql(40)}
-select id, round(expected, 6) as expected, round(residual, 6) as residual, round(z, 4) as z from ex"""
+nn as (select *, row_number() over (partition by id order by d2, neighbor) as rank from ds), {_residual_sql(40)}"""
 
 
-@query(_SCALED_SQL)
-def scaled_residual_z(spark: SparkSession, d: str) -> DataFrame:
-    """Residuals of estimates, centred by data type, from their 40 nearest well-called samples by scaled and weighted features."""
+def _scaled_expectation(spark: SparkSession, d: str) -> DataFrame:
     a = analysis(spark, d)
     x = knn.features(a, _WEIGHTS)
     samples = knn.centred(a.select("id", C("alpha").alias("value"), "se", "data_type"), "value", "se", "data_type").select("id", "value", "se")
     near = knn.nearest(x, x.join(a.filter(C("nsnp") >= _CALLS).select("id"), "id", "left_semi"), 41)
-    return rounded(knn.expectation(near.select("id", "neighbor"), samples, 40).select("id", "expected", "residual", "z"), z=4)
+    return knn.expectation(near.select("id", "neighbor"), samples, 40)
+
+
+@query(_SCALED + " select id, round(expected, 6) as expected, round(residual, 6) as residual, round(z, 4) as z from ex")
+def scaled_residual_z(spark: SparkSession, d: str) -> DataFrame:
+    """Residuals of estimates, centred by data type, from their 40 nearest well-called samples by scaled and weighted features."""
+    return rounded(_scaled_expectation(spark, d).select("id", "expected", "residual", "z"), z=4)
+
+
+@query(
+    _SCALED + """, gm as (select region, sum(w * alpha) / sum(w) as mu, sum(w * se * se) / sum(w) as mse from wt group by region),
+gv as (select region, max(mu) as mu, max(mse) as mse, sum(w * (alpha - mu) * (alpha - mu)) / sum(w) as var from wt join gm using (region) group by region),
+zi as (select id, region, ends_with(group_id, '-o') as is_o, (alpha - mu) / sqrt(se * se + greatest(0, var - mse)) as zw from wt join gv using (region))
+select region, count(*) as n, count(case when abs(zw) > 2 then 1 end) as strong, count(case when abs(zw) > 2 and abs(z) < 2 then 1 end) as explained,
+round(avg(case when is_o then abs(zw) end), 4) as mean_abs_z_o, round(avg(case when not is_o then abs(zw) end), 4) as mean_abs_z_other from zi left join ex using (id) group by region"""
+)
+def explained_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers within their region (|z| > 2), and how many of them drop below 2 once like samples set the expectation."""
+    within = agg.within_z(analysis(spark, d), "alpha", "se", "region", "zw")
+    both = within.join(_scaled_expectation(spark, d).select("id", "z"), "id", "left")
+    strong, o = F.abs("zw") > 2, C("group_id").endswith("-o")
+    return rounded(both.groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(strong).alias("strong"), F.count_if(strong & (F.abs("z") < 2)).alias("explained"),
+        F.avg(F.when(o, F.abs("zw"))).alias("mean_abs_z_o"), F.avg(F.when(~o, F.abs("zw"))).alias("mean_abs_z_other"),
+    ), 4)
 
 
 _P31 = 2147483647
