@@ -271,6 +271,19 @@ def test_nmf_sites_fits_as_well_as_on_the_driver(spark):
     assert np.linalg.norm(left) < 0.1 * np.linalg.norm(x - x.mean(0))
 
 
+def test_within_z_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    v, e, by = rng.normal(0.02, 0.01, 60), rng.uniform(0.001, 0.01, 60), ["a", "b", None]
+    rows = [(i, by[i % 3], float(v[i]), float(e[i])) for i in range(60)]
+    got = {r["id"]: r["z"] for r in aggregates.within_z(spark.createDataFrame(rows, "id int, t string, v double, e double"), "v", "e", "t", "z").collect()}
+    for g in (0, 1):
+        x, s, w = v[g::3], e[g::3], 1 / e[g::3] ** 2
+        mu = np.average(x, weights=w)
+        bio = max(0, np.average((x - mu) ** 2, weights=w) - np.average(s**2, weights=w))
+        assert [got[i] for i in range(g, 60, 3)] == pytest.approx((x - mu) / np.sqrt(s**2 + bio))
+    assert len(got) == 60 and all(got[i] is None for i in range(2, 60, 3))
+
+
 def test_nmf_individuals_recovers_planted_shares(spark):
     """As good a fit as on the driver, planted shares up to the order of components, the same twice; missing calls, fixed sites."""
     rng = np.random.default_rng(3)
