@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ratio
+from .ordinals import running
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -52,14 +54,18 @@ def effective_n(w: Column) -> Column:
 
 
 def average_rank(df: DataFrame, value: str, to: str, by: list[str] | None = None) -> DataFrame:
-    """df with average ranks of value (ties share the mean of their places) within groups `by`.
+    """df with average ranks of value (ties share the mean of their places) within groups `by`, which have no NULLs.
 
-    Ranks come from counts per distinct value, so the window runs over distinct values, not rows.
+    Ranks come from counts per distinct value, summed over ranges of the values; a group is no task of its own.
     """
     by = by or []
     per = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.select(*by, value, (F.sum("__c").over(before) - (F.col("__c") - 1) / 2).alias(to))
+    per = running(per, [*by, value], "__c", "__t")
+    start = F.lit(0)
+    if by:
+        per = per.join(per.groupBy(*by).agg(F.min(F.col("__t") - F.col("__c")).alias("__s")), by)
+        start = F.col("__s")
+    per = per.select(*by, value, (F.col("__t") - start - (F.col("__c") - 1) / 2).alias(to))
     return df.join(per, [*by, value])
 
 
@@ -83,12 +89,19 @@ def bonferroni_z(n: int, level: float = 0.05) -> float:
     return NormalDist().inv_cdf(1 - level / (2 * max(n, 1)))
 
 
+def two_sided_p(z: Column) -> Column:
+    """Two-sided tail of the normal distribution: the series about 0 under |z| = 2.5, the continued fraction beyond."""
+    a = F.abs(z)
+    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    down = F.sequence(F.lit(80), F.lit(1), F.lit(-1))
+    series = F.aggregate(down, F.lit(1.0), lambda s, i: 1 + s * a * a / (2 * i + 1))
+    fraction = F.aggregate(down, a, lambda s, i: a + i / s)
+    return F.when(a < 2.5, 1 - 2 * density * a * series).otherwise(2 * density / fraction)
+
+
 def benjamini_hochberg(df: DataFrame, p: str, to: str = "q") -> DataFrame:
-    """df with BH-adjusted p values: the running minimum from the largest p of p * n / rank."""
-    per = df.groupBy(p).agg(F.count(F.lit(1)).alias("__c"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum("__c").over(Window.partitionBy())
-    per = per.withColumn("__x", F.col(p) * n / F.sum("__c").over(up))
-    down = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.select(p, F.least(F.lit(1.0), F.min("__x").over(down)).alias(to))
-    return df.join(per, p)
+    """df with BH-adjusted p values: the running minimum from the largest p of p * n / rank. Rows without p go."""
+    per = running(df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__c")), [p], "__c", "__r")
+    n = per.agg(F.coalesce(F.max("__r"), F.lit(0))).first()[0]
+    per = running(per.withColumn("__x", F.col(p) * n / F.col("__r")), [F.col(p).desc()], "__x", "__m", "min")
+    return df.join(per.select(p, F.least(F.lit(1.0), "__m").alias(to)), p)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frequency, gates, jackknife, kinship, loci
+from ..operators.ordinals import numbered
 from .views import calls, ctes, estimates, genotypes, jackknife_sql, rounded, sites, table, wide
 
 QUERIES: dict = {}
@@ -215,8 +216,8 @@ def call_rate(spark: SparkSession, d: str) -> DataFrame:
 def site_subset(spark: SparkSession, d: str) -> DataFrame:
     """Every 12th site, and 100 sites evenly spaced (positions cut to whole numbers)."""
     s = table(spark, d, "part").select(C("p_partkey").alias("site"))
-    s = s.withColumn("i", (F.row_number().over(Window.orderBy("site")) - 1).cast("bigint")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    s = s.filter(loci.thinned(C("i"), 12) | loci.spaced(C("i"), C("n"), 100))
+    s = numbered(s, ["site"], "i")
+    s = s.filter(loci.thinned(C("i"), 12) | loci.spaced(C("i"), F.lit(s.count()), 100))
     return s.select("site", "i", loci.thinned(C("i"), 12).alias("thinned"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import loci, qc
 from .genetics import query as _query
-from .views import analysis, ctes, estimates, genotypes, meta, rounded, table, two_sided_p_sql
+from .views import analysis, ctes, estimates, genotypes, meta, rounded, table, two_sided_p_series_sql, two_sided_p_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -260,19 +260,19 @@ def bonferroni(spark: SparkSession, d: str) -> DataFrame:
     return rounded(z.agg(F.count_if(C("z") > agg.bonferroni_z(z.count())).alias("significant"), F.max("z").alias("max_abs_z"), F.count(F.lit(1)).alias("tests")), 4)
 
 
-@query(ctes("analysis") + ", p as (select id, exp(-abs((alpha - 0.05) / se)) as p from analysis), r as (select id, p, p * count(*) over () / rank_max as x from (select *, count(*) over (order by p) as rank_max from p)) select id, round(p, 6) as p, round(least(1.0, min(x) over (order by p desc)), 6) as q from r")
+@query(ctes("analysis") + f", z as (select id, abs((alpha - 0.05) / se) as z from analysis), p as (select id, {two_sided_p_series_sql('z')} as p from z), r as (select id, p, p * count(*) over () / rank_max as x from (select *, count(*) over (order by p) as rank_max from p)) select id, round(p, 6) as p, round(least(1.0, min(x) over (order by p desc)), 6) as q from r")
 def bh_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    """Benjamini-Hochberg adjusted values, beside the Bonferroni counts (an extra)."""
-    p = analysis(spark, d).select("id", F.exp(-F.abs((C("alpha") - 0.05) / C("se"))).alias("p"))
+    """Benjamini-Hochberg adjusted values of two-sided normal p values, beside the Bonferroni counts (an extra)."""
+    p = analysis(spark, d).select("id", agg.two_sided_p((C("alpha") - 0.05) / C("se")).alias("p"))
     return rounded(agg.benjamini_hochberg(p, "p"))
 
 
 _HAV = "6371 * 2 * asin(sqrt(pow(sin(radians(lat - 9.0) / 2), 2) + cos(radians(9.0)) * cos(radians(lat)) * pow(sin(radians(lon - 38.7) / 2), 2)))"
 
 
-@query(ctes("meta") + f" select id, round({_HAV}, 4) as km from meta where lat is not null")
+@query(ctes("meta") + ", u as (select id, radians(lat) as a, radians(lon) as b, radians(9.0) as p, radians(38.7) as q from meta where lat is not null) select id, round(6371 * 2 * asin(least(1, sqrt(pow(cos(a) * cos(b) - cos(p) * cos(q), 2) + pow(cos(a) * sin(b) - cos(p) * sin(q), 2) + pow(sin(a) - sin(p), 2)) / 2)), 4) as km from u")
 def haversine_km(spark: SparkSession, d: str) -> DataFrame:
-    """Great-circle distance from one place, R = 6371 km."""
+    """Great-circle distance from one place, R = 6371 km; the SQL takes it from the chord between unit vectors."""
     return rounded(meta(spark, d).filter("lat is not null").select("id", F.expr(_HAV).alias("km")), 4)
 
 

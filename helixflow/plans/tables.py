@@ -229,8 +229,8 @@ def rank_compare(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of individuals by heterozygosity under two ascertainments."""
     het = (C("g") == 1).cast("double")
     h = calls(spark, d).filter("g is not null").groupBy("ind").agg(F.avg(het).alias("a"), F.avg(F.when(loci.thinned(C("site"), 2), het)).alias("b")).filter("b is not null")
-    rank = lambda c: F.row_number().over(Window.orderBy(C(c).desc(), "ind")).cast("bigint")
-    return h.select("ind", rank("a").alias("ra"), rank("b").alias("rb")).withColumn("moved", C("ra") - C("rb"))
+    both = numbered(numbered(h, [C("a").desc(), "ind"], "i"), [C("b").desc(), "ind"], "j")
+    return both.select("ind", (C("i") + 1).alias("ra"), (C("j") + 1).alias("rb"), (C("i") - C("j")).alias("moved"))
 
 
 @query(ctes("est") + ", z as (select id, (alpha - 0.05) / se as z from est) (select 'high' as side, id, round(z, 4) as z from z order by z desc, id limit 10) union all (select 'low' as side, id, round(z, 4) as z from z order by z, id limit 10)")

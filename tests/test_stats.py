@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixflow.operators import aggregates, jackknife, knn, models
+from helixflow.operators import aggregates, jackknife, knn, models, ordinals
 from helixflow.operators.segments import viterbi
 
 
@@ -437,3 +439,54 @@ def test_thinning_ladder_is_nested(spark):
     held = {x: {r["site"] for r in rows if r["level"] == x} for x in (0.05, 0.25, 1.0)}
     assert held[0.05] < held[0.25] < held[1.0] and len(held[1.0]) == 20000 and len(rows) == sum(map(len, held.values()))
     assert len(held[0.05]) == pytest.approx(1000, abs=150) and len(held[0.25]) == pytest.approx(5000, abs=300)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_totals_over_ranges(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(i, int(v)) for i, v in enumerate(rng.integers(0, 50, 200))]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "i bigint, v bigint").repartition(3)
+        got = ordinals.running(ordinals.running(df, ["i"], "v", "up"), [F.col("i").desc()], "v", "low", "min").orderBy("i").collect()
+        assert ordinals.running(df.limit(0), ["i"], "v", "up").collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    v = np.array([x for _, x in rows])
+    assert [r["up"] for r in got] == np.cumsum(v).tolist()
+    assert [r["low"] for r in got] == np.minimum.accumulate(v[::-1])[::-1].tolist()
+
+
+def test_ranks_within_groups_and_adjusted_p(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(g), float(v)) for i, (g, v) in enumerate(zip(rng.choice([0, 0, 0, 1, 2], 300), rng.integers(0, 20, 300)))]
+    df = spark.createDataFrame([*rows, (999, 0, None)], "i bigint, g int, v double")
+    got = {r["i"]: r["r"] for r in aggregates.average_rank(df, "v", "r", ["g"]).collect()}
+    assert got == {i: 1 + sum(h == g and w < v for _, h, w in rows) + (sum(h == g and w == v for _, h, w in rows) - 1) / 2 for i, g, v in rows}
+    z = [0.0, 1e-9, 0.3, 1.0, 1.4999, 1.5, 1.96, 2.5, 4.0, 7.0, 12.0, -1.96, -0.3]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").withColumn("p", aggregates.two_sided_p(F.col("z")))
+    p = [math.erfc(abs(x) / math.sqrt(2)) for x in z]
+    assert np.allclose([r["p"] for r in frame.orderBy("i").collect()], p, rtol=1e-11, atol=0)
+    q = [min(1.0, min(p[j] * len(p) / sum(y <= p[j] * (1 + 1e-12) for y in p) for j in range(len(p)) if p[j] >= p[i] * (1 - 1e-12))) for i in range(len(p))]
+    assert np.allclose([r["q"] for r in aggregates.benjamini_hochberg(frame, "p").orderBy("i").collect()], q, rtol=1e-9)
+
+
+def test_ridge_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(size=90)
+    fold = np.arange(90) % 4
+    df = spark.createDataFrame([(*map(float, a), float(b), int(f)) for a, b, f in zip(x, y, fold)], "a double, b double, c double, y double, fold int")
+    for f, r2 in models.ridge_cv(df, F.col("y"), [F.col(c) for c in "abc"], "fold", 2.0):
+        on, off = fold != f, fold == f
+        m, k = x[on].mean(0), y[on].mean()
+        w = np.linalg.solve((x[on] - m).T @ (x[on] - m) + 2 * np.eye(3), (x[on] - m).T @ (y[on] - k))
+        miss = y[off] - k - (x[off] - m) @ w
+        assert abs(r2 - (1 - miss @ miss / ((y[off] - y[off].mean()) ** 2).sum())) < 1e-9
+
+
+def test_mds_keeps_distances():
+    at = np.random.default_rng(6).normal(size=(12, 2))
+    gaps = lambda v: np.linalg.norm(v[:, None] - v[None], axis=2)
+    assert np.allclose(gaps(models.mds(gaps(at), 2)), gaps(at))
+    assert models.mds(np.where(np.eye(12, k=1) > 0, np.nan, gaps(at))).shape == (12, 2)
