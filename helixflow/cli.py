@@ -7,6 +7,7 @@ import sys
 
 from .plans import registry
 from .session import session
+from .sources.text import write_table
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -17,7 +18,10 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("name")
     run.add_argument("folder")
     run.add_argument("--out", help="where to write parquet; else the first rows are shown")
+    run.add_argument("--csv", help="where to write CSV with a header, beside --out")
     args = p.parse_args(argv)
+    if args.command == "run" and args.csv and not args.out:
+        p.error("--csv goes with --out")
     found = registry.queries()
     if args.command == "list":
         print("\n".join(sorted(found)))
@@ -27,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     df = found[args.name](session(), args.folder)
     if args.out:
-        df.write.mode("overwrite").parquet(args.out)
+        write_table(df, args.out, args.csv)
     else:
         df.show(20, truncate=False)
     return 0

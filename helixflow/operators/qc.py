@@ -129,3 +129,8 @@ def gate(genotyped: Column, group: Column, modern: Column, where: Column, assess
             (F.coalesce(nsnp < floor, F.lit(True)), F.concat(F.lit("low_snps:"), F.coalesce(nsnp.cast("bigint").cast("string"), F.lit("")))),
         ]
     )
+
+
+def lower_bound(interval: Column) -> Column:
+    """The number after the first bracket of an interval in text, NULL without one."""
+    return F.regexp_extract(F.coalesce(interval, F.lit("")), r"\[([0-9.]+)", 1).try_cast("double")

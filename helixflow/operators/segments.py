@@ -67,3 +67,25 @@ def summary(segments: DataFrame, key: str, span: Column) -> DataFrame:
     rows = segments.withColumn("__l", span).withColumn("__r", F.row_number().over(w))
     top = F.avg(F.when(F.col("__r") <= 3, F.col("__l")))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("__l").alias("longest"), top.alias("top3"), F.sum("__l").alias("total"), F.count_if(F.col("__l") > 30).alias("over_30"), F.count_if(F.col("__l") > 50).alias("over_50"), (100 / F.nullif(F.avg("__l"), F.lit(0.0))).alias("age"))
+
+
+def implied_ages(segments: DataFrame, keys: list[str], span: str) -> DataFrame:
+    """Per key: generations to the ancestor, 100 / length in cM, from the longest segment and the mean of the three longest.
+
+    Lengths are ranked once equal ones are counted, so a key's rows are combined before they meet.
+    """
+    per = segments.filter(F.col(span) > 0).groupBy(*keys, span).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(*keys).orderBy(F.col(span).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    taken = per.withColumn("__k", F.least("__c", F.greatest(F.lit(0), 3 - F.coalesce(F.sum("__c").over(before), F.lit(0)))))
+    top3 = F.sum(F.col(span) * F.col("__k")) / F.sum("__k")
+    return taken.filter("__k > 0").groupBy(*keys).agg((100 / F.max(span)).alias("age_longest"), (100 / top3).alias("age_top3"))
+
+
+def source_shares(segments: DataFrame, sources: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, source, total, pct) of columns that count matches with each source; sources without any value go."""
+    keys = keys or []
+    sums = segments.groupBy(*keys).agg(*(F.sum(s).alias(s) for s in sources))
+    whole = sum((F.coalesce(s, F.lit(0.0)) for s in sources), F.lit(0.0))
+    long = sums.withColumn("__w", whole).unpivot([*keys, "__w"], list(sources), "source", "total")
+    pct = 100 * F.col("total") / F.when(F.col("__w") == 0, 1.0).otherwise(F.col("__w"))
+    return long.filter("total is not null").select(*keys, "source", "total", pct.alias("pct"))

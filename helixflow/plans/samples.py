@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import reports
 from ..operators import aggregates as agg
 from ..operators import loci, qc
 from .genetics import query as _query
@@ -287,3 +288,20 @@ def concordance(spark: SparkSession, d: str) -> DataFrame:
     per = genotypes(spark, d).groupBy("pop").agg(F.avg(F.when(loci.thinned(C("site"), 2), C("g"))).alias("a"), F.avg(F.when(~loci.thinned(C("site"), 2), C("g"))).alias("b"))
     per = per.filter("a is not null and b is not null")
     return rounded(per.agg(F.avg(F.abs(C("a") - C("b"))).alias("mean_abs_diff"), F.avg(C("a") / F.nullif(C("b"), F.lit(0.0))).alias("mean_ratio"), F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")))
+
+
+_CAND = """select id, (alpha - 0.05) / se as z, nsnp, coalesce(upper(nullif(regexp_extract(genetic_id, '[.]([A-Za-z]+)$', 1), '')), 'NA') as kind, case when id % 8 = 0 then null else concat('[0.0', lpad(cast(id % 40 as {text}), 2, '0'), ',0.2]') end as cont,
+ concat(group_id, case region when 0 then '_African' when 2 then '_East' when 4 then '_Levant' else '' end) as grp from analysis"""
+_TECH = f"array_to_string(list_filter([case when nsnp < {reports.FEW_SITES} then 'few sites' end, case when kind = 'AG' then 'pseudo-haploid capture' end, case when try_cast(nullif(regexp_extract(cont, '\\[([0-9.]+)', 1), '') as double) > {reports.CONTAMINATION} then 'contamination' end], lambda x: x is not null), ';')"
+_BIO = f"array_to_string(list_filter([case when contains(lower(grp), '-o') then 'outlier of its group' end, case when z < 0 and {_like('lower(grp)', reports.LOWER_GROUPS)} then 'admixture with less of it' end, case when z > 0 and {_like('lower(grp)', reports.HIGHER_GROUPS)} then 'ancestry with more of it' end], lambda x: x is not null), ';')"
+
+
+@query(
+    ctes("analysis")
+    + f", c as ({_CAND.format(text='varchar')}), e as ((select *, 'high' as side from c order by z desc, id limit 10) union all (select *, 'low' as side from c order by z, id limit 10)) select id, side, round(z, 6) as z, {_TECH} as technical, coalesce(nullif({_BIO}, ''), 'chance, as far as known') as biological from e"
+)
+def candidate_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """The ten highest and ten lowest deviations, with what may explain them."""
+    top = reports.extremes(spark.sql(_CAND.format(text="string").replace("from analysis", "from {a}"), a=analysis(spark, d)), "z", "id", 10)
+    join = lambda c: F.array_join(c, ";")
+    return rounded(top.select("id", "side", "z", join(reports.technical(C("nsnp"), C("kind"), C("cont"))).alias("technical"), join(reports.biological(C("z"), C("grp"))).alias("biological")))

@@ -267,6 +267,21 @@ def segment_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(segments.summary(_segments(spark, d), "user_id", (C("end") - C("start")).cast("double")))
 
 
+@query('with ' + _TRACK + ', r as (select user_id, "end" - start as len, row_number() over (partition by user_id order by "end" - start desc) as k from seg where "end" > start) select user_id, round(100.0 / max(len), 6) as age_longest, round(100.0 / avg(case when k <= 3 then len end), 6) as age_top3 from r group by user_id')
+def segment_ages(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(segments.implied_ages(_segments(spark, d).withColumn("cm", (C("end") - C("start")).cast("double")), ["user_id"], "cm"))
+
+
+_SOURCES = {"altai": 2, "vindija": 3, "chagyrskaya": 5, "denisova": 7}
+
+
+@query("with t as (select p_size as chrom, " + ", ".join(f"sum(case when p_partkey % {m} = 0 then cast(p_partkey % 10 as double) end) as {s}" for s, m in _SOURCES.items()) + " from part group by p_size), u as (" + " union all ".join(f"select chrom, '{s}' as source, {s} as total, coalesce(altai, 0) + coalesce(vindija, 0) + coalesce(chagyrskaya, 0) + coalesce(denisova, 0) as w from t" for s in _SOURCES) + ") select chrom, source, total, round(100 * total / case when w = 0 then 1 else w end, 6) as pct from u where total is not null")
+def source_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the archaic sources in each chromosome's matches."""
+    part = table(spark, d, "part").select(C("p_size").alias("chrom"), *(F.when(C("p_partkey") % m == 0, (C("p_partkey") % 10).cast("double")).alias(s) for s, m in _SOURCES.items()))
+    return rounded(segments.source_shares(part, list(_SOURCES), ["chrom"]))
+
+
 @query("with g as (select p_size as chrom, p_partkey as site, p_partkey * cast(0.01 as double) as cm from part) select site, chrom, round(greatest(0, cm - lag(cm) over (partition by chrom order by cm)), 6) as gap from g")
 def gap_lag(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "part").selectExpr("p_size as chrom", "p_partkey as site", "p_partkey * cast(0.01 as double) as cm")

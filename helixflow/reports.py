@@ -5,11 +5,15 @@ from __future__ import annotations
 import html
 import json
 import re
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators.qc import lower_bound
+
 LIMIT = 1000
 
 
@@ -27,16 +31,26 @@ def extremes(df: DataFrame, value: str, key: str, n: int = 10) -> DataFrame:
     return high.union(df.orderBy(value, key).limit(n).withColumn("side", F.lit("low")))
 
 
-def explanations(z: F.Column, n: F.Column, coverage: F.Column, outlier: F.Column) -> F.Column:
-    """What could explain a residual, as an array of phrases."""
-    return F.array_compact(
-        F.array(
-            F.when(F.abs(z) < 2, F.lit("within the expected spread")),
-            F.when(n < 200_000, F.lit("few sites")),
-            F.when(coverage < 0.5, F.lit("low coverage")),
-            F.when(outlier, F.lit("flagged as an outlier of its group")),
-        )
-    )
+# Bounds and parts of group names that go with less and with more of the archaic share.
+FEW_SITES = 300_000
+CONTAMINATION = 0.01
+LOWER_GROUPS = ("african", "levant")
+HIGHER_GROUPS = ("han", "east", "siberia", "steppe")
+
+
+def technical(n: F.Column, data_type: F.Column, contamination: F.Column) -> F.Column:
+    """How the data may have moved an estimate, as an array of phrases; contamination is an interval in text."""
+    rules = ((n < FEW_SITES, "few sites"), (data_type == "AG", "pseudo-haploid capture"), (lower_bound(contamination) > CONTAMINATION, "contamination"))
+    return F.array_compact(F.array(*(F.when(on, F.lit(phrase)) for on, phrase in rules)))
+
+
+def biological(z: F.Column, group: F.Column) -> F.Column:
+    """How ancestry may explain a residual z, as an array of phrases; one that says so if nothing does."""
+    low = F.lower(F.coalesce(group, F.lit("")))
+    named = lambda words: reduce(or_, (low.contains(w) for w in words))
+    rules = ((low.contains("-o"), "outlier of its group"), ((z < 0) & named(LOWER_GROUPS), "admixture with less of it"), ((z > 0) & named(HIGHER_GROUPS), "ancestry with more of it"))
+    found = F.array_compact(F.array(*(F.when(on, F.lit(phrase)) for on, phrase in rules)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("chance, as far as known")))
 
 
 def _cell(v) -> str:

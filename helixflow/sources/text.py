@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.qc import numeric
 
@@ -77,15 +78,61 @@ def consumer_genotypes(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("chrom").isin([str(i) for i in range(1, 23)]) & F.col("pos").isNotNull() & (F.length("geno") == 2))
 
 
+# Names of columns of decode tables, first found first; archaics; cM a megabase where there is no genetic map.
+SEGMENT_COLUMNS = {
+    "chrom": ("chrom", "chr", "chromosome"),
+    "start": ("start", "begin"),
+    "end": ("end", "stop"),
+    "state": ("state",),
+    "prob": ("mean_prob", "prob"),
+    "genetic": ("genetic_length", "length_cm", "cm"),
+    "length": ("length",),
+}
+ARCHAICS = ("altai", "vindija", "chagyrskaya", "denisova")
+CM_PER_MB = 1.3
+
+
 def archaic_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, start, end, state, ...) rows of a whitespace decode table whose state names an archaic; columns found by name."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"), F.monotonically_increasing_id().alias("at"))
-    head = [h.lower() for h in lines.orderBy("at").first()["t"]]
-    at = lambda *names: next((head.index(n) for n in names if n in head), None)
-    picks = {"chrom": at("chrom", "chr", "chromosome"), "start": at("start", "begin"), "end": at("end", "stop"), "state": at("state"), "prob": at("mean_prob", "prob")}
-    cols = [(F.col("t")[i] if i is not None else F.lit(None)).cast("double" if n == "prob" else "bigint" if n in ("start", "end") else "string").alias(n) for n, i in picks.items() if i is None or n in ("chrom", "state")]
-    cols += [F.col("t")[i].try_cast("double" if n == "prob" else "bigint").alias(n) for n, i in picks.items() if i is not None and n not in ("chrom", "state")]
-    return lines.select(*cols).filter(F.lower("state").contains("archaic"))
+    """(chrom, start, end, state, prob, cm, and a column for each archaic) of a whitespace decode table with a header.
+
+    Rows are those whose state names an archaic (all, without such a column). cm is the genetic length, or else the
+    length or end - start at CM_PER_MB. Columns that the table lacks and numbers that are none are NULL.
+    """
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"))
+    head = lines.first()["t"]
+    names = [h.lower() for h in head]
+    known = SEGMENT_COLUMNS | {a: (a, f"{a}_snps", f"shared_with_{a}") for a in ARCHAICS}
+    at = {k: next((names.index(n) for n in options if n in names), None) for k, options in known.items()}
+    token = lambda k: F.lit(None).cast("string") if at[k] is None else F.get("t", F.lit(at[k]))
+    number = lambda k, kind="double": token(k).try_cast(kind).alias(k)
+    rows = lines.filter(F.col("t") != F.array(*map(F.lit, head)))
+    rows = rows.select(token("chrom").alias("chrom"), number("start", "bigint"), number("end", "bigint"), token("state").alias("state"), number("prob"), number("genetic"), number("length"), *map(number, ARCHAICS))
+    base = "length" if at["length"] is not None else F.col("end") - F.col("start")
+    cm = F.col("genetic") if at["genetic"] is not None else (F.col(base) if isinstance(base, str) else base) / 1e6 * CM_PER_MB
+    rows = rows.select("chrom", "start", "end", "state", "prob", F.when(~F.isnan(cm), cm).alias("cm"), *ARCHAICS)
+    return rows if at["state"] is None else rows.filter(F.lower("state").contains("archaic"))
+
+
+def write_table(df: DataFrame, path: str, csv: str | None = None, single: bool = False) -> None:
+    """df as parquet at path and, for readers of text, as CSV with a header at csv.
+
+    The CSV has a part for each partition; single makes one part, for results that one task can write. It is made of
+    the parquet that was written, so df is computed once.
+    """
+    df.write.mode("overwrite").parquet(path)
+    if csv:
+        rows = df.sparkSession.read.schema(df.schema).parquet(path)
+        (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(csv, header=True, escape='"')
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of schema, by name, of CSV with a header: types are declared, no pass over the data infers them.
+
+    CSV does not tell an empty text from NULL: both are NULL, as is what is not of its type.
+    """
+    rows = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True)
+    types = StructType.fromDDL(schema)
+    return rows.select(*(F.col(f"`{f.name}`").try_cast(f.dataType.simpleString()).alias(f.name) for f in types))
 
 
 def append_new(new: Callable[[DataFrame], DataFrame], samples: DataFrame, path: str, key: str) -> int:

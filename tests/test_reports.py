@@ -24,8 +24,19 @@ def test_reports(spark, tmp_path):
     assert '"z": 1.0' in (tmp_path / "s.json").read_text()
     with pytest.raises(ValueError):
         reports.rows(df, 5)
-    e = df.select(reports.explanations(F.col("z"), F.lit(5), F.lit(1.0), F.col("id") == 1).alias("e")).filter("size(e) = 3").count()
-    assert e == 1
+
+
+def test_explanations(spark):
+    rows = [
+        (2.5, 200_000, "AG", "0.02 [0.011,0.03]", "Han-o", ["few sites", "pseudo-haploid capture", "contamination"], ["outlier of its group", "ancestry with more of it"]),
+        (-3.0, 300_000, "DG", "[0.01,0.03]", "Levant_PPN", [], ["admixture with less of it"]),
+        (3.0, None, None, None, None, [], ["chance, as far as known"]),
+        (None, 5, "SG", "n/a", "Steppe", ["few sites"], ["chance, as far as known"]),
+    ]
+    df = spark.createDataFrame([r[:5] for r in rows], "z double, n bigint, kind string, cont string, grp string").coalesce(1)
+    c = F.col
+    got = df.select(reports.technical(c("n"), c("kind"), c("cont")).alias("t"), reports.biological(c("z"), c("grp")).alias("b")).collect()
+    assert [(r["t"], r["b"]) for r in got] == [r[5:] for r in rows]
 
 
 def test_cli_lists_queries(capsys):

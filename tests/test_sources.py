@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixflow import synthetic
-from helixflow.operators import jackknife
+from helixflow.operators import jackknife, segments
 from helixflow.sources import packed, profiles, text
 
 
@@ -135,6 +135,33 @@ def test_archaic_segments(spark, tmp_path):
     assert [(r["chrom"], r["start"], r["end"], r["prob"]) for r in got] == [("3", 1, 2, None)]
 
 
+def test_lengths_and_sources_of_decoded_segments(spark, tmp_path):
+    head = "CHR START END LENGTH STATE Altai_SNPs shared_with_denisova"
+    (tmp_path / "a.txt").write_text(head + "\n1 0 5 60000000 Archaic 6 1\n1 7 9 20000000 Human 50 50\n2 0 1 10000000 archaic 2 1\n2 1\n2 3 4 x archaic 0 0\n")
+    got = text.archaic_segments(spark, str(tmp_path / "a.txt"))
+    assert sorted((r["cm"] is None, r["cm"]) for r in got.collect()) == [(False, 13.0), (False, 78.0), (True, None)]
+    shares = {r["source"]: (r["total"], round(r["pct"], 6)) for r in segments.source_shares(got, list(text.ARCHAICS)).collect()}
+    assert shares == {"altai": (8.0, 80.0), "denisova": (2.0, 20.0)}
+    ages = segments.implied_ages(got, [], "cm").collect()
+    assert [(round(r["age_longest"], 6), round(r["age_top3"], 6)) for r in ages] == [(round(100 / 78, 6), round(100 / 45.5, 6))]
+    (tmp_path / "b.txt").write_text("chrom start end cm\n1 0 2000000 3.5\n1 0 9 nan\n")
+    assert sorted(str(r["cm"]) for r in text.archaic_segments(spark, str(tmp_path / "b.txt")).collect()) == ["3.5", "None"]
+    (tmp_path / "c.txt").write_text("chrom start end state\n")
+    assert text.archaic_segments(spark, str(tmp_path / "c.txt")).collect() == []
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_tables_as_text(spark, tmp_path, single):
+    rows = [(1, 'a "b", c', 0.1), (2, "two\nlines", None), (3, None, -1e300), (4, "", 2.0)]
+    df = spark.createDataFrame(rows, "id bigint, name string, v double").repartition(3)
+    text.write_table(df, str(tmp_path / "p"), str(tmp_path / "c"), single)
+    assert single == (len(list((tmp_path / "c").glob("*.csv"))) == 1)
+    got = text.read_table(spark, str(tmp_path / "c"), "v double, id int, name string")
+    assert got.columns == ["v", "id", "name"]
+    assert sorted((r["id"], r["name"], r["v"]) for r in got.collect()) == [(i, n or None, v) for i, n, v in rows]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).collect())) == rows
+
+
 def test_bad_files(tmp_path):
     path = str(tmp_path / "x.geno")
     packed.write_packed(path, dosages(6, 13), True)
