@@ -4,15 +4,21 @@ Evidence: a lexicon of words whose presence in training documents goes with a ta
 learned by grouped counts; a document's features are its lexicon words and its style (upper case, symbols, digits,
 repeated lines and words, lengths). A logistic model over them gives the evidence as log odds against the base rate.
 Lexicon and model are fitted on about SAMPLE labelled documents, picked by a hash of the key (all, where there are
-fewer); texts of other documents are never shuffled. Hosts and paths use all training labels.
+fewer), the model on SAMPLE rows of them at most, by a hash of key and features; texts of other documents are never shuffled. Hosts and paths use all training labels.
 
 Prior: a Beta prior's mean and strength for hosts come from the moments of all hosts' label counts, and those of
 paths from the paths within their hosts. A path's posterior shrinks to its host's, a host's to the global rate, the
 more the fewer labels it has; hosts and paths without labels get their parent's. The final log odds are the evidence
 plus the log odds of the path's posterior.
 
-Defined results: null texts are empty texts; a null host or path is a value of its own; null labels are left out;
-repeated labels of one document count once (the highest toxic, the lowest quality); without labels everything is kept.
+A document of several sites (pages) counts once at each of its paths and once at each of its hosts, and its prior is
+the mean of its paths' posteriors; repeated rows of a document count once there.
+
+Defined results: null texts are empty texts, and whole texts are read, of any length; a null host or path is a value of
+its own; null labels are left out; repeated labels of one document count once (the highest toxic, the lowest quality);
+lexicon words that tie are taken in order; a target without labels of both kinds has evidence 0, without labels the
+prior is 0 and everything is kept; empty documents give no rows. Only the named columns are read, so others may have
+any name.
 """
 
 from __future__ import annotations
@@ -171,7 +177,7 @@ def judged(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "
     """doc_id, p_toxic, p_low (posterior probabilities), evidence of both, and kept (neither reaches threshold).
 
     labels: (doc_id, quality, toxic). training: over labels' doc_id, the labels to learn from. sites: (doc_id, host,
-    path), a row a document at most, for documents whose host is not host_col; joined to features, not to texts.
+    path), any number of rows a document, for documents whose host is not host_col; joined to features, not to texts.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("quality").alias("q"))
     known = known.filter("t is not null and q is not null").select(F.col("doc_id").alias("__id"), (F.col("t") == 1).cast("long").alias("toxic"), (F.col("q") == 0).cast("long").alias("low"))
@@ -185,37 +191,51 @@ def judged(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "
         learn = materialize(learn, "learn")
         n = learn.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS)).first()
         words = lexicon(materialize(lexicon_counts(learn), "lexicon"), n[0], dict(zip(TARGETS, n[1:])))
-    x = features(docs, words)
+    x = materialize(features(docs, words), "features")
+    known = materialize(known, "known")
+    seats = x.select("doc_id", "host", "path")
     if sites is not None:
-        at = sites.select(F.col("doc_id").alias("__site"), F.col("host").alias("__h"), F.col("path").alias("__p"))
-        x = x.join(at, F.col("doc_id") == F.col("__site"), "left")
-        x = x.select("doc_id", "x", *(F.when(F.col("__site").isNotNull(), F.col(f"__{c[0]}")).otherwise(F.col(c)).alias(c) for c in ("host", "path")))
-    x = materialize(x, "features")
-    marked = x.join(known, F.col("doc_id") == F.col("__id"))
-    some = marked.filter(picked("doc_id")).select("x", *TARGETS).limit(2 * SAMPLE).collect()
-    hosts = materialize(marked.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(t) for t in TARGETS)), "hosts")
-    paths = materialize(marked.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(t) for t in TARGETS)), "paths")
+        sites = materialize(sites.filter("doc_id is not null").select("doc_id", "host", "path").distinct(), "sites")
+        seats = seats.join(sites.select("doc_id"), "doc_id", "left_anti").union(sites.join(x.select("doc_id"), "doc_id", "left_semi"))
+    marked = materialize(seats.join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "host", "path", *TARGETS).distinct(), "marked")
+    labelled = x.filter(picked("doc_id")).join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "x", *TARGETS)
+    some = labelled.orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(SAMPLE).collect()
+    hosts = materialize(_counted(marked.select("doc_id", "host", *TARGETS).distinct(), "host"), "hosts")
+    paths = materialize(_counted(marked, "host", "path"), "paths")
+    means = {t: _mean(hosts, t) for t in TARGETS}
     h = hosts.select(F.col("host").alias("__h"), *(_rate(hosts, t).alias(f"h_{t}") for t in TARGETS))
     p = paths.join(h, F.col("host").eqNullSafe(F.col("__h"))).drop("__h")
     p = p.select(F.col("host").alias("__h"), F.col("path").alias("__p"), *(posterior(p, t, F.col(f"h_{t}"), strength(paths, t, _mean(paths, t))).alias(f"p_{t}") for t in TARGETS))
-    out = x.join(h, F.col("host").eqNullSafe(F.col("__h")), "left").drop("__h")
-    out = out.join(p, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")), "left").drop("__h", "__p")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows of (host, path, ...) with the priors of their sites."""
+        out = rows.join(h, F.col("host").eqNullSafe(F.col("__h")), "left").drop("__h")
+        out = out.join(p, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")), "left")
+        priors = (F.coalesce(f"p_{t}", f"h_{t}", F.lit(means[t])).alias(f"prior_{t}") for t in TARGETS)
+        return out.select(*rows.columns, *priors)
+
+    out = placed(x)
+    if sites is not None:
+        own = placed(sites).groupBy(F.col("doc_id").alias("__site")).agg(*(F.avg(f"prior_{t}").alias(f"own_{t}") for t in TARGETS))
+        out = out.join(own, F.col("doc_id") == F.col("__site"), "left").select("doc_id", "x", *(F.coalesce(f"own_{t}", f"prior_{t}").alias(f"prior_{t}") for t in TARGETS))
     cols = []
     for t in TARGETS:
         y = np.array([r[t] for r in some], float)
-        mean = _mean(hosts, t)
-        if len(y) < 10 or not 0 < y.mean() < 1:
+        if not len(y) or not 0 < y.mean() < 1:
             evidence = F.lit(0.0)
         else:
             evidence = _dot(logistic(np.array([r["x"] for r in some]), y)) - float(np.log(y.mean() / (1 - y.mean())))
-        prior = F.coalesce(f"p_{t}", f"h_{t}", F.lit(mean))
-        prior = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))
+        prior = F.least(F.greatest(f"prior_{t}", F.lit(1e-6)), F.lit(1 - 1e-6))
         odds = evidence + F.log(prior / (1 - prior))
         cols += [(1 / (1 + F.exp(-odds))).alias(f"p_{t}"), evidence.alias(f"evidence_{t}")]
     out = out.select("doc_id", *cols)
     return out.withColumn("kept", (F.col("p_toxic") < threshold) & (F.col("p_low") < threshold))
 
 
+def _counted(marked: DataFrame, *by: str) -> DataFrame:
+    return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(t).alias(t) for t in TARGETS))
+
+
 def _mean(groups: DataFrame, target: str) -> float:
     n, hit = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(target), F.lit(0))).first()
     return hit / n if n else 0.0

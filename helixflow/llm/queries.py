@@ -58,10 +58,9 @@ def _numbered(pages: DataFrame) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts and paths (their first part) are those of the document's page, or else its source and language."""
+    """Hosts and paths (their first part) are those of the document's pages, or else its source and language."""
     first = F.regexp_extract(urlrules.path(F.col("url")), r"^(/[^/]*)", 1)
-    sites = _numbered(table(spark, sf_dir, "pages").select("url")).filter("doc_id is not null")
-    sites = sites.groupBy("doc_id").agg(F.min("url").alias("url")).select("doc_id", urlrules.host(F.col("url")).alias("host"), first.alias("path"))
+    sites = _numbered(table(spark, sf_dir, "pages").select("url")).select("doc_id", urlrules.host(F.col("url")).alias("host"), first.alias("path"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return quality.judged(docs, table(spark, sf_dir, "labels"), fold_column("doc_id", 5) != 0, host_col="source", path_col="lang", sites=sites)
 

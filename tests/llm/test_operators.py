@@ -644,6 +644,66 @@ def test_quality(spark):
     assert none.filter("not kept").count() == 0
 
 
+def plain_strength(groups, mean):
+    """groups: (n, hits) pairs."""
+    n, squares, k = sum(g[0] for g in groups), sum(g[0] ** 2 for g in groups), len(groups)
+    if k < 2 or not 0 < mean < 1:
+        return 100.0
+    within = mean * (1 - mean)
+    spread = sum(a * (b / a - mean) ** 2 for a, b in groups)
+    between = (spread - (k - 1) * within) / max(n - squares / n, 1e-9)
+    return min(max(within / max(between, 1e-9) - 1, 1.0), 10_000.0)
+
+
+def plain_priors(docs, sites, flags):
+    """doc_id -> rate, from dicts of own sites, of pages' sites and of training flags, by loops."""
+    at = {d: sorted(set(sites.get(d) or [own]), key=str) for d, own in docs.items()}
+    hosts, paths = {}, {}
+    for d, hit in flags.items():
+        for h in {h for h, _ in at.get(d, [])}:
+            hosts.setdefault(h, []).append(hit)
+        for hp in at.get(d, []):
+            paths.setdefault(hp, []).append(hit)
+    count = lambda groups: [(len(v), sum(v)) for v in groups.values()]
+    mean = sum(b for _, b in count(hosts)) / sum(a for a, _ in count(hosts))
+    shrunk = lambda v, m, k: (sum(v) + m * k) / (len(v) + k)
+    kh = plain_strength(count(hosts), mean)
+    kp = plain_strength(count(paths), sum(b for _, b in count(paths)) / sum(a for a, _ in count(paths)))
+    rate = {h: shrunk(v, mean, kh) for h, v in hosts.items()}
+    site = lambda h, p: shrunk(paths[h, p], rate[h], kp) if (h, p) in paths else rate.get(h, mean)
+    return {d: sum(site(*hp) for hp in at[d]) / len(at[d]) for d in docs}
+
+
+def test_quality_priors_against_loops(spark):
+    rng = random.Random(8)
+    docs = {i: (f"s{i % 3}", None if i % 4 == 0 else "en") for i in range(120)}
+    sites = {i: [(rng.choice(["a", "b", "c", None]), rng.choice(["/x", "/y", None])) for _ in range(rng.randint(1, 5))] for i in range(0, 120, 2)}
+    labels = {i: (rng.random() < (0.6 if "a" in str(sites.get(i)) else 0.1), rng.random() < 0.3) for i in range(90)}
+    frame = spark.createDataFrame([(i, f"text {i % 7}" if i % 9 else None, *docs[i]) for i in docs] + [(4, "again", *docs[4])] * 3, "doc_id bigint, text string, host string, path string")
+    pages = spark.createDataFrame([(i, *s) for i, rows in sites.items() for s in rows] + [(None, "a", "/x"), (5000, "a", "/x")], "doc_id bigint, host string, path string")
+    marks = spark.createDataFrame([(i, int(not low), int(toxic)) for i, (toxic, low) in labels.items()], "doc_id bigint, quality int, toxic int")
+    got = quality.judged(frame, marks, F.col("doc_id") % 5 != 0, sites=pages).collect()
+    assert len(got) == len(docs) + 3
+    for k, t in enumerate(quality.TARGETS):
+        want = plain_priors(docs, sites, {i: f[k] for i, f in labels.items() if i % 5})
+        for r in got:
+            p = want[r["doc_id"]]
+            odds = math.log(p / (1 - p)) + r[f"evidence_{t}"]
+            assert abs(r[f"p_{t}"] - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_quality_of_few_and_odd_rows(spark, n):
+    rows = [(1, "vile " * 200_000, "h", "/p", 7), (1, "vile " * 200_000, "h", "/p", 7), (None, None, None, None, 7), (2, "fine words", "h", "/p", 7)]
+    docs = spark.createDataFrame(rows if n else [], "doc_id bigint, text string, host string, path string, x int")
+    marks = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = quality.judged(docs, marks, F.lit(True), sites=docs.select("doc_id", "host", "path").limit(0)).collect()
+    assert len(got) == len(rows) * n
+    if n:
+        p = {r["doc_id"]: r["p_toxic"] for r in got}
+        assert p[1] > p[2]
+
+
 def test_prior_strength(spark):
     rng = np.random.default_rng(0)
     rates = rng.beta(2, 8, 400)
