@@ -30,11 +30,15 @@ def distances(freq: DataFrame, cohort: str, min_overlap: int) -> DataFrame:
 
 
 def informative(w: DataFrame, extreme: float = 0.9, african: float = 0.1) -> DataFrame:
-    """w with arch (mean of the archaic frequencies that are there), is_a1, afr (African frequency of that allele) and informative."""
+    """w with arch (mean of the archaic frequencies that are there), is_a1, afr (African frequency of that allele) and informative.
+
+    Frequencies meet the bounds to nine decimal places, so one that is at a bound is at it however it was rounded.
+    """
     arch = F.coalesce((C("altai") + C("vindija")) / 2, "altai", "vindija")
-    out = w.withColumn("arch", arch).withColumn("is_a1", C("arch") > 0.5)
+    near = lambda c: F.round(c, 9)
+    out = w.withColumn("arch", arch).withColumn("is_a1", near("arch") > 0.5)
     out = out.withColumn("afr", F.when(C("is_a1"), C("mbuti")).otherwise(1 - C("mbuti")))
-    return out.withColumn("informative", ((C("arch") >= extreme) | (C("arch") <= 1 - extreme)) & (C("afr") <= african))
+    return out.withColumn("informative", ((near("arch") >= extreme) | (near("arch") <= round(1 - extreme, 9))) & (near("afr") <= african))
 
 
 def neanderthal_marker(a: Column, v: Column, chimp: Column, afr: Column, high: float = 0.99, chimp_high: float = 0.5, african: float = 0.05) -> Column:

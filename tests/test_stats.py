@@ -490,3 +490,39 @@ def test_mds_keeps_distances():
     gaps = lambda v: np.linalg.norm(v[:, None] - v[None], axis=2)
     assert np.allclose(gaps(models.mds(gaps(at), 2)), gaps(at))
     assert models.mds(np.where(np.eye(12, k=1) > 0, np.nan, gaps(at))).shape == (12, 2)
+
+
+def test_equal_means_are_equal_whatever_the_order(spark):
+    from helixflow.operators import frequency
+
+    values = {1: [0.01, 0.09, 0.05, 0.03, 0.07], 2: [0.07, 0.03, 0.01, 0.05, 0.09], 3: [0.07, 0.07, 0.07], 4: [0.02, None, 0.05], 5: [0.04]}
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "id int, v double")
+    got = {r["id"]: (r["m"], r["e"]) for r in df.groupBy("id").agg(frequency.exact_mean("v").alias("m"), frequency.exact_se("v").alias("e")).collect()}
+    assert got[1] == got[2] and got[1][0] == 0.05
+    assert got[1][1] == pytest.approx(np.std(values[1], ddof=1) / 5**0.5, rel=1e-12)
+    assert got[3] == (0.07, 0.0)
+    assert got[4] == (0.035, pytest.approx(0.015, rel=1e-12))
+    assert got[5] == (0.04, None)
+
+
+def test_estimates_without_spread_are_left_out(spark, tmp_path):
+    """Three equal discounts have a deviation of 1e-17 by floating sums; that gave them the largest z of all."""
+    from helixflow.plans import views
+
+    rows = [(i, i * 3 + j, 0.07 if i else 0.05 + 0.01 * j) for i in range(2) for j in range(3)]
+    spark.createDataFrame([(o, d) for _, o, d in rows], "l_orderkey bigint, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = spark.createDataFrame([(o, i) for i, o, _ in rows], "o_orderkey bigint, o_custkey bigint").withColumn("o_orderdate", F.lit("2001-01-01").cast("timestamp"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = views.estimates(spark, str(tmp_path)).collect()
+    assert [(r["id"], r["alpha"], r["n"]) for r in got] == [(0, 0.06, 3)]
+
+
+def test_informative_at_its_bounds(spark):
+    from helixflow.operators import loci
+
+    # 1 - 0.7 is over 0.3 and 1 - 0.9 is under 0.1 in doubles; (0.1 + 0.5) / 2 and (0.2 + 0.4) / 2 differ
+    rows = [(1, 0.2, 0.4, 0.6), (2, 0.1, 0.5, 0.6), (3, 0.1, 0.1, 0.9), (4, 0.7, 0.7, 0.1), (5, 0.31, 0.31, 0.9)]
+    w = spark.createDataFrame(rows, "site int, altai double, vindija double, mbuti double")
+    found = lambda e, a: [r["site"] for r in loci.informative(w, e, a).filter("informative").orderBy("site").collect()]
+    assert found(0.7, 0.45) == [1, 2, 3, 4]
+    assert found(0.9, 0.1) == [3]
