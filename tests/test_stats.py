@@ -506,7 +506,7 @@ def test_equal_means_are_equal_whatever_the_order(spark):
 
 
 def test_estimates_without_spread_are_left_out(spark, tmp_path):
-    """Three equal discounts have a deviation of 1e-17 by floating sums; that gave them the largest z of all."""
+    """Three equal discounts have no spread, whatever floating sums would leave."""
     from helixflow.plans import views
 
     rows = [(i, i * 3 + j, 0.07 if i else 0.05 + 0.01 * j) for i in range(2) for j in range(3)]
@@ -526,3 +526,36 @@ def test_informative_at_its_bounds(spark):
     found = lambda e, a: [r["site"] for r in loci.informative(w, e, a).filter("informative").orderBy("site").collect()]
     assert found(0.7, 0.45) == [1, 2, 3, 4]
     assert found(0.9, 0.1) == [3]
+
+
+def test_kinship_tiles_meet_only_where_both_have_calls(spark):
+    """40 families without a site in common: bits were copied to all tiles, now to those of their own block."""
+    from helixflow.operators import kinship
+
+    packed = spark.range(160).selectExpr("id as ind", "cast(id / 4 as int) as tile", "cast(id / 4 as bigint) as block", "array(named_struct('w', 0, 'c', 1L, 'a', 0L)) as x")
+    met = kinship._meetings(packed)
+    assert met.count() == 160 and met.filter("lo <> hi").isEmpty()
+    calls = spark.range(40 * 4 * 64).selectExpr("id div 4 as site", "id div 256 * 4 + id % 4 as ind", "cast(id % 3 = 0 as int) as a")
+    got = kinship.mismatch(calls, 3, tile=4, words=1)
+    assert got.count() == 40 * 6 and got.agg(F.min("n"), F.max("n")).first()[:] == (64, 64)
+
+
+def test_site_parts_as_matrices(spark):
+    """Products over calls alone equal those of the full matrix, whose missing calls are the site's mean."""
+    rng = np.random.default_rng(3)
+    calls = [(s, i, int(g)) for s in range(60) for i, g in enumerate(rng.integers(0, 3, 70)) if rng.random() < (0.1 if s % 2 else 0.9)]
+    ids, rows = models.site_rows(spark.createDataFrame(calls, "site bigint, ind bigint, g int"))
+    n, m = len(ids), []
+    for r in rows.collect():
+        x = np.full(n, 2 * r["p"])
+        x[r["no"]] = r["g"]
+        m.append((x - 2 * r["p"]) / np.sqrt(2 * r["p"] * (1 - r["p"])))
+    for scaled in (True, False):
+        full = np.array(m) if scaled else np.array([x * np.sqrt(2 * r["p"] * (1 - r["p"])) + 2 * r["p"] for x, r in zip(m, rows.collect())])
+        q = rng.standard_normal((n, 4))
+        out, norm = models._through_sites(rows, q, scaled)
+        assert np.allclose(out, full.T @ (full @ q)) and norm == pytest.approx((full**2).sum())
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    parts = list(models._sites(batch, n, most=40))
+    assert {p.dense is None for p in parts} == {True, False} and max(len(p.p) for p in parts if p.dense is None) > 1
+    assert sum(len(p.p) for p in parts) == len(m)
