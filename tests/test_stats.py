@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -559,3 +560,14 @@ def test_site_parts_as_matrices(spark):
     parts = list(models._sites(batch, n, most=40))
     assert {p.dense is None for p in parts} == {True, False} and max(len(p.p) for p in parts if p.dense is None) > 1
     assert sum(len(p.p) for p in parts) == len(m)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name, step, owner", [("perturb_k", "nearest", knn), ("explained_outliers", "analysis", None)])
+def test_shared_steps_run_once(spark, monkeypatch, name, step, owner):
+    from helixflow.plans import tables
+
+    owner, met = owner or tables, []
+    plain = getattr(owner, step)
+    monkeypatch.setattr(owner, step, lambda *a, **k: met.append(1) or plain(*a, **k))
+    assert tables.QUERIES[name](spark, "/root/testdata/sf0.001").count() and len(met) == 1
