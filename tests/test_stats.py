@@ -571,3 +571,17 @@ def test_shared_steps_run_once(spark, monkeypatch, name, step, owner):
     plain = getattr(owner, step)
     monkeypatch.setattr(owner, step, lambda *a, **k: met.append(1) or plain(*a, **k))
     assert tables.QUERIES[name](spark, "/root/testdata/sf0.001").count() and len(met) == 1
+
+
+@pytest.mark.parametrize("kept", [10_000, 500])
+def test_calls_hold_a_bounded_number_of_rows_a_task(spark, monkeypatch, kept):
+    from helixflow import session
+    from helixflow.plans import views
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", kept)
+    d = "/root/testdata/sf0.001"
+    got = views.calls(spark, d).withColumn("part", F.spark_partition_id())
+    sizes = [r["n"] for r in got.groupBy("part").agg(F.count("*").alias("n")).collect()]
+    plain = views.genotypes(spark, d).groupBy("site", "ind", "pop").agg(F.max("g").alias("g"))
+    assert max(sizes) <= min(kept, sum(sizes) / 4) * 1.5
+    assert got.drop("part").exceptAll(plain).isEmpty() and sum(sizes) == plain.count()
