@@ -585,3 +585,19 @@ def test_calls_hold_a_bounded_number_of_rows_a_task(spark, monkeypatch, kept):
     plain = views.genotypes(spark, d).groupBy("site", "ind", "pop").agg(F.max("g").alias("g"))
     assert max(sizes) <= min(kept, sum(sizes) / 4) * 1.5
     assert got.drop("part").exceptAll(plain).isEmpty() and sum(sizes) == plain.count()
+
+
+def test_nmf_components_holds_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    from helixflow import session
+    from helixflow.plans import tables
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    seen = []
+
+    def kept(freq, cohort, k):
+        seen.extend(r["n"] for r in freq.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count("*").alias("n")).collect())
+        return [(0, [1.0] * k)]
+
+    monkeypatch.setattr(models, "nmf_sites", kept)
+    tables.nmf_components(spark, "/root/testdata/sf0.001")
+    assert len(seen) > 8 and max(seen) <= 1000
