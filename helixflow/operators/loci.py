@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,26 @@ def thinning_ladder(df: DataFrame, site: str, levels: list[float], seed: int = 0
 
 #: Width of the finest bins of interval_join, how much wider each level is than the one before, and levels.
 BIN, WIDER, LEVELS = 1 << 14, 8, 12
+#: Bins that an interval of a merged level may touch.
+MOST_BINS = 1 << 10
+
+
+def _merged(points: int, seen: list) -> dict[int, int]:
+    """The level that the intervals of each level in use take, so that fewest rows are moved.
+
+    seen: for each level in use, in order, its number and for it and each finer level the bins that its intervals touch and
+    the most of one. Points are moved once for each level, intervals once for each bin.
+    """
+    best = None
+    for k in range(1, len(seen) + 1):
+        for kept in combinations([r[0] for r in seen], k):
+            to = {r[0]: max((x for x in kept if x <= r[0]), default=None) for r in seen}
+            if None in to.values() or any(r[2][to[r[0]]] > MOST_BINS for r in seen if to[r[0]] != r[0]):
+                continue
+            cost = points * k + sum(r[1][to[r[0]]] for r in seen)
+            if best is None or cost < best[0]:
+                best = (cost, to)
+    return best[1] if best else {}
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, *, closed: bool = True, bin_width: int = BIN) -> DataFrame:
@@ -133,15 +155,22 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
 
     An interval takes the finest level of bins of which it touches at most WIDER + 1, and is joined to the points of these
     bins by equality, so neither long nor many overlapping intervals need a comparison with all points. Points are
-    repeated once for each level in use. An interval and a point meet in one bin at most, so no row comes twice. NULLs
-    and intervals whose end is before their start hold nothing. The other columns of both sides are kept.
+    repeated once for each level in use, so a level of few intervals is merged into a finer one where that moves fewer
+    rows. Both sides are shuffled: their bins are far more rows than the tables whose size a broadcast would go by. An
+    interval and a point meet in one bin at most, so no row comes twice. NULLs and intervals whose end is before their
+    start hold nothing. The other columns of both sides are kept.
     """
     width = [bin_width * WIDER**k for k in range(LEVELS)]
     first, last = F.col(start), F.col(end)
     touched = [F.floor(last / w) - F.floor(first / w) for w in width]
     level = F.coalesce(*(F.when(t <= WIDER, k) for k, t in enumerate(touched)), F.lit(LEVELS - 1))
     placed = intervals.filter(last >= first).withColumn("__level", level)
-    used = sorted(r[0] for r in placed.select("__level").distinct().collect())  # at most LEVELS
+    bins = [t + 1 for t in touched]
+    seen = placed.groupBy("__level").agg(F.array(*map(F.sum, bins)), F.array(*map(F.max, bins))).orderBy("__level").collect()  # at most LEVELS
+    to = _merged(points.count(), seen)
+    used = sorted(set(to.values()))
+    if to:
+        placed = placed.withColumn("__level", F.element_at(F.create_map(*(F.lit(v) for kv in to.items() for v in kv)), F.col("__level")))
     wide = F.element_at(F.lit(width).cast("array<bigint>"), F.col("__level") + 1)
     placed = placed.withColumn("__bin", F.explode(F.sequence(F.floor(first / wide), F.floor(last / wide))))
     spots = [F.struct(F.lit(k).alias("__level"), F.floor(F.col(at) / width[k]).alias("__bin")) for k in used]
@@ -149,4 +178,4 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
         spots = [F.struct(F.lit(0).alias("__level"), F.lit(0).cast("bigint").alias("__bin"))]
     dealt = points.filter(F.col(at).isNotNull()).withColumn("__spot", F.explode(F.array(*spots))).select(*points.columns, "__spot.*")
     inside = (F.col(at) >= first) & ((F.col(at) <= last) if closed else (F.col(at) < last))
-    return dealt.join(placed, [*keys, "__level", "__bin"]).filter(inside).drop("__level", "__bin")
+    return dealt.join(placed.hint("merge"), [*keys, "__level", "__bin"]).filter(inside).drop("__level", "__bin")

@@ -601,3 +601,18 @@ def test_nmf_components_holds_a_bounded_number_of_rows_a_task(spark, monkeypatch
     monkeypatch.setattr(models, "nmf_sites", kept)
     tables.nmf_components(spark, "/root/testdata/sf0.001")
     assert len(seen) > 8 and max(seen) <= 1000
+
+
+def test_interval_join_moves_points_once_where_long_intervals_are_few(spark):
+    from helixflow.operators import loci
+
+    seen = [(0, [300, 120], [9, 3]), (1, [500, 70], [40, 9])]
+    assert loci._merged(1000, seen) == {0: 0, 1: 0}
+    assert loci._merged(400, seen) == {0: 0, 1: 1}
+    assert loci._merged(10**9, [(0, [9], [9]), (4, [10**8, 0, 0, 0, 8], [10**8, 0, 0, 0, 8])]) == {0: 0, 4: 4}
+    p = spark.range(5000).selectExpr("id as point", "1 as chrom", "id as pos")
+    s = spark.range(300).selectExpr("id as span", "1 as chrom", "id * 16 as lo", "id * 16 + if(id = 7, 400, 20) as hi")
+    joined = loci.interval_join(p, s, ["chrom"], "pos", "lo", "hi", bin_width=16)
+    want = sum(min(hi, 4999) - lo + 1 for i in range(300) for lo, hi in [(i * 16, i * 16 + (400 if i == 7 else 20))])
+    assert joined.count() == want
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
