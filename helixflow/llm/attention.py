@@ -33,16 +33,37 @@ def initial(inputs: int, classes: int, seed: int = 0) -> dict[str, np.ndarray]:
     return {k: (rng.standard_normal(s) * scale.get(k, WIDTH**-0.5)).astype(np.float32) for k, s in sizes.items()}
 
 
-def _gathered(t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding rows of the tokens at, the first of each token among them, and how many each has."""
+def _gathered(t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of the tokens at, and how many each has."""
     sizes = t.sizes[at]
     firsts = np.cumsum(sizes) - sizes
-    return t.rows[np.arange(int(sizes.sum())) + np.repeat(t.starts[at] - firsts, sizes)], firsts, sizes
+    return t.rows[np.arange(int(sizes.sum())) + np.repeat(t.starts[at] - firsts, sizes)], sizes
+
+
+#: Rows of a token that are added one place at a time for all tokens; what longer tokens have beyond is added by token.
+_STEPS = 8
+
+
+def sums(embed: np.ndarray, t: Tokens, at: np.ndarray) -> np.ndarray:
+    """The sums of the embeddings of the tokens at."""
+    starts, sizes = t.starts[at], t.sizes[at]
+    out = np.take(embed, t.rows[starts], axis=0)
+    longer = np.arange(len(out))
+    for step in range(1, _STEPS):
+        longer = longer[sizes[longer] > step]
+        if not len(longer):
+            return out
+        out[longer] += np.take(embed, t.rows[starts[longer] + step], axis=0)
+    longer = longer[sizes[longer] > _STEPS]
+    if len(longer):
+        more = sizes[longer] - _STEPS
+        rows, _ = _gathered(Tokens(t.rows, starts[longer] + _STEPS, more), np.arange(len(longer)))
+        out[longer] += np.add.reduceat(embed[rows], np.cumsum(more) - more)
+    return out
 
 
 def means(embed: np.ndarray, t: Tokens, at: np.ndarray) -> np.ndarray:
-    rows, firsts, sizes = _gathered(t, at)
-    return np.add.reduceat(embed[rows], firsts) / sizes[:, None].astype(embed.dtype)
+    return sums(embed, t, at) / t.sizes[at][:, None].astype(embed.dtype)
 
 
 def _qkv(p: dict[str, np.ndarray], flat: np.ndarray, shape: tuple[int, ...]) -> list[np.ndarray]:
@@ -51,6 +72,7 @@ def _qkv(p: dict[str, np.ndarray], flat: np.ndarray, shape: tuple[int, ...]) ->
 
 
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_ONES = np.ones(WINDOW, np.float32)
 #: Scores are kept within these bounds, so that exponents need no shift.
 _BOUND = np.float32(60)
 
@@ -68,14 +90,14 @@ def class_log_p(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np
     np.exp(a, out=a)
     a *= _SEEN
     seen = a @ v
-    seen /= a.sum(2)[:, :, None]
+    seen /= (a @ _ONES)[:, :, None]
     keep = keep.ravel()
     h, targets = (flat + seen.reshape(-1, WIDTH) @ p["o"])[keep], y.ravel()[keep]
     logits = h @ p["out"] + p["bias"]
     np.clip(logits, -_BOUND, _BOUND, out=logits)
     got = logits[np.arange(len(logits)), targets]
     np.exp(logits, out=logits)
-    got -= np.log(logits.sum(1))
+    got -= np.log(logits @ np.ones(logits.shape[1], np.float32))
     out = np.zeros(y.size, np.float32)
     out[keep] = got
     return out.reshape(y.shape)
@@ -83,10 +105,10 @@ def class_log_p(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np
 
 def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the places of weight 1 of windows of tokens (at, windows by places), and its gradients."""
-    rows, firsts, sizes = _gathered(t, at.ravel())
+    rows, sizes = _gathered(t, at.ravel())
     share = (1 / sizes).astype(np.float32)
     shape = (*at.shape, WIDTH)
-    flat = np.add.reduceat(p["embed"][rows], firsts)
+    flat = sums(p["embed"], t, at.ravel())
     flat *= share[:, None]
     flat.reshape(shape)[:] += p["place"]
     scale = np.float32(WIDTH**-0.5)
@@ -95,7 +117,7 @@ def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray
     np.clip(a, -_BOUND, _BOUND, out=a)
     np.exp(a, out=a)
     a *= _SEEN
-    a /= a.sum(2)[:, :, None]
+    a /= (a @ _ONES)[:, :, None]
     seen = (a @ v).reshape(flat.shape)
     h = flat + seen @ p["o"]
     d = h @ p["out"]
@@ -105,7 +127,7 @@ def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray
     places, mass = np.arange(len(d)), weight.ravel()
     target = d[places, y.ravel()]
     np.exp(d, out=d)
-    total = d.sum(1)
+    total = d @ np.ones(d.shape[1], np.float32)
     loss = float(((np.log(total) - target) * mass).sum()) / n
     part = (mass / n).astype(d.dtype)
     d *= (part / total)[:, None]
@@ -115,18 +137,15 @@ def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray
     g["o"] = seen.T @ dh
     dseen = (dh @ p["o"].T).reshape(shape)
     da = dseen @ v.transpose(0, 2, 1)
-    da -= (da * a).sum(2)[:, :, None]
+    da -= ((da * a) @ _ONES)[:, :, None]
     da *= a
     dq, dk, dv = (z.reshape(flat.shape) for z in (da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dseen))
     dq *= scale
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     g |= {"q": flat.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv, "place": dx.reshape(shape).sum(0)}
     back = np.repeat(dx * share[:, None], sizes, axis=0)
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    cuts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][sorted_rows[cuts]] = np.add.reduceat(back[order], cuts)
+    cells = (rows.astype(np.int64) * WIDTH)[:, None] + np.arange(WIDTH)
+    g["embed"] = np.bincount(cells.ravel(), weights=back.ravel(), minlength=p["embed"].size).astype(p["embed"].dtype).reshape(p["embed"].shape)
     return loss, g
 
 

@@ -67,7 +67,12 @@ ROWS_AT_ONCE = 1000
 #: Words that a worker remembers.
 CACHE = 1 << 18
 _PIECE = 64
-_BATCH = 512
+#: Windows scored at once: few enough for a core's cache.
+_BATCH = 128
+#: Bytes of new words that are cut into ids at once.
+_TEXT = 1 << 20
+#: Bytes of text that are hashed at once to be counted: few enough for a core's cache.
+_HASHED = 1 << 18
 #: Words counted together.
 _COUNTED = 1 << 22
 _LOG10 = np.log(10)
@@ -98,9 +103,10 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.core = tiktoken.Encoding("subwords", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.core = tiktoken.Encoding("subwords", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.size = max(ranks.values()) + 2
         self.end = self.size - 1
+        self.begins = Pieces.of(ranks).begins
 
     @classmethod
     def of(cls, held) -> Tokenizer:
@@ -116,6 +122,24 @@ class Tokenizer:
             return self.core.encode_single_piece(word)
         return [i for a in range(0, len(word), _PIECE) for i in self.core.encode_single_piece(word[a : a + _PIECE])]
 
+    def runs(self, words: Words, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each word) of runs of the words at which, none of which is longer than _PIECE with its space."""
+        starts, longer = words.starts[which], words.ends[which] - words.starts[which] + 1
+        ends = np.cumsum(longer)
+        a = 0
+        while a < len(which):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - longer[a] + _TEXT, side="right")))
+            firsts = ends[a:b] - longer[a:b] - (ends[a] - longer[a])
+            text = words.data[np.maximum(np.arange(int(longer[a:b].sum())) + np.repeat(starts[a:b] - firsts - 1, longer[a:b]), 0)]
+            text[firsts] = 32
+            try:
+                ids = np.array(self.core.encode_ordinary(text.tobytes().decode()), np.int32)
+                yield ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
+            except UnicodeDecodeError:  # bytes that are no text
+                every = [self.ids(words.text(i)) for i in which[a:b].tolist()]
+                yield np.array([i for x in every for i in x], np.int32), np.array([len(x) for x in every])
+            a = b
+
 
 class Pieces(NamedTuple):
     """By id: whether it begins a word, and a number whose largest in a word names the word's longest id (of equal ones, the smallest)."""
@@ -151,29 +175,38 @@ class Vocabulary:
         self.known: dict[int, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
         self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.count = 0
 
     def places(self, words: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Places of distinct words with these hashes, the first of each being at first."""
         if len(self.known) > CACHE:
             self.clear()
-        out, known, n = np.empty(len(hashes), np.int64), self.known, len(self.known)
+        known = self.known
+        out = np.array([known.get(h, -1) for h in hashes.tolist()], np.int64)
+        new = np.flatnonzero(out < 0)
+        long = words.ends[first[new]] - words.starts[first[new]] >= _PIECE
+        short, long = new[~long], new[long]
+        for ids, sizes in self.tokenizer.runs(words, first[short]):
+            self._add(ids, sizes)
+        for k in long.tolist():
+            ids = self.tokenizer.ids(words.text(first[k]))
+            self._add(np.array(ids, np.int32), np.array([len(ids)]))
+        new = np.concatenate([short, long])
+        out[new] = np.arange(len(known), len(known) + len(new))
+        known.update(zip(hashes[new].tolist(), out[new].tolist()))
+        return out
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Appends words given by their ids and the number of ids of each."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat] * 2)
+        self.flat[self.used : self.used + len(ids)] = ids
+        n = self.count + len(sizes)
         for name in ("starts", "sizes"):
-            while len(getattr(self, name)) < n + len(hashes):
+            while len(getattr(self, name)) < n:
                 setattr(self, name, np.concatenate([getattr(self, name)] * 2))
-        for k, h in enumerate(hashes.tolist()):
-            place = known.get(h)
-            if place is None:
-                ids = self.tokenizer.ids(words.text(first[k]))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat] * 2)
-                self.flat[self.used : self.used + len(ids)] = ids
-                place = known[h] = n
-                self.starts[n], self.sizes[n] = self.used, len(ids)
-                self.used += len(ids)
-                n += 1
-            out[k] = place
-        return out
+        self.starts[self.count : n], self.sizes[self.count : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.count = self.used + len(ids), n
 
     def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these places, and where each word's end (with a 0 before the first)."""
@@ -211,7 +244,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for _, data, offsets in text_chunks(batch.column(0)):
+            for _, data, offsets in text_chunks(batch.column(0), _HASHED):
                 held.append(Words(data, offsets).hashes())
                 n += len(held[-1])
                 if n > _COUNTED:

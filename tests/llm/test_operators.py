@@ -146,6 +146,38 @@ def test_attention_against_plain_loops():
             assert got[i, k] == pytest.approx(want, abs=1e-4)
 
 
+def test_sums_of_tokens_of_any_length():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 2, 8, 9, 40, 1, 17, 3])
+    t, embed = attention.Tokens(rng.integers(0, 9, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes), rng.standard_normal((9, attention.WIDTH))
+    for at in (rng.integers(0, len(sizes), 50), np.array([0, 5]), np.array([4]), np.empty(0, np.int64)):
+        want = [embed[t.rows[t.starts[i] : t.starts[i] + t.sizes[i]]].sum(0) for i in at]
+        assert attention.sums(embed, t, at) == pytest.approx(np.array(want).reshape(len(at), attention.WIDTH))
+
+
+def test_new_words_are_cut_together(monkeypatch):
+    """The tokenizer is called once for many new words, not once for each; ids are those of the words one by one."""
+    tokenizer = lm.Tokenizer(lm.load_ranks())
+    monkeypatch.setattr(lm, "_TEXT", 300)
+    one_by_one, called = tokenizer.ids, []
+    monkeypatch.setattr(tokenizer, "ids", lambda w: called.append(w) or one_by_one(w))
+    vocabulary, texts = lm.Vocabulary(tokenizer), []
+    lengths = ["x" * 62, "y" * 63, "z" * 64, "\u00e9" * 31, "\u00e9" * 32, "w" * 500]
+    for text in (" ".join(f"word{i} \u00e4{i}\u3000b\u00a0{i}" for i in range(400)), " ".join(lengths) + " word5 \U0001f600\u200d a", "a word5", "", "new \x00 \x7f"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        w = common.Words(data, np.array([0, len(data)]))
+        h, at, every = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        flat, ends = vocabulary.ids(vocabulary.places(w, h, at)[every])
+        texts += [w.text(i) for i in range(len(w.starts))]
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [one_by_one(w.text(i)) for i in range(len(w.starts))]
+    assert 0 < len(called) <= 4 and all(len(w) >= 63 for w in called)
+    # bytes that are no text are cut word by word
+    data = np.frombuffer(b"ab\xff \xc3 cd", np.uint8)
+    w = common.Words(data, np.array([0, len(data)]))
+    flat, ends = vocabulary.ids(vocabulary.places(w, w.hashes(), np.arange(3)))
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [one_by_one(x) for x in (b"ab\xff", b"\xc3", b"cd")]
+
+
 def test_lm_score(spark, corpus):
     """Base columns by their definition, and scores by plain loops over each text's words and the counts of all."""
     rows = corpus[:-8] + corpus[-7:] + [(None, "no id"), (7, "again")]
