@@ -350,6 +350,16 @@ def test_interval_join_against_all_pairs(spark, closed):
     assert loci.interval_join(p, s.limit(0), ["chrom"], "pos", "lo", "hi").count() == 0
 
 
+def test_pools_of_a_reference_are_bits(spark):
+    """A reference's pools go with every list that it is in, so they take a bit each, not a number each."""
+    rng = np.random.default_rng(3)
+    for pools in (1, 8, 105):
+        want = {i: np.flatnonzero(rng.random(pools) < 0.6).tolist() for i in range(20)} | {20: []}
+        got = knn._packed(spark.createDataFrame(list(want.items()), "id bigint, pools array<int>"), pools).collect()
+        assert {r["id"]: np.flatnonzero(np.unpackbits(np.frombuffer(r["pools"], np.uint8), count=pools)).tolist() for r in got} == want
+        assert {len(r["pools"]) for r in got} == {-(-pools // 8)}
+
+
 def test_pools_of_references_against_one_search_each(spark):
     """Small pools need further searches; each pool's z is that of its own references alone."""
     rng = np.random.default_rng(12)
