@@ -46,35 +46,51 @@ _STEPS = 8
 
 def sums(embed: np.ndarray, t: Tokens, at: np.ndarray) -> np.ndarray:
     """The sums of the embeddings of the tokens at."""
-    starts, sizes = t.starts[at], t.sizes[at]
-    out = np.take(embed, t.rows[starts], axis=0)
-    longer = np.arange(len(out))
+    sizes = np.minimum(t.sizes[at], _STEPS + 1)
+    # the longest tokens first, so that those that have a further row are a prefix
+    order = np.argsort((_STEPS + 1 - sizes).astype(np.uint8), kind="stable")
+    longer = len(at) - np.cumsum(np.bincount(sizes, minlength=_STEPS + 2))
+    starts = t.starts[at][order]
+    got = np.take(embed, t.rows[starts], axis=0)
     for step in range(1, _STEPS):
-        longer = longer[sizes[longer] > step]
-        if not len(longer):
-            return out
-        out[longer] += np.take(embed, t.rows[starts[longer] + step], axis=0)
-    longer = longer[sizes[longer] > _STEPS]
-    if len(longer):
-        more = sizes[longer] - _STEPS
-        rows, _ = _gathered(Tokens(t.rows, starts[longer] + _STEPS, more), np.arange(len(longer)))
-        out[longer] += np.add.reduceat(embed[rows], np.cumsum(more) - more)
-    return out
+        if not longer[step]:
+            break
+        got[: longer[step]] += np.take(embed, t.rows[starts[: longer[step]] + step], axis=0)
+    if n := int(longer[_STEPS]):
+        more = t.sizes[at[order[:n]]] - _STEPS
+        rows, _ = _gathered(Tokens(t.rows, starts[:n] + _STEPS, more), np.arange(n))
+        got[:n] += np.add.reduceat(embed[rows], np.cumsum(more) - more)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return np.take(got, back, axis=0)
 
 
 def means(embed: np.ndarray, t: Tokens, at: np.ndarray) -> np.ndarray:
     return sums(embed, t, at) / t.sizes[at][:, None].astype(embed.dtype)
 
 
-def _qkv(p: dict[str, np.ndarray], flat: np.ndarray, shape: tuple[int, ...]) -> list[np.ndarray]:
-    every = flat @ np.hstack([p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]])
-    return [np.ascontiguousarray(every[:, i : i + WIDTH]).reshape(shape) for i in range(0, 3 * WIDTH, WIDTH)]
+def _joined(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The weights of queries (with the scale of their products), keys and values side by side."""
+    return np.hstack([p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]])
+
+
+def _looked(flat: np.ndarray, joined: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Queries, keys and values of windows laid end to end, and how much each place looks at each, not yet of sum 1."""
+    every = (flat @ joined).reshape(-1, WINDOW, 3 * WIDTH)
+    qkv = [every[:, :, i : i + WIDTH] for i in range(0, 3 * WIDTH, WIDTH)]
+    a = qkv[0] @ qkv[1].transpose(0, 2, 1)
+    np.clip(a, -_BOUND, _BOUND, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN
+    return qkv, a
 
 
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(WINDOW, np.float32)
 #: Scores are kept within these bounds, so that exponents need no shift.
 _BOUND = np.float32(60)
+#: Windows that are worked on together: few enough for a core's cache.
+TOGETHER = 64
 
 
 def class_log_p(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -82,71 +98,82 @@ def class_log_p(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np
 
     x: (windows, places, WIDTH), without the places' own vectors. keep: places to score; the others get 0.
     """
-    x = x + p["place"]
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = _qkv(p, flat, x.shape)
-    a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -_BOUND, _BOUND, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN
-    seen = a @ v
-    seen /= (a @ _ONES)[:, :, None]
-    keep = keep.ravel()
-    h, targets = (flat + seen.reshape(-1, WIDTH) @ p["o"])[keep], y.ravel()[keep]
-    logits = h @ p["out"] + p["bias"]
-    np.clip(logits, -_BOUND, _BOUND, out=logits)
-    got = logits[np.arange(len(logits)), targets]
-    np.exp(logits, out=logits)
-    got -= np.log(logits @ np.ones(logits.shape[1], np.float32))
-    out = np.zeros(y.size, np.float32)
-    out[keep] = got
-    return out.reshape(y.shape)
+    joined, ones = _joined(p), np.ones(len(p["bias"]), np.float32)
+    out = np.zeros(y.shape, np.float32)
+    for first in range(0, len(x), TOGETHER):
+        part = slice(first, first + TOGETHER)
+        flat = (x[part] + p["place"]).reshape(-1, WIDTH)
+        (_, _, v), a = _looked(flat, joined)
+        seen = a @ v
+        seen /= (a @ _ONES)[:, :, None]
+        h = seen.reshape(-1, WIDTH) @ p["o"]
+        h += flat
+        kept = keep[part]
+        h, targets = h[kept.ravel()], y[part][kept]
+        logits = h @ p["out"]
+        logits += p["bias"]
+        np.clip(logits, -_BOUND, _BOUND, out=logits)
+        got = logits[np.arange(len(logits)), targets]
+        np.exp(logits, out=logits)
+        got -= np.log(logits @ ones)
+        out[part][kept] = got
+    return out
 
 
 def gradients(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the places of weight 1 of windows of tokens (at, windows by places), and its gradients."""
-    rows, sizes = _gathered(t, at.ravel())
+    embed, joined, ones = p["embed"], _joined(p), np.ones(len(p["bias"]), np.float32)
+    sizes = t.sizes[at.ravel()]
     share = (1 / sizes).astype(np.float32)
-    shape = (*at.shape, WIDTH)
-    flat = sums(p["embed"], t, at.ravel())
-    flat *= share[:, None]
-    flat.reshape(shape)[:] += p["place"]
-    scale = np.float32(WIDTH**-0.5)
-    q, k, v = _qkv(p, flat, shape)
-    a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -_BOUND, _BOUND, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN
-    a /= (a @ _ONES)[:, :, None]
-    seen = (a @ v).reshape(flat.shape)
-    h = flat + seen @ p["o"]
-    d = h @ p["out"]
-    d += p["bias"]
-    np.clip(d, -_BOUND, _BOUND, out=d)
-    n = max(1.0, float(weight.sum()))
-    places, mass = np.arange(len(d)), weight.ravel()
-    target = d[places, y.ravel()]
-    np.exp(d, out=d)
-    total = d @ np.ones(d.shape[1], np.float32)
-    loss = float(((np.log(total) - target) * mass).sum()) / n
-    part = (mass / n).astype(d.dtype)
-    d *= (part / total)[:, None]
-    d[places, y.ravel()] -= part
-    g = {"out": h.T @ d, "bias": d.sum(0)}
-    dh = d @ p["out"].T
-    g["o"] = seen.T @ dh
-    dseen = (dh @ p["o"].T).reshape(shape)
-    da = dseen @ v.transpose(0, 2, 1)
-    da -= ((da * a) @ _ONES)[:, :, None]
-    da *= a
-    dq, dk, dv = (z.reshape(flat.shape) for z in (da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dseen))
-    dq *= scale
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    g |= {"q": flat.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv, "place": dx.reshape(shape).sum(0)}
-    back = np.repeat(dx * share[:, None], sizes, axis=0)
-    cells = (rows.astype(np.int64) * WIDTH)[:, None] + np.arange(WIDTH)
-    g["embed"] = np.bincount(cells.ravel(), weights=back.ravel(), minlength=p["embed"].size).astype(p["embed"].dtype).reshape(p["embed"].shape)
-    return loss, g
+    every = sums(embed, t, at.ravel())
+    every *= share[:, None]
+    n, loss = max(1.0, float(weight.sum())), 0.0
+    g = {k: np.zeros_like(v) for k, v in p.items() if k in ("place", "o", "bias")}
+    g_out, g_joined, back = np.zeros_like(p["out"].T), np.zeros_like(joined.T), np.empty_like(every)
+    for first in range(0, len(at), TOGETHER):
+        part, flats = slice(first, first + TOGETHER), slice(first * WINDOW, (first + TOGETHER) * WINDOW)
+        flat = every[flats]
+        flat.reshape(-1, WINDOW, WIDTH)[:] += p["place"]
+        (q, k, v), a = _looked(flat, joined)
+        a /= (a @ _ONES)[:, :, None]
+        seen = (a @ v).reshape(flat.shape)
+        h = seen @ p["o"]
+        h += flat
+        d = h @ p["out"]
+        d += p["bias"]
+        np.clip(d, -_BOUND, _BOUND, out=d)
+        mass, target = weight[part].ravel(), np.arange(0, d.size, d.shape[1]) + y[part].ravel()
+        logits = d.ravel()[target]
+        np.exp(d, out=d)
+        total = d @ ones
+        loss += float((np.log(total) - logits) @ mass)
+        of = (mass / n).astype(d.dtype)
+        d *= (of / total)[:, None]
+        d.reshape(-1)[target] -= of
+        g_out += d.T @ h
+        g["bias"] += np.ones(len(d), np.float32) @ d
+        dh = d @ p["out"].T
+        g["o"] += seen.T @ dh
+        dseen = (dh @ p["o"].T).reshape(v.shape)
+        da = dseen @ v.transpose(0, 2, 1)
+        da -= ((da * a) @ _ONES)[:, :, None]
+        da *= a
+        dqkv = np.empty((*v.shape[:2], 3 * WIDTH), d.dtype)
+        for i, (x, z) in enumerate(((da, k), (da.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), dseen))):
+            np.matmul(x, z, out=dqkv[:, :, i * WIDTH : (i + 1) * WIDTH])
+        dqkv = dqkv.reshape(-1, 3 * WIDTH)
+        # the queries hold the scale, which their keys' gradient needs and their own gets from the weights
+        g_joined += dqkv.T @ flat
+        dh += dqkv @ joined.T
+        g["place"] += (np.ones(len(da), np.float32) @ dh.reshape(len(da), -1)).reshape(WINDOW, WIDTH)
+        np.multiply(dh, share[flats, None], out=back[flats])
+    g |= {"out": g_out.T, "q": g_joined[:WIDTH].T * np.float32(WIDTH**-0.5), "k": g_joined[WIDTH : 2 * WIDTH].T, "v": g_joined[2 * WIDTH :].T}
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rows = t.rows[np.arange(len(owner)) + (t.starts[at.ravel()] - np.cumsum(sizes) + sizes)[owner]]
+    cells = np.take(np.arange(embed.size).reshape(embed.shape), rows, axis=0)
+    back = np.take(back.astype(np.float64), owner, axis=0)
+    g["embed"] = np.bincount(cells.ravel(), weights=back.ravel(), minlength=embed.size).astype(embed.dtype).reshape(embed.shape)
+    return loss / n, g
 
 
 def train(p: dict[str, np.ndarray], t: Tokens, at: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, seed: int = 0, batch: int = 128) -> tuple[dict[str, np.ndarray], float]:

@@ -34,6 +34,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -103,7 +104,8 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.core = tiktoken.Encoding("subwords", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.encoding = tiktoken.Encoding("subwords", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.core = self.encoding._core_bpe
         self.size = max(ranks.values()) + 2
         self.end = self.size - 1
         self.begins = Pieces.of(ranks).begins
@@ -133,7 +135,7 @@ class Tokenizer:
             text = words.data[np.maximum(np.arange(int(longer[a:b].sum())) + np.repeat(starts[a:b] - firsts - 1, longer[a:b]), 0)]
             text[firsts] = 32
             try:
-                ids = np.array(self.core.encode_ordinary(text.tobytes().decode()), np.int32)
+                ids = self.encoding.encode_to_numpy(text.tobytes().decode(), disallowed_special=()).astype(np.int32)
                 yield ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
             except UnicodeDecodeError:  # bytes that are no text
                 every = [self.ids(words.text(i)) for i in which[a:b].tolist()]
@@ -163,6 +165,11 @@ class Pieces(NamedTuple):
         top = np.maximum.reduceat(self.order[ids], starts)
         return starts, np.diff(starts, append=len(ids)), -top & 0xFFFFFFFF
 
+    @property
+    def kind(self) -> np.dtype:
+        """The smallest type that holds all ids."""
+        return np.min_scalar_type(len(self.begins) - 1)
+
 
 class Vocabulary:
     """The ids of the words that a worker remembers, by hash."""
@@ -182,7 +189,7 @@ class Vocabulary:
         if len(self.known) > CACHE:
             self.clear()
         known = self.known
-        out = np.array([known.get(h, -1) for h in hashes.tolist()], np.int64)
+        out = np.fromiter(map(known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
         new = np.flatnonzero(out < 0)
         long = words.ends[first[new]] - words.starts[first[new]] >= _PIECE
         short, long = new[~long], new[long]
@@ -256,7 +263,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-_ENCODED = "doc_id bigint, held_out boolean, round int, n_words bigint, known bigint, base double, hot double, ids array<int>, cold array<bigint>, cold_at array<int>"
+#: Lists travel as bytes, which are copied whole where the elements of arrays are written and read one by one.
+_ENCODED = "doc_id bigint, held_out boolean, round int, n_words bigint, known bigint, base double, hot double, ids binary, cold binary, cold_at binary"
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes of these values; ends: where each row's values end, with a 0 before the first."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64) * values.itemsize), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends) of rows that _packed() made of values of this kind."""
+    if not len(column):
+        return np.empty(0, kind), np.zeros(1, np.int64)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
 
 def encoded(docs: DataFrame, held_out: Column, often: tuple[np.ndarray, np.ndarray], ranks, id_col: str, text_col: str) -> DataFrame:
@@ -268,6 +292,7 @@ def encoded(docs: DataFrame, held_out: Column, often: tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(Tokenizer.of(ranks))
+        kind = np.min_scalar_type(vocabulary.tokenizer.end)
         keys, counts = frequent.value
         for batch in batches:
             for first, data, offsets in text_chunks(batch.column(3)):
@@ -283,12 +308,12 @@ def encoded(docs: DataFrame, held_out: Column, often: tuple[np.ndarray, np.ndarr
                 sums = lambda values: np.bincount(owner, weights=np.where(hot, values, 0.0)[every], minlength=len(size)).astype(np.float64)  # noqa: E731, B023
                 known = np.bincount(owner[hot_words], minlength=len(size))
                 cold = np.flatnonzero(~hot_words)
-                cold_ends = pa.array(np.concatenate([[0], np.cumsum(size - known)]).astype(np.int32))
+                cold_ends = np.concatenate([[0], np.cumsum(size - known)])
                 cols = [batch.column(i).slice(first, len(size)) for i in range(3)]
                 cols += [pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(sums(np.log10(n + 0.1))), pa.array(sums(np.log10(n)))]
-                cols.append(pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(flat)))
-                cols.append(pa.ListArray.from_arrays(cold_ends, pa.array(h[every[cold]].view(np.int64))))
-                cols.append(pa.ListArray.from_arrays(cold_ends, pa.array((cold - cuts[owner[cold]]).astype(np.int32))))
+                cols.append(_packed(flat.astype(kind), ends[cuts]))
+                cols.append(_packed(h[every[cold]].view(np.int64), cold_ends))
+                cols.append(_packed((cold - cuts[owner[cold]]).astype(np.int32), cold_ends))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ENCODED.split(", ")])
 
     turn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(len(RATES))).cast("int")
@@ -296,18 +321,18 @@ def encoded(docs: DataFrame, held_out: Column, often: tuple[np.ndarray, np.ndarr
     return rows.mapInArrow(run, _ENCODED)
 
 
-def _lists(batches: Iterator[pa.RecordBatch], at_once: int = PIECE_TOKENS) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each column of lists, (values, lengths) of runs of whole rows with about at_once values in the first column."""
+def _lists(batches: Iterator[pa.RecordBatch], *kinds: np.dtype, at_once: int = PIECE_TOKENS) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each column of lists of these kinds, (values, lengths) of runs of whole rows with about at_once values in the first column."""
     held: list = []
     n = 0
     for batch in batches:
-        ends = batch.column(0).offsets.to_numpy()
+        columns = [_unpacked(c, kind) for c, kind in zip(batch.columns, kinds)]
+        ends = columns[0][1]
         a = 0
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(ends, ends[a] + at_once - n, side="right")) - 1)
             b = min(b, batch.num_rows)
-            part = [c.slice(a, b - a) for c in batch.columns]
-            held.append([(c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())) for c in part])
+            held.append([(values[to[a] : to[b]], np.diff(to[a : b + 1])) for values, to in columns])
             n += int(ends[b] - ends[a])
             a = b
             if n >= at_once:
@@ -360,7 +385,7 @@ def id_counts(ids: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * n, np.int64)
-        for ((flat, _),) in _lists(batches):
+        for ((flat, _),) in _lists(batches, pieces.kind):
             total[:n] += np.bincount(pieces.words(flat)[2], minlength=n)
             total[n:] += np.bincount(flat, minlength=n)
         yield from _blocks(total)
@@ -375,7 +400,7 @@ def neighbours(ids: DataFrame, pieces: Pieces, bucket: np.ndarray) -> np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(bucket) * wide, np.int32)
-        for ((flat, lengths),) in _lists(batches):
+        for ((flat, lengths),) in _lists(batches, pieces.kind):
             starts, _, keys = pieces.words(flat)
             if len(keys) < 2:
                 continue
@@ -458,7 +483,7 @@ def spelled(rows: DataFrame, pieces: Pieces, label: np.ndarray, spelling: Spelli
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(tall * COLUMNS, np.int32)
-        for (flat, lengths), (at, some) in _lists(batches):
+        for (flat, lengths), (at, some) in _lists(batches, pieces.kind, np.dtype(np.int32)):
             starts, sizes, keys = pieces.words(flat)
             text = np.repeat(np.arange(len(lengths)), lengths)[starts]
             cold = np.repeat(np.searchsorted(text, np.arange(len(lengths))), some) + at
@@ -505,7 +530,7 @@ def _trained(rows: DataFrame, model: Model) -> Model:
         def run(batches: Iterator[pa.RecordBatch], held=held, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
             m = held.value
             new, mass, piece = m.weights, 0.0, 0
-            for ((flat, lengths),) in _lists(batches):
+            for ((flat, lengths),) in _lists(batches, m.pieces.kind):
                 t, label, sizes, *_ = _tokens(m, flat, lengths)
                 at, y, weight, _ = attention.padded(np.arange(len(label) - 1), sizes, len(label) - 1, overlap=0)
                 new, _ = attention.train(new, t, at, label[y], weight.astype(np.float32), rate, seed=number + len(RATES) * piece)
@@ -608,17 +633,18 @@ def score(learned: Learned) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {name: batch.column(name) for name in batch.schema.names}
-            a, sizes = 0, col["ids"].offsets.to_numpy()
+            ids, sizes = _unpacked(batch.column("ids"), model.value.pieces.kind)
+            cold, ends_of = _unpacked(batch.column("cold"), np.dtype(np.int64))
+            cold_at, _ = _unpacked(batch.column("cold_at"), np.dtype(np.int32))
+            a = 0
             while a < batch.num_rows:
                 b = min(batch.num_rows, max(a + 1, int(np.searchsorted(sizes, sizes[a] + PIECE_TOKENS, side="right")) - 1))
-                part = {k: c.slice(a, b - a) for k, c in col.items()}
-                lists = {k: (part[k].flatten().to_numpy(), np.diff(part[k].offsets.to_numpy())) for k in ("ids", "cold_at")}
-                p, more = score_texts(model.value, *lists["ids"], *lists["cold_at"])
-                p += part["hot"].to_numpy()
-                ends_of = pa.array(np.concatenate([[0], np.cumsum(lists["cold_at"][1])]).astype(np.int32))
-                cols = [part[k] for k in ("row", "doc_id", "held_out", "n_words", "known", "base")]
-                cols += [pa.array(p), pa.ListArray.from_arrays(ends_of, part["cold"].flatten()), pa.ListArray.from_arrays(ends_of, pa.array(more.astype(np.float32)))]
+                some = slice(ends_of[a], ends_of[b])
+                p, more = score_texts(model.value, ids[sizes[a] : sizes[b]], np.diff(sizes[a : b + 1]), cold_at[some], np.diff(ends_of[a : b + 1]))
+                p += batch.column("hot").slice(a, b - a).to_numpy()
+                lists = pa.array((ends_of[a : b + 1] - ends_of[a]).astype(np.int32))
+                cols = [batch.column(k).slice(a, b - a) for k in ("row", "doc_id", "held_out", "n_words", "known", "base")]
+                cols += [pa.array(p), pa.ListArray.from_arrays(lists, pa.array(cold[some])), pa.ListArray.from_arrays(lists, pa.array(more.astype(np.float32)))]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
                 a = b
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -146,6 +147,42 @@ def test_attention_against_plain_loops():
             assert got[i, k] == pytest.approx(want, abs=1e-4)
 
 
+def test_windows_worked_on_together(monkeypatch):
+    """Log probabilities and gradients do not depend on how many windows are worked on together."""
+    rng = np.random.default_rng(3)
+    p, t = {k: v.astype(np.float64) for k, v in attention.initial(9, 5).items()}, tiny_tokens(rng, 20, 9)
+    at, y = rng.integers(0, 20, (7, attention.WINDOW)), rng.integers(0, 5, (7, attention.WINDOW))
+    w = rng.random(at.shape) < 0.7
+    got = []
+    for n in (64, 7, 3, 1):
+        monkeypatch.setattr(attention, "TOGETHER", n)
+        x = attention.means(p["embed"], t, at.ravel()).reshape(*at.shape, -1)
+        loss, g = attention.gradients(p, t, at, y, w.astype(np.float64))
+        got.append((attention.class_log_p(p, x, y, w), loss, g))
+        assert loss == pytest.approx(-got[-1][0].sum() / w.sum(), abs=1e-5)
+    for log_p, loss, g in got[1:]:
+        assert log_p == pytest.approx(got[0][0], abs=1e-6) and loss == pytest.approx(got[0][1])
+        assert g.keys() == p.keys() and all(g[k] == pytest.approx(got[0][2][k], abs=1e-6) for k in g)
+
+
+def test_lists_travel_as_bytes():
+    """Rows of ids are bytes to Spark, of the smallest type that holds the ids; slices and empty rows keep their values."""
+    assert "array" not in lm._ENCODED
+    rows = [[1, 50_256, 3], [], [7], [9, 8, 7, 6], []]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    kind = lm.Pieces(np.zeros(50_257, bool), np.zeros(50_257, np.int64)).kind
+    assert kind == np.uint16
+    column = lm._packed(np.array(sum(rows, []), kind), ends)
+    for a, b in ((0, 5), (1, 4), (2, 2), (4, 5)):
+        values, to = lm._unpacked(column.slice(a, b - a), kind)
+        assert [values[i:j].tolist() for i, j in zip(to, to[1:])] == rows[a:b]
+    batches = [pa.record_batch([column.slice(a, 2), column.slice(a, 2)], names=["x", "y"]) for a in (0, 2)]
+    for at_once in (1, 3, 100):
+        out = list(lm._lists(iter(batches), kind, kind, at_once=at_once))
+        for c in (0, 1):
+            assert np.concatenate([x[c][0] for x in out]).tolist() == sum(rows[:4], []) and np.concatenate([x[c][1] for x in out]).tolist() == [3, 0, 1, 4]
+
+
 def test_sums_of_tokens_of_any_length():
     rng = np.random.default_rng(2)
     sizes = np.array([1, 2, 8, 9, 40, 1, 17, 3])
