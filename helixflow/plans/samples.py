@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import reports
 from ..operators import aggregates as agg
 from ..operators import loci, qc
+from ..session import ratio
 from .genetics import query as _query
 from .views import analysis, ctes, estimates, genotypes, meta, rounded, table, two_sided_p_series_sql, two_sided_p_sql
 
@@ -264,7 +265,8 @@ def bonferroni(spark: SparkSession, d: str) -> DataFrame:
 @query(ctes("analysis") + f", z as (select id, abs((alpha - 0.05) / se) as z from analysis), p as (select id, {two_sided_p_series_sql('z')} as p from z), r as (select id, p, p * count(*) over () / rank_max as x from (select *, count(*) over (order by p) as rank_max from p)) select id, round(p, 6) as p, round(least(1.0, min(x) over (order by p desc)), 6) as q from r")
 def bh_adjusted(spark: SparkSession, d: str) -> DataFrame:
     """Benjamini-Hochberg adjusted values of two-sided normal p values, beside the Bonferroni counts (an extra)."""
-    p = analysis(spark, d).select("id", agg.two_sided_p((C("alpha") - 0.05) / C("se")).alias("p"))
+    # Spark may compute z for estimates without spread before it filters them, so these divide to NULL
+    p = analysis(spark, d).select("id", agg.two_sided_p(ratio(C("alpha") - 0.05, C("se"))).alias("p"))
     return rounded(agg.benjamini_hochberg(p, "p"))
 
 
